@@ -15,7 +15,7 @@ BLOCK = 1 << 20
 _POS = np.uint64((1 << 22) - 1)
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = int(_rng.integers(1, 2**62)) * 2 + 1
 _PINV = pow(_P, -1, 2**64)
 
@@ -30,7 +30,7 @@ _POW = np.empty(0, np.uint64)
 _INV = np.empty(0, np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
         _POW, _INV = _powers(_P, n), _powers(_PINV, n)
@@ -69,10 +69,10 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
     empty = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < length:
         return empty
-    pw, inv = _tables(max(n + 1, BLOCK + 1))
+    pw, inv = power_tables(max(n + 1, BLOCK + 1))
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[buf] * pw[:n], out=sums[1:])
+    np.cumsum(BYTE[buf] * pw[:n], out=sums[1:])
     grams = mix((sums[K:] - sums[:-K]) * inv[: n - K + 1])
     key = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)
     best = sliding_min(key, length - K + 1)  # one for each window start of the buffer
