@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillhouse.llm import bpe, grid_join, lines, ngram_join, packing, quality, suffix, toxicity
+from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, suffix, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -26,6 +26,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _tokenizer("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(read(spark, sf_dir, "documents"), ranks, _pattern())
@@ -33,6 +37,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -68,7 +76,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
@@ -86,6 +96,7 @@ _LINES = """
 """
 
 ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": warc.oracle(),
     "op6_line_dedup": f"""
 with {_LINES}
 select l.doc_id, count(*) as n_lines, count(*) filter (where f.first_doc < l.doc_id) as n_dropped,

@@ -7,6 +7,7 @@ thus find every candidate, and only those are counted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from quillhouse.llm.suffix import narrow, widen
 SIDE = 256
 #: Different n-grams in a fragment when overlaps are counted.
 FRAGMENT = 4096
-#: Independent orders; a set with an empty fragment in all of them falls back on its least hashes.
+#: Independent orders; a set with too many empty fragments in all of them falls back on its least hashes.
 ORDERS = 4
 FLUSH = 400_000
 
@@ -78,15 +79,23 @@ class _Schemes:
     """Classes of sizes, each about ``den / num`` times as wide as the one before, and how many fragments the sets of each are cut into."""
 
     def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.tops, self.parts = num, den, [], []
+        self.num, self.den, self.tops, self.parts, self.spare = num, den, [], [], []
 
     def of(self, n: int) -> int:
         """The class of sets of size ``n``."""
         while not self.tops or self.tops[-1] < n:
             top = max(self.tops[-1] + 1, self.tops[-1] * self.den // self.num) if self.tops else 1
+            low = self.tops[-1] + 1 if self.tops else 1
             # By how many elements a set of this class and one no smaller can differ at the threshold, and one more.
+            least = 1 + (top + top * self.den // self.num) * (self.den - self.num) // (self.num + self.den)
+            # And as many as can be expected to be empty, so that two sets that agree in them alone are rare.
+            spare = 0
+            for _ in range(20):
+                mean = (least + spare) * math.exp(-low / (least + spare))
+                spare = int(mean + 3 * math.sqrt(mean)) if low >= 30 else 0
             self.tops.append(top)
-            self.parts.append(1 + (top + top * self.den // self.num) * (self.den - self.num) // (self.num + self.den))
+            self.parts.append(least + spare)
+            self.spare.append(spare)
         return int(np.searchsorted(self.tops, n))
 
     def reach(self, c: int) -> list[int]:
@@ -96,7 +105,11 @@ class _Schemes:
 
 
 def signatures(h: np.ndarray, schemes: _Schemes) -> np.ndarray:
-    """Signatures of the set ``h``: two sets at the threshold share one."""
+    """Signatures of the set ``h``: two sets at the threshold share one.
+
+    Such sets agree in ``spare + 1`` fragments at least. If either has no more than ``spare`` empty ones, they share one
+    that is not empty; if both have more, both sign in the next order as well.
+    """
     n = len(h)
     out = []
     own = schemes.of(n)
@@ -112,10 +125,10 @@ def signatures(h: np.ndarray, schemes: _Schemes) -> np.ndarray:
             some = np.bincount(cell.astype(np.int64), minlength=parts) > 0
             tag = np.uint64((c * ORDERS + order) * 0x1000003D)
             out.append(mix(mix(sums[some] + tag) + np.flatnonzero(some).astype(np.uint64)))
-            open_ = not some.all()
+            open_ = parts - int(some.sum()) > schemes.spare[c]
             if not open_:
                 break
-        if open_:  # an empty fragment in every order: the prefix of the order, rarely needed
+        if open_:  # too many empty fragments in every order: the prefix of the order, rarely needed
             keep = n - -(-schemes.num * n // schemes.den) + 1
             out.append(mix(h[:keep] + np.uint64(c + 0x7F4A7C15)))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)

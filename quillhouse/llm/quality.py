@@ -6,6 +6,8 @@ source holding a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +30,34 @@ def _visible(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, SPACE, ""))
 
 
-def _repeated(ws: Column, n: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once: a bound name stays one when the optimizer moves expressions into each other."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(text: Column) -> Column:
     """Words that lie in a three-word window found twice or more: hashes of windows sorted with their place, equal neighbours kept,
     then the places in order, each adding three words less what the one before already covers."""
-    marks = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.get(ws, i - 1), F.lit(1), F.get(ws, i), F.lit(2), F.get(ws, i + 1)).alias("h"), i.alias("i")))
-    ordered = F.sort_array(marks)
 
-    def of(x: Column) -> Column:
-        return F.filter(x, lambda m, k: (F.get(x, k - 1)["h"] == m["h"]) | (F.get(x, k + 1)["h"] == m["h"]))
+    def windows(ws: Column) -> Column:
+        last = F.size(ws) - 2
+        marks = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.xxhash64(F.get(ws, i - 1), F.lit(1), F.get(ws, i), F.lit(2), F.get(ws, i + 1)).alias("h"), i.alias("i")))
+        return F.when(last < 1, F.lit(0)).otherwise(_let(F.sort_array(marks), covered))
 
-    # An array bound once by a one-element transform, so that it is not computed again for each element.
-    hit = F.get(F.transform(F.array(ordered), of), F.lit(0))
-    places = F.get(F.transform(F.array(F.sort_array(F.transform(hit, lambda m: m["i"]))), lambda p: F.struct(p.alias("p"))), F.lit(0))["p"]
-    total = F.aggregate(places, F.struct(F.lit(-3).alias("at"), F.lit(0).alias("sum")), lambda s, p: F.struct(p.alias("at"), (s["sum"] + F.least(F.lit(3), p - s["at"])).alias("sum")))["sum"]
-    return F.when(n < 3, F.lit(0)).otherwise(total)
+    def covered(x: Column) -> Column:
+        hit = F.filter(x, lambda m, k: (F.get(x, k - 1)["h"] == m["h"]) | (F.get(x, k + 1)["h"] == m["h"]))
+        places = F.sort_array(F.transform(hit, lambda m: m["i"]))
+        return F.aggregate(places, F.struct(F.lit(-3).alias("at"), F.lit(0).alias("sum")), lambda s, p: F.struct(p.alias("at"), (s["sum"] + F.least(F.lit(3), p - s["at"])).alias("sum")))["sum"]
+
+    return _let(words(text), windows)
 
 
 def line_fails(line: Column, max_symbols: float, max_upper: float) -> Column:
     """Whether a line with words is to go: mostly symbols or pipes, shouting, navigation, boilerplate or page code."""
     low, chars = F.lower(line), F.greatest(_visible(line), F.lit(1))
     symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS + "{}[]=_~^\\!", ""))
-    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    upper = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+    upper = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     bare = F.btrim(low, F.lit(_EDGE + ".,:;!?|>-"))
     return (
         (symbols > F.lit(max_symbols) * chars)
@@ -80,19 +88,18 @@ def line_first(
     called ``quality`` is replaced. Rows are judged one by one, so repeats and ties need no rule; null ids pass.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("quality", F.struct(text.alias("text"), words(text).alias("ws"), F.split(text, "\n").alias("ls")))
-    q = F.col("quality")
-    n = F.size(q["ws"])
-    with_words = F.filter(q["ls"], lambda x: F.btrim(x, F.lit(_EDGE)) != "")
-    judged = F.transform(q["ls"], lambda x: F.struct(x.alias("line"), F.coalesce((F.btrim(x, F.lit(_EDGE)) != "") & line_fails(x, max_symbols, max_upper), F.lit(False)).alias("bad")))
-    out = out.withColumn("quality", F.struct(
-        n.cast("long").alias("n_words"),
-        _visible(q["text"]).cast("long").alias("word_chars"),
-        (F.char_length(q["text"]) - F.char_length(F.translate(q["text"], SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(with_words), lambda a: F.size(a) - F.size(F.array_distinct(a))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        _repeated(q["ws"], n).cast("long").alias("n_repeat_words"),
+    lines = F.split(text, "\n")
+    with_words = F.filter(lines, lambda x: F.btrim(x, F.lit(_EDGE)) != "")
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.coalesce((F.btrim(x, F.lit(_EDGE)) != "") & line_fails(x, max_symbols, max_upper), F.lit(False)).alias("bad")))
+    out = docs.withColumn("quality", F.struct(
+        F.size(words(text)).cast("long").alias("n_words"),
+        _visible(text).cast("long").alias("word_chars"),
+        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _let(with_words, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+        _repeated(text).cast("long").alias("n_repeat_words"),
         judged.alias("judged"),
     ))
+    q = F.col("quality")
     bad = F.filter(q["judged"], lambda x: x["bad"])
     out = out.withColumn("quality", F.struct(
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -103,3 +110,13 @@ def line_first(
     ))
     kept = ~q["base_failed"] & (q["chars_dropped"] <= F.lit(max_loss) * q["word_chars"])
     return out.withColumn("quality", q.withField("kept", kept))
+
+
+def clean(docs: DataFrame, text_col: str = "text", **rules: float) -> DataFrame:
+    """The documents that ``line_first`` keeps, their text without the lines that fail; the other columns as they were.
+
+    A generator that gives one row or none stands in for a filter, which would be pushed below and judge twice.
+    """
+    judged = line_first(docs, text_col, **rules)
+    one = F.explode(F.when(F.col("quality.kept"), F.array(F.col("quality.clean_text"))).otherwise(F.array().cast("array<string>")))
+    return judged.select(*[c for c in docs.columns if c not in (text_col, "quality")], one.alias(text_col)).select(*[c for c in docs.columns if c != "quality"])

@@ -234,11 +234,12 @@ def _last_round(parts: list[pa.RecordBatch], length: int, limit: int = 2 << 20)
         yield d[hit], (low[take][who] + j)[hit]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, buckets: int | None = None, as_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``: each text's UTF-8 bytes without those covered by a string of ``length``
     bytes (34 to 200) that also starts in a document with a smaller id.
 
-    ``kept`` is binary, since a removed span may end inside a character. Overlaps count, matches never cross documents,
+    ``kept`` is binary, since a removed span may end inside a character; with ``as_text`` it is a string without such
+    broken characters. Overlaps count, matches never cross documents,
     and all strings are judged on the input. Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole; rows without an id are left out. Rows that repeat an id are one document: nothing is removed from one for
     standing in the other. Other columns are dropped.
@@ -347,9 +348,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(int(gone.sum()))
                 spans_.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(buf[a:b][~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return final.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return final.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
 
 
 def brute_force(texts: dict[int, bytes], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
