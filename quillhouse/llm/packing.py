@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,26 +14,61 @@ from pyspark.sql import functions as F
 
 from quillhouse.llm.common import blocks, partitions, table
 
-#: Words whose ids a worker remembers, and the longest word it remembers.
-CACHE_WORDS, CACHE_BYTES = 300_000, 40
+#: Letter runs whose ids a worker remembers, about 200 bytes each, and the longest word that is taken apart.
+CACHE_RUNS, CACHE_BYTES = 1_000_000, 40
+#: ASCII punctuation, letters of ASCII and Latin-1, ASCII punctuation: the pre-tokeniser splits such a word just there.
+_PLAIN = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
-class _Words(dict):
-    """Ids of each word met so far. The tokenizer drops white space and lets no token reach over it, so a text's ids are its words' ids."""
+class _Words:
+    """Ids, as little-endian 32-bit integers, of words met so far.
+
+    The tokenizer drops white space and lets no token reach over it, so a text's ids are its words' ids. A run of letters
+    is one pre-token and has the ids of the same run in lower case: it goes to the merges directly, as the characters
+    that stand for its bytes.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        # Byte-level tokenizers write a printable byte of Latin-1 as itself, the others as what follows U+0100.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _encode(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+
+    def _part(self, part: bytes) -> bytes:
+        if part not in self.parts:
+            self.parts[part] = self._encode(part).tobytes()
+        return self.parts[part]
+
+    def _letters(self, core: bytes) -> bytes:
+        text = core.decode() if core.isascii() else "".join([self.chars[b] for b in core])
+        out = self.parts[core] = b"".join([self.raw[t.id] for t in self.merge(text)])
+        return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word of a block."""
+        if len(self.parts) > CACHE_RUNS:
+            self.parts = {b"": b""}
+        parts, match = self.parts, _PLAIN.fullmatch
+        out = {w: p for w in words if (p := parts.get(w)) is not None}
+        for w in words - out.keys():
+            m = match(w) if len(w) <= CACHE_BYTES else None
+            if m is None:
+                out[w] = self._encode(w).tobytes()
+                continue
+            lead, core, tail = m.groups()
+            core = core.lower() if core.isascii() else core.decode().lower().encode()
+            ids = parts.get(core) or self._letters(core)
+            out[w] = self._part(lead) + ids + self._part(tail) if lead or tail else ids
         return out
 
 
@@ -50,10 +86,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, step = _words(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for part, *_ in blocks(batches, 1 << 22):
+        for part, buf, starts, ends in blocks(batches, 1 << 22):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, text.encode().split())) + end
+            texts = [buf[a:b].tobytes().split() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids_of = words.of(set().union(*texts)).__getitem__
+            for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                ids = b"".join(map(ids_of, text)) + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at : at + step]
                     for column, value in zip(out, (doc, n, at // 4, len(cut) // 4, zlib.crc32(cut), cut), strict=True):
