@@ -144,30 +144,45 @@ def _combine(doc: np.ndarray, low: np.ndarray, count: np.ndarray, gram: np.ndarr
     yield from _send((gram[left] % np.uint64(buckets)).astype(np.int64), doc[left], low=low[left], count=count[left], gram=gram[left], context=context[left])
 
 
-def _rounds(parts: list[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    """Round 1 in one bucket: settles what has equal context, passes on what shares a gram only."""
-    done = _received(parts, True)
-    got = _received(parts, False)
-    doc, low, count, gram, context = (got[k] for k in ("doc", "low", "count", "gram", "context"))
-    order = np.lexsort((doc, context, gram))
-    doc, low, count, gram, context = (x[order] for x in (doc, low, count, gram, context))
-    out_doc, out_low, out_count = [done["doc"]], [done["low"]], [done["count"]]
-    if len(doc):
-        new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-        new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # of the context
-        full = doc > least
-        out_doc.append(doc[full])
-        out_low.append(low[full])
-        out_count.append(count[full])
-        g, at = np.cumsum(new_gram) - 1, np.flatnonzero(new_gram)
-        first, last = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
-        check = ~full & (first < last)[g]
-        if check.any():
-            yield from _send(doc[check] % cells, doc[check], low=low[check], count=count[check], gram=gram[check])
-    d, w, c = np.concatenate(out_doc), np.concatenate(out_low), np.concatenate(out_count)
-    if len(d):
-        yield from _send(d % cells, d, low=w, count=c)
+def _first_round(parts: list[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Round 1 in one bucket: what is settled, by equal context, and what shares a gram only."""
+    done, got = _received(parts, True), _received(parts, False)
+    order = np.lexsort((got["doc"], got["context"], got["gram"]))
+    doc, low, count, gram, context = (got[k][order] for k in ("doc", "low", "count", "gram", "context"))
+    if not len(doc):
+        return done, got
+    new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
+    new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # of the context
+    full = doc > least
+    settled = {k: np.concatenate((done[k], x[full])) for k, x in (("doc", doc), ("low", low), ("count", count))}
+    g, at = np.cumsum(new_gram) - 1, np.flatnonzero(new_gram)
+    first, last = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
+    check = ~full & (first < last)[g]
+    return settled, {"doc": doc[check], "low": low[check], "count": count[check], "gram": gram[check]}
+
+
+class _Cells:
+    """Gathers what a task finds in all its buckets and sends it on by document, so that rows number tasks times cells at most."""
+
+    def __init__(self, cells: int) -> None:
+        self.cells, self.size = cells, 0
+        self.held: dict[bool, list[dict[str, np.ndarray]]] = {True: [], False: []}
+
+    def add(self, settled: bool, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(arrays["doc"]):
+            self.held[settled].append(arrays)
+            self.size += len(arrays["doc"])
+            if self.size >= 2 * FLUSH:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for settled, held in self.held.items():
+            if held:
+                got = {k: np.concatenate([x[k] for x in held]) for k in ("doc", "low", "count") + (() if settled else ("gram",))}
+                doc = got.pop("doc")
+                yield from _send(doc % self.cells, doc, **got)
+        self.held, self.size = {True: [], False: []}, 0
 
 
 def _by_doc(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -250,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     n = partitions(rows.sparkSession)
-    buckets = buckets or 4 * n
+    buckets = buckets or 2 * n
     hot = _hot(rows, length)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +287,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _Cells(buckets)
         for _, parts in grouped(batches):
-            yield from _rounds(parts, buckets)
+            settled, check = _first_round(parts)
+            yield from cells.add(True, **{k: settled[k] for k in ("doc", "low", "count")})
+            yield from cells.add(False, **{k: check[k] for k in ("doc", "low", "count", "gram")})
+        yield from cells.rest()
 
     def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches):
@@ -314,18 +333,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edge[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "gram", "doc", "low", "count", "bytes"])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _Cells(buckets)
         for _, parts in grouped(batches):
             for doc, low in _last_round(parts, length):
-                if not len(doc):
-                    continue
                 order = np.lexsort((low, doc))
                 doc, low = doc[order], low[order]
-                head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1))))
-                count = np.minimum(np.diff(np.append(head, len(doc))), 255)
-                if int(count.sum()) == len(doc):
-                    yield from _send(doc[head] % buckets, doc[head], low=low[head], count=count)
-                else:  # a run longer than a byte counts
-                    yield from _send(doc % buckets, doc, low=low, count=np.ones(len(doc), np.int64))
+                head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
+                count = np.diff(np.append(head, len(doc)))
+                if len(count) and count.max() > 255:  # a run longer than a byte counts
+                    head, count = np.arange(len(doc)), np.ones(len(doc), np.int64)
+                yield from cells.add(True, doc=doc[head], low=low[head], count=count)
+        yield from cells.rest()
 
     checked = dealt(both.mapInArrow(spans, "bucket int, gram binary, doc binary, low binary, count binary, bytes binary")).mapInArrow(last, _SENT)
     more = dealt(checked).mapInArrow(by_doc, _MARKS).select("doc_id", F.col("low").alias("more_low"), F.col("count").alias("more_count"))
