@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = keyed(docs, id_col, text_col)
     n = partitions(rows.sparkSession)
-    buckets = buckets or 4 * n
+    buckets = buckets or 2 * n
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, starts, ends in blocks(batches):
@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             got = shingles(buf, starts, ends, words)
             yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([h.tobytes() for h in got], pa.binary())], ["doc_id", "grp", "sides", "side", "set"])
 
-    held = rows.join(sided, "doc_id").select("doc_id", "text", "grp", "sides", "side").mapInArrow(members, "doc_id long, grp long, sides int, side int, set binary")
+    # Members grow with the input: never broadcast, however few they are in a small one.
+    held = rows.join(sided.hint("merge"), "doc_id").select("doc_id", "text", "grp", "sides", "side").mapInArrow(members, "doc_id long, grp long, sides int, side int, set binary")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("lo"), F.greatest(x, F.col("side")).alias("hi"))))
     met = held.withColumn("cell", cell).select(F.xxhash64("grp", "cell.lo", "cell.hi").alias("key"), "grp", "cell.lo", "cell.hi", "side", "doc_id", "set")
 
