@@ -223,15 +223,15 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("session_uuid"), F.when(F.col("event_id") % 3 == 0, "remove").otherwise("set").alias("op"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
 
 
-LOG = "log as (select user_id::varchar as session_uuid, case when event_id % 3 = 0 then 'remove' else 'set' end as op, event_type as value, event_id as at from events)"
+LOG = "log as (select user_id::varchar as session_uuid, case when event_id % 3 = 0 then 'remove' else 'set' end as op, event_type as value, event_id as seq from events)"
 
 
-@query("ups1_overlay_state", f"with {LOG} select session_uuid, arg_max(value, at) as value from log group by 1 having arg_max(op, at) = 'set'")
+@query("ups1_overlay_state", f"with {LOG} select session_uuid, arg_max(value, seq) as value from log group by 1 having arg_max(op, seq) = 'set'")
 def overlay_state(spark: SparkSession, d: str) -> DataFrame:
     return governance.current(log(spark, d))
 
 
-@query("ups2_user_titles", "with t as (select user_id::varchar as session_uuid, case when event_id % 5 = 0 then '  ' else event_type end as value, event_id as at from events) select session_uuid, arg_max(value, at) as value from t group by 1 having trim(arg_max(value, at)) <> ''")
+@query("ups2_user_titles", "with t as (select user_id::varchar as session_uuid, case when event_id % 5 = 0 then '  ' else event_type end as value, event_id as at from events) select session_uuid, arg_max(value, seq) as value from t group by 1 having trim(arg_max(value, seq)) <> ''")
 def user_titles(spark: SparkSession, d: str) -> DataFrame:
     edits = log(spark, d).withColumn("value", F.when(F.col("at") % 5 == 0, "  ").otherwise(F.col("value"))).drop("op")
     return governance.current(governance.title_log(edits))

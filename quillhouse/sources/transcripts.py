@@ -60,10 +60,10 @@ def split_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
 
     Bytes are seen as Latin-1 characters, one each, so nothing is lost to decoding.
     """
-    chars = F.decode(F.col(content_col), F.lit("ISO-8859-1"))
+    chars = F.decode(F.col(content_col), "ISO-8859-1")
     parts = F.regexp_extract_all(chars, F.lit("([^\n]*\n|[^\n]+$)"), F.lit(1))
     rows = files.select("*", F.posexplode(parts).alias("line_number", "_line")).drop(content_col)
-    rows = rows.withColumn("raw", F.encode("_line", F.lit("ISO-8859-1"))).drop("_line")
+    rows = rows.withColumn("raw", F.encode("_line", "ISO-8859-1")).drop("_line")
     size = F.octet_length("raw")
     before = F.sum(size).over(Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("start_offset", F.coalesce(before, F.lit(0)).cast("long"))
@@ -137,8 +137,8 @@ def reassembled(lines: DataFrame) -> DataFrame:
     Only files in which a line opens a record without closing it go through the grouped function, one file at a time
     (files are bounded: the caps limit each attempt); all others pass unchanged.
     """
-    text = F.btrim(F.decode("raw", F.lit("ISO-8859-1")), F.lit(" \t\r\n"))
-    opener = text.rlike(r"^[{\[]") & F.try_parse_json(F.decode("raw", F.lit("UTF-8"))).isNull()
+    text = F.btrim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\r\n"))
+    opener = text.rlike(r"^[{\[]") & F.try_parse_json(F.decode("raw", "UTF-8")).isNull()
     marked = lines.withColumn("_open", F.max(F.when(opener, 1).otherwise(0)).over(Window.partitionBy("path")))
     plain, broken = marked.where("_open = 0").drop("_open"), marked.where("_open = 1").drop("_open")
 
@@ -157,14 +157,14 @@ def reassembled(lines: DataFrame) -> DataFrame:
 
 def complete(lines: DataFrame) -> DataFrame:
     """Lines that have ended, and a last one without a line end if it is whole JSON; another last one waits."""
-    ended = F.decode("raw", F.lit("ISO-8859-1")).endswith("\n")
+    ended = F.decode("raw", "ISO-8859-1").endswith("\n")
     return lines.where(ended | F.try_parse_json(F.try_validate_utf8(F.col("raw").cast("string"))).isNotNull())
 
 
 def prefix_digest(files: DataFrame, checkpoint: str = "checkpoint") -> DataFrame:
     """``files`` (with ``content``) with the digest and number of line ends of the first ``checkpoint`` bytes."""
     head = F.expr(f"substring(content, 1, cast({checkpoint} as int))")
-    return files.withColumns({"prefix_sha": F.sha2(head, 256), "prefix_lines": F.length(F.regexp_replace(F.decode(head, F.lit("ISO-8859-1")), "[^\n]+", ""))})
+    return files.withColumns({"prefix_sha": F.sha2(head, 256), "prefix_lines": F.length(F.regexp_replace(F.decode(head, "ISO-8859-1"), "[^\n]+", ""))})
 
 
 def new_tails(files: DataFrame, known: DataFrame) -> DataFrame:
