@@ -231,7 +231,7 @@ def overlay_state(spark: SparkSession, d: str) -> DataFrame:
     return governance.current(log(spark, d))
 
 
-@query("ups2_user_titles", "with t as (select user_id::varchar as session_uuid, case when event_id % 5 = 0 then '  ' else event_type end as value, event_id as at from events) select session_uuid, arg_max(value, seq) as value from t group by 1 having trim(arg_max(value, seq)) <> ''")
+@query("ups2_user_titles", "with t as (select user_id::varchar as session_uuid, case when event_id % 5 = 0 then '  ' else event_type end as value, event_id as seq from events) select session_uuid, arg_max(value, seq) as value from t group by 1 having trim(arg_max(value, seq)) <> ''")
 def user_titles(spark: SparkSession, d: str) -> DataFrame:
     edits = log(spark, d).withColumn("value", F.when(F.col("at") % 5 == 0, "  ").otherwise(F.col("value"))).drop("op")
     return governance.current(governance.title_log(edits))
