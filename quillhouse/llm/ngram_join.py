@@ -23,6 +23,8 @@ from quillhouse.llm.suffix import narrow, widen
 
 #: Sets of a candidate group that are counted against each other at a time.
 SIDE = 256
+#: Nodes that share a signature and are held against each other at a time.
+CROWD = 1024
 #: Different n-grams in a fragment when overlaps are counted.
 FRAGMENT = 4096
 #: Independent orders; a set with too many empty fragments in all of them falls back on its least hashes.
@@ -134,6 +136,49 @@ def signatures(h: np.ndarray, schemes: _Schemes) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes, set where an odd number of them falls: about twice as many bits as hashes.
+
+    Two sets' sketches differ in no more bits than the sets differ in elements. Folding halves a sketch.
+    """
+    bits = 64
+    while bits < 2 * len(h) and bits < 1 << 20:
+        bits *= 2
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def near_ties(left: tuple, right: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Enough pairs ``(node, node)`` to connect all whose sketches and sizes leave it open that they reach the threshold.
+
+    Each side is ``(nodes, sizes, sketches)``. A sketch twice as wide is folded first; sizes further apart link nothing.
+    """
+    masks = []
+    widths = sorted({len(x) for x in left[2]} & {len(x) for x in right[2]} | {len(x) for x in left[2]} | {len(x) for x in right[2]})
+
+    def fold(raw: list[bytes], width: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
+        return x if x.shape[1] * 8 == width else x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+
+    for w in widths:
+        for v in (w, 2 * w):
+            for wide_left in (False, True) if v != w else (False,):
+                i = np.array([k for k, x in enumerate(left[2]) if len(x) == (v if wide_left else w)], np.int64)
+                j = np.array([k for k, x in enumerate(right[2]) if len(x) == (w if wide_left else v)], np.int64)
+                if not len(i) or not len(j):
+                    continue
+                x, y = fold([left[2][k] for k in i.tolist()], w), fold([right[2][k] for k in j.tolist()], w)
+                step = max(1, (1 << 20) // (len(j) * x.shape[1]))
+                for lo in range(0, len(i), step):
+                    apart = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                    total = left[1][i[lo : lo + step], None] + right[1][None, j]
+                    p, q = np.nonzero(apart * (den + num) <= total * (den - num))
+                    masks.append((i[lo : lo + step][p], j[q]))
+    if not masks:
+        return left[0][:0], left[0][:0]
+    return _forest(left[0], right[0], *(np.concatenate(x) for x in zip(*masks, strict=True)))
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which pairs reach the threshold: partial overlaps of each fragment of the global order, added up."""
     a_size, b_size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
@@ -155,12 +200,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     return (den * both >= num * union) & (both > 0)
 
 
-def _ties(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Enough of the links to connect what all of them connect: each node with the least node of its part."""
+def _forest(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Enough of the links ``left[i], right[j]`` to connect what all of them connect: each node with the least node of its part."""
     ids, inverse = np.unique(np.concatenate((left, right)), return_inverse=True)
-    a, b = inverse[: len(left)], inverse[len(left) :]
-    i, j = np.nonzero(mask)
-    u, v = a[i], b[j]
+    u, v = inverse[: len(left)][i], inverse[len(left) :][j]
     root = np.arange(len(ids))
     while True:
         low = root.copy()
@@ -183,9 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left out; rows that repeat an id count as one document that has the links of each, and the largest set's size. Other
     columns are dropped.
 
-    Equal sets become one representative first, so copies are never compared. Candidates that share a signature are
-    tied to the least of them, in rows no more than the signatures, and each connected group of candidates is compared
-    inside, ``SIDE`` by ``SIDE``, tasks handing on only enough links to keep its parts connected.
+    Equal sets become one representative first, so copies are never compared. Candidates that share a signature are held
+    against each other by their sketches, whose distance is never more than that of the sets, so what it rules out is no
+    link; the rest falls into small connected groups, whose sets are compared, ``SIDE`` by ``SIDE``. Tasks hand on only
+    enough pairs to keep connected what they connect.
     """
     rows = keyed(docs, id_col, text_col)
     n = partitions(rows.sparkSession)
@@ -197,9 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             size = np.array([len(h) for h in got])
             node = [_node(h) for h in got]
             more = np.array([mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for h in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(more, pa.int64())], ["doc_id", "n_shingles", "a", "b"])
+            marks = [sketch(h) for h in got]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "a", "b", "sketch"])
 
-    sized = table(rows.mapInArrow(sets, "doc_id long, n_shingles long, a long, b long"), "sets")
+    sketched = table(rows.mapInArrow(sets, "doc_id long, n_shingles long, a long, b long, sketch binary"), "sets")
+    sized = sketched.drop("sketch")
     least = sized.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,24 +264,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if size:
             yield _signed(held, buckets)
 
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes that share a signature with another one, in sides of at most ``2 * CROWD``."""
+        for bucket, parts in grouped(batches):
+            got = [r for p in parts for r in p.to_pylist()]
+            sig = np.concatenate([widen(r["sig"], r["n"]) for r in got])
+            node = np.concatenate([np.frombuffer(r["node"], "<i8") for r in got])
+            pair = np.unique(np.rec.fromarrays((sig, node)))
+            sig, node = pair.f0, pair.f1
+            new = np.concatenate(([True], sig[1:] != sig[:-1]))
+            at = np.cumsum(new) - 1
+            members = np.bincount(at)[at]
+            keep = members > 1
+            sides = -(-members[keep] // CROWD)
+            side = (mix(node[keep].view(np.uint64)) % sides.astype(np.uint64)).astype(np.int32)
+            key = mix(sig[keep] + (np.uint64(bucket) << np.uint64(48))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[keep]), pa.array(sides.astype(np.int32)), pa.array(side)], ["sig", "a", "sides", "side"])
+
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches):
-            s, d = [], []
-            for r in (r for p in parts for r in p.to_pylist()):
-                s.append(widen(r["sig"], r["n"]))
-                d.append(np.frombuffer(r["node"], "<i8"))
-            sig, doc = np.concatenate(s), np.concatenate(d)
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            new = np.concatenate(([True], sig[1:] != sig[:-1]))
-            head = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            far = head != doc
-            pairs = np.unique(np.stack((doc[far], head[far])), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            lo, hi, side, node, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(1, 6))
+            marks = [x for p in parts for x in p.column(6).to_pylist()]
+            for cell in {(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)}:
+                of = [np.flatnonzero((lo == cell[0]) & (hi == cell[1]) & (side == at)) for at in cell]
+                a, b = near_ties(*[(node[i], size[i], [marks[k] for k in i.tolist()]) for i in of], num, den)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # A set signs as a node that all its copies share.
     signed = rows.select("doc_id", "text").mapInArrow(sign, "bucket int, n int, sig binary, node binary")
-    ties = signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "a long, b long")
+    shared = signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "sig long, a long, sides int, side int")
+    known_by = sketched.where("n_shingles > 0").groupBy("a").agg(F.min(F.struct("n_shingles", "sketch")).alias("s")).select("a", "s.n_shingles", "s.sketch")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("lo"), F.greatest(x, F.col("side")).alias("hi"))))
+    close = shared.hint("merge").join(known_by.hint("merge"), "a").withColumn("cell", cell).select(F.xxhash64("sig", "cell.lo", "cell.hi").alias("key"), "cell.lo", "cell.hi", "side", "a", "n_shingles", "sketch")
+    ties = close.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(tie, "a long, b long")
     groups = components(ties).select(F.col("node").alias("a"), F.col("component").alias("grp"))
     members_ = table(least.join(groups, "a").select(F.col("rep").alias("doc_id"), "n_shingles", "grp"), "groups")
 
@@ -269,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 mask = linked([h for _, h in sides[0]], [h for _, h in sides[1]], num, den)
                 if lo == hi:
                     np.fill_diagonal(mask, False)
-                a, b = _ties(mask, *ids)
+                a, b = _forest(*ids, *np.nonzero(mask))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
