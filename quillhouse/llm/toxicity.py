@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillhouse.llm.common import blocks
+from quillhouse.llm.common import blocks, table
 
 _WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)*")
 _QUOTE = re.compile("[\"“”«»„‟‘]")
@@ -177,101 +177,119 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25
     return w
 
 
-def _lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, precision: float, least: int) -> list[str]:
+def _lexicon(where: dict[str, set[int]], n_toxic: int, clean: dict[str, int], n_clean: int, precision: float, least: int) -> list[str]:
     """Terms of high precision that together cover the toxic rows, the widest first; a term must add ``least`` rows.
 
-    Words that only ride along in copies of one text add nothing once the text's own term is in.
+    ``where`` has the toxic rows of each term. Words that only ride along in copies of one text add nothing once the
+    text's own term is in.
     """
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, terms in enumerate(toxic):
-        for t in terms:
-            where[t].add(i)
-    odds = n_clean / max(1, len(toxic))
-    fit = {t: rows for t, rows in where.items() if len(rows) >= least and len(rows) * odds / (len(rows) * odds + clean[t] + 0.5) >= precision}
-    out, left = [], set(range(len(toxic)))
+    fit = dict(where)
+    out, left = [], {i for rows in where.values() for i in rows}
     while fit:
         gains = {t: len(rows & left) for t, rows in fit.items()}
         fit = {t: rows for t, rows in fit.items() if gains[t] >= least}
         if not fit:
             break
         best = max(fit, key=lambda t: (gains[t], not t.endswith("*"), len(t), t))
-        # A stem's own shorter or longer forms of equal reach give way to the longest.
-        alike = [t for t in fit if gains[t] >= 0.98 * gains[best] and (t.rstrip("*").startswith(best.rstrip("*")))]
-        best = max(alike, key=lambda t: (not t.endswith("*"), len(t), t)) if alike else best
+        # Of a stem and longer ones of nearly equal reach, the longest; a whole word before a stem.
+        alike = [t for t in fit if gains[t] >= 0.98 * gains[best] and t.rstrip("*").startswith(best.rstrip("*"))]
+        best = max(alike, key=lambda t: (not t.endswith("*"), len(t), t))
         out.append(best)
         left -= fit.pop(best)
-    # What was covered by another term first, but is as precise and as frequent as the chosen ones, belongs in the lexicon too.
-    floor = min((len(where[t]) for t in out), default=0)
-    wide = [t for t, rows in where.items() if not t.endswith("*") and len(rows) >= max(floor, 0.02 * len(toxic)) and clean[t] == 0]
-    return sorted(set(out) | set(wide))
+    # What other terms covered first, but no clean row holds and many toxic ones do, belongs in the lexicon too; of nested stems, the widest.
+    for t in sorted(where, key=lambda t: (t.endswith("*"), -len(where[t]), -len(t), t)):
+        nested = t.endswith("*") and any(o.startswith(t[:-1]) or t[:-1].startswith(o.rstrip("*")) for o in out)
+        if len(where[t]) >= max(10, 0.02 * n_toxic) and not clean.get(t) and not nested and t not in out:
+            out.append(t)
+    return sorted(out)
+
 
+def _precise(n_toxic: int, toxic_rows: int, n_clean: int, clean_rows: int) -> float:
+    """The share of toxic rows among those with a term, were both labels as frequent."""
+    odds = n_clean / max(1, n_toxic)
+    return toxic_rows * odds / (toxic_rows * odds + clean_rows + 0.5)
 
-def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: float = 0.97, least: int = 4) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: float = 0.97) -> Model:
     """Learns a model from labelled rows whose ``crc32(doc_id as text) mod held_out`` is not 0.
 
     Of them it takes at most ``FIT_TOXIC`` rows with label 1 and ``FIT_CLEAN`` with label 0, those with the least hash of
-    their id; only these rows' words reach the driver. Labels, language, source and id are no inputs of a score.
+    their id. Terms are counted on the executors; the driver gets those that enough sampled rows share, and their
+    numbers for each row: both are bounded by the sample. Labels, language, source and id are no inputs of a score.
     """
     train = labels.where("doc_id is not null and toxic is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out)) != 0)
-    train = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = None
     for label, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         part = train.where(F.col("toxic") == label).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = table(rows.repartition("doc_id"), "sample").select("doc_id", "text", "toxic")
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    least = max(4, n_toxic // 200)
+
+    def counted(known: frozenset | None):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: Counter = Counter()
+            for part, *_ in blocks(batches):
+                for t in part.column(1).to_pylist():
+                    terms = _terms(set(tokens(t)))
+                    got.update(terms if known is None else terms & known)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["term", "n"])
+
+        return run
+
+    def totals(label: int, known: frozenset | None, at_least: int) -> dict[str, int]:
+        sums = rows.where(F.col("toxic") == label).mapInArrow(counted(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return {r.term: r.n for r in sums.where(F.col("n") >= at_least).toLocalIterator()}
+
+    toxic = totals(1, None, least)
+    clean = totals(0, frozenset(toxic), 1)
+    fits = sorted(t for t, n in toxic.items() if _precise(n_toxic, n, n_clean, clean.get(t, 0)) >= precision)
+    number = {t: i for i, t in enumerate(fits)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *_ in blocks(batches):
-            toxic = part.column(2).to_pylist()
-            words = [sorted(set(tokens(t))) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
-
-    # The words of label 1 rows, and how many label 0 rows hold each of their terms: both bounded by the sample.
-    words = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sets, "toxic int, words array<string>")
-    toxic = [set(r.words) for r in words.where("toxic = 1").select("words").toLocalIterator()]
-    known = Counter(t for w in toxic for t in _terms(w))
-    known = {t for t, n in known.items() if n >= least}
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: Counter = Counter()
-        n = 0
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                n += 1
-                got.update(_terms(set(w)) & known)
-        yield pa.RecordBatch.from_arrays([pa.array([*got, ""], pa.string()), pa.array([*got.values(), n], pa.int64())], ["term", "n"])
-
-    clean = Counter({r.term: r.n for r in words.where("toxic = 0").select("words").mapInArrow(counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()})
-    n_clean = clean.pop("", 0)
-    terms = _lexicon([_terms(w) & known for w in toxic], clean, n_clean, precision, least)
+            got = [sorted(number[t] for t in _terms(set(tokens(x))) if t in number) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "terms"])
+
+    where: dict[str, set[int]] = defaultdict(set)
+    for i, r in enumerate(rows.where("toxic = 1").mapInArrow(held, "doc_id long, terms array<int>").toLocalIterator()):
+        for k in r.terms:
+            where[fits[k]].add(i)
+    terms = _lexicon(where, n_toxic, clean, n_clean, precision, least)
     bare = Model(terms, {}, 0.0)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = bare.automaton
-        for batch in batches:
-            for label, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forms = [x for x in w if (m := auto.match(x)) and m[1]]
-                if forms:
-                    yield pa.RecordBatch.from_arrays([pa.array(forms), pa.array([label] * len(forms), pa.int32())], ["form", "toxic"])
+        match = bare.automaton.match
+        for part, *_ in blocks(batches):
+            forms, labels_ = [], []
+            for label, x in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                some = [w for w in set(tokens(x)) if (m := match(w)) and m[1]]
+                forms += some
+                labels_ += [label] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(labels_, pa.int32())], ["form", "toxic"])
 
-    found = words.mapInArrow(seen, "form string, toxic int").groupBy("form").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
-    odds = n_clean / max(1, len(toxic))
+    found = rows.mapInArrow(seen, "form string, toxic int").groupBy("form").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
+    odds = n_clean / max(1, n_toxic)
 
     def weight(t: float, c: float) -> float:
         return math.log((t * odds + 0.5) / (c + 0.5))
 
     few = [(r.t, r.n - r.t) for r in found if r.n <= 3]
-    rare = weight(sum(t for t, _ in few) / max(1, len(few)), sum(c for _, c in few) / max(1, len(few))) if few else 0.5
+    rare = weight(sum(t for t, _ in few) / len(few), sum(c for _, c in few) / len(few)) if few else 0.5
     model = Model(terms, {r.form: weight(r.t, r.n - r.t) for r in found}, max(-1.0, min(2.0, rare)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *_ in blocks(batches):
             x = [model.features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    data = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(describe, "toxic int, x array<double>").collect()
-    if data:
-        model.weights = logistic(np.array([r.x for r in data]), np.array([float(r.toxic) for r in data]))
+    data = rows.mapInArrow(describe, "toxic int, x array<double>").toPandas()
+    if len(data):
+        model.weights = logistic(np.array(data["x"].tolist()), data["toxic"].to_numpy(float))
     return model
 
 
