@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillhouse.llm.common import blocks, table
@@ -25,6 +26,8 @@ REPORTING = frozenset("said says say wrote writes called calls word words term q
 ADDRESS = frozenset("you your you're u ur du dich dein ihr tu toi vous te tes tú eres usted".split())
 #: Labelled rows the classifier is fitted on, at most: with label 1, with label 0, those of the least hash.
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
+#: Terms that a task counts before it sends them on.
+MOST_TERMS = 400_000
 
 
 def edits(term: str) -> int:
@@ -177,45 +180,61 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25
     return w
 
 
-def _lexicon(where: dict[str, set[int]], n_toxic: int, clean: dict[str, int], n_clean: int, precision: float, least: int) -> list[str]:
+def _lexicon(terms: list[str], clean: list[int], row: np.ndarray, term: np.ndarray, n_toxic: int, least: int) -> list[str]:
     """Terms of high precision that together cover the toxic rows, the widest first; a term must add ``least`` rows.
 
-    ``where`` has the toxic rows of each term. Words that only ride along in copies of one text add nothing once the
-    text's own term is in.
+    ``row`` and ``term`` pair toxic rows, in order, with places in ``terms``; ``clean`` has the clean rows of each term.
+    Words that only ride along in copies of one text add nothing once the text's own term is in.
     """
-    fit = dict(where)
-    out, left = [], {i for rows in where.values() for i in rows}
-    while fit:
-        gains = {t: len(rows & left) for t, rows in fit.items()}
-        fit = {t: rows for t, rows in fit.items() if gains[t] >= least}
-        if not fit:
-            break
-        best = max(fit, key=lambda t: (gains[t], not t.endswith("*"), len(t), t))
+    if not terms:
+        return []
+    n = len(terms)
+    size = np.bincount(term, minlength=n)
+    gain, by_term = size.copy(), np.argsort(term, kind="stable")
+    ends = np.cumsum(size)
+    starts = np.searchsorted(row, np.arange(n_toxic + 1))
+    # Place in the order in which of two terms the later wins: a whole word before a stem, the longer, the last.
+    rank = np.empty(n, np.int64)
+    rank[sorted(range(n), key=lambda k: (not terms[k].endswith("*"), len(terms[k]), terms[k]))] = np.arange(n)
+    named = sorted((t.rstrip("*"), k) for k, t in enumerate(terms))
+    names, places = [x for x, _ in named], np.array([k for _, k in named])
+    left, out = np.ones(n_toxic, bool), []
+    while (top := int(gain.max())) >= least:
+        some = np.flatnonzero(gain == top)
+        name = terms[some[rank[some].argmax()]].rstrip("*")
         # Of a stem and longer ones of nearly equal reach, the longest; a whole word before a stem.
-        alike = [t for t in fit if gains[t] >= 0.98 * gains[best] and t.rstrip("*").startswith(best.rstrip("*"))]
-        best = max(alike, key=lambda t: (not t.endswith("*"), len(t), t))
-        out.append(best)
-        left -= fit.pop(best)
+        alike = places[bisect_left(names, name) : bisect_left(names, name + chr(0x10FFFF))]
+        alike = alike[(gain[alike] >= 0.98 * top) & (gain[alike] >= least)]
+        best = alike[rank[alike].argmax()]
+        out.append(terms[best])
+        new = row[by_term[ends[best] - size[best] : ends[best]]]
+        new = new[left[new]]
+        left[new] = False
+        gain -= np.bincount(np.concatenate([term[starts[r] : starts[r + 1]] for r in new]), minlength=n)
     # What other terms covered first, but no clean row holds and many toxic ones do, belongs in the lexicon too; of nested stems, the widest.
-    for t in sorted(where, key=lambda t: (t.endswith("*"), -len(where[t]), -len(t), t)):
+    wide = [k for k in np.flatnonzero(size >= max(10, 0.02 * n_toxic)).tolist() if not clean[k]]
+    for k in sorted(wide, key=lambda k: (terms[k].endswith("*"), -size[k], -len(terms[k]), terms[k])):
+        t = terms[k]
         nested = t.endswith("*") and any(o.startswith(t[:-1]) or t[:-1].startswith(o.rstrip("*")) for o in out)
-        if len(where[t]) >= max(10, 0.02 * n_toxic) and not clean.get(t) and not nested and t not in out:
+        if not nested and t not in out:
             out.append(t)
     return sorted(out)
 
 
-def _precise(n_toxic: int, toxic_rows: int, n_clean: int, clean_rows: int) -> float:
+def _precise(n_toxic: int, toxic_rows: Column, n_clean: int, clean_rows: Column) -> Column:
     """The share of toxic rows among those with a term, were both labels as frequent."""
     odds = n_clean / max(1, n_toxic)
     return toxic_rows * odds / (toxic_rows * odds + clean_rows + 0.5)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: float = 0.97) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: float = 0.97, least: int = 4) -> Model:
     """Learns a model from labelled rows whose ``crc32(doc_id as text) mod held_out`` is not 0.
 
     Of them it takes at most ``FIT_TOXIC`` rows with label 1 and ``FIT_CLEAN`` with label 0, those with the least hash of
-    their id. Terms are counted on the executors; the driver gets those that enough sampled rows share, and their
-    numbers for each row: both are bounded by the sample. Labels, language, source and id are no inputs of a score.
+    their id. Terms are counted and held against ``precision`` on the executors; the driver gets the precise ones that
+    ``least`` toxic rows hold, however large the sample, and their numbers for each row. Against twice as many clean rows
+    a term that none of them holds is precise from 9 toxic rows on. Labels, language, source and id are no inputs of a
+    score.
     """
     train = labels.where("doc_id is not null and toxic is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out)) != 0)
     train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -227,39 +246,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: flo
     rows = table(rows.repartition("doc_id"), "sample").select("doc_id", "text", "toxic")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(4, n_toxic // 200)
-
-    def counted(known: frozenset | None):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got: Counter = Counter()
-            for part, *_ in blocks(batches):
-                for t in part.column(1).to_pylist():
-                    terms = _terms(set(tokens(t)))
-                    got.update(terms if known is None else terms & known)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["term", "n"])
-
-        return run
-
-    def totals(label: int, known: frozenset | None, at_least: int) -> dict[str, int]:
-        sums = rows.where(F.col("toxic") == label).mapInArrow(counted(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        return {r.term: r.n for r in sums.where(F.col("n") >= at_least).toLocalIterator()}
-
-    toxic = totals(1, None, least)
-    clean = totals(0, frozenset(toxic), 1)
-    fits = sorted(t for t, n in toxic.items() if _precise(n_toxic, n, n_clean, clean.get(t, 0)) >= precision)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def send() -> Iterator[pa.RecordBatch]:
+            names = list(got[0] | got[1])
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([got[k][t] for t in names], pa.int64()) for k in (1, 0)]], ["term", "toxic", "clean"])
+            for c in got:
+                c.clear()
+
+        for part, *_ in blocks(batches):
+            for label, x in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                got[label].update(_terms(set(tokens(x))))
+            if len(got[0]) + len(got[1]) > MOST_TERMS:
+                yield from send()
+        yield from send()
+
+    sums = rows.where("toxic in (0, 1)").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = sums.where((F.col("toxic") >= least) & (_precise(n_toxic, F.col("toxic"), n_clean, F.col("clean")) >= precision)).select("term", "clean")
+    precise = sorted((r.term, r.clean) for r in sums.toLocalIterator())
+    fits = [t for t, _ in precise]
     number = {t: i for i, t in enumerate(fits)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *_ in blocks(batches):
-            got = [sorted(number[t] for t in _terms(set(tokens(x))) if t in number) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "terms"])
-
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, r in enumerate(rows.where("toxic = 1").mapInArrow(held, "doc_id long, terms array<int>").toLocalIterator()):
-        for k in r.terms:
-            where[fits[k]].add(i)
-    terms = _lexicon(where, n_toxic, clean, n_clean, precision, least)
+            got = [np.array(sorted(number[t] for t in _terms(set(tokens(x))) if t in number), np.int32).tobytes() for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["doc_id", "terms"])
+
+    each = [np.frombuffer(bytes(r.terms), np.int32) for r in rows.where("toxic = 1").mapInArrow(held, "doc_id long, terms binary").select("terms").toLocalIterator()]
+    at = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+    terms = _lexicon(fits, [c for _, c in precise], at, np.concatenate(each) if each else at, n_toxic, least)
     bare = Model(terms, {}, 0.0)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
