@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhouse.operators import governance, records
@@ -11,6 +11,8 @@ from quillhouse.plans.record_queries import oracle, parsed
 from quillhouse.plans.registry import query
 from quillhouse.sources import export, transcripts
 
+#: Numbers of events or orders that one made-up file spans.
+FILE_ROWS = 1 << 16
 PATHS = """
 select '/root/' || project_slug || '/00000000-0000-0000-0000-' || lpad(cast(n as string), 12, '0') || case when conv_id % 5 = 4 then '/subagents/agent-' || lpad(cast(conv_id as string), 8, '0') || '.jsonl'
   when conv_id % 7 = 3 then '.jsonl.bak-17' when conv_id % 11 = 6 then '.txt' else '.jsonl' end as path, conv_id
@@ -46,23 +48,30 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.split_lines(document_files(spark, d)).select("path", F.col("line_number").cast("long").alias("line_number"), "start_offset", "end_offset")
 
 
+def batch_of(owner: str, number: str) -> Column:
+    """The path of a file that holds ``FILE_ROWS`` numbers of an owner at most, so that a busy owner has many files and not a long one."""
+    return F.concat_ws("/", F.col(owner), F.floor(F.col(number) / FILE_ROWS))
+
+
 @query("src6_reassembled_records", "select user_id as path, count(*) as n_records, sum(strlen(props) + 5)::bigint as n_bytes from events group by 1")
 def reassembled(spark: SparkSession, d: str) -> DataFrame:
-    e = feed.read(spark, d, "events").select(F.col("user_id").alias("path"), "event_id", F.concat(F.lit('{\n "p":\n'), F.lit(""), F.lit("")).alias("head"), "props")
+    e = feed.read(spark, d, "events").select(F.col("user_id").alias("user"), batch_of("user_id", "event_id").alias("path"), "event_id", F.concat(F.lit('{\n "p":\n'), F.lit(""), F.lit("")).alias("head"), "props")
     body = F.concat(F.lit("[\n"), F.col("props"), F.lit("\n]\n"))
-    files = e.withColumn("body", body).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "body"))), lambda x: x["body"]), "").cast("binary").alias("content"))
+    files = e.withColumn("body", body).groupBy("user", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "body"))), lambda x: x["body"]), "").cast("binary").alias("content"))
     out = transcripts.reassembled(transcripts.split_lines(files))
-    return out.groupBy("path").agg(F.count("*").alias("n_records"), F.sum(F.octet_length("raw")).cast("long").alias("n_bytes"))
+    return out.groupBy(F.col("user").alias("path")).agg(F.count("*").alias("n_records"), F.sum(F.octet_length("raw")).cast("long").alias("n_bytes"))
 
 
 @query("src7_torn_tails", "select o_custkey as path, count(*) - max(case when o_custkey % 2 = 0 then 1 else 0 end) as n_lines from orders group by 1 having count(*) - max(case when o_custkey % 2 = 0 then 1 else 0 end) > 0")
 def torn(spark: SparkSession, d: str) -> DataFrame:
-    o = feed.read(spark, d, "orders").select(F.col("o_custkey").alias("path"), "o_orderkey")
+    o = feed.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), batch_of("o_custkey", "o_orderkey").alias("path"), "o_orderkey")
     line = F.to_json(F.struct(F.col("o_orderkey").alias("k")))
-    files = o.withColumn("line", line).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    # Every second file breaks off inside its last record, the others only lack the line end.
-    files = files.select("path", F.when(F.col("path") % 2 == 0, F.expr("substring(body, 1, length(body) - 1)")).otherwise(F.col("body")).cast("binary").alias("content"))
-    return transcripts.complete(transcripts.split_lines(files)).groupBy("path").agg(F.count("*").alias("n_lines"))
+    files = o.withColumn("line", line).groupBy("customer", "path").agg(F.max("o_orderkey").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    # The last file of every second customer breaks off inside its last record, the others only lack the line end.
+    ends = files.groupBy("customer").agg(F.max("last").alias("end"))
+    torn_off = (F.col("customer") % 2 == 0) & (F.col("last") == F.col("end"))
+    files = files.join(ends, "customer").select("customer", "path", F.when(torn_off, F.expr("substring(body, 1, length(body) - 1)")).otherwise(F.col("body")).cast("binary").alias("content"))
+    return transcripts.complete(transcripts.split_lines(files)).groupBy(F.col("customer").alias("path")).agg(F.count("*").alias("n_lines"))
 
 
 @query("src8_str2_incremental_tails", """
@@ -155,7 +164,7 @@ def raw_by_uuid(spark: SparkSession, d: str) -> DataFrame:
 @query("snk1_export_bytes", "select source as transcript, sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha, sum(strlen(coalesce(text, '')) + 1)::bigint as n_bytes from documents group by 1")
 def export_bytes(spark: SparkSession, d: str) -> DataFrame:
     rows = feed.read(spark, d, "documents").select(F.col("source").alias("transcript"), F.col("doc_id").alias("line_number"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("raw"))
-    return export.as_bytes(rows).select("transcript", F.sha2("content", 256).alias("sha"), F.col("n_bytes").cast("long").alias("n_bytes"))
+    return export.digests(export.as_chunks(rows))
 
 
 @query("snk4_missing_files", "with f as (select distinct source from documents) select source as transcript from f where source not in (select source from documents where doc_id % 40 = 1)")

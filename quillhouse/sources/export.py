@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a chunk, and line numbers whose lines are summed in one window.
+CHUNK_BYTES, RUN_LINES = 4 << 20, 4096
+
 
 def choose_file(files: DataFrame) -> DataFrame:
     """The file of each transcript to export: the primary one, else that with most records, the newest generation, the last key."""
@@ -22,10 +25,54 @@ def record_counts(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def as_bytes(lines: DataFrame, key: str = "transcript") -> DataFrame:
-    """Each transcript's bytes: its lines put together in order, nothing added."""
+    """Each transcript's bytes in one cell: its lines put together in order, nothing added. ``as_chunks`` has no bound of 2 GB."""
     return lines.groupBy(key).agg(F.expr("listagg(raw, X'') within group (order by line_number)").alias("content"), F.sum(F.octet_length("raw")).alias("n_bytes"))
 
 
+def as_chunks(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTES) -> DataFrame:
+    """Each transcript's bytes as ordered chunks ``(key, chunk, start, content, n_bytes, sha)``; put together they are ``as_bytes``.
+
+    A line goes whole to the chunk its first byte falls in, so a chunk has ``limit`` bytes and the rest of one line at most.
+    Offsets are sums within runs of line numbers plus the sums of the runs before, so no task gets a whole transcript.
+    ``sha`` is the digest of the chunk. Lines of equal number stand in the order of their bytes, null numbers first.
+    """
+    k, run = F.col(key), F.floor(F.col("line_number") / RUN_LINES)
+    rows = lines.select(k, "line_number", "raw", run.alias("_run"), F.octet_length("raw").cast("long").alias("_size"))
+    runs = rows.groupBy(key, "_run").agg(F.sum("_size").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(k.alias("_k"), F.col("_run").alias("_r"), F.coalesce(before, F.lit(0)).alias("_base"))
+    within = F.sum("_size").over(Window.partitionBy(key, "_run").orderBy("line_number", "raw").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(runs, k.eqNullSafe(F.col("_k")) & F.col("_run").eqNullSafe(F.col("_r")))
+    rows = rows.withColumn("start", F.col("_base") + F.col("_within")).withColumn("chunk", F.floor(F.col("start") / limit))
+    out = rows.groupBy(key, "chunk").agg(F.min("start").alias("start"), F.expr("listagg(raw, X'') within group (order by start)").alias("content"), F.sum("_size").alias("n_bytes"))
+    return out.withColumn("sha", F.sha2("content", 256))
+
+
+def digests(chunks: DataFrame, key: str = "transcript") -> DataFrame:
+    """``(key, sha, n_bytes)`` of whole transcripts from their chunks.
+
+    SHA-256 runs from the first byte to the last, so one task reads the chunks of a transcript, in order; it holds a few at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        name, state, size, begun = None, hashlib.sha256(), 0, False
+        for batch in batches:
+            for k, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if begun and k != name:
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.hexdigest()]), pa.array([size], pa.int64())], [key, "sha", "n_bytes"])
+                    state, size = hashlib.sha256(), 0
+                name, begun = k, True
+                state.update(content.as_buffer())
+                size += len(content.as_buffer())
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.hexdigest()]), pa.array([size], pa.int64())], [key, "sha", "n_bytes"])
+
+    ordered = chunks.repartition(key).sortWithinPartitions(key, "chunk").select(F.col(key).cast("string").alias(key), "content")
+    return ordered.mapInArrow(run, f"{key} string, sha string, n_bytes long")
+
+
 def write_files(lines: DataFrame, folder: str, key: str = "transcript") -> DataFrame:
     """Writes each transcript to a file below ``folder`` that all tasks see; existing files stay. Returns ``(key, path, n_bytes)``.
 
