@@ -20,8 +20,6 @@ THIN = {
 }
 DECLARED = {k: ENVELOPE + v.split() for k, v in OWN.items()} | {k: v.split() for k, v in THIN.items()}
 MESSAGE = {"user": "role content".split(), "assistant": "role type id model content usage stop_reason stop_sequence stop_details diagnostics container context_management".split()}
-#: Carried by every thin record of the test feed as well as by conversational ones.
-_ANY = [*ENVELOPE, "message"]
 
 
 def field(path: str, kind: str = "string") -> Column:
@@ -64,10 +62,9 @@ def parse(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     keys = F.when(is_object, F.json_object_keys("text"))
     declared = F.create_map(*[x for k, names in DECLARED.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
     allowed = F.element_at(declared, F.col("rtype"))
-    thin = F.col("rtype").isin(*THIN)
     message_keys = F.when(F.col("rtype").isin("user", "assistant"), F.json_object_keys(F.get_json_object("text", "$.message")))
     message_map = F.create_map(*[x for k, names in MESSAGE.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
-    top = F.array_except(keys, F.when(thin, F.array_union(allowed, F.array(*[F.lit(x) for x in _ANY]))).otherwise(allowed))
+    top = F.array_except(keys, allowed)
     inner = F.transform(F.array_except(message_keys, F.element_at(message_map, F.col("rtype"))), lambda k: F.concat(F.lit("message."), k))
     empty = F.array().cast("array<string>")
     out = once(out, {"unknown_fields": F.concat(F.coalesce(top, empty), F.coalesce(inner, empty)), "bad_paths": bad_paths()})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillhouse.operators.records import once
+from quillhouse.operators.records import THIN, once
 
 TURNS = """
 select conv_id, turn, role, s, text, session_uuid, project_slug, kind, agent_hex, session_uuid || '/' || kind || '/' || agent_hex as transcript,
@@ -67,6 +67,12 @@ def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns as raw JSON lines: ``transcript, session_uuid, project_slug, kind, agent_hex, line_number, raw``."""
     c = F.col
+    thin = c("rtype").isin(*THIN)
+
+    def full(value: F.Column) -> F.Column:
+        """What records with an envelope carry and thin ones do not."""
+        return F.when(~thin, value)
+
     t = once(turns(spark, sf_dir), {
         "text_json": F.to_json(F.array(F.struct(F.lit("text").alias("type"), c("body").alias("text")))),
         "result_json": F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), c("result_of").alias("tool_use_id"), F.array(F.struct(F.lit("text").alias("type"), c("text").alias("text"))).alias("content")))),
@@ -74,8 +80,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "plain_json": F.to_json(F.array(c("body"))),
         "usage_json": F.to_json(F.struct(c("input_tokens").alias("input_tokens"), c("output_tokens").alias("output_tokens"), F.lit(0).alias("cache_creation_input_tokens"), F.lit(1).alias("cache_read_input_tokens"))),
         "head": F.to_json(F.struct(
-            c("rtype").alias("type"), c("uuid"), c("parent_uuid").alias("parentUuid"), c("session_uuid").alias("sessionId"),
-            F.when(c("ts").isNotNull(), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"), c("cwd"), c("version"), (c("kind") == "subagent").alias("isSidechain"),
+            c("rtype").alias("type"), full(c("uuid")).alias("uuid"), full(c("parent_uuid")).alias("parentUuid"), c("session_uuid").alias("sessionId"),
+            F.when(c("ts").isNotNull() & ~thin, F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"), full(c("cwd")).alias("cwd"), full(c("version")).alias("version"), full(c("kind") == "subagent").alias("isSidechain"),
             c("is_meta").alias("isMeta"), c("is_compact").alias("isCompactSummary"), c("prompt_source").alias("promptSource"), F.when(c("origin").isNotNull(), F.struct(c("origin").alias("kind"))).alias("origin"),
             c("source_tool").alias("sourceToolUseID"), F.when(c("is_drifted"), F.lit(1)).alias("zzz"),
             F.when(c("rtype") == "ai-title", c("text")).alias("aiTitle"), F.when(c("rtype") == "custom-title", c("text")).alias("customTitle"),
