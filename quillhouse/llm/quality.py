@@ -17,8 +17,11 @@ SYMBOLS = "#*$%&|<>"
 
 #: Words that mark a line as navigation or page furniture when they stand for most of a short line.
 NAVIGATION = ("home", "menu", "login", "logout", "sign in", "sign up", "register", "next", "previous", "back to top", "share", "tweet", "subscribe", "contact us", "about us", "sitemap", "search", "skip to content")
-#: Phrases that mark a line as boilerplate wherever they stand.
+#: Phrases that mark a line as boilerplate when they make up enough of it.
 BOILERPLATE = ("all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "powered by", "click here", "read more", "page not found", "404 not found")
+_PHRASES = r"(?<![\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])"
+#: Symbols at least in a line that fails for them, unless they are half of it.
+LEAST_SYMBOLS = 3
 
 
 def words(text: Column) -> Column:
@@ -52,19 +55,23 @@ def _repeated(text: Column) -> Column:
     return _let(words(text), windows)
 
 
-def line_fails(line: Column, max_symbols: float, max_upper: float) -> Column:
-    """Whether a line with words is to go: mostly symbols or pipes, shouting, navigation, boilerplate or page code."""
+def line_fails(line: Column, max_symbols: float, max_upper: float, max_boilerplate: float) -> Column:
+    """Whether a line with words is to go: many symbols or pipes, shouting, navigation, boilerplate or page code.
+
+    A boilerplate phrase, as whole words, condemns only a line in which such phrases hold more than ``max_boilerplate`` of
+    the characters in words. Symbols need to be ``LEAST_SYMBOLS`` or half of the line, besides their share.
+    """
     low, chars = F.lower(line), F.greatest(_visible(line), F.lit(1))
     symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS + "{}[]=_~^\\!", ""))
     letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     upper = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     bare = F.btrim(low, F.lit(_EDGE + ".,:;!?|>-"))
     return (
-        (symbols > F.lit(max_symbols) * chars)
+        ((symbols > F.lit(max_symbols) * chars) & ((symbols >= LEAST_SYMBOLS) | (symbols * 2 >= chars)))
         | ((letters >= 20) & (upper > F.lit(max_upper) * letters))
         | (letters * 3 < chars) & (chars >= 20)
         | bare.isin(*NAVIGATION)
-        | F.greatest(*[F.contains(low, F.lit(p)) for p in BOILERPLATE])
+        | F.when(F.greatest(*[F.contains(low, F.lit(p)) for p in BOILERPLATE]), chars - _visible(F.regexp_replace(low, _PHRASES, "")) > F.lit(max_boilerplate) * chars).otherwise(F.lit(False))
     )
 
 
@@ -77,6 +84,7 @@ def line_first(
     max_loss: float = 0.3,
     max_symbols: float = 0.08,
     max_upper: float = 0.7,
+    max_boilerplate: float = 0.2,
 ) -> DataFrame:
     """``docs`` with ``quality``: a struct of counts, the cleaned text and the verdict.
 
@@ -90,7 +98,7 @@ def line_first(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.split(text, "\n")
     with_words = F.filter(lines, lambda x: F.btrim(x, F.lit(_EDGE)) != "")
-    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.coalesce((F.btrim(x, F.lit(_EDGE)) != "") & line_fails(x, max_symbols, max_upper), F.lit(False)).alias("bad")))
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.coalesce((F.btrim(x, F.lit(_EDGE)) != "") & line_fails(x, max_symbols, max_upper, max_boilerplate), F.lit(False)).alias("bad")))
     out = docs.withColumn("quality", F.struct(
         F.size(words(text)).cast("long").alias("n_words"),
         _visible(text).cast("long").alias("word_chars"),
