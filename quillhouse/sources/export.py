@@ -37,12 +37,14 @@ def as_chunks(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTE
     ``sha`` is the digest of the chunk. Lines of equal number stand in the order of their bytes, null numbers first.
     """
     k, run = F.col(key), F.floor(F.col("line_number") / RUN_LINES)
-    rows = lines.select(k, "line_number", "raw", run.alias("_run"), F.octet_length("raw").cast("long").alias("_size"))
-    runs = rows.groupBy(key, "_run").agg(F.sum("_size").alias("_sum"))
+    # Never null, so that the window and the join are dealt alike and the bytes move once for both.
+    name = F.concat(F.coalesce(run.cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.concat(F.lit("k"), k.cast("string")), F.lit("")))
+    rows = lines.select(k, "line_number", "raw", run.alias("_run"), name.alias("_id"), F.octet_length("raw").cast("long").alias("_size"))
+    runs = rows.groupBy(key, "_run", "_id").agg(F.sum("_size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select(k.alias("_k"), F.col("_run").alias("_r"), F.coalesce(before, F.lit(0)).alias("_base"))
-    within = F.sum("_size").over(Window.partitionBy(key, "_run").orderBy("line_number", "raw").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(runs, k.eqNullSafe(F.col("_k")) & F.col("_run").eqNullSafe(F.col("_r")))
+    runs = runs.select("_id", F.coalesce(before, F.lit(0)).alias("_base"))
+    within = F.sum("_size").over(Window.partitionBy("_id").orderBy("line_number", "raw").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(runs, "_id")
     rows = rows.withColumn("start", F.col("_base") + F.col("_within")).withColumn("chunk", F.floor(F.col("start") / limit))
     out = rows.groupBy(key, "chunk").agg(F.min("start").alias("start"), F.expr("listagg(raw, X'') within group (order by start)").alias("content"), F.sum("_size").alias("n_bytes"))
     return out.withColumn("sha", F.sha2("content", 256))
