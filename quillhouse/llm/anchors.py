@@ -61,12 +61,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
     """Anchors of the texts ``buf[starts[i]:ends[i]]``.
 
-    Returns arrays ``(text, low, count, gram, context)``: the text's number, the first window start that the anchor serves
-    (counted from the text's start), how many windows it serves, the hash of its gram and the hash of all bytes its
-    windows cover together with where the gram lies in them.
+    Returns arrays ``(text, low, count, gram, context, split, before, after)``: the text's number, the first window start
+    that the anchor serves (counted from the text's start), how many windows it serves, the hash of its gram and the hash
+    of all bytes its windows cover together with where the gram lies in them. The first ``split`` windows hold the
+    ``(length - K) // 2`` bytes before the gram, the others those after it; ``before`` and ``after`` are their hashes.
     """
     n = len(buf)
-    empty = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    empty = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, *[np.uint64] * 2, np.int64, *[np.uint64] * 2))
     if n < length:
         return empty
     pw, inv = power_tables(max(n + 1, BLOCK + 1))
@@ -91,4 +92,8 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
     stop = low + count - 1 + length
     cover = (sums[stop] - sums[low]) * inv[low]
     context = mix(cover + (p - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (count.astype(np.uint64) << np.uint64(17)))
-    return text, low - starts[text], count, grams[p], context
+    more = (length - K) // 2
+    split = np.clip(p - (length - K - more) - low, 0, count)
+    left, right = np.maximum(p - more, 0), np.minimum(p + K + more, n)  # outside the text only where no window asks
+    before, after = mix((sums[p] - sums[left]) * inv[left]), mix((sums[right] - sums[p + K]) * inv[np.minimum(p + K, n - 1)])
+    return text, low - starts[text], count, grams[p], context, split, before, after

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task looks at together, unless a single text is longer.
@@ -16,12 +17,14 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,9 +41,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text)`` of the rows that have an id. Other columns, whatever their names, are left behind."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, text)`` and the columns ``keep`` of the rows that have an id. Other columns, whatever their names, are left behind."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep).where("doc_id is not null")
+
+
+class Keyed(NamedTuple):
+    """Rows with a ``key`` of their own, and what is known of all of them."""
+
+    rows: DataFrame
+    #: A key shifted to the right by so many bits is its ``doc_id``.
+    shift: int
+    #: How many rows, and bytes of text.
+    n: int
+    size: int
+
+    def cells(self, bytes_each: int) -> int:
+        """Into how many cells to deal work that grows with the text, so that none outgrows a task."""
+        return max(2 * partitions(self.rows.sparkSession), -(-self.size // bytes_each))
+
+
+def with_keys(rows: DataFrame) -> Keyed:
+    """``rows`` (``doc_id``, ``text`` and others) with ``key``: the id where no id repeats, else the id and a number for each different text of it.
+
+    Takes one pass, which shuffles ids only.
+    """
+    each = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    most, n, size = each.agg(F.max("n"), F.sum("n"), F.sum("size")).first()
+    if (most or 1) == 1:
+        return Keyed(rows.withColumn("key", F.col("doc_id")), 0, n or 0, size or 0)
+    shift = (most - 1).bit_length()
+    hashed = rows.withColumn("_hash", F.sha2("text", 256))
+    number = hashed.select("doc_id", "_hash").distinct().withColumn("key", F.shiftleft("doc_id", shift) + F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash")) - 1)
+    return Keyed(hashed.join(number, ["doc_id", "_hash"]).drop("_hash"), shift, n, size)
 
 
 def text_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,33 +8,58 @@ thus find every candidate, and only those are counted.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillhouse.llm.anchors import BYTE, mix, power_tables
+from quillhouse.llm.anchors import mix
 from quillhouse.llm.common import blocks, keyed, partitions, table
 from quillhouse.llm.components import components
 from quillhouse.llm.lines import grouped
 from quillhouse.llm.suffix import narrow, widen
 
-#: Sets of a candidate group that are counted against each other at a time.
-SIDE = 256
-#: Nodes that share a signature and are held against each other at a time.
-CROWD = 1024
-#: Different n-grams in a fragment when overlaps are counted.
-FRAGMENT = 4096
+#: Sets of a candidate group, and nodes that share a signature, that are held against each other at a time.
+SIDE, CROWD = 256, 1024
+#: Different n-grams whose overlaps are counted at a time, and n-grams of a set in one fragment of the order, about.
+COLUMNS, FRAGMENT = 4096, 8192
 #: Independent orders; a set with too many empty fragments in all of them falls back on its least hashes.
 ORDERS = 4
 FLUSH = 400_000
+#: Bytes of a word that are hashed side by side with other words'; longer words are hashed alone.
+LONG = 256
+#: A set that more than this share of all documents have is known to every task.
+HOT_SHARE = 1 / 4096
+#: Bytes of text for each cell of the dealing.
+CELL_BYTES = 64 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[ord("A") : ord("Z") + 1] += 32
+#: Masks that keep the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(low: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``low[heads[i]:tails[i]]``: eight bytes a step, each step keyed on all before it."""
+    size = tails - heads
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    at, k = np.flatnonzero(size <= LONG), 0
+    while len(at):
+        block = eight[heads[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + block)
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[heads[i] : tails[i]].tobytes())
+    return out
 
 
 def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
@@ -55,13 +80,10 @@ def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int)
     stop_edge = np.zeros(n + 1, bool)
     stop_edge[ends] = True
     tails = np.flatnonzero(solid & (np.concatenate((~solid[1:], [True])) | stop_edge[1:])) + 1 if n else np.zeros(0, np.int64)
-    pw, inv = power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[low] * pw[:n], out=sums[1:])
-    word = mix((sums[tails] - sums[heads]) * inv[heads] + (tails - heads).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    word = word_hashes(low, heads, tails)
     lo, hi = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
     run = np.zeros(len(word), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         run[: len(word) - k] = mix(run[: len(word) - k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
     out = []
     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
@@ -151,53 +173,56 @@ def sketch(h: np.ndarray) -> bytes:
 def near_ties(left: tuple, right: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Enough pairs ``(node, node)`` to connect all whose sketches and sizes leave it open that they reach the threshold.
 
-    Each side is ``(nodes, sizes, sketches)``. A sketch twice as wide is folded first; sizes further apart link nothing.
+    Each side is ``(nodes, sizes, sketches)``. The wider of two sketches is folded until both are as wide; sizes of which
+    the smaller is below ``num / den`` of the larger link nothing.
     """
     masks = []
-    widths = sorted({len(x) for x in left[2]} & {len(x) for x in right[2]} | {len(x) for x in left[2]} | {len(x) for x in right[2]})
-
-    def fold(raw: list[bytes], width: int) -> np.ndarray:
-        x = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
-        return x if x.shape[1] * 8 == width else x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-
-    for w in widths:
-        for v in (w, 2 * w):
-            for wide_left in (False, True) if v != w else (False,):
-                i = np.array([k for k, x in enumerate(left[2]) if len(x) == (v if wide_left else w)], np.int64)
-                j = np.array([k for k, x in enumerate(right[2]) if len(x) == (w if wide_left else v)], np.int64)
-                if not len(i) or not len(j):
-                    continue
-                x, y = fold([left[2][k] for k in i.tolist()], w), fold([right[2][k] for k in j.tolist()], w)
-                step = max(1, (1 << 20) // (len(j) * x.shape[1]))
-                for lo in range(0, len(i), step):
-                    apart = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
-                    total = left[1][i[lo : lo + step], None] + right[1][None, j]
-                    p, q = np.nonzero(apart * (den + num) <= total * (den - num))
-                    masks.append((i[lo : lo + step][p], j[q]))
+    widths = [np.array([len(x) for x in side[2]], np.int64) for side in (left, right)]
+
+    def folded(side: tuple, at: np.ndarray, width: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(side[2][k] for k in at.tolist()), "<u8").reshape(len(at), -1)
+        while x.shape[1] * 8 > width:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+    for w in np.unique(widths[0]).tolist():
+        i = np.flatnonzero(widths[0] == w)
+        for v in np.unique(widths[1]).tolist():
+            j = np.flatnonzero(widths[1] == v)
+            small, large = (left[1][i], right[1][j]) if w < v else (right[1][j], left[1][i])
+            if w != v and small.max() * den < large.min() * num:
+                continue
+            x, y = folded(left, i, min(w, v)), folded(right, j, min(w, v))
+            step = max(1, (1 << 20) // (len(j) * x.shape[1]))
+            for lo in range(0, len(i), step):
+                apart = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                one, two = left[1][i[lo : lo + step], None], right[1][None, j]
+                p, q = np.nonzero((apart * (den + num) <= (one + two) * (den - num)) & (np.minimum(one, two) * den >= np.maximum(one, two) * num))
+                masks.append((i[lo : lo + step][p], j[q]))
     if not masks:
         return left[0][:0], left[0][:0]
     return _forest(left[0], right[0], *(np.concatenate(x) for x in zip(*masks, strict=True)))
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which pairs reach the threshold: partial overlaps of each fragment of the global order, added up."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one side shares with each of the other, ``COLUMNS`` different elements at a time."""
     a_size, b_size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     both = np.zeros((len(left), len(right)))
     a_all, b_all = np.concatenate(left), np.concatenate(right)
     common = np.intersect1d(a_all, b_all)
+    if not len(common):
+        return both
     a_row, b_row = np.repeat(np.arange(len(left)), a_size), np.repeat(np.arange(len(right)), b_size)
     a_at, b_at = np.searchsorted(common, a_all), np.searchsorted(common, b_all)
-    a_in = (a_at < len(common)) & (common[np.minimum(a_at, len(common) - 1)] == a_all) if len(common) else np.zeros(len(a_all), bool)
-    b_in = (b_at < len(common)) & (common[np.minimum(b_at, len(common) - 1)] == b_all) if len(common) else np.zeros(len(b_all), bool)
+    a_in, b_in = common[np.minimum(a_at, len(common) - 1)] == a_all, common[np.minimum(b_at, len(common) - 1)] == b_all
     a_row, a_at, b_row, b_at = a_row[a_in], a_at[a_in], b_row[b_in], b_at[b_in]
-    for lo in range(0, len(common), FRAGMENT):
-        x, y = np.zeros((len(left), FRAGMENT), np.float32), np.zeros((len(right), FRAGMENT), np.float32)
-        i, j = (a_at >= lo) & (a_at < lo + FRAGMENT), (b_at >= lo) & (b_at < lo + FRAGMENT)
+    for lo in range(0, len(common), COLUMNS):
+        x, y = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        i, j = (a_at >= lo) & (a_at < lo + COLUMNS), (b_at >= lo) & (b_at < lo + COLUMNS)
         x[a_row[i], a_at[i] - lo] = 1
         y[b_row[j], b_at[j] - lo] = 1
         both += x @ y.T
-    union = a_size[:, None] + b_size[None, :] - both
-    return (den * both >= num * union) & (both > 0)
+    return both
 
 
 def _forest(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +242,38 @@ def _forest(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return ids[tied], ids[root[tied]]
 
 
+def _cells(sides: Column, side: Column) -> Column:
+    """The pairs of sides in which a member of ``side`` takes part."""
+    return F.explode(F.transform(F.sequence(F.lit(0), sides - 1), lambda x: F.struct(F.least(x, side).cast("int").alias("lo"), F.greatest(x, side).cast("int").alias("hi"))))
+
+
+def _deals(members: DataFrame) -> DataFrame:
+    """``members`` (``grp, node, sides``) with the cells of the first comparison.
+
+    A group that fits in one side is compared in it. A larger one is dealt into sides twice, each time in its own way, and
+    only members of one side are compared: what hangs together is connected by then, with two copies of each member.
+    """
+    at = lambda k: F.pmod(F.xxhash64("node", "grp", F.lit(k)), F.col("sides")).cast("int") + F.lit(k) * F.col("sides")
+    side = F.explode(F.when(F.col("sides") == 1, F.array(F.lit(0))).otherwise(F.array(at(0), at(1))))
+    return members.withColumn("side", side).withColumns({"lo": F.col("side"), "hi": F.col("side")})
+
+
+def _still_apart(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``members`` of those dealt groups whose members ``labels`` (``node, component``) does not connect, with cells that
+    hold every two of them with different labels: all sides of what does not belong to the group's largest part, and these
+    against that part's sides."""
+    big = members.where("sides > 1").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    parts = big.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("held"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    rest = F.ceil((F.col("all") - F.col("held")) / most).cast("int")
+    groups = groups.select("grp", "giant", rest.alias("rest"), F.ceil(F.col("held") / most).cast("int").alias("core"))
+    out = big.join(groups, "grp")
+    inside, h = F.col("label") == F.col("giant"), F.xxhash64("node", "grp", F.lit(2))
+    side = F.when(inside, F.col("rest") + F.pmod(h, F.col("core"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    out = out.withColumn("side", side).withColumn("cell", _cells(F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("core")), F.col("side")))
+    return out.select(*members.columns, "side", "cell.lo", "cell.hi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, num: int = 90, den: int = 100, buckets: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents whose sets of ``words``-word shingles have a Jaccard similarity of
     ``num / den`` or more are linked, exactly; ``component_id`` is the smallest id reachable by links.
@@ -224,16 +281,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A to Z count as lower case, words are runs of characters other than space and U+0009 to U+000D. A text with fewer
     words is one shingle; one without words, or null, has an empty set, which links with nothing. Rows without an id are
     left out; rows that repeat an id count as one document that has the links of each, and the largest set's size. Other
-    columns are dropped.
+    columns are dropped. Words and shingles are told apart by 64 bits of hash, sets by 128.
 
     Equal sets become one representative first, so copies are never compared. Candidates that share a signature are held
     against each other by their sketches, whose distance is never more than that of the sets, so what it rules out is no
-    link; the rest falls into small connected groups, whose sets are compared, ``SIDE`` by ``SIDE``. Tasks hand on only
-    enough pairs to keep connected what they connect.
+    link; the rest falls into small connected groups. There the order of hashes is cut into fragments of about
+    ``FRAGMENT`` n-grams of the largest set; overlaps are counted fragment by fragment, in tasks of their own, and summed
+    for each pair; with one fragment a count is the sum. Groups of more than ``SIDE`` members are dealt into sides twice
+    and compared side by side, then in full as far as they do not hang together yet. Tasks hand on only enough pairs to
+    keep connected what they connect.
     """
     rows = keyed(docs, id_col, text_col)
     n = partitions(rows.sparkSession)
-    buckets = buckets or 2 * n
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, starts, ends in blocks(batches):
@@ -242,11 +301,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             node = [_node(h) for h in got]
             more = np.array([mix(h ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for h in got], np.uint64).view(np.int64)
             marks = [sketch(h) for h in got]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "a", "b", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(marks, pa.binary()), pa.array(ends - starts, pa.int64())], ["doc_id", "n_shingles", "a", "b", "sketch", "size"])
 
-    sketched = table(rows.mapInArrow(sets, "doc_id long, n_shingles long, a long, b long, sketch binary"), "sets")
-    sized = sketched.drop("sketch")
-    least = sized.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
+    sketched = table(rows.mapInArrow(sets, "doc_id long, n_shingles long, a long, b long, sketch binary, size long"), "sets")
+    sized = sketched.select("doc_id", "n_shingles", "a", "b")
+    n_docs, size = sketched.agg(F.count("*"), F.sum("size")).first()
+    buckets = buckets or max(2 * n, -(-(size or 0) // CELL_BYTES))
+    least = sized.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = _Schemes(num, den)
@@ -265,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _signed(held, buckets)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes that share a signature with another one, in sides of at most ``2 * CROWD``."""
+        """Nodes that share a signature with another one."""
         for bucket, parts in grouped(batches):
             got = [r for p in parts for r in p.to_pylist()]
             sig = np.concatenate([widen(r["sig"], r["n"]) for r in got])
@@ -277,69 +338,111 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = np.bincount(at)[at]
             keep = members > 1
             sides = -(-members[keep] // CROWD)
-            side = (mix(node[keep].view(np.uint64)) % sides.astype(np.uint64)).astype(np.int32)
             key = mix(sig[keep] + (np.uint64(bucket) << np.uint64(48))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[keep]), pa.array(sides.astype(np.int32)), pa.array(side)], ["sig", "a", "sides", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[keep]), pa.array(sides.astype(np.int32))], ["grp", "node", "sides"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches):
-            lo, hi, side, node, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(1, 6))
-            marks = [x for p in parts for x in p.column(6).to_pylist()]
-            for cell in {(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)}:
-                of = [np.flatnonzero((lo == cell[0]) & (hi == cell[1]) & (side == at)) for at in cell]
-                a, b = near_ties(*[(node[i], size[i], [marks[k] for k in i.tolist()]) for i in of], num, den)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+            grp, lo, hi, side, node, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(1, 7))
+            marks = [x for p in parts for x in p.column(7).to_pylist()]
+            for cell in {(g, x, y) for g, x, y in zip(grp.tolist(), lo.tolist(), hi.tolist(), strict=True)}:
+                of = [np.flatnonzero((grp == cell[0]) & (lo == cell[1]) & (hi == cell[2]) & (side == at)) for at in cell[1:]]
+                if len(of[0]) and len(of[1]):
+                    a, b = near_ties(*[(node[i], size[i], [marks[k] for k in i.tolist()]) for i in of], num, den)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(buckets, "key").sortWithinPartitions("key")
+
+    key = F.xxhash64("grp", "lo", "hi").alias("key")
     # A set signs as a node that all its copies share.
     signed = rows.select("doc_id", "text").mapInArrow(sign, "bucket int, n int, sig binary, node binary")
-    shared = signed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "sig long, a long, sides int, side int")
-    known_by = sketched.where("n_shingles > 0").groupBy("a").agg(F.min(F.struct("n_shingles", "sketch")).alias("s")).select("a", "s.n_shingles", "s.sketch")
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("lo"), F.greatest(x, F.col("side")).alias("hi"))))
-    close = shared.hint("merge").join(known_by.hint("merge"), "a").withColumn("cell", cell).select(F.xxhash64("sig", "cell.lo", "cell.hi").alias("key"), "cell.lo", "cell.hi", "side", "a", "n_shingles", "sketch")
-    ties = close.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(tie, "a long, b long")
-    groups = components(ties).select(F.col("node").alias("a"), F.col("component").alias("grp"))
-    members_ = table(least.join(groups, "a").select(F.col("rep").alias("doc_id"), "n_shingles", "grp"), "groups")
-
-    # Members of a group are dealt into sides; every two sides of a group meet in one task.
-    counts = members_.groupBy("grp").agg(F.greatest(F.count("*") / SIDE, F.sum("n_shingles") / (SIDE * 2000)).alias("load"))
-    sided = members_.join(counts, "grp").withColumn("sides", F.ceil("load").cast("int"))
-    sided = sided.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int")).select("doc_id", "grp", "sides", "side")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, starts, ends in blocks(batches):
-            got = shingles(buf, starts, ends, words)
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([h.tobytes() for h in got], pa.binary())], ["doc_id", "grp", "sides", "side", "set"])
+    shared = signed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated, "grp long, node long, sides int")
+    shared = table(shared, "shared")
+    known_by = sketched.where("n_shingles > 0").groupBy(F.col("a").alias("node"), "n_shingles", "b").agg(F.min("sketch").alias("sketch")).drop("b")
 
+    def tied(cells: DataFrame) -> DataFrame:
+        close = cells.hint("merge").join(known_by.hint("merge"), "node")
+        return dealt(close.select(key, "grp", "lo", "hi", "side", "node", "n_shingles", "sketch")).mapInArrow(tie, "a long, b long")
+
+    groups = _joined_up(shared, tied, CROWD).select(F.col("node").alias("a"), F.col("component").alias("grp"))
+    members_ = least.join(groups, "a").select(F.col("rep").alias("node"), "n_shingles", "grp")
+    counts = members_.groupBy("grp").agg(F.ceil(F.max("n_shingles") / FRAGMENT).cast("int").alias("frags"), F.greatest(F.count("*") / SIDE, F.sum(F.least("n_shingles", F.lit(FRAGMENT))) / (SIDE * 2000)).alias("load"))
     # Members grow with the input: never broadcast, however few they are in a small one.
-    held = rows.join(sided.hint("merge"), "doc_id").select("doc_id", "text", "grp", "sides", "side").mapInArrow(members, "doc_id long, grp long, sides int, side int, set binary")
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("lo"), F.greatest(x, F.col("side")).alias("hi"))))
-    met = held.withColumn("cell", cell).select(F.xxhash64("grp", "cell.lo", "cell.hi").alias("key"), "grp", "cell.lo", "cell.hi", "side", "doc_id", "set")
+    sided = table(members_.join(counts.hint("merge"), "grp").select("grp", "node", F.ceil("load").cast("int").alias("sides"), "frags"), "groups")
+
+    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set, cut at equal distances of the order into its group's number of fragments."""
+        for part, buf, starts, ends in blocks(batches):
+            out: tuple[list, ...] = ([], [], [], [])
+            for i, (h, frags) in enumerate(zip(shingles(buf, starts, ends, words), part.column(6).to_pylist(), strict=True)):
+                cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(frags) >> np.uint64(32), np.arange(frags + 1))
+                for f, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if b > a:
+                        for c, x in zip(out, (i, f, len(h), h[a:b].tobytes()), strict=True):
+                            c.append(x)
+            taken = part.take(pa.array(out[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), *taken.columns[2:], *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int64(), pa.binary()), strict=True))], names)
+
+    names = ["node", "grp", "lo", "hi", "side", "frags", "frag", "size", "part"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links, where the group has one fragment; else the overlap in this one of each pair that shares something."""
         for _, parts in grouped(batches):
-            by: dict[tuple[int, int, int], list[tuple[int, int, bytes]]] = {}
+            by: dict[tuple, list[tuple]] = {}
             for p in parts:
-                g, lo, hi, side, doc, raw = (p.column(i).to_pylist() for i in range(1, 7))
-                for x in zip(g, lo, hi, side, doc, raw, strict=True):
-                    by.setdefault(x[:3], []).append(x[3:])
-            for (_, lo, hi), rows_ in by.items():
-                sides = [[(d, np.frombuffer(raw, "<u8")) for s, d, raw in rows_ if s == at] for at in (lo, hi)]
+                for *cell, side, doc, size, raw in zip(*(p.column(i).to_pylist() for i in range(1, 10)), strict=True):
+                    by.setdefault(tuple(cell), []).append((side, doc, size, raw))
+            for (grp, lo, hi, frags, _), got in by.items():
+                sides = [[(d, size, np.frombuffer(raw, "<u8")) for s, d, size, raw in got if s == at] for at in (lo, hi)]
                 if not sides[0] or not sides[1]:
                     continue
-                ids = [np.array([d for d, _ in side], np.int64) for side in sides]
-                mask = linked([h for _, h in sides[0]], [h for _, h in sides[1]], num, den)
+                ids, sizes = ([np.array([x[k] for x in side], np.int64) for side in sides] for k in (0, 1))
+                both = overlaps(*[[x[2] for x in side] for side in sides])
                 if lo == hi:
-                    np.fill_diagonal(mask, False)
-                a, b = _forest(*ids, *np.nonzero(mask))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    links = met.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
-    parts = components(links)
-    known = sized.join(least, ["n_shingles", "a", "b"], "left")
-    named = known.join(parts, known.rep == parts.node, "left")
-    return named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+                    both = np.triu(both, 1)
+                total = sizes[0][:, None] + sizes[1][None, :]
+                if frags == 1:
+                    a, b = _forest(*ids, *np.nonzero((den * both >= num * (total - both)) & (both > 0)))
+                    columns = [a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
+                else:
+                    i, j = np.nonzero(both)
+                    columns = [ids[0][i], ids[1][j], both[i, j].astype(np.int64), total[i, j]]
+                if len(columns[0]):
+                    cell = [pa.array(np.full(len(columns[0]), x, np.int64)) for x in (grp, lo, hi)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *cell], ["a", "b", "both", "total", "grp", "lo", "hi"])
+
+    def linked(cells: DataFrame) -> DataFrame:
+        held = rows.join(cells.select(F.col("node").alias("doc_id"), "grp", "lo", "hi", "side", "frags").hint("merge"), "doc_id").select("doc_id", "text", "grp", "lo", "hi", "side", "frags")
+        cut = held.mapInArrow(fragments, "node long, grp long, lo int, hi int, side int, frags int, frag int, size long, part binary")
+        met = dealt(cut.select(F.xxhash64("grp", "lo", "hi", "frag").alias("key"), "grp", "lo", "hi", "frags", "frag", "side", "node", "size", "part"))
+        found = table(met.mapInArrow(compare, "a long, b long, both long, total long, grp long, lo long, hi long"), "overlaps")
+        # A pair may meet in two cells, in each of which every fragment is counted once.
+        pairs = found.where("total > 0").groupBy("a", "b", "total", "grp", "lo", "hi").agg(F.sum("both").alias("both"))
+        return found.where("total = 0").select("a", "b").unionByName(pairs.where(F.col("both") * den >= (F.col("total") - F.col("both")) * num).select("a", "b"))
+
+    parts = _joined_up(sided, linked, SIDE)
+    named = least.join(parts, least.rep == parts.node, "left").select("n_shingles", "a", "b", "copies", F.coalesce("component", "rep").alias("component_id"))
+    named = table(named, "named")
+    # No more than 1 / HOT_SHARE sets are so frequent, however large the input.
+    many = F.col("copies") > F.lit(HOT_SHARE) * n_docs
+    hot = named.where(many).drop("copies").withColumnRenamed("component_id", "hot_id")
+    known = sized.join(F.broadcast(hot), ["n_shingles", "a", "b"], "left")
+    cold = known.where("hot_id is null").drop("hot_id").join(named.where(~many).drop("copies"), ["n_shingles", "a", "b"], "left")
+    out = cold.select("doc_id", "n_shingles", "component_id").unionByName(known.where("hot_id is not null").select("doc_id", "n_shingles", F.col("hot_id").alias("component_id")))
+    return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _joined_up(members: DataFrame, edges_of: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """``(node, component)`` of the links that ``edges_of`` finds in cells of ``members`` (``grp, node, sides``)."""
+    edges = table(edges_of(_deals(members)), "ties")
+    labels = components(edges)
+    apart = table(_still_apart(members, labels, most), "apart")
+    if not apart.limit(1).count():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(edges_of(apart)))
 
 
 def _node(h: np.ndarray) -> int:

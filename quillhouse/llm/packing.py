@@ -25,14 +25,15 @@ class _Words:
 
     The tokenizer drops white space and lets no token reach over it, so a text's ids are its words' ids. A run of letters
     is one pre-token and has the ids of the same run in lower case: it goes to the merges directly, as the characters
-    that stand for its bytes.
+    that stand for its bytes. A word that holds an added token, such as an end mark, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(re.escape(x) for x in added).encode() or rb"(?!)", re.IGNORECASE).search
         self.merge = self.tokenizer.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         # Byte-level tokenizers write a printable byte of Latin-1 as itself, the others as what follows U+0100.
@@ -61,7 +62,7 @@ class _Words:
         parts, match = self.parts, _PLAIN.fullmatch
         out = {w: p for w in words if (p := parts.get(w)) is not None}
         for w in words - out.keys():
-            m = match(w) if len(w) <= CACHE_BYTES else None
+            m = match(w) if len(w) <= CACHE_BYTES and not self.added(w) else None
             if m is None:
                 out[w] = self._encode(w).tobytes()
                 continue
@@ -80,7 +81,8 @@ def _words(path: str) -> _Words:
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each text's ids and ``end_id`` after them, cut every ``capacity`` ids.
 
-    For tokenizers that drop ASCII white space. Only texts with more ids are cut. A null or empty text is the single
+    For tokenizers that drop ASCII white space, of which no added token has any; added tokens in a text count as such.
+    Only texts with more ids are cut. A null or empty text is the single
     ``end_id``. Rows are encoded where they are read; a row with a null id keeps it; other columns are dropped.
     """
 

@@ -1,10 +1,11 @@
-"""Operator 5, suffix-array dedup by sparse distributed prefix doubling: positions are ranked by growing prefixes until unique or past the threshold.
-
-Round 1 ranks positions by 16 bytes. Only anchors take part (``anchors``): every window of ``length`` bytes has one, and
-equal windows have equal ones, so what drops out here as unique can repeat nowhere. Where not just the gram but all
-bytes that an anchor's windows cover are equal, those windows are settled at once. Round 2 takes up the others with
-their bytes, pairs ranks 8, 16 and ``length - 32`` bytes apart and ranks the pairs again, which ends at ``length``.
-Spark deals the rank groups of each round over the tasks; rows carry packed arrays.
+"""Operator 5, suffix-array dedup by sparse distributed prefix doubling: Spark sorts positions by pairs of ranks at growing offsets, until they are unique or past the threshold.
+
+Positions that start from one in seventeen bytes: anchors chosen by content (``anchors``), of which every window of
+``length`` bytes has one, equal windows an equal one. Round 1 ranks them by 16 bytes, sorts each with the rank of the
+bytes next to it (17 more at ``length`` 50) and drops what is unique; windows of which all bytes around agree are settled
+there and then. Round 2 takes up all windows of the anchors that are left and sorts them by the ranks of their two
+halves, which is past the threshold. A rank is a hash of the bytes, so that equal bytes have equal ranks wherever they
+stand; rows carry packed arrays, and Spark deals and sorts them by rank.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhouse.llm.anchors import BLOCK, anchors, mix
-from quillhouse.llm.common import blocks, keyed, partitions, table
+from quillhouse.llm.common import blocks, keyed, table, with_keys
 from quillhouse.llm.lines import grouped
 
-#: Anchors that a task gathers and combines before it sends them on.
+#: Anchors or windows that a task gathers and combines before it sends them on.
 FLUSH = 400_000
-#: A gram that holds this share of the anchors in a sample of one document in SAMPLE is dealt window by window.
-HOT_SHARE, SAMPLE = 1 / 2000, 64
-_COLS = ("gram", "context", "doc", "low", "count")
-_SENT = "bucket int, n int, base long, gram binary, context binary, doc binary, low binary, count binary"
-_MARKS = "doc_id long, low binary, count binary, check_gram binary, check_low binary, check_count binary"
+#: Anchors of one gram, with different bytes around, that a task sends to round 1 from what it gathered; with more, all go on to round 2, since the gram is not unique.
+HOT = 64
+#: Bytes of text for each cell of the dealing.
+CELL_BYTES = 64 << 20
+_COLS = ("a", "b", "doc", "low", "count", "split", "before", "after")
+_SENT = "bucket int, kind int, n int, base long, " + ", ".join(f"{c} binary" for c in _COLS)
+_MARKS = "key long, low binary, count binary, open_low binary, open_count binary"
+#: Kinds of rows: settled windows, windows for round 2, ranked positions, grams that some task has too often.
+SETTLED, OPEN, RANKED, WILD = 0, 1, 2, 3
+_SIX, _TAG = np.uint64((1 << 48) - 1), np.uint64((1 << 16) - 1)
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -40,126 +46,130 @@ def narrow(x: np.ndarray) -> bytes:
 
 def widen(raw: bytes, n: int) -> np.ndarray:
     if not raw:
-        return np.zeros(0, np.uint64)
+        return np.zeros(n, np.uint64)
     out = np.zeros((n, 8), np.uint8)
     out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
     return out.view("<u8").ravel()
 
 
-def _send(bucket: np.ndarray, doc: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _send(kind: int, bucket: np.ndarray, doc: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of packed arrays, one for each bucket; documents as differences."""
+    if not len(doc):
+        return
     order = np.lexsort((doc, bucket))
     bucket, doc = bucket[order], doc[order]
     arrays = {k: v[order] for k, v in arrays.items()}
     cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
-    cols: dict[str, list] = {k: [] for k in ("bucket", "n", "base", *_COLS)}
+    cols: dict[str, list] = {k: [] for k in ("bucket", "kind", "n", "base", *_COLS)}
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if lo == hi:
-            continue
         cols["bucket"].append(int(bucket[lo]))
+        cols["kind"].append(kind)
         cols["n"].append(hi - lo)
         cols["base"].append(int(doc[lo]))
         cols["doc"].append(narrow(np.diff(doc[lo:hi], prepend=doc[lo])))
-        for k in ("gram", "context", "low", "count"):
-            cols[k].append(narrow(arrays[k][lo:hi]) if k in arrays else b"")
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        for k in _COLS:
+            if k != "doc":
+                cols[k].append(narrow(arrays[k][lo:hi]) if k in arrays else b"")
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * len(_COLS)]
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
 
 
-def _received(parts: list[pa.RecordBatch], settled: bool) -> dict[str, np.ndarray]:
-    """The arrays of the rows that have no gram (``settled``) or have one."""
+def _received(parts: list[pa.RecordBatch], kind: int) -> dict[str, np.ndarray]:
+    """The arrays of the rows of a kind."""
     out: dict[str, list] = {k: [np.zeros(0, np.uint64)] for k in _COLS}
     for p in parts:
-        rows = p.to_pylist()
-        for r in rows:
-            if (not r["gram"]) == settled:
+        for r in p.to_pylist():
+            if r["kind"] == kind:
                 n = r["n"]
-                out["doc"].append((np.cumsum(widen(r["doc"], n).astype(np.int64)) + r["base"]).view(np.uint64))
-                for k in ("gram", "context", "low", "count"):
-                    out[k].append(widen(r[k], n) if r[k] else np.zeros(0, np.uint64))
+                for k in _COLS:
+                    out[k].append((np.cumsum(widen(r["doc"], n).astype(np.int64)) + r["base"]).view(np.uint64) if k == "doc" else widen(r[k], n))
     got = {k: np.concatenate(v) for k, v in out.items()}
-    got["doc"] = got["doc"].view(np.int64)
-    return got
+    return got | {"doc": got["doc"].view(np.int64), "split": got["split"].astype(np.int64), "count": got["count"].astype(np.int64)}
 
 
 def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``(doc, low, count, gram, context, bytes of the windows' cover are buf[at:...], buf, at)`` by blocks of text."""
+    """``(key, low, count, gram, context, split, before, after)`` of the anchors, by blocks of text."""
     for part, buf, starts, ends in blocks(batches):
         ids = part.column(0).to_numpy(zero_copy_only=False)
         if len(ids) == 1 and len(buf) > BLOCK:
             for at in range(0, len(buf) - length + 1, BLOCK):
                 cut = buf[at : at + BLOCK + length - 1]
-                who, low, count, gram, context = anchors(cut, np.array([0]), np.array([len(cut)]), length)
-                yield ids[who], low + at, count, gram, context, cut, low
+                who, low, *rest = anchors(cut, np.array([0]), np.array([len(cut)]), length)
+                yield ids[who], low + at, *rest
         else:
-            who, low, count, gram, context = anchors(buf, starts, ends, length)
-            yield ids[who], low, count, gram, context, buf, low + starts[who]
-
-
-_SIX = np.uint64((1 << 48) - 1)
+            who, *rest = anchors(buf, starts, ends, length)
+            yield ids[who], *rest
 
 
-def _names(buf: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each window of the given anchors: the anchor's number, the window's place in it and two hashes of its bytes."""
-    who = np.repeat(np.arange(len(at)), count)
-    j = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    wide = np.lib.stride_tricks.sliding_window_view(buf, length)[at[who] + j]
-    a = np.zeros(len(who), np.uint64)
-    b = np.full(len(who), 0x51ED27, np.uint64)
-    full = np.zeros((len(who), -(-length // 8) * 8), np.uint8)
-    full[:, :length] = wide
+def _rank(wide: np.ndarray, seed: int) -> np.ndarray:
+    """48-bit ranks of equally long rows of bytes."""
+    full = np.zeros((len(wide), -(-wide.shape[1] // 8) * 8), np.uint8)
+    full[:, : wide.shape[1]] = wide
+    out = np.full(len(wide), seed, np.uint64)
     for word in full.view("<u8").T:
-        a = mix(a ^ word)
-        b = mix(b * np.uint64(0x9E3779B97F4A7C15) + word)
-    return who, j, a & _SIX, b & _SIX
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out & _SIX
 
 
-def _hot(rows: DataFrame, length: int) -> np.ndarray:
-    """Grams to be dealt window by window. It only chooses the way; any answer gives the same result. At most ``1 / HOT_SHARE`` numbers."""
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x[3] for x in _found(batches, length)]
-        if held:
-            gram, n = np.unique(np.concatenate(held) & _SIX, return_counts=True)
-            total = int(n.sum())
-            gram, n = gram[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(gram.view(np.int64), -1)), pa.array(np.append(n, total))], ["gram", "n"])
 
-    counts = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "gram").limit(int(1 / HOT_SHARE) + 1).collect()
-    total = next((r.n for r in got if r.gram == -1), 0)
-    return np.array(sorted(r.gram for r in got if r.gram != -1 and r.n >= max(32, HOT_SHARE * total)), np.int64).view(np.uint64)
-
-
-def _combine(doc: np.ndarray, low: np.ndarray, count: np.ndarray, gram: np.ndarray, context: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _combine(held: list[tuple[np.ndarray, ...]], buckets: int, shift: int) -> Iterator[pa.RecordBatch]:
     """Sends a task's anchors: of equal gram and context only the smallest document's, the others being settled."""
+    doc, low, count, gram, context, split, before, after = (np.concatenate(x) for x in zip(*held, strict=True))
+    gram, context, before, after = gram & _SIX, context & _SIX, before & _TAG, after & _TAG
     order = np.lexsort((doc, context, gram))
-    doc, low, count, gram, context = (x[order] for x in (doc, low, count, gram, context))
-    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])))
+    doc, low, count, gram, context, split, before, after = (x[order] for x in (doc, low, count, gram, context, split, before, after))
+    new = _first_of(gram, context)
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    done = doc > least
-    if done.any():
-        yield from _send(doc[done] % buckets, doc[done], low=low[done], count=count[done])
-    left = ~done
-    yield from _send((gram[left] % np.uint64(buckets)).astype(np.int64), doc[left], low=low[left], count=count[left], gram=gram[left], context=context[left])
-
-
-def _first_round(parts: list[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Round 1 in one bucket: what is settled, by equal context, and what shares a gram only."""
-    done, got = _received(parts, True), _received(parts, False)
-    order = np.lexsort((got["doc"], got["context"], got["gram"]))
-    doc, low, count, gram, context = (got[k][order] for k in ("doc", "low", "count", "gram", "context"))
-    if not len(doc):
-        return done, got
-    new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-    new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+    done = doc >> shift > least >> shift
+    yield from _send(SETTLED, doc[done] % buckets, doc[done], low=low[done], count=count[done])
+    doc, low, count, gram, context, split, before, after = (x[~done] for x in (doc, low, count, gram, context, split, before, after))
+    group = np.cumsum(_first_of(gram)) - 1
+    hot = (np.bincount(group) > HOT)[group] if len(group) else np.zeros(0, bool)
+    if hot.any():
+        yield from _send(OPEN, doc[hot] % buckets, doc[hot], low=low[hot], count=count[hot])
+        some = np.flatnonzero(hot & _first_of(gram))
+        yield from _send(WILD, (gram[some] % np.uint64(buckets)).astype(np.int64), doc[some], a=gram[some])
+    rest = ~hot
+    yield from _send(RANKED, (gram[rest] % np.uint64(buckets)).astype(np.int64), doc[rest], a=gram[rest], b=context[rest], low=low[rest], count=count[rest], split=split[rest], before=before[rest], after=after[rest])
+
+
+def _first_round(parts: list[pa.RecordBatch], shift: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Round 1 in one bucket: windows that are settled, by equal context, and those left for round 2."""
+    got, wild = _received(parts, RANKED), np.unique(_received(parts, WILD)["a"])
+    order = np.lexsort((got["doc"], got["b"], got["a"]))
+    got = {k: x[order] for k, x in got.items()}
+    doc = got["doc"]
+    new = _first_of(got["a"], got["b"])
     least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # of the context
-    full = doc > least
-    settled = {k: np.concatenate((done[k], x[full])) for k, x in (("doc", doc), ("low", low), ("count", count))}
-    g, at = np.cumsum(new_gram) - 1, np.flatnonzero(new_gram)
-    first, last = np.minimum.reduceat(least, at), np.maximum.reduceat(least, at)
-    check = ~full & (first < last)[g]
-    return settled, {"doc": doc[check], "low": low[check], "count": count[check], "gram": gram[check]}
+    full = doc >> shift > least >> shift
+    settled = {k: got[k][full] for k in ("doc", "low", "count")}
+    left = {k: x[~full] for k, x in got.items()}
+    free = np.isin(left["a"], wild)
+
+    def meets(has: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Whose pair of ranks, of the gram and of the bytes next to it, another document shares."""
+        at = np.flatnonzero(has)
+        at = at[np.lexsort((left["doc"][at], tag[at], left["a"][at]))]
+        begin = _first_of(left["a"][at], tag[at])
+        group, d = np.cumsum(begin) - 1, left["doc"][at] >> shift
+        heads = np.flatnonzero(begin)
+        several = d[heads] != d[np.append(heads[1:], len(at)) - 1] if len(heads) else np.zeros(0, bool)
+        out = np.zeros(len(has), bool)
+        out[at] = several[group]
+        return out | (free & has)
+
+    one, two = meets(left["split"] > 0, left["before"]), meets(left["count"] > left["split"], left["after"])
+    low = left["low"] + np.where(one, 0, left["split"]).astype(np.uint64)
+    count = np.where(one, left["split"], 0) + np.where(two, left["count"] - left["split"], 0)
+    keep = one | two
+    return settled, {"doc": left["doc"][keep], "low": low[keep], "count": count[keep]}
 
 
 class _Cells:
@@ -167,89 +177,51 @@ class _Cells:
 
     def __init__(self, cells: int) -> None:
         self.cells, self.size = cells, 0
-        self.held: dict[bool, list[dict[str, np.ndarray]]] = {True: [], False: []}
+        self.held: dict[int, list[dict[str, np.ndarray]]] = {SETTLED: [], OPEN: []}
 
-    def add(self, settled: bool, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, kind: int, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(arrays["doc"]):
-            self.held[settled].append(arrays)
+            self.held[kind].append(arrays)
             self.size += len(arrays["doc"])
             if self.size >= 2 * FLUSH:
                 yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        for settled, held in self.held.items():
+        for kind, held in self.held.items():
             if held:
-                got = {k: np.concatenate([x[k] for x in held]) for k in ("doc", "low", "count") + (() if settled else ("gram",))}
+                got = {k: np.concatenate([x[k] for x in held]) for k in ("doc", "low", "count")}
                 doc = got.pop("doc")
-                yield from _send(doc % self.cells, doc, **got)
-        self.held, self.size = {True: [], False: []}, 0
+                yield from _send(kind, doc % self.cells, doc, **got)
+        self.held, self.size = {SETTLED: [], OPEN: []}, 0
 
 
 def _by_doc(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One row for each document of a cell."""
-    done, check = _received(parts, True), _received(parts, False)
-    docs = np.unique(np.concatenate((done["doc"], check["doc"])))
+    both = [_received(parts, kind) for kind in (SETTLED, OPEN)]
+    docs = np.unique(np.concatenate([x["doc"] for x in both]))
     cols: list[pa.Array] = [pa.array(docs)]
-    for got, keys in ((done, ("low", "count")), (check, ("gram", "low", "count"))):
+    for got in both:
         order = np.argsort(got["doc"], kind="stable")
         cuts = np.append(np.searchsorted(got["doc"][order], docs), len(order)).tolist()
-        for k in keys:
-            size = {"gram": 8, "low": 4, "count": 1}[k]
+        for k, size in (("low", 4), ("count", 1)):
             raw = got[k][order].astype(f"<u{size}").tobytes()
             cols.append(pa.array([raw[a * size : b * size] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "low", "count", "check_gram", "check_low", "check_count"])
+    return pa.RecordBatch.from_arrays(cols, ["key", "low", "count", "open_low", "open_count"])
 
 
-def ranks(buf: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all positions of ``buf`` by their next ``length`` bytes (at least 8), by prefix doubling: equal rank, equal bytes.
+def _runs(doc: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
+    """Windows, each by its start, as runs of at most 255 neighbours."""
+    order = np.lexsort((low, doc))
+    doc, low = doc[order], low[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(doc)))
+    cut = -(-size // 255)
+    at = np.arange(int(cut.sum())) - np.repeat(np.cumsum(cut) - cut, cut)
+    head = np.repeat(head, cut) + 255 * at
+    return {"doc": doc[head], "low": low[head].astype(np.uint64), "count": np.minimum(255, np.repeat(size, cut) - 255 * at)}
 
-    Positions start from the number that their first 8 bytes spell; each round sorts the pairs of ranks one offset apart
-    and numbers them again. The last offset is what is missing to ``length``.
-    """
-    n, h = len(buf) - 7, 8
-    value = np.zeros(n, np.uint64)
-    for i in range(8):
-        value = (value << np.uint64(8)) | buf[i : i + n]
-    rank = np.unique(value, return_inverse=True)[1].astype(np.uint64)
-    while h < length:
-        gap = min(h, length - h)
-        pair = (rank[:-gap] << np.uint64(32)) | rank[gap:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        h += gap
-    return rank
-
-
-def _last_round(parts: list[pa.RecordBatch], length: int, limit: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Round 2 for whole gram groups of a bucket, about ``limit`` bytes at a time: ``(doc, low)`` of windows that a smaller document has."""
-    rows = [r for p in parts for r in p.to_pylist()]
-    cat = lambda k, t: np.frombuffer(b"".join(r[k] for r in rows), t)
-    gram, doc, low, count = cat("gram", "<u8"), cat("doc", "<i8"), cat("low", "<u4").astype(np.int64), cat("count", "<u1").astype(np.int64)
-    buf = cat("bytes", np.uint8)
-    size = count + length - 1
-    first = np.cumsum(size) - size
-    order = np.argsort(gram, kind="stable")
-    sorted_gram = gram[order]
-    heads = np.append(np.flatnonzero(np.concatenate(([True], sorted_gram[1:] != sorted_gram[:-1]))), len(order))
-    weight = np.concatenate(([0], np.cumsum(size[order])))
-    lo = 0
-    while lo < len(heads) - 1:
-        hi = max(lo + 1, int(np.searchsorted(weight[heads], weight[heads[lo]] + limit, "right")) - 1)
-        take = order[heads[lo] : heads[hi]]
-        lo = hi
-        s, c = size[take], count[take]
-        at = np.cumsum(s) - s
-        flat = np.arange(int(s.sum())) - np.repeat(at, s) + np.repeat(first[take], s)
-        rank = ranks(buf[flat], length)
-        j = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        who = np.repeat(np.arange(len(take)), c)
-        r, d = rank[at[who] + j].astype(np.int64), doc[take][who]
-        least = np.full(int(r.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, r, d)
-        hit = d > least[r]
-        yield d[hit], (low[take][who] + j)[hit]
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, buckets: int | None = None, as_text: bool = False) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, buckets: int | None = None, as_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``: each text's UTF-8 bytes without those covered by a string of ``length``
     bytes (34 to 200) that also starts in a document with a smaller id.
 
@@ -257,41 +229,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     broken characters. Overlaps count, matches never cross documents,
     and all strings are judged on the input. Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole; rows without an id are left out. Rows that repeat an id are one document: nothing is removed from one for
-    standing in the other. Other columns are dropped.
+    standing in the other, and each keeps its own text. Of other columns, those named in ``keep`` are handed on.
 
-    Windows are taken as equal in round 1 when 96 bits of hash agree; round 2 compares bytes, except for grams that stand
-    in a large share of all documents with different bytes around: their windows are dealt one by one, by the same 96
-    bits, so that no task gets them all.
+    Strings are taken as equal when 96 bits of hash agree, 48 of each of two ranks.
     """
-    rows = keyed(docs, id_col, text_col)
-    n = partitions(rows.sparkSession)
-    buckets = buckets or 2 * n
-    hot = _hot(rows, length)
+    if not 34 <= length <= 200:
+        raise ValueError("length must be from 34 to 200")
+    got = with_keys(keyed(docs, id_col, text_col, keep))
+    shift = got.shift
+    buckets = buckets or got.cells(CELL_BYTES)
+    rows = got.rows
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for doc, low, count, gram, context, buf, at in _found(batches, length):
-            gram, context = gram & _SIX, context & _SIX
-            apart = np.isin(gram, hot) if len(hot) else np.zeros(len(gram), bool)
-            if apart.any():
-                who, j, a, b = _names(buf, at[apart], count[apart], length)
-                held.append((doc[apart][who], low[apart][who] + j, np.ones(len(who), np.int64), a, b))
-                doc, low, count, gram, context = (x[~apart] for x in (doc, low, count, gram, context))
-            held.append((doc, low, count, gram, context))
-            size += len(held[-1][0]) + int(apart.sum()) * 20
+        for found in _found(batches, length):
+            held.append(found)
+            size += len(found[0])
             if size >= FLUSH:
-                yield from _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                yield from _combine(held, buckets, shift)
                 held, size = [], 0
-        if held and size:
-            yield from _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+        if size:
+            yield from _combine(held, buckets, shift)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(buckets)
         for _, parts in grouped(batches):
-            settled, check = _first_round(parts)
-            yield from cells.add(True, **{k: settled[k] for k in ("doc", "low", "count")})
-            yield from cells.add(False, **{k: check[k] for k in ("doc", "low", "count", "gram")})
+            for kind in (SETTLED, OPEN):
+                yield from cells.add(kind, **{k: x for k, x in _received(parts, kind).items() if k in ("doc", "low", "count")})
+            for kind, found in zip((SETTLED, OPEN), _first_round(parts, shift), strict=True):
+                yield from cells.add(kind, **found)
         yield from cells.rest()
 
     def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,55 +266,67 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _by_doc(parts)
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-    sent = dealt(rows.mapInArrow(send, _SENT)).mapInArrow(settle, _SENT)
+    sent = dealt(rows.select("key", "text").mapInArrow(send, _SENT)).mapInArrow(settle, _SENT)
     marks = table(dealt(sent).mapInArrow(by_doc, _MARKS), "marks")
-    both = rows.join(marks, "doc_id", "left").select("doc_id", "text", *_MARKS.replace(" binary", "").replace(" long", "").split(", ")[1:])
+    both = rows.join(marks, "key", "left").select("key", "text", "open_low", "open_count", "low", "count", "doc_id", *keep)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranks of both halves of each window that round 1 left open; of equal ones of a task only the smallest document's, the others being removed."""
+        half = length // 2
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b, doc, low = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((low, doc, b, a))
+            a, b, doc, low = a[order], b[order], doc[order], low[order]
+            new = _first_of(a, b)
+            gone = doc >> shift > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> shift
+            run = _runs(doc[gone], low[gone])
+            yield from _send(SETTLED, run["doc"] % buckets, run["doc"], low=run["low"], count=run["count"])
+            a, b, doc, low = (x[~gone] for x in (a, b, doc, low))
+            yield from _send(RANKED, (a % np.uint64(buckets)).astype(np.int64), doc, a=a, b=b, low=low.astype(np.uint64))
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of what round 1 passed on, by gram."""
-        for part, buf, starts, _ in blocks(batches, 4 << 20):
-            grams, lows, counts = (part.column(i).to_pylist() for i in (4, 5, 6))
-            some = [i for i, g in enumerate(grams) if g]
+        size = 0
+        for part, buf, starts, _ in blocks(batches):
+            lows, counts = (part.column(i).to_pylist() for i in (2, 3))
+            some = [i for i, x in enumerate(lows) if x]
             if not some:
                 continue
-            gram = np.frombuffer(b"".join(grams[i] for i in some), "<u8")
             low = np.frombuffer(b"".join(lows[i] for i in some), "<u4").astype(np.int64)
-            count = np.frombuffer(b"".join(counts[i] for i in some), "<u1")
+            count = np.frombuffer(b"".join(counts[i] for i in some), np.uint8).astype(np.int64)
             per = np.array([len(counts[i]) for i in some])
-            doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False)[some], per)
-            at = low + np.repeat(starts[some], per)
-            size = count.astype(np.int64) + length - 1
-            bucket = (gram % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            s = size[order]
-            data = buf[np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + np.repeat(at[order], s)].tobytes()
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-            ends = np.concatenate(([0], np.cumsum(s)))
-            cols: list[list[bytes]] = [[], [], [], [], []]
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                o = order[a:b]
-                for c, v in zip(cols, (gram[o].tobytes(), doc[o].astype("<i8").tobytes(), low[o].astype("<u4").tobytes(), count[o].tobytes(), data[ends[a] : ends[b]]), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edge[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "gram", "doc", "low", "count", "bytes"])
+            doc, base = (np.repeat(np.repeat(x[some], per), count) for x in (part.column(0).to_numpy(zero_copy_only=False), starts))
+            at = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            view = np.lib.stride_tricks.sliding_window_view(buf, length)
+            for lo in range(0, len(at), FLUSH):
+                wide = view[(at + base)[lo : lo + FLUSH]]
+                held.append((_rank(wide[:, :half], 1), _rank(wide[:, half:], 2), doc[lo : lo + FLUSH], at[lo : lo + FLUSH]))
+                size += len(wide)
+                if size >= FLUSH:
+                    yield from out()
+                    size = 0
+        if size:
+            yield from out()
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(buckets)
         for _, parts in grouped(batches):
-            for doc, low in _last_round(parts, length):
-                order = np.lexsort((low, doc))
-                doc, low = doc[order], low[order]
-                head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (low[1:] != low[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
-                count = np.diff(np.append(head, len(doc)))
-                if len(count) and count.max() > 255:  # a run longer than a byte counts
-                    head, count = np.arange(len(doc)), np.ones(len(doc), np.int64)
-                yield from cells.add(True, doc=doc[head], low=low[head], count=count)
+            done, found = _received(parts, SETTLED), _received(parts, RANKED)
+            yield from cells.add(SETTLED, **{k: done[k] for k in ("doc", "low", "count")})
+            order = np.lexsort((found["doc"], found["b"], found["a"]))
+            a, b, doc, low = (found[k][order] for k in ("a", "b", "doc", "low"))
+            new = _first_of(a, b)
+            gone = doc >> shift > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> shift
+            yield from cells.add(SETTLED, **_runs(doc[gone], low[gone]))
         yield from cells.rest()
 
-    checked = dealt(both.mapInArrow(spans, "bucket int, gram binary, doc binary, low binary, count binary, bytes binary")).mapInArrow(last, _SENT)
-    more = dealt(checked).mapInArrow(by_doc, _MARKS).select("doc_id", F.col("low").alias("more_low"), F.col("count").alias("more_count"))
-    final = both.join(more, "doc_id", "left").select("doc_id", "text", "low", "count", "more_low", "more_count")
+    opened = both.where("open_low is not null and octet_length(open_low) > 0").select("key", "text", "open_low", "open_count")
+    checked = dealt(dealt(opened.mapInArrow(windows, _SENT)).mapInArrow(last, _SENT)).mapInArrow(by_doc, _MARKS)
+    more = checked.select("key", F.col("low").alias("more_low"), F.col("count").alias("more_count"))
+    final = both.join(more, "key", "left").select("doc_id", "text", "low", "count", "more_low", "more_count", *keep)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, starts, ends in blocks(batches, 4 << 20):
@@ -366,9 +345,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(int(gone.sum()))
                 spans_.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(buf[a:b][~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), texts, *part.columns[6:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
-    return final.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return final.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + kinds)
 
 
 def brute_force(texts: dict[int, bytes], length: int = 50) -> dict[int, tuple[int, int, int, str]]:

@@ -59,21 +59,27 @@ def test_suffix(docs, nothing):
 
 
 def test_suffix_hot_passage(spark, monkeypatch):
-    # A passage that all share with different surroundings is dealt window by window; results do not depend on the way.
+    # A passage that all share with different surroundings goes on to round 2 at once; results do not depend on the way.
     hot = words(9, 12)
     rows = [(i, words(100 + i, 6) + hot + words(500 + i, 6)) for i in range(150)]
-    monkeypatch.setattr(suffix, "SAMPLE", 2)
+    monkeypatch.setattr(suffix, "HOT", 3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == suffix.brute_force({d: t.encode() for d, t in rows})
 
 
-def test_ranks_order_nothing_but_equality():
-    buf = np.frombuffer(b"abracadabra abracadabra abracadabra " * 3, np.uint8)
-    rank = suffix.ranks(buf, 20)
-    raw = buf.tobytes()
-    for i in range(0, len(rank) - 20, 3):
-        for j in range(0, len(rank) - 20, 5):
-            assert (rank[i] == rank[j]) == (raw[i : i + 20] == raw[j : j + 20])
+def test_suffix_repeated_ids(spark):
+    # Both rows of an id are one document; each loses what an earlier document has in its own places.
+    one, two, three = (words(k, 60) for k in (31, 32, 33))
+    rows = [(1, one), (1, one), (2, "x" + two + one), (2, two), (2, three + one + three), (3, two + three)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    size = [len(x.encode()) for x in (one, two, three)]
+    assert sorted(got) == sorted([(1, size[0], 0), (1, size[0], 0), (2, 1 + size[0] + size[1], size[0]), (2, size[1], 0), (2, size[0] + 2 * size[2], size[0]), (3, size[1] + size[2], size[1] + size[2])])
+
+
+def test_lines_repeated_ids(spark):
+    rows = [(1, "a common line\nshort\nanother common line"), (2, "another common line\nx"), (2, "y\nanother common line\nyet one more line"), (2, "y\nanother common line\nyet one more line")]
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, "a common line\nshort\nanother common line"), (2, 1, "x"), (2, 1, "y\nyet one more line"), (2, 1, "y\nyet one more line")]
 
 
 def shingle_set(text, n):
@@ -81,8 +87,13 @@ def shingle_set(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (1, 50)])
-def test_ngram_join(docs, nothing, n, num):
+@pytest.mark.parametrize(("n", "num", "side"), [(3, 90, 256), (1, 50, 256), (3, 30, 256), (5, 80, 3)])
+def test_ngram_join(docs, nothing, n, num, side, monkeypatch):
+    # With small sides, large groups are dealt twice and then compared in full as far as they do not hang together; fragments are counted apart.
+    monkeypatch.setattr(ngram_join, "SIDE", side)
+    if side < 256:
+        monkeypatch.setattr(ngram_join, "CROWD", side)
+        monkeypatch.setattr(ngram_join, "FRAGMENT", 60)
     sets = {d: shingle_set(t, n) for d, t in TEXTS.items()}
     root = {d: d for d in sets}
 
@@ -101,6 +112,28 @@ def test_ngram_join(docs, nothing, n, num):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_words_of_one_length_differ():
+    # Thue-Morse words and their complements: polynomials modulo a power of two cannot tell them apart.
+    ends = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for n in (8, 9, 200, 1024, 4096) for k in (0, 1)]
+    buf = np.frombuffer(" ".join(ends).encode(), np.uint8)
+    sets = ngram_join.shingles(buf, np.array([0]), np.array([len(buf)]), 1)
+    assert len(sets[0]) == len(ends)
+    pad = ngram_join.shingles(np.frombuffer(b"abc abc\0 abc\0\0", np.uint8), np.array([0]), np.array([14]), 1)
+    assert len(pad[0]) == 3
+
+
+@pytest.mark.parametrize("num", [30, 50, 80])
+def test_sketches_of_any_width_tie(num):
+    r = np.random.default_rng(num)
+    large = [r.integers(0, 2**63, int(n), dtype=np.uint64) for n in r.integers(100, 900, 30)]
+    small = [x[: max(1, int(len(x) * r.uniform(num / 100 - 0.05, 1)))] for x in large]
+    for x, y in zip(large, small, strict=True):
+        sides = [(np.array([k]), np.array([len(h)]), [ngram_join.sketch(h)]) for k, h in enumerate((x, y))]
+        for left, right in (sides, sides[::-1]):
+            if 100 * len(y) >= num * len(x):
+                assert len(ngram_join.near_ties(left, right, num, 100)[0])
+
+
 def test_signatures_meet_at_the_threshold():
     r = np.random.default_rng(3)
     for num in (90, 80):
@@ -141,6 +174,16 @@ def test_perfect_hash():
     assert len(PerfectHash.build(keys[:0]).find(keys[:3])) == 3
 
 
+def test_lines_whose_first_hashes_agree():
+    h1, h2 = np.array([3, 5, 5, 9], np.uint64), np.array([1, 2, 7, 4], np.uint64)
+    index = lines.Index(h1, h2, np.array([10, 11, 12, 13]), np.array([2, 3, 4, 5]))
+    again = lines.Index.load(index.hash.dump(), index.prints.tobytes(), index.firsts.tobytes(), index.twins.tobytes())
+    ask = (np.array([3, 5, 5, 5, 9, 8], np.uint64), np.array([1, 2, 7, 8, 4, 4], np.uint64))
+    assert again.earlier(*ask, np.full(6, 99), 0).tolist() == [True, True, True, False, True, False]
+    assert again.earlier(*ask, np.full(6, 12), 0).tolist() == [True, True, False, False, False, False]
+    assert not len(lines.Index(h1[:0], h2[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)).earlier(*(x[:0] for x in ask), np.zeros(0, np.int64), 0))
+
+
 def test_bpe(docs, nothing):
     import tiktoken
 
@@ -172,7 +215,8 @@ def test_packing(docs, nothing):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    texts = TEXTS | {1001: "a <|endoftext|> b", 1002: "foo<|startoftext|>bar.<|endoftext|>", 1003: "<|ENDOFTEXT|> É<|endoftext|>É"}
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(d, x) for d, x in texts.items() if d > 1000], "doc_id long, text string"))
     for limit in ({}, {"max_docs": 3}, {"max_cost": 2.0 * 256**2 / 3}):
         capacity = 256 if not limit.get("max_cost") else 200
         out = packing.pack(packing.pieces(docs, path, capacity=capacity, keep_ids=True), capacity=capacity, **limit).where("doc_id is not null").collect()
@@ -180,7 +224,7 @@ def test_packing(docs, nothing):
         for r in out:
             by[r.doc_id].append(r)
             bins[r.sequence_id].append(r)
-        for d, text in TEXTS.items():
+        for d, text in texts.items():
             ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
             found = sorted(by[d], key=lambda r: r.piece)
             assert [x for r in found for x in np.frombuffer(r.ids, "<u4").tolist()] == ids
