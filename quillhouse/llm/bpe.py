@@ -74,7 +74,7 @@ def boundaries(text: str, pattern: str, lo: int, hi: int) -> list[int]:
 _CHUNK = "doc_id long, rn long, chunk int, core int, text string, head array<int>, head_sure array<int>, tail array<int>"
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = 4_096, overlap: int = 256) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` for every row: ``ids`` holds little-endian unsigned 32-bit integers.
 
     Texts of at most ``chunk`` characters are encoded where they are read. Longer ones are cut into chunks that overlap

@@ -27,7 +27,7 @@ FLUSH = 400_000
 #: Anchors of one gram, with different bytes around, that a task sends to round 1 from what it gathered; with more, all go on to round 2, since the gram is not unique.
 HOT = 64
 #: Bytes of text for each cell of the dealing.
-CELL_BYTES = 64 << 20
+CELL_BYTES = 32 << 20
 _COLS = ("a", "b", "doc", "low", "count", "split", "before", "after")
 _SENT = "bucket int, kind int, n int, base long, " + ", ".join(f"{c} binary" for c in _COLS)
 _MARKS = "key long, low binary, count binary, open_low binary, open_count binary"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,12 +22,15 @@ STEMS = (4, 5, 6)
 #: Words on both sides of a hit that make its context window.
 WINDOW = 12
 #: Words near a hit that speak about it rather than use it, and words that address someone. Fixed lists in natural order.
-REPORTING = frozenset("said says say wrote writes called calls word words term quote quoted reported sagte schrieb Wort dit dijo palabra mot".lower().split())
-ADDRESS = frozenset("you your you're u ur du dich dein ihr tu toi vous te tes tú eres usted".split())
+REPORTING = frozenset({
+    "said", "says", "say", "wrote", "writes", "called", "calls", "word", "words", "term", "quote", "quoted", "reported",
+    "sagte", "schrieb", "wort", "dit", "dijo", "palabra", "mot",
+})
+ADDRESS = frozenset({"you", "your", "you're", "u", "ur", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "te", "tes", "tú", "eres", "usted"})
 #: Labelled rows the classifier is fitted on, at most: with label 1, with label 0, those of the least hash.
 FIT_TOXIC, FIT_CLEAN = 6_000, 12_000
-#: Terms that a task counts before it sends them on.
-MOST_TERMS = 400_000
+#: Terms that a task counts before it sends them on, and states that an automaton keeps before it starts anew.
+MOST_TERMS, MOST_STATES = 400_000, 100_000
 
 
 def edits(term: str) -> int:
@@ -59,6 +62,9 @@ class Automaton:
                 node = self.children[node][ch]
                 self.budget[node] = max(self.budget[node], edits(t))
             self.term[node] = t if self.term[node] is None else self.term[node]
+        self._reset()
+
+    def _reset(self) -> None:
         self.steps: list[dict[str, int]] = []
         self.states: list[frozenset] = []
         self.ends: list[tuple[str, int] | None] = []
@@ -101,6 +107,8 @@ class Automaton:
         return got
 
     def match(self, word: str) -> tuple[str, int] | None:
+        if len(self.states) > MOST_STATES:
+            self._reset()
         state = self.start
         for ch in word:
             nxt = self.steps[state].get(ch)
@@ -135,17 +143,23 @@ class Model:
         abuse = quote = form = address = 0.0
         dense = 0
         exact = [i for i, _, used in hits if not used]
+        reports = [i for i, w in enumerate(words) if w in REPORTING]
+        spoken_to = [i for i, w in enumerate(words) if w in ADDRESS]
+
+        def near(places: list[int], i: int) -> int:
+            """How many of the places lie in the window around ``i``."""
+            return bisect_right(places, i + WINDOW) - bisect_left(places, i - WINDOW)
+
         for i, _, used in hits:
-            near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            says = i in quoted or any(w in REPORTING for w in near)
+            says = i in quoted or near(reports, i) > 0
             if used:
                 form += self.forms.get(words[i], self.rare) * (0.5 if says else 1.0)
             elif says:
                 quote += 1
             else:
                 abuse += 1
-                address += any(w in ADDRESS for w in near)
-            dense = max(dense, sum(1 for j in exact if abs(j - i) <= WINDOW))
+                address += near(spoken_to, i) > 0
+            dense = max(dense, near(exact, i))
         return [1.0, math.log1p(abuse), math.log1p(quote), max(-4.0, min(6.0, form)), float(dense), float(bool(exact)), math.log1p(address), math.log1p(1000 * len(exact) / max(1, len(words)))]
 
     @staticmethod
@@ -154,12 +168,12 @@ class Model:
         out: set[int] = set()
         at = 0
         for line in text.lower().split("\n"):
-            spans = [m.start() for m in _QUOTE.finditer(line)]
-            pairs = list(zip(spans[::2], spans[1::2], strict=False))
-            found = list(_WORD.finditer(line))
-            if pairs:
-                out.update(at + k for k, m in enumerate(found) if any(a < m.start() < b for a, b in pairs))
-            at += len(found)
+            marks = [m.start() for m in _QUOTE.finditer(line)]
+            paired = len(marks) // 2 * 2
+            starts = [m.start() for m in _WORD.finditer(line)]
+            # Between the marks of a pair an odd number of marks lies before a word.
+            out.update(at + k for k, x in enumerate(starts) if (before := bisect_right(marks, x)) % 2 and before < paired)
+            at += len(starts)
         return out
 
     def score(self, text: str) -> float:
@@ -234,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: flo
     their id. Terms are counted and held against ``precision`` on the executors; the driver gets the precise ones that
     ``least`` toxic rows hold, however large the sample, and their numbers for each row. Against twice as many clean rows
     a term that none of them holds is precise from 9 toxic rows on. Labels, language, source and id are no inputs of a
-    score.
+    score. Without any labelled row nothing counts as toxic.
     """
     train = labels.where("doc_id is not null and toxic is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out)) != 0)
     train = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -303,10 +317,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, precision: flo
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, *_ in blocks(batches):
             x = [model.features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
-
-    data = rows.mapInArrow(describe, "toxic int, x array<double>").toPandas()
-    if len(data):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+
+    data = rows.mapInArrow(describe, "doc_id long, toxic int, x array<double>").toPandas()
+    if not len(data):
+        model.weights[0] = -4.0
+    else:
+        data["order"] = data["x"].map(tuple)  # the same sums wherever the rows came from
+        data = data.sort_values(["doc_id", "order"])
         model.weights = logistic(np.array(data["x"].tolist()), data["toxic"].to_numpy(float))
     return model
 

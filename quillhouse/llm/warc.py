@@ -5,23 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text; elements that end a line; entities, the ampersand's own last. Fixed values.
+#: Elements whose content is no text; elements that end a line; named entities. Fixed values.
 SILENT = ("script", "style", "noscript", "template", "svg")
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&",
+    "iexcl": "¡", "cent": "¢", "pound": "£", "yen": "¥", "sect": "§", "copy": "©", "laquo": "«", "raquo": "»", "reg": "®", "deg": "°", "plusmn": "±", "para": "¶", "middot": "·", "iquest": "¿", "times": "×", "divide": "÷",
+    "Agrave": "À", "Aacute": "Á", "Acirc": "Â", "Atilde": "Ã", "Auml": "Ä", "Aring": "Å", "AElig": "Æ", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ecirc": "Ê", "Euml": "Ë", "Iacute": "Í", "Icirc": "Î", "Iuml": "Ï",
+    "Ntilde": "Ñ", "Oacute": "Ó", "Ocirc": "Ô", "Ouml": "Ö", "Oslash": "Ø", "Uacute": "Ú", "Ucirc": "Û", "Uuml": "Ü", "szlig": "ß",
+    "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í", "icirc": "î", "iuml": "ï",
+    "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "uacute": "ú", "ugrave": "ù", "ucirc": "û", "uuml": "ü", "oelig": "œ",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„", "bull": "•", "hellip": "…", "euro": "€", "trade": "™",
+}
+#: An entity by name or number; numbers of at most six digits that are a character.
+ENTITY = "&([A-Za-z]{2,8}|#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5});"
 CRLF = "\r\n"
 
 
+def _silent(tag: str) -> str:
+    return rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?(?:</{tag}(?:[\s/][^>]*)?>|\z)"
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for, null if that is not known; a space for a number that is no character or a control character."""
+    number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 5), 16, 10)).when(entity.startswith("#"), F.substring(entity, 2, 6)).cast("int")
+    plain = (number >= 32) & ~number.between(0x7F, 0xA0) & ~number.between(0xD800, 0xDFFF) & (number <= 0x10FFFF)
+    char = F.when(plain, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(" "))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), entity)
+    return F.when(entity.startswith("#"), char).otherwise(named)
+
+
+def _read_entities(text: Column) -> Column:
+    """``text`` with its entities read once: those that give an ampersand come last."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
+    known = F.filter(F.transform(found, lambda e: F.struct(e.alias("e"), _character(e).alias("c"))), lambda x: x["c"].isNotNull())
+    put = lambda acc, x: F.replace(acc, F.concat(F.lit("&"), x["e"], F.lit(";")), x["c"])
+
+    def both(k: Column) -> Column:
+        first = F.aggregate(F.filter(k, lambda x: x["c"] != "&"), text, put)
+        return F.aggregate(F.filter(k, lambda x: x["c"] == "&"), first, put)
+
+    return F.when(F.contains(text, F.lit("&")), F.get(F.transform(F.array(known), both), F.lit(0))).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Visible text: silent elements and comments gone, breaking tags as line ends, entities read, white space collapsed."""
-    out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    """Visible text: silent elements and comments gone, breaking tags as line ends, entities read, white space collapsed.
+
+    A silent element or comment that is never closed goes to the end of the page.
+    """
+    out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     for tag in SILENT:
-        out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}[^>]*>", "")
+        out = F.regexp_replace(out, _silent(tag), "")
     out = F.regexp_replace(out, r"[ \t\r\n\f]+", " ")
     out = F.regexp_replace(out, f"(?i)</?({BREAKING})(/| [^>]*)?>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = F.get(F.transform(F.array(out), _read_entities), F.lit(0))
     return F.btrim(F.regexp_replace(F.regexp_replace(out, " +", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
@@ -76,7 +114,8 @@ def derive(source: DataFrame) -> DataFrame:
 def render(records: DataFrame) -> DataFrame:
     """``records`` with ``warc``: each record in WARC/1.1 form, header lines, blank line, block and two line ends."""
     lines = [
-        ("WARC-Type", "kind"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+        ("WARC-Type", "kind"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "date"),
+        ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
         ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"),
     ]
     head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *[x for name, c in lines for x in (F.lit(f"{name}: "), F.col(c), F.lit(CRLF))], F.lit("Content-Length: "), F.col("content_length").cast("string"), F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2))
@@ -86,14 +125,18 @@ def render(records: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The registered query in DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
+    text = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g')"
     for tag in SILENT:
-        text = f"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?</{tag}[^>]*>', '', 'g')"
+        text = f"regexp_replace({text}, '{_silent(tag)}', '', 'g')"
     text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
     text = f"regexp_replace({text}, '(?i)</?({BREAKING})(/| [^>]*)?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, {quote(name)}, {quote(char)})"
+    names = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in ENTITIES.items())
+    number = "(case when e[2] in ('x', 'X') then ('0x' || e[3:])::int else e[2:]::int end)"
+    char = f"case when e[1] <> '#' then map {{{names}}}[e] when {number} < 32 or {number} between 127 and 160 or {number} between 55296 and 57343 or {number} > 1114111 then ' ' else chr({number}) end"
+    put = "lambda t, p: {'e': '', 'c': '', 't': replace(t.t, '&' || p.e || ';', p.c)}"
+    text = f"""(select list_reduce([{{'e': '', 'c': '', 't': raw}}] || list_filter(ents, lambda p: p.c <> '&') || list_filter(ents, lambda p: p.c = '&'), {put}).t
+      from (select raw, list_filter(list_transform(list_distinct(regexp_extract_all(raw, {quote(ENTITY)}, 1)), lambda e: {{'e': e, 'c': {char}, 't': ''}}), lambda p: p.c is not null) as ents from (select {text} as raw)))"""
     text = rf"trim(regexp_replace(regexp_replace({text}, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     urn = lambda x: f"(select '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' from (select md5({x}) as h))"
     crlf = "chr(13) || chr(10)"

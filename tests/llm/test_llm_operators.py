@@ -353,6 +353,56 @@ def test_licenses(spark):
     assert got[5][0] == "Apache-2.0" and got[None][0] == "ISC" and got[6][1] == {"MIT", "GPL-3.0"}
 
 
+def test_licenses_name_themselves():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    first = lambda x: next((f[0] for f in scanner.find(x)), None)
+    cases = {
+        "released under the new license": None, "Released under the Apache License.": None, "GNU General Public License, version 2": None, "Licensed under CC BY 4.0.": "CC-BY-4.0-short", "CC BY-SA 4.0.": None,
+        "licensed under CC BY-SA 4.0": "CC-BY-SA-4.0-short", "Licensed under the Apache License, Version 1.1": None, "// SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0", "The MIT License": "MIT-title",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "a license, mit or not": None,
+    }
+    assert {x: first(x) for x in cases} == cases
+    for name, text in licenses.TEMPLATES.items():
+        assert first(f"before it {text} after it") == name, name
+
+
+def test_longest_increasing_run():
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randint(0, 9)
+        pairs = list(zip(range(n), r.sample(range(20), n), strict=True))
+        best = max((bin(k).count("1") for k in range(1 << n) if (lambda s: all(x[1] < y[1] for x, y in zip(s[:-1], s[1:], strict=True)))([p for i, p in enumerate(pairs) if k >> i & 1])), default=0)
+        got = licenses._increasing(pairs)
+        assert len(got) == best and set(got) <= set(pairs) and got == sorted(got, key=lambda p: p[1])
+
+
+def test_warc_entities_and_code(spark):
+    html = "a &#233;&#xE9;&eacute; &mdash; &#x1F600; &amp;lt; &#38;gt; &nope; &#0; &#xD800; <scripture>kept</scripture><script>gone</script><p>end<script src=x>never closed <b>x"
+    rows = spark.createDataFrame([(1, "u", html, "w", "m")], "page_id long, url string, html string, kind string, block string")
+    out = {r.kind: r.block for r in warc.derive(warc.responses(rows)).collect()}
+    assert out["conversion"] == "a ééé — 😀 &lt; &gt; &nope; kept\nend"
+
+
+def test_toxicity_of_nothing_and_long_abuse(spark):
+    import time
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "you idiot", 3, "t"), (2, None, 3, "t"), (None, "x", 3, "t")], "doc_id long, text string, score int, toxic string")
+    assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
+    model = toxicity.Model(["idiot", "scumbag"], {}, 0.5)
+    text = "you scumbag, he said \"idiot\" and idoit " * 20_000
+    began = time.time()
+    f = model.features(text)
+    assert time.time() - began < 10 and f[5] == 1.0
+    small = model.features("he said \"idiot\" today")
+    assert small[1] == 0 and small[2] == np.log1p(1) and small[4] == 1.0
+    words_ = toxicity.tokens(text[:4000])
+    hits = [i for i, w in enumerate(words_) if (m := model.automaton.match(w)) and not m[1]]
+    assert model.features(text[:4000])[4] == max(sum(abs(i - j) <= toxicity.WINDOW for j in hits) for i in hits)
+
+
 def test_patience_alignment_is_increasing():
     r = random.Random(8)
     for _ in range(200):
