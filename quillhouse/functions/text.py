@@ -9,6 +9,15 @@ TITLE_CHARS = 200
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, parsed; else null.
+
+    The parser by itself reads the first value and leaves what follows it: as the only item of a list it may not stand
+    beside anything.
+    """
+    return F.when(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.try_parse_json(text))
+
+
 def slug(path: Column) -> Column:
     """An absolute path as a project slug: everything but letters, digits and ``-`` becomes ``-``."""
     return F.regexp_replace(path, "[^A-Za-z0-9-]", "-")

@@ -59,6 +59,24 @@ def block_rows(records: DataFrame) -> DataFrame:
     return records.select("transcript", "session_uuid", "line_number", F.posexplode("blocks").alias("block_index", "b")).select("transcript", "session_uuid", "line_number", "block_index", "b.*")
 
 
+def call_result_pairs(calls: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each tool call with the lines that hold its results."""
+    results = rows.where("kind = 'tool_result'").select("transcript", "tool_id", F.col("line_number").alias("result_line"))
+    return calls.select("transcript", "tool_id", "tool_name", F.col("line_number").alias("call_line")).join(results, ["transcript", "tool_id"])
+
+
+def parent_links(messages: DataFrame) -> DataFrame:
+    """Each message with the line of the one it answers, one hop."""
+    parent = messages.select("transcript", F.col("uuid").alias("parent_uuid"), F.col("line_number").alias("parent_line"))
+    return messages.join(parent, ["transcript", "parent_uuid"]).select("transcript", "line_number", "parent_line")
+
+
+def dispatches(rows: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Tool uses that sent off a captured subagent: ``sidecars`` has ``session_uuid, agent_hex, tool_use_id``."""
+    agents = sidecars.where("tool_use_id is not null").select(F.col("session_uuid").alias("_session"), "agent_hex", F.col("tool_use_id").alias("tool_id"))
+    return rows.where("kind = 'tool_use'").join(agents, "tool_id").drop("_session")
+
+
 def usage_rows(parsed: DataFrame) -> DataFrame:
     """Token counters of assistant records that report any."""
     names = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]

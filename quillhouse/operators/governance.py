@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillhouse.sources.export import pieces
+
 #: Anomalies of the capture phase, which a rebuild keeps; all others it finds again. Fixed values.
 KEPT_ANOMALIES = ("uuid_content_conflict", "source_diverged", "source_reappeared", "file_ingest_failure")
 
@@ -48,6 +50,46 @@ def cascade(tables: dict[str, DataFrame], doomed: DataFrame, key: str = "session
     return {name: rows.join(gone, key, "left_anti") for name, rows in tables.items()}
 
 
+def scrub(snapshots: dict[str, dict[str, DataFrame]], doomed: DataFrame, key: str = "session_uuid") -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
+    """The cascade in every snapshot: its tables without the doomed rows, and ``(snapshot, was_present)``, whether it had any."""
+    left = {name: cascade(tables, doomed, key) for name, tables in snapshots.items()}
+    report = None
+    for name, tables in snapshots.items():
+        held = None
+        for rows in tables.values():
+            n = scope(rows, doomed, key).agg((F.count("*") > 0).alias("was_present"))
+            held = n if held is None else held.unionByName(n)
+        one = held.agg(F.bool_or("was_present").alias("was_present")).select(F.lit(name).alias("snapshot"), "was_present")
+        report = one if report is None else report.unionByName(one)
+    return left, report
+
+
+def run_counters(records: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """``(run_id, files_seen, records_added, records_skipped_duplicate, anomalies, status)`` of each run.
+
+    ``records`` has ``run_id, file, is_duplicate``, ``anomalies`` has ``run_id, severity``. A run with an error among its
+    anomalies has the status ``errors``, else ``ok``; a run that only has anomalies saw no file.
+    """
+    taken = records.groupBy("run_id").agg(F.countDistinct("file").alias("files_seen"), F.count_if(~F.col("is_duplicate")).alias("records_added"), F.count_if("is_duplicate").alias("records_skipped_duplicate"))
+    noted = anomalies.groupBy("run_id").agg(F.count("*").alias("anomalies"), F.bool_or(F.col("severity") == "error").alias("_bad"))
+    both = taken.join(noted, "run_id", "full").fillna(0, ["files_seen", "records_added", "records_skipped_duplicate", "anomalies"])
+    return both.withColumn("status", F.when(F.coalesce("_bad", F.lit(False)), "errors").otherwise("ok")).drop("_bad")
+
+
+def recapture_counters(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
+    """``(key, records_before, records_after, anomalies_before, anomalies_after, reconciled)`` of files that are split anew.
+
+    Both have ``key, line_number, raw, is_anomaly``. A file whose bytes would change is refused: its counters stay as before.
+    """
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count("*").alias(f"records_{name}"), F.count_if("is_anomaly").alias(f"anomalies_{name}"))
+
+    both = counted(before, "before").join(counted(after, "after"), key, "left").join(same_bytes(before, after, key).select(key, "may_swap"), key, "left")
+    swap = F.coalesce("may_swap", F.lit(False))
+    kept = [F.when(swap, F.col(f"{x}_after")).otherwise(F.col(f"{x}_before")).alias(f"{x}_after") for x in ("records", "anomalies")]
+    return both.select(key, "records_before", "anomalies_before", *kept, swap.alias("reconciled"))
+
+
 def preview(tables: dict[str, DataFrame], doomed: DataFrame, key: str = "session_uuid") -> DataFrame:
     """How many rows of each table a deletion would take."""
     counts = [scope(rows, doomed, key).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows") for name, rows in tables.items()]
@@ -69,12 +111,16 @@ def rebuilt_anomalies(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def same_bytes(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
-    """Which files keep their exact bytes when split again; only those may be swapped."""
+    """Which files keep their exact bytes when split again; only those may be swapped.
+
+    Both are cut into chunks of bounded size, and the chunks' digests are compared in order; no cell holds a whole file.
+    """
 
     def digest(lines: DataFrame, name: str) -> DataFrame:
-        return lines.groupBy(key).agg(F.sha2(F.expr("listagg(raw, X'') within group (order by line_number)"), 256).alias(name), F.count("*").alias(f"n_{name}"))
+        items = F.array_sort(F.collect_list(F.struct("block", "sha")))
+        return pieces(lines, key).groupBy(key).agg(F.sha2(F.array_join(F.transform(items, lambda x: x["sha"]), ""), 256).alias(name), F.sum("n_bytes").alias(f"n_{name}"))
 
-    return digest(before, "old").join(digest(after, "new"), key).withColumn("may_swap", F.col("old") == F.col("new"))
+    return digest(before, "old").join(digest(after, "new"), key).withColumn("may_swap", (F.col("old") == F.col("new")) & (F.col("n_old") == F.col("n_new")))
 
 
 def double_primaries(files: DataFrame) -> DataFrame:

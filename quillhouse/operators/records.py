@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillhouse.functions.text import whole_json
+
 #: The fields that each record type declares, and those shared by the conversational types.
 ENVELOPE = "type uuid parentUuid sessionId timestamp cwd version gitBranch isSidechain userType entrypoint agentId slug isMeta session_id".split()
 OWN = {
@@ -54,7 +56,7 @@ def parse(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     """
     text = F.try_validate_utf8(F.col(raw_col).cast("string"))
     out = once(lines, {"text": text})
-    out = once(out, {"blank": F.coalesce(F.btrim("text", F.lit(" \t\r\n")) == "", F.lit(False)), "v": F.try_parse_json("text")})
+    out = once(out, {"blank": F.coalesce(F.btrim("text", F.lit(" \t\r\n")) == "", F.lit(False)), "v": whole_json(F.col("text"))})
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     out = once(out, {"is_object": ~F.col("blank") & is_object}).withColumn("v", F.when(~F.col("blank"), F.col("v")))
     out = once(out, {"rtype": F.when(F.col("is_object"), field("type"))})
@@ -124,6 +126,17 @@ def envelope(parsed: DataFrame) -> DataFrame:
     return once(parsed, columns)
 
 
+def primary_only(parsed: DataFrame, primary: DataFrame) -> DataFrame:
+    """What is interpreted: rows without errors of the file that was elected for their transcript (``transcript, file``)."""
+    return parsed.where("status <> 'anomaly'").join(primary.select("transcript", "file"), ["transcript", "file"], "left_semi")
+
+
+def unswept(lines: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Captured lines that were never interpreted: without a stamp, and without a failure of their own, which would only fail again."""
+    failed = anomalies.where("kind = 'interpret_failure'").select("transcript", "line_number")
+    return lines.where("schema_version is null").join(failed, ["transcript", "line_number"], "left_anti")
+
+
 def anomaly_rows(parsed: DataFrame) -> DataFrame:
     """One row for each anomaly, with the line it belongs to."""
     return parsed.select("transcript", "line_number", F.explode("anomalies").alias("a")).select("transcript", "line_number", "a.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillhouse.functions.stems import stem
+from quillhouse.operators.authorship import DIALOGUE_KINDS
+
 #: Fixed values of the ranking function; the idf of a term in more than half of all blocks.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS, GROUP_HITS = 12, 5
@@ -41,26 +41,34 @@ def deindex(posts: DataFrame, gone: DataFrame, key: str = "block_key") -> DataFr
     return posts.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def phrase_hits(posts: DataFrame, queries: DataFrame, key: str = "block_key") -> DataFrame:
+def vocabulary(posts: DataFrame) -> DataFrame:
+    """``(term, stem)`` of the index: the work follows the number of different terms and not the corpus."""
+    return posts.select("term").distinct().withColumn("stem", stem(F.col("term")))
+
+
+def phrase_hits(posts: DataFrame, queries: DataFrame, key: str = "block_key", words: DataFrame | None = None) -> DataFrame:
     """``(query_id, phrase, key, tf)``: how often each phrase of each query stands in a block, its tokens side by side.
 
     ``queries`` has ``query_id`` and ``phrases``, an array of arrays of terms; it is small and bounded by the caller, so
     postings are cut down to its terms before anything is shuffled. A phrase's tokens meet where position less place in
-    the phrase agree.
+    the phrase agree. With ``words``, the index's ``vocabulary``, a term stands for all words of its stem: the query is
+    widened to them, so postings stay as they are and none is joined with the vocabulary.
     """
     asked = queries.select("query_id", F.posexplode("phrases").alias("phrase", "terms")).select("query_id", "phrase", F.size("terms").alias("width"), F.posexplode("terms").alias("place", "term"))
+    if words is not None:
+        asked = words.join(F.broadcast(asked.withColumn("stem", stem(F.col("term"))).drop("term")), "stem").drop("stem")
     met = posts.join(F.broadcast(asked), "term").groupBy("query_id", "phrase", "width", key, (F.col("pos") - F.col("place")).alias("start")).agg(F.countDistinct("place").alias("got"))
     return met.where("got = width").groupBy("query_id", "phrase", key).agg(F.count("*").alias("tf"))
 
 
-def search(queries: DataFrame, posts: DataFrame, blocks: DataFrame, stats: tuple[DataFrame, DataFrame, DataFrame], key: str = "block_key") -> DataFrame:
+def search(queries: DataFrame, posts: DataFrame, blocks: DataFrame, stats: tuple[DataFrame, DataFrame, DataFrame], key: str = "block_key", words: DataFrame | None = None) -> DataFrame:
     """``(query_id, key, rank)`` of blocks that hold every phrase of a query; the lower the rank, the better.
 
     Rank is BM25 negated, each phrase counting as one term with its own document frequency over the whole index; sums
-    are rounded to four places. A query that asks for nothing has no hits.
+    are rounded to four places. A query that asks for nothing has no hits. With ``words`` it is words of one stem that meet.
     """
     lengths, _, total = stats
-    hits = phrase_hits(posts, queries, key)
+    hits = phrase_hits(posts, queries, key, words)
     phrase_df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     n, avg = F.col("n").cast("double"), F.col("avg_length").cast("double")
     idf = F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
@@ -78,6 +86,18 @@ def top(hits: DataFrame, limit: int, offset: int = 0, key: str = "block_key") ->
     return hits.withColumn("place", F.row_number().over(w)).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
+def best_of_page(hits: DataFrame, limit: int, offset: int = 0, key: str = "block_key") -> DataFrame:
+    """One row for each session among a page of hits, its best hit of the page, in the order of the page."""
+    paged = top(hits, limit, offset, key)
+    w = Window.partitionBy("query_id", "session_uuid").orderBy("place")
+    return paged.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def totals(hits: DataFrame) -> DataFrame:
+    """``(query_id, total, sessions)`` of all hits of a query, whatever page is shown."""
+    return hits.groupBy("query_id").agg(F.count("*").alias("total"), F.countDistinct("session_uuid").alias("sessions"))
+
+
 def best_per_session(hits: DataFrame, key: str = "block_key") -> DataFrame:
     """The best hit of each session for each query."""
     w = Window.partitionBy("query_id", "session_uuid").orderBy("rank", key)
@@ -93,10 +113,8 @@ def grouped_page(hits: DataFrame, limit: int, offset: int = 0, cap: int = GROUP_
 
 
 def source_bucket(author: Column, kind: Column) -> Column:
-    """Which of three sources a block belongs to: ``agents`` for subagent transcripts, ``chat`` for people and the assistant, else ``system``."""
-    from quillhouse.operators.authorship import CHAT_KINDS
-
-    return F.when(kind == "subagent", "agents").when(author.isin(*CHAT_KINDS), "chat").otherwise("system")
+    """Which of three sources a block belongs to: ``agents`` for subagent transcripts, ``chat`` for the dialogue of a person and the assistant, else ``system``."""
+    return F.when(kind == "subagent", "agents").when(author.isin(*DIALOGUE_KINDS), "chat").otherwise("system")
 
 
 def in_sources(rows: DataFrame, sources: list[str] | None) -> DataFrame:
@@ -109,7 +127,10 @@ def in_sources(rows: DataFrame, sources: list[str] | None) -> DataFrame:
 
 
 def snippet(text: Column, terms: Column, width: int = SNIPPET_TOKENS) -> Column:
-    """The earliest window of ``width`` words with the most different terms, hits in ``<mark>``, ``…`` where it is cut."""
+    """The earliest window of ``width`` words with the most different terms, hits in ``<mark>``, ``…`` where it is cut.
+
+    ``terms`` are words as they stand in the index, all forms of a stem among them.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
     def within(words_: Column) -> Column:
@@ -124,31 +145,3 @@ def snippet(text: Column, terms: Column, width: int = SNIPPET_TOKENS) -> Column:
         return F.concat(F.when(at > 0, F.lit("…")).otherwise(""), F.array_join(shown, " "), F.when(F.size(words_) > at + width, F.lit("…")).otherwise(""))
 
     return F.get(F.transform(F.array(words), within), F.lit(0))
-
-
-def fold(term: str) -> str:
-    """A term without diacritics and without common English endings (a light stemmer in place of the full one)."""
-    import unicodedata
-
-    t = "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
-    for end, least in (("ational", 4), ("ations", 4), ("ation", 4), ("ingly", 4), ("edly", 4), ("ing", 3), ("ies", 2), ("ed", 3), ("es", 3), ("ly", 4), ("s", 3)):
-        if t.endswith(end) and len(t) - len(end) >= least:
-            t = t[: len(t) - len(end)] + ("y" if end == "ies" else "")
-            break
-    return t[:-1] if len(t) > 3 and t[-1] == t[-2] and t[-1] not in "aeiouls" else t
-
-
-def stems(posts: DataFrame) -> DataFrame:
-    """``(term, stem)`` of the vocabulary: the work follows the number of different terms and not the corpus."""
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(fold)
-
-    return posts.select("term").distinct().withColumn("stem", run("term"))
-
-
-def stemmed(posts: DataFrame) -> DataFrame:
-    """Postings by stem."""
-    return posts.join(stems(posts), "term").drop("term").withColumnRenamed("stem", "term")

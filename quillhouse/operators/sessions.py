@@ -104,12 +104,37 @@ def around(view: DataFrame, targets: DataFrame, limit: int = PAGE) -> DataFrame:
     """For each target message the page of the view that centres it; targets that the view filters out have none.
 
     ``targets`` has ``transcript, target``; the page starts ``limit // 2`` before the target's ordinal, at 0 at least.
+    Every place of a page is a key of its own, so a target meets ``limit`` messages and not the whole transcript.
     """
     place = F.row_number().over(Window.partitionBy("transcript").orderBy("line_number")) - 1
     numbered = view.withColumn("ordinal", place)
     at = numbered.select("transcript", F.col("line_number").alias("target"), F.col("ordinal").alias("at")).join(targets, ["transcript", "target"])
     first = F.greatest(F.lit(0), F.col("at") - limit // 2)
-    return numbered.join(at, "transcript").where((F.col("ordinal") >= first) & (F.col("ordinal") < first + limit)).withColumn("first_ordinal", first).drop("at")
+    pages = at.withColumn("first_ordinal", first).withColumn("ordinal", F.explode(F.sequence(first, first + limit - 1))).drop("at")
+    return numbered.join(pages, ["transcript", "ordinal"])
+
+
+def message_page(messages: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """A page of each transcript's messages in their order."""
+    place = F.row_number().over(Window.partitionBy("transcript").orderBy("line_number"))
+    return messages.withColumn("_place", place).where((F.col("_place") > max(0, offset)) & (F.col("_place") <= max(0, offset) + min(MOST, max(1, limit)))).drop("_place")
+
+
+def transcript_list(transcripts: DataFrame) -> DataFrame:
+    """Each session's transcripts in one array, the main one first, then by name."""
+    item = F.struct("kind", "transcript", "agent_hex")
+    return transcripts.groupBy("session_uuid").agg(F.array_sort(F.collect_list(item)).alias("transcripts"))
+
+
+def project_options(projects: DataFrame, text: str, selected: DataFrame) -> DataFrame:
+    """Projects whose name holds a text, letter case aside, without those selected already, by name."""
+    left = projects.select("project_slug").distinct().join(selected.select("project_slug").distinct(), "project_slug", "left_anti")
+    return left.where(substring_match(text.strip(), "project_slug")).orderBy("project_slug")
+
+
+def run_list(runs: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Import runs, newest first."""
+    return page(runs, [F.desc("run_id")], limit, offset)
 
 
 def neighbours(view: DataFrame) -> DataFrame:

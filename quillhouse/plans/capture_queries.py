@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillhouse.functions.text import whole_json
 from quillhouse.operators import governance, records
-from quillhouse.plans import feed
+from quillhouse.operators.sessions import run_list
+from quillhouse.plans import feed, lake
 from quillhouse.plans.record_queries import oracle, parsed
 from quillhouse.plans.registry import query
 from quillhouse.sources import export, transcripts
@@ -53,15 +57,69 @@ def batch_of(owner: str, number: str) -> Column:
     return F.concat_ws("/", F.col(owner), F.floor(F.col(number) / FILE_ROWS))
 
 
-@query("src6_reassembled_records", "select user_id as path, count(*) as n_records, sum(strlen(props) + 5)::bigint as n_bytes from events group by 1")
+#: How an event is written down: over several lines, on one, as an opener that a whole record of its own follows, or with brackets that never were JSON.
+EVENT_SHAPE = "case event_id % 4 when 0 then 'pretty' when 1 then 'native' when 2 then 'swallowing' else 'broken' end"
+EVENT_BODY = {"pretty": ('{\n "p":\n ', "\n}\n"), "native": ("", "\n"), "swallowing": ('{"a":[\n', "\n]}\n"), "broken": ("{\n not json ", "\n}\n")}
+#: What every file ends with: a record that is still being written.
+EVENT_TAIL = '{\n "open":\n'
+#: Records, lines before joining, lines that are no JSON before and after, of each shape.
+EVENT_COUNTS = {"pretty": (1, 4, 3, 0), "native": (1, 1, 0, 0), "swallowing": (3, 3, 2, 2), "broken": (3, 3, 3, 3)}
+
+
+def event_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as files of several shapes of records, with an open one at the end."""
+    e = feed.read(spark, d, "events").select(F.col("user_id").alias("user"), batch_of("user_id", "event_id").alias("path"), "event_id", F.expr(EVENT_SHAPE).alias("shape"), F.coalesce("props", F.lit("{}")).alias("props"))
+    body = F
+    for shape, (head, end) in EVENT_BODY.items():
+        body = body.when(F.col("shape") == shape, F.concat(F.lit(head), F.col("props"), F.lit(end)))
+    rows = e.withColumn("body", body).groupBy("user", "path").agg(F.array_sort(F.collect_list(F.struct("event_id", "body"))).alias("b"))
+    return rows.select("user", "path", F.concat(F.array_join("b.body", ""), F.lit(EVENT_TAIL)).cast("binary").alias("content"))
+
+
+def _of_shape(column: str, values: dict[str, int]) -> str:
+    return "case shape " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + f" end {column}"
+
+
+EVENT_SQL = f"ev as (select user_id as path, coalesce(props, '{{}}') as props, {EVENT_SHAPE} as shape, event_id // {FILE_ROWS} as batch from events), ec as (select path, batch, props, " + ", ".join(
+    [_of_shape(name, {k: v[i] for k, v in EVENT_COUNTS.items()}) for i, name in enumerate(("n_records", "n_lines", "bad_before", "bad_after"))] + [_of_shape("extra", {k: len(a) + len(b) for k, (a, b) in EVENT_BODY.items()})]
+) + " from ev)"
+
+
+@query("src6_reassembled_records", f"with {EVENT_SQL} select path, sum(n_records)::bigint as n_records, sum(strlen(props) + extra)::bigint as n_bytes from ec group by 1")
 def reassembled(spark: SparkSession, d: str) -> DataFrame:
-    e = feed.read(spark, d, "events").select(F.col("user_id").alias("user"), batch_of("user_id", "event_id").alias("path"), "event_id", F.concat(F.lit('{\n "p":\n'), F.lit(""), F.lit("")).alias("head"), "props")
-    body = F.concat(F.lit("[\n"), F.col("props"), F.lit("\n]\n"))
-    files = e.withColumn("body", body).groupBy("user", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "body"))), lambda x: x["body"]), "").cast("binary").alias("content"))
-    out = transcripts.reassembled(transcripts.split_lines(files))
+    out = transcripts.reassembled(transcripts.split_lines(event_files(spark, d)))
     return out.groupBy(F.col("user").alias("path")).agg(F.count("*").alias("n_records"), F.sum(F.octet_length("raw")).cast("long").alias("n_bytes"))
 
 
+@query("agg11_recapture_counters", f"""with {EVENT_SQL}, open_ as (select *, path % 2 = 1 as is_open from ec)
+select path || '/' || batch as path, sum(n_lines)::bigint + case when is_open then 2 else 0 end as records_before, sum(bad_before)::bigint + case when is_open then 2 else 0 end as anomalies_before,
+  case when is_open then sum(n_lines)::bigint + 2 else sum(n_records)::bigint end as records_after, case when is_open then sum(bad_before)::bigint + 2 else sum(bad_after)::bigint end as anomalies_after, not is_open as reconciled
+from open_ group by path, batch, is_open""")
+def recaptured(spark: SparkSession, d: str) -> DataFrame:
+    """Files once captured line by line and now split anew; those that end in an open record are refused."""
+    files = event_files(spark, d)
+    whole = F.expr(f"substring(content, 1, length(content) - {len(EVENT_TAIL)})")
+    files = files.withColumn("content", F.when(F.col("user") % 2 == 1, F.col("content")).otherwise(whole))
+    bad = whole_json(F.col("raw").cast("string")).isNull().alias("is_anomaly")
+    before = transcripts.split_lines(files)
+    after = transcripts.reassembled(transcripts.split_lines(files))
+    return governance.recapture_counters(*[x.select("path", "line_number", "raw", bad) for x in (before, after)])
+
+
+@query("src4_sidecars", oracle("", "select distinct agent_hex, 'helper' as agent_type, 't' || (conv_id - 1)::varchar || '-1' as tool_use_id from turns where kind = 'subagent'"))
+def sidecars(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.sidecar_rows(feed.sidecar_files(spark, d)).select("agent_hex", "agent_type", "tool_use_id")
+
+
+@query("str4_contained_failures", "select coalesce(sum(case when source is not null and n_chars % 7 > 0 and text <> '' then (length(text) - length(replace(text, chr(10), ''))) + case when ends_with(text, chr(10)) then 0 else 1 end end), 0)::bigint as n_lines, count(*) filter (where source is null or n_chars % 7 = 0) as n_failures from documents")
+def contained(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files, of which some cannot be read: the others are split, those become anomalies."""
+    docs = feed.read(spark, d, "documents").withColumn("shut", F.col("source").isNull() | (F.col("n_chars") % 7 == 0))
+    loaded, failed = transcripts.readable(docs.select(F.col("doc_id").cast("string").alias("path"), F.when(~F.col("shut"), F.coalesce("text", F.lit("")).cast("binary")).alias("content")))
+    lines_ = transcripts.split_lines(loaded).agg(F.count("*").alias("n_lines"))
+    return lines_.join(failed.agg(F.count("*").alias("n_failures")), F.lit(True))
+
+
 @query("src7_torn_tails", "select o_custkey as path, count(*) - max(case when o_custkey % 2 = 0 then 1 else 0 end) as n_lines from orders group by 1 having count(*) - max(case when o_custkey % 2 = 0 then 1 else 0 end) > 0")
 def torn(spark: SparkSession, d: str) -> DataFrame:
     o = feed.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), batch_of("o_custkey", "o_orderkey").alias("path"), "o_orderkey")
@@ -86,6 +144,20 @@ def tails(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", "action", F.col("generation").cast("long").alias("generation"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
+@query("src9_str1_incremental_runs", """
+select doc_id as path, case when length(text) % 3 = 0 then 'new' when length(text) % 3 = 1 then 'grown' end as action, strlen(text)::bigint as end_offset from documents where text <> '' and length(text) % 3 < 2""")
+def incremental(spark: SparkSession, d: str) -> DataFrame:
+    """A second run over documents as files: the first had some whole, of some only the start, and some not at all."""
+    files = document_files(spark, d).where("octet_length(content) > 0").withColumn("length", F.octet_length("content").cast("long"))
+    shape = F.char_length(F.col("content").cast("string")) % 3
+    checkpoint = F.when(shape == 1, F.floor(F.col("length") / 2)).otherwise(F.col("length"))
+    known = files.where(shape > 0).withColumn("checkpoint", checkpoint).withColumn("sha", F.sha2(F.expr("substring(content, 1, cast(checkpoint as int))"), 256)).select("path", "checkpoint", "sha", F.lit(0).alias("generation"))
+    tails_ = transcripts.new_tails(files, known)
+    lines_ = transcripts.split_lines(tails_)
+    base = F.when(F.col("action") == "grown", F.col("checkpoint")).otherwise(F.lit(0))
+    return lines_.groupBy("path", "action").agg(F.max(F.col("end_offset") + base).cast("long").alias("end_offset"))
+
+
 @query("agg16_prefix_digests", "select doc_id as path, sha256(encode(text)[1:0] || encode(text)) as prefix_sha, (length(text) - length(replace(text, chr(10), '')))::bigint as prefix_lines from documents where text <> ''")
 def digests(spark: SparkSession, d: str) -> DataFrame:
     files = document_files(spark, d).where("octet_length(content) > 0").withColumn("checkpoint", F.octet_length("content"))
@@ -93,13 +165,13 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as lines of files: the source is the file, the text's first letters stand for an id."""
+    """Documents as lines of files: the source is the file, the text's length stands for an id; an empty text has none."""
     docs = feed.read(spark, d, "documents")
-    return docs.select(F.col("lang").alias("transcript"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 20)).alias("uuid"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("source").alias("file"), F.col("doc_id").alias("line_number"))
+    return docs.select(F.col("lang").alias("transcript"), F.when(F.col("text") != "", F.char_length("text").cast("string")).alias("uuid"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("source").alias("file"), F.col("doc_id").alias("line_number"))
 
 
 @query("win6_duplicate_lines", """
-with l as (select doc_id, lang as transcript, case when doc_id % 3 > 0 then text[1:20] end as uuid, sha256(coalesce(text, '')) as sha, source as file from documents),
+with l as (select doc_id, lang as transcript, case when text <> '' then length(text)::varchar end as uuid, sha256(coalesce(text, '')) as sha, source as file from documents),
 k as (select *, coalesce(uuid, '#' || doc_id::varchar) as u from l)
 select doc_id as line_number, file <> first_value(file) over (partition by transcript, u, sha order by doc_id) as is_duplicate,
   uuid is not null and row_number() over (partition by transcript, u, sha order by doc_id) = 1 and row_number() over (partition by transcript, uuid order by doc_id) > 1 as is_conflict from k""")
@@ -150,15 +222,38 @@ def doubles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win8_newest_generations", f"with {FILES} select file as path, transcript, generation from f qualify row_number() over (partition by file order by generation desc, transcript) = 1")
 def newest(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    return transcripts.newest_generation(files(spark, d), ("transcript",)).select("path", "transcript", "generation")
 
-    rn = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("generation"), "transcript"))
-    return files(spark, d).withColumn("rn", rn).where("rn = 1").select("path", "transcript", "generation")
 
-
-@query("win9_ins1_raw_by_uuid", "select text[1:20] as uuid, max(doc_id) as line_number, arg_max(sha256(text), doc_id) as sha from documents where doc_id % 3 > 0 group by 1")
+@query("win9_ins1_raw_by_uuid", "select length(text)::varchar as uuid, max(doc_id) as line_number, arg_max(sha256(text), doc_id) as sha from documents where text <> '' group by 1")
 def raw_by_uuid(spark: SparkSession, d: str) -> DataFrame:
-    return copies(spark, d).where("uuid is not null").groupBy("uuid").agg(F.max("line_number").alias("line_number"), F.max_by("sha", "line_number").alias("sha"))
+    return transcripts.newest_by_uuid(copies(spark, d))
+
+
+RUNS = """with l as (select doc_id, lang as transcript, coalesce(case when text <> '' then length(text)::varchar end, '#' || doc_id::varchar) as u, sha256(coalesce(text, '')) as sha, source as file, text from documents),
+k as (select *, 'r' || lpad((doc_id // 300)::varchar, 6, '0') as run_id, file <> first_value(file) over (partition by transcript, u, sha order by doc_id) as is_duplicate from l),
+a as (select run_id, case when text is null or text = '' then 'error' when contains(text, '|') then 'info' end as severity from k),
+r as (select run_id, count(distinct file) as files_seen, count(*) filter (where not is_duplicate) as records_added, count(*) filter (where is_duplicate) as records_skipped_duplicate from k group by 1),
+n as (select run_id, count(*) as anomalies, bool_or(severity = 'error') as bad from a where severity is not null group by 1),
+runs as (select run_id, files_seen, records_added, records_skipped_duplicate, coalesce(anomalies, 0) as anomalies, case when coalesce(bad, false) then 'errors' else 'ok' end as status from r left join n using (run_id))"""
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as lines captured in runs of 300 ids."""
+    run = F.concat(F.lit("r"), F.lpad(F.floor(F.col("doc_id") / 300).cast("string"), 6, "0")).alias("run_id")
+    marked = transcripts.mark_duplicates(copies(spark, d).withColumn("doc_id", F.col("line_number")), ["line_number"]).select(run, "file", "is_duplicate")
+    severity = F.when(F.coalesce("text", F.lit("")) == "", "error").when(F.contains("text", F.lit("|")), "info").alias("severity")
+    return governance.run_counters(marked, feed.read(spark, d, "documents").select(run, severity).where("severity is not null"))
+
+
+@query("agg10_run_counters", f"{RUNS} select * from runs")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return runs(spark, d)
+
+
+@query("srt5_newest_runs", f"{RUNS} select run_id, status from runs order by run_id desc limit 20 offset 1")
+def newest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return run_list(runs(spark, d), 20, 1).select("run_id", "status")
 
 
 @query("snk1_export_bytes", "select source as transcript, sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha, sum(strlen(coalesce(text, '')) + 1)::bigint as n_bytes from documents group by 1")
@@ -167,10 +262,20 @@ def export_bytes(spark: SparkSession, d: str) -> DataFrame:
     return export.digests(export.as_chunks(rows))
 
 
-@query("snk4_missing_files", "with f as (select distinct source from documents) select source as transcript from f where source not in (select source from documents where doc_id % 40 = 1)")
+@query("snk4_missing_files", "with f as (select source || '/' || (length(coalesce(text, '')) // 50)::varchar as transcript, lang from documents) select distinct transcript from f where transcript not in (select transcript from f where lang = 'en' and transcript is not null)")
 def missing(spark: SparkSession, d: str) -> DataFrame:
-    docs = feed.read(spark, d, "documents")
-    return export.missing(docs.select(F.col("source").alias("transcript")).distinct(), docs.where("doc_id % 40 = 1").select(F.col("source").alias("transcript")))
+    """Transcripts are the documents of a source of about one length; those with an English one have a file."""
+    name = F.concat("source", F.lit("/"), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 50).cast("string")).alias("transcript")
+    docs = feed.read(spark, d, "documents").select(name, "lang")
+    return export.missing(docs.select("transcript").distinct(), docs.where("lang = 'en'"))
+
+
+@query("snk2_written_bytes", oracle("", "select session_uuid as transcript, sum(octet_length(encode(text)) + 1)::bigint as n_bytes from turns group by 1"))
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """Every session's text written to a file of its own."""
+    rows = feed.turns(spark, d).select(F.col("session_uuid").alias("transcript"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("line_number"), F.concat("text", F.lit("\n")).cast("binary").alias("raw"))
+    folder = f"{lake.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    return export.write_files(rows, folder).select("transcript", "n_bytes")
 
 
 @query("rbd1_rebuilt_anomalies", oracle("", """

@@ -21,21 +21,22 @@ select conv_id, turn, role, s, text, session_uuid, project_slug, kind, agent_hex
   '/Users/x/p' || cast(conv_id % 7 as string) as cwd,
   case turn % 3 when 0 then '2.1.100' when 1 then '2.1.170' else '2.x' end as version,
   case when role = 'user' and x <> 0 then case s when 1 then true end end as is_compact,
-  case when role = 'user' and s = 11 then true end as is_meta,
+  case when role = 'user' and s in (11, 17) then true end as is_meta,
   case when role = 'user' and x <> 0 then case s when 5 then 'system' when 7 then 'typed' when 8 then 'queued' when 9 then 'sdk' when 14 then 'robot' end end as prompt_source,
-  case when role = 'user' and x <> 0 then case s when 4 then 'task-notification' when 6 then 'coordinator' when 15 then 'odd' end end as origin,
+  case when role = 'user' and x <> 0 then case s when 4 then 'task-notification' when 6 then 'coordinator' when 15 then 'odd' when 16 then 'human' end end as origin,
   case when role = 'user' and x <> 0 and s in (2, 3) then 't' || cast(conv_id as string) || '-' || cast(turn - 1 as string) end as source_tool,
   case when role = 'user' and s = 0 then 't' || cast(conv_id as string) || '-' || cast(turn - 1 as string) end as result_of,
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 then 't' || cast(conv_id as string) || '-' || cast(turn as string) end as tool_id,
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 then case conv_id % 3 when 0 then 'Bash' when 1 then 'Skill' else 'Read' end end as tool_name,
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 and conv_id % 3 = 1 then 'skill' || cast(conv_id % 4 as string) end as skill,
-  case when role = 'user' then case s when 10 then '<command-name> /run </command-name>' when 12 then '<local-command-stdout>' when 13 then '[Request interrupted by user for tool use]' else '' end else '' end || text as body,
+  case when role = 'user' and s = 18 then '' else case when role = 'user' then case s when 10 then '<command-name> /run </command-name>' when 12 then '<local-command-stdout>' when 13 then '[Request interrupted by user for tool use]' when 17 then '<local-command-caveat>' else '' end else '' end || text end as body,
+  role = 'assistant' and (conv_id + turn) % 2 = 1 and turn = 1 as bare,
   case when role = 'user' and x = 0 and (conv_id + turn) % 2 = 0 then true else false end as is_queued,
   case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then conv_id % 100 + turn end as input_tokens,
   case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then turn * 3 end as output_tokens,
   (conv_id * 13 + turn) % 29 = 0 as is_torn, (conv_id * 5 + turn) % 31 = 5 as is_blank, (conv_id + turn * 3) % 17 = 2 as is_drifted, (conv_id * 3 + turn) % 23 = 7 as is_misshapen
 from (
-  select conv_id, turn, role, coalesce(text, '') as text, (conv_id * 7 + turn) % 16 as s, (conv_id * 31 + turn) % 11 as x, (conv_id + turn) % 37 = 3 as mystery,
+  select conv_id, turn, role, coalesce(text, '') as text, (conv_id * 7 + turn) % 19 as s, (conv_id * 31 + turn) % 11 as x, (conv_id + turn) % 37 = 3 as mystery,
     's' || lpad(cast(case when conv_id % 5 = 4 then conv_id - 1 else conv_id end as string), 8, '0') as session_uuid,
     '-Users-x-p' || cast(case when conv_id % 5 = 4 then conv_id - 1 else conv_id end % 7 as string) as project_slug,
     case when conv_id % 5 = 4 then 'subagent' else 'main' end as kind,
@@ -95,7 +96,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.expr(f"substring({name}, 2, length({name}) - 2)")
 
     said = F.when(c("result_of").isNotNull(), c("result_json")).otherwise(inside("plain_json"))
-    used = F.when(c("tool_id").isNotNull(), F.concat(F.lit("["), inside("text_json"), F.lit(","), c("tool_json"), F.lit("]"))).otherwise(c("text_json"))
+    used = F.when(c("bare"), F.concat(F.lit("["), c("tool_json"), F.lit("]"))).when(c("tool_id").isNotNull(), F.concat(F.lit("["), inside("text_json"), F.lit(","), c("tool_json"), F.lit("]"))).otherwise(c("text_json"))
     t = once(t, {"content_json": F.when(c("is_misshapen"), F.lit("17")).when(c("role") == "user", said).otherwise(used)})
     usage = F.when(c("input_tokens").isNotNull(), F.concat(F.lit(',"usage":'), c("usage_json"))).otherwise(F.lit(""))
     message = F.concat(F.lit(',"message":{"role":"'), c("role"), F.lit('","content":'), c("content_json"), usage, F.lit("}}"))
@@ -104,6 +105,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(t, {"raw": F.concat(raw, F.lit("\n")).cast("binary")}).select("transcript", "session_uuid", "project_slug", "kind", "agent_hex", c("turn").alias("line_number"), "raw")
 
 
+def sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sidecar of each subagent transcript, ``(path, value)``: it names the tool use that sent the agent off, in the second record of its main transcript."""
+    t = turns(spark, sf_dir).where("kind = 'subagent'").select("conv_id", "project_slug", "agent_hex").distinct()
+    uuid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad((F.col("conv_id") - 1).cast("string"), 12, "0"))
+    path = F.concat(F.lit("/root/"), F.col("project_slug"), F.lit("/"), uuid, F.lit("/subagents/agent-"), F.col("agent_hex"), F.lit(".meta.json"))
+    tool = F.concat(F.lit("t"), (F.col("conv_id") - 1).cast("string"), F.lit("-1"))
+    return t.select(path.alias("path"), F.to_json(F.struct(F.lit("helper").alias("agentType"), tool.alias("toolUseId"))).alias("value"))
+
+
 def oracle(body: str) -> str:
     """DuckDB SQL over ``turns`` and ``overlays``."""
     return f"with turns as ({TURNS.format(conversations='conversations')}), overlays as ({OVERLAYS}) {body}"

@@ -6,36 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhouse.operators import authorship, blocks, records
-from quillhouse.plans import feed
+from quillhouse.plans import feed, lake
 from quillhouse.plans.registry import query
+from quillhouse.sources import transcripts
 
 #: Turns that parse, in the oracle; messages among them.
 GOOD = "g as (select * from turns where not is_blank and not is_torn and not (is_misshapen and rtype in ('user', 'assistant')))"
 TALK = "rtype in ('user', 'assistant', 'system', 'attachment')"
+#: Author and basis of a record ``g`` with the tool that it names (``st``) or answers (``rt``).
 AUTHOR = """case
-  when rtype = 'assistant' then 'claude' when rtype = 'system' then 'system'
-  when rtype = 'attachment' then case when is_queued and text <> '' then 'attachment_queued_human' else 'attachment_furniture' end
-  when is_compact then 'compact_summary' when result_of is not null then 'tool_result'
-  when source_tool is not null and exists (select 1 from calls c where c.transcript = g.transcript and c.tool_id = g.source_tool and c.tool_name = 'Skill') then 'skill_injection'
-  when source_tool is not null then 'tool_injection'
-  when origin = 'task-notification' or prompt_source = 'system' then 'task_notification' when origin = 'coordinator' then 'coordinator'
-  when prompt_source = 'typed' then 'human_typed' when prompt_source = 'queued' then 'human_queued' when prompt_source = 'sdk' then 'sdk_automation'
-  when starts_with(body, '<command-name>') then 'command_expansion' when starts_with(body, '<local-command-stdout>') then 'command_output'
-  when is_meta then 'harness_meta' when starts_with(body, '[Request interrupted by user') then 'interrupt_marker'
-  when kind = 'subagent' then 'dispatch' when prompt_source is not null or origin is not null then 'unclassified'
-  when version = '2.1.100' and body <> '' then 'human_inferred' else 'unclassified' end"""
+  when rtype = 'assistant' then 'claude|assistant' when rtype = 'system' then 'system|system'
+  when rtype = 'attachment' then case when is_queued and text <> '' then 'attachment_queued_human|attachment' else 'attachment_furniture|furniture' end
+  when is_compact then 'compact_summary|summary' when result_of is not null then 'tool_result|result'
+  when source_tool is not null then case when st.tool_name = 'Skill' then 'skill_injection|skill' else 'tool_injection|tool' end
+  when origin = 'task-notification' or prompt_source = 'system' then 'task_notification|notification' when origin = 'coordinator' then 'coordinator|coordinator'
+  when prompt_source = 'typed' then 'human_typed|typed' when prompt_source = 'queued' then 'human_queued|queued' when prompt_source = 'sdk' then 'sdk_automation|sdk'
+  when starts_with(body, '<command-name>') then 'command_expansion|command' when starts_with(body, '<local-command-stdout>') then 'command_output|output'
+  when is_meta then 'harness_meta|meta' when starts_with(body, '[Request interrupted by user') then 'interrupt_marker|interrupt'
+  when kind = 'subagent' then 'dispatch|sidechain' when prompt_source is not null then 'unclassified|source' when origin not in ('human', 'task-notification', 'coordinator') then 'unclassified|origin'
+  when version = '2.1.100' then 'human_inferred|version' else 'unclassified|none' end"""
+DETAIL = """case split_part(ab, '|', 2) when 'system' then 'note' when 'result' then rt_name when 'skill' then st_skill when 'tool' then st_name when 'command' then '/run'
+  when 'meta' then case when starts_with(body, '<local-command-caveat>') then 'caveat' end when 'interrupt' then 'tool' when 'source' then prompt_source when 'origin' then origin end"""
+BASES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in authorship.BASIS.items()) + "}"
 CALLS = "calls as (select transcript, tool_id, tool_name, skill, turn from g where rtype = 'assistant' and tool_id is not null)"
-CLASSIFIED = f"{GOOD}, {CALLS}, m as (select *, {AUTHOR} as author from g where {TALK})"
+CLASSIFIED = f"""{GOOD}, {CALLS}, j as (select g.*, {AUTHOR} as ab, st.tool_name as st_name, st.skill as st_skill, rt.tool_name as rt_name from g
+  left join calls st on st.transcript = g.transcript and st.tool_id = g.source_tool left join calls rt on rt.transcript = g.transcript and rt.tool_id = g.result_of where {TALK}),
+  m as (select *, split_part(ab, '|', 1) as author, {BASES}[split_part(ab, '|', 2)] as basis, {DETAIL} as detail from j)"""
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.parse(feed.lines(spark, sf_dir))
 
 
+def interpreted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with envelope and blocks: each line parsed once, the result written."""
+
+    def build() -> DataFrame:
+        base = blocks.with_blocks(records.envelope(parsed(spark, sf_dir))).where("status <> 'anomaly' and rtype in ('user', 'assistant', 'system', 'attachment')")
+        return base.drop("v", "text", "raw", "unknown_fields", "bad_paths", "anomalies")
+
+    return lake.table(spark, sf_dir, "conversations", "interpreted", build)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpreted messages: parsed, with envelope and blocks, classified."""
-    base = blocks.with_blocks(records.envelope(parsed(spark, sf_dir))).where("status <> 'anomaly' and rtype in ('user', 'assistant', 'system', 'attachment')")
-    return authorship.classify(base, authorship.tool_calls(blocks.block_rows(base)))
+    """Interpreted messages, classified."""
+
+    def build() -> DataFrame:
+        base = interpreted(spark, sf_dir)
+        return authorship.classify(base, authorship.tool_calls(blocks.block_rows(base)))
+
+    return lake.table(spark, sf_dir, "conversations", "messages", build)
 
 
 def oracle(ctes: str, body: str) -> str:
@@ -70,10 +90,10 @@ def props_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("prj5_blocks", oracle(GOOD, """
-select transcript, turn as line_number, 0::bigint as block_index, case when rtype = 'user' and result_of is not null then 'tool_result' else 'text' end as kind,
-  case when rtype = 'user' and result_of is not null then nullif(text, '') when rtype = 'attachment' then text else body end as text, case when rtype = 'user' then result_of end as tool_id, null as tool_name
+select transcript, turn as line_number, 0::bigint as block_index, case when bare then 'tool_use' when rtype = 'user' and result_of is not null then 'tool_result' else 'text' end as kind,
+  case when bare then null when rtype = 'user' and result_of is not null then nullif(text, '') when rtype = 'attachment' then text else body end as text, case when bare then tool_id when rtype = 'user' then result_of end as tool_id, case when bare then tool_name end as tool_name
 from g where rtype in ('user', 'assistant') or (rtype = 'attachment' and is_queued and text <> '')
-union all select transcript, turn, 1::bigint, 'tool_use', null, tool_id, tool_name from g where rtype = 'assistant' and tool_id is not null"""))
+union all select transcript, turn, 1::bigint, 'tool_use', null, tool_id, tool_name from g where rtype = 'assistant' and tool_id is not null and not bare"""))
 def block_rows(spark: SparkSession, d: str) -> DataFrame:
     out = blocks.block_rows(blocks.with_blocks(parsed(spark, d)))
     return out.select("transcript", "line_number", F.col("block_index").cast("long").alias("block_index"), "kind", "text", "tool_id", "tool_name")
@@ -118,9 +138,34 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).where("severity = 'error'").orderBy(F.desc("transcript"), F.desc("line_number")).limit(50).select("transcript", "line_number", "kind")
 
 
-@query("prj11_authorship", oracle(CLASSIFIED, "select transcript, turn as line_number, author from m"))
+@query("prj11_authorship", oracle(CLASSIFIED, "select transcript, turn as line_number, author, basis, detail from m"))
 def author(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select("transcript", "line_number", "author")
+    return messages(spark, d).select("transcript", "line_number", "author", "basis", "detail")
+
+
+PRIMARY = f"{GOOD}, fl as (select transcript, case when turn % 4 = 3 then transcript || '.bak' else transcript end as file, min(turn) as first_seen from turns group by 1, 2), el as (select transcript, file from fl where not ends_with(file, '.bak') qualify row_number() over (partition by transcript order by first_seen, file) = 1)"
+
+
+@query("prj12_primary_only", oracle(PRIMARY, f"select g.rtype, count(*) as n from g join el on el.transcript = g.transcript and el.file = case when g.turn % 4 = 3 then g.transcript || '.bak' else g.transcript end where {TALK} group by 1"))
+def primary_only(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a main file and of a backup beside it: those of the backup are not interpreted."""
+    rows = interpreted(spark, d)
+    file = F.when(F.col("line_number") % 4 == 3, F.concat("transcript", F.lit(".bak"))).otherwise(F.col("transcript"))
+    files = feed.turns(spark, d).withColumnRenamed("turn", "line_number").groupBy("transcript", file.alias("file")).agg(F.min("line_number").alias("first_seen"))
+    files = files.select("transcript", "file", F.col("file").alias("path"), "first_seen", F.lit("active").alias("state"), F.endswith("file", F.lit(".bak")).alias("is_backup"))
+    return records.primary_only(rows.withColumn("file", file), transcripts.elect_primary(files)).groupBy("rtype").agg(F.count("*").alias("n"))
+
+
+STALE = "stale as (select *, turn % 5 = 0 or transcript like '%/1%' as unstamped, (conv_id + turn) % 7 = 0 as failed from turns)"
+
+
+@query("str5_swept_records", oracle(STALE, f"select {feed.STATUS} as status, count(*) as n from stale where unstamped and not failed group by 1"))
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    """Records without a stamp of the schema they were read with, but for those that failed before, are read again."""
+    marks = feed.turns(spark, d).select("transcript", F.col("turn").alias("line_number"), ((F.col("turn") % 5 == 0) | F.col("transcript").like("%/1%")).alias("unstamped"), ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("failed"))
+    lines = feed.lines(spark, d).join(marks.select("transcript", "line_number", F.when(~F.col("unstamped"), F.lit("1")).alias("schema_version")), ["transcript", "line_number"])
+    failures = marks.where("failed").select("transcript", "line_number", F.lit("interpret_failure").alias("kind"))
+    return records.parse(records.unswept(lines, failures)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("agg6_author_census", oracle(CLASSIFIED, "select author, count(*) as n, author = 'unclassified' as alarm from m group by author"))
@@ -137,17 +182,13 @@ def tool_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn11_call_result_pairs", oracle(f"{GOOD}, {CALLS}", "select c.transcript, c.tool_id, c.tool_name, c.turn as call_line, g.turn as result_line from calls c join g on g.transcript = c.transcript and g.result_of = c.tool_id and g.rtype = 'user'"))
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks.block_rows(blocks.with_blocks(parsed(spark, d)))
-    calls = authorship.tool_calls(rows).select("transcript", "tool_id", "tool_name", F.col("line_number").alias("call_line"))
-    results = rows.where("kind = 'tool_result'").select("transcript", "tool_id", F.col("line_number").alias("result_line"))
-    return calls.join(results, ["transcript", "tool_id"])
+    rows = blocks.block_rows(interpreted(spark, d))
+    return blocks.call_result_pairs(authorship.tool_calls(rows), rows)
 
 
 @query("jn12_parent_links", oracle(GOOD, f"select a.transcript, a.turn as line_number, b.turn as parent_line from g a join g b on a.transcript = b.transcript and a.parent_uuid = b.uuid where a.{TALK} and b.{TALK}"))
 def parents(spark: SparkSession, d: str) -> DataFrame:
-    base = records.envelope(parsed(spark, d)).where("status <> 'anomaly' and rtype in ('user', 'assistant', 'system', 'attachment')")
-    parent = base.select("transcript", F.col("uuid").alias("parent_uuid"), F.col("line_number").alias("parent_line"))
-    return base.join(parent, ["transcript", "parent_uuid"]).select("transcript", "line_number", "parent_line")
+    return blocks.parent_links(interpreted(spark, d))
 
 
 @query("fn12_line_hash", "select doc_id, sha256(coalesce(text, '')) as sha from documents")

@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quillhouse.plans import capture_queries, record_queries, search_queries, session_queries  # noqa: E402, F401
+from quillhouse.plans import capture_queries, record_queries, search_queries, session_queries, stream_queries  # noqa: E402, F401

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quillhouse.functions import text as fn
 from quillhouse.operators import blocks, search
-from quillhouse.plans import feed
+from quillhouse.functions import stems
+from quillhouse.plans import feed, lake
 from quillhouse.plans.record_queries import CLASSIFIED, messages, oracle
 from quillhouse.plans.registry import query
 
-ASKED = [(1, "and the"), (2, '"of the"'), (3, "tion"), (4, '"'), (5, "the_of")]
+ASKED = [(1, "and the"), (2, '"of the"'), (3, "tion"), (4, '"'), (5, "the_of"), (6, "the"), (7, "worthless idiots")]
 
 
 def asked(spark: SparkSession, rows: list[tuple[int, str]] = ASKED) -> DataFrame:
@@ -20,31 +21,47 @@ def asked(spark: SparkSession, rows: list[tuple[int, str]] = ASKED) -> DataFrame
 
 def chat_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Indexed blocks with their message's session and source."""
-    m = messages(spark, d)
-    rows = search.indexed(blocks.block_rows(m)).select("transcript", "line_number", "block_index", "kind", "text")
-    info = m.select("transcript", "line_number", "session_uuid", "project_slug", search.source_bucket(F.col("author"), F.col("kind")).alias("source"))
-    key = F.concat_ws("#", "transcript", F.col("line_number").cast("string"), F.col("block_index").cast("string"))
-    return rows.join(info, ["transcript", "line_number"]).withColumn("block_key", key)
 
+    def build() -> DataFrame:
+        m = messages(spark, d)
+        info = ("session_uuid", "project_slug", "agent_hex", "uuid")
+        rows = m.select("transcript", "line_number", *info, search.source_bucket(F.col("author"), F.col("kind")).alias("source"), F.posexplode("blocks").alias("block_index", "b"))
+        rows = search.indexed(rows.select("transcript", "line_number", *info, "source", "block_index", F.col("b.kind").alias("kind"), F.col("b.text").alias("text")))
+        return rows.withColumn("block_key", F.concat_ws("#", "transcript", F.col("line_number").cast("string"), F.col("block_index").cast("string")))
 
-def found(spark: SparkSession, d: str, rows: list[tuple[int, str]] = ASKED) -> DataFrame:
+    return lake.table(spark, d, "conversations", "index", build)
+
+
+def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Blocks, postings, vocabulary with stems, and statistics of the transcripts' index."""
     b = chat_blocks(spark, d)
-    posts = search.postings(b)
-    hits = search.search(asked(spark, rows), posts, b, search.statistics(posts, b))
-    return hits.join(b.select("block_key", "session_uuid", "project_slug", "source"), "block_key")
+    posts = lake.table(spark, d, "conversations", "postings", lambda: search.postings(b))
+    words = lake.table(spark, d, "conversations", "vocabulary", lambda: search.vocabulary(posts))
+    lengths, df, total = search.statistics(posts, b)
+    lengths = lake.table(spark, d, "conversations", "lengths", lambda: lengths)
+    return b, posts, words, (lengths, df, lake.table(spark, d, "conversations", "totals", lambda: total))
+
+
+def found(spark: SparkSession, d: str, rows: list[tuple[int, str]] = ASKED) -> DataFrame:
+    """Hits of queries over the stemmed index, with the place of each block."""
+    b, posts, words, stats = index(spark, d)
+    hits = search.search(asked(spark, rows), posts, b, stats, words=words)
+    return hits.join(b.select("block_key", "session_uuid", "project_slug", "source", "agent_hex", "uuid"), "block_key")
 
 
 BLOCKS = f"""{CLASSIFIED}, bl as (select transcript || '#' || turn::varchar || '#0' as block_key, session_uuid, project_slug, case when kind = 'subagent' then 'agents' when author in
-  ('human_typed', 'human_queued', 'human_inferred', 'claude', 'command_expansion', 'interrupt_marker', 'attachment_queued_human', 'compact_summary') then 'chat' else 'system' end as source,
-  case when rtype = 'attachment' then text else body end as txt from m where (rtype in ('user', 'assistant') and not (rtype = 'user' and result_of is not null) and body <> '') or (rtype = 'attachment' and is_queued and text <> '')),
+  ('human_typed', 'human_queued', 'human_inferred', 'attachment_queued_human', 'interrupt_marker', 'claude') then 'chat' else 'system' end as source, agent_hex, uuid,
+  case when rtype = 'attachment' then text else body end as txt from m where (rtype in ('user', 'assistant') and not (rtype = 'user' and result_of is not null) and not bare and body <> '') or (rtype = 'attachment' and is_queued and text <> '')),
   tk as (select block_key, unnest(range(len(w))) as pos, unnest(w) as term from (select block_key, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') as w from bl)),
   ln as (select block_key, count(*) as length from tk group by 1),
   tot as (select count(*) as n, coalesce(sum(length), 0) / count(*) as avg_length from bl left join ln using (block_key)),
-  ask(query_id, phrase, width, place, term) as (values (1, 0, 1, 0, 'and'), (1, 1, 1, 0, 'the'), (2, 0, 2, 0, 'of'), (2, 0, 2, 1, 'the'), (3, 0, 1, 0, 'tion'), (5, 0, 2, 0, 'the'), (5, 0, 2, 1, 'of')),
+  vo as (select term, {stems.stem_sql('term')} as stem from (select distinct term from tk)),
+  asked(query_id, phrase, width, place, word) as (values (1, 0, 1, 0, 'and'), (1, 1, 1, 0, 'the'), (2, 0, 2, 0, 'of'), (2, 0, 2, 1, 'the'), (3, 0, 1, 0, 'tion'), (5, 0, 2, 0, 'the'), (5, 0, 2, 1, 'of'), (6, 0, 1, 0, 'the'), (7, 0, 1, 0, 'worthless'), (7, 1, 1, 0, 'idiot')),
+  ask as (select query_id, phrase, width, place, term from asked join vo on vo.stem = word),
   st as (select query_id, phrase, width, block_key, pos - place as start from tk join ask using (term) group by all having count(distinct place) = width),
   tf as (select query_id, phrase, block_key, count(*) as tf from st group by all),
   pd as (select query_id, phrase, count(*) as df from tf group by all),
-  need as (select query_id, count(distinct phrase) as need from ask group by 1),
+  need as (select query_id, count(distinct phrase) as need from asked group by 1),
   hits as (select query_id, block_key, round(-sum(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / avg_length))), 4) as rank
     from tf join pd using (query_id, phrase) join ln using (block_key), tot group by query_id, block_key having count(*) = (select need from need where need.query_id = tf.query_id)),
   h as (select * from hits join bl using (block_key))"""
@@ -79,20 +96,67 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
     return search.phrase_hits(search.postings(docs, "doc_id"), asked(spark, [(2, '"of the"')]), "doc_id").select("doc_id", "tf")
 
 
-@query("fts6_stemmed_vocabulary")
-def stems(spark: SparkSession, d: str) -> DataFrame:
-    return search.stems(search.postings(feed.read(spark, d, "documents").where("text <> ''"), "doc_id"))
+@query("fts6_stemmed_vocabulary", f"select term, {stems.stem_sql('term')} as stem from (select distinct unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from documents where text <> '') t")
+def stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return search.vocabulary(search.postings(feed.read(spark, d, "documents").where("text <> ''"), "doc_id"))
 
 
-@query("fts7_snippets")
+@query("fts7_snippets", oracle(BLOCKS, """
+, w as (select block_key, list_filter(regexp_split_to_array(txt, '\\s+'), lambda x: x <> '') as w from bl where list_contains(regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+'), 'the')),
+n as (select block_key, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')) as low from w),
+p as (select *, coalesce(list_min(list_transform(list_filter(range(len(low)), lambda i: low[i + 1] in ('the', 'of')), lambda i: (2 - len(list_distinct(list_filter(low[i + 1 : i + 12], lambda x: x in ('the', 'of'))))) * 10000000 + i)), 20000000) % 10000000 as first from n)
+select block_key, case when first > 0 then '…' else '' end || array_to_string(list_transform(range(first, least(first + 12, len(w))), lambda i: case when low[i + 1] in ('the', 'of') then '<mark>' || w[i + 1] || '</mark>' else w[i + 1] end), ' ') || case when len(w) > first + 12 then '…' else '' end as snippet from p"""))
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     b = chat_blocks(spark, d).where(F.array_contains(search.tokens(F.col("text")), "the"))
     return b.select("block_key", search.snippet(F.col("text"), F.array(F.lit("the"), F.lit("of"))).alias("snippet"))
 
 
-@query("fts8_best_per_session", oracle(BLOCKS, "select query_id, session_uuid, arg_min(block_key, (rank, block_key)) as block_key, min(rank) as rank from h group by 1, 2"))
+@query("flt10_indexed_blocks", oracle(BLOCKS, "select block_key, length(txt)::bigint as n_chars from bl"))
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    return chat_blocks(spark, d).select("block_key", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("jn1_block_chain", oracle(BLOCKS, "select block_key, session_uuid, project_slug, source, uuid from bl"))
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    return chat_blocks(spark, d).select("block_key", "session_uuid", "project_slug", "source", "uuid")
+
+
+@query("set3_source_sets", oracle(BLOCKS, "select query_id, source, count(*) as n from h where source in ('agents', 'chat') group by 1, 2"))
+def source_sets(spark: SparkSession, d: str) -> DataFrame:
+    return search.in_sources(found(spark, d), ["chat", "agents"]).groupBy("query_id", "source").agg(F.count("*").alias("n"))
+
+
+@query("agg8_page_and_total", oracle(BLOCKS, "select query_id, block_key, place, total from (select *, row_number() over (partition by query_id order by rank, block_key) as place, count(*) over (partition by query_id) as total from hits) x where place <= 3"))
+def page_and_total(spark: SparkSession, d: str) -> DataFrame:
+    hits = found(spark, d)
+    return search.top(hits, 3).join(search.totals(hits), "query_id").select("query_id", "block_key", F.col("place").cast("long").alias("place"), "total")
+
+
+@query("win4_best_of_page", oracle(BLOCKS, """
+, p as (select * from (select *, row_number() over (partition by query_id order by rank, block_key) as place from h) x where place <= 25)
+select query_id, session_uuid, block_key, place from p qualify row_number() over (partition by query_id, session_uuid order by place) = 1"""))
+def best_of_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.best_of_page(found(spark, d), 25).select("query_id", "session_uuid", "block_key", F.col("place").cast("long").alias("place"))
+
+
+QUERY_TEXT = "case doc_id % 4 when 0 then text when 1 then '\"' || text when 2 then replace(text, ' ', '_') else '' end"
+
+
+@query("fn9_sanitised_queries", f"""
+with q as (select doc_id, {QUERY_TEXT} as q from documents where text is not null), p as (select doc_id, string_split(q, '\"') as parts from q),
+k as (select doc_id, unnest(range(len(parts))) as i, unnest(parts) as x, len(parts) % 2 = 1 as balanced from p),
+f as (select doc_id, case when balanced and i % 2 = 1 then (len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+')) > 0)::int else len(list_filter(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))) end as n, len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+')) as tokens from k)
+select doc_id, sum(n)::bigint as phrases, sum(tokens)::bigint as tokens from f group by 1""")
+def sanitised(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as queries, with quotation marks that do not pair up and words joined by underscores among them."""
+    docs = feed.read(spark, d, "documents").where("text is not null").select("doc_id", F.expr(QUERY_TEXT).alias("q"))
+    asked_ = docs.select("doc_id", fn.query_terms(F.col("q")).alias("p"))
+    return asked_.select("doc_id", F.size("p").cast("long").alias("phrases"), F.aggregate("p", F.lit(0), lambda s, x: s + F.size(x)).cast("long").alias("tokens"))
+
+
+@query("fts8_best_per_session", oracle(BLOCKS, "select query_id, session_uuid, arg_min(block_key, (rank, block_key)) as block_key, min(rank) as rank, nullif(arg_min(agent_hex, (rank, block_key)), '') as agent_hex, arg_min(uuid, (rank, block_key)) as uuid from h group by 1, 2"))
 def best(spark: SparkSession, d: str) -> DataFrame:
-    return search.best_per_session(found(spark, d)).select("query_id", "session_uuid", "block_key", "rank")
+    return search.best_per_session(found(spark, d)).select("query_id", "session_uuid", "block_key", "rank", F.nullif("agent_hex", F.lit("")).alias("agent_hex"), "uuid")
 
 
 @query("fts9_matching_sessions", oracle(BLOCKS, "select distinct query_id, session_uuid from h"))

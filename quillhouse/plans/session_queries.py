@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhouse.functions import text as fn
-from quillhouse.operators import blocks, governance, sessions
+from quillhouse.operators import blocks, governance, search, sessions
 from quillhouse.plans import feed
+from quillhouse.plans.capture_queries import PATHS, paths
 from quillhouse.plans.record_queries import CLASSIFIED, GOOD, TALK, messages, oracle, parsed
 from quillhouse.plans.registry import query
-
-SHOWN = "shown as (select distinct transcript, turn from m where (rtype in ('user', 'assistant') and result_of is null and body <> '') or (rtype = 'attachment' and is_queued and text <> ''))"
-CHAT = "('human_typed', 'human_queued', 'human_inferred', 'claude', 'command_expansion', 'interrupt_marker', 'attachment_queued_human', 'compact_summary')"
-CHAT_VIEW = f"{CLASSIFIED}, {SHOWN}, chat as (select m.* from m where author in {CHAT} and exists (select 1 from shown s where s.transcript = m.transcript and s.turn = m.turn))"
+from quillhouse.plans.search_queries import BLOCKS, found
+from quillhouse.sources import export, transcripts
+
+SHOWN = "shown as (select distinct transcript, turn from m where (rtype in ('user', 'assistant') and result_of is null and not bare and body <> '') or (rtype = 'attachment' and is_queued and text <> ''))"
+CHAT = "('human_typed', 'human_queued', 'human_inferred', 'claude', 'attachment_queued_human', 'interrupt_marker', 'dispatch', 'coordinator')"
+#: Tool uses that a subagent's sidecar names; what a view shows is content or such a dispatch.
+SENT = "sent as (select distinct g.transcript, g.turn from g where g.rtype = 'assistant' and g.tool_id in (select 't' || (conv_id - 1)::varchar || '-1' from turns where kind = 'subagent'))"
+SEEN = f"{CLASSIFIED}, {SHOWN}, {SENT}, seen as (select * from shown union select * from sent)"
+CHAT_VIEW = f"{SEEN}, chat as (select m.* from m where author in {CHAT} and exists (select 1 from seen s where s.transcript = m.transcript and s.turn = m.turn))"
 SESSION = f"""{GOOD}, b as (select session_uuid, min(ts) as first_seconds, max(ts) as last_seconds from g where {TALK} group by session_uuid),
   titles as (select session_uuid, arg_max(text, (transcript, turn)) filter (where rtype = 'ai-title') as ai_title, arg_max(text, (transcript, turn)) filter (where rtype = 'custom-title') as custom_title from g group by session_uuid),
   s as (select o.session_uuid, o.favorite, o.archived, o.user_title, p.project_slug, b.first_seconds, b.last_seconds, t.ai_title, t.custom_title
@@ -35,6 +41,21 @@ def shown(m: DataFrame) -> DataFrame:
     return sessions.visible_content(blocks.block_rows(m))
 
 
+def agents(spark: SparkSession, d: str) -> DataFrame:
+    """Subagents by their sidecars."""
+    return transcripts.sidecar_rows(feed.sidecar_files(spark, d))
+
+
+def sent_off(spark: SparkSession, d: str, m: DataFrame) -> DataFrame:
+    """Messages that sent off a captured subagent."""
+    return blocks.dispatches(blocks.block_rows(m), agents(spark, d)).select("transcript", "line_number").distinct()
+
+
+def view(spark: SparkSession, d: str, name: str) -> DataFrame:
+    m = messages(spark, d)
+    return sessions.view_filter(name, m, shown(m), sent_off(spark, d, m))
+
+
 @query("agg3_session_bounds", oracle(SESSION, "select * from b"))
 def bounds(spark: SparkSession, d: str) -> DataFrame:
     return sessions.bounds(messages(spark, d).select("session_uuid", "seconds"))
@@ -71,7 +92,8 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg13_records_per_file", "select source as file, count(*) as n_records from documents group by source")
 def per_file(spark: SparkSession, d: str) -> DataFrame:
-    return feed.read(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n_records"))
+    lines = feed.read(spark, d, "documents").select(F.col("source").alias("file"))
+    return export.record_counts(lines.distinct(), lines)
 
 
 @query("srt1_session_list", oracle(SESSION, "select session_uuid, project_slug, last_seconds from s where not archived order by last_seconds desc nulls last, session_uuid limit 50"))
@@ -85,17 +107,43 @@ def display(spark: SparkSession, d: str) -> DataFrame:
     return session_rows(spark, d).select("session_uuid", fn.display_title(c("user_title"), c("custom_title"), c("ai_title"), c("session_uuid")).alias("title"), fn.archive_title(c("custom_title"), c("ai_title"), c("session_uuid")).alias("archive_title"))
 
 
-@query("set1_unified_match", oracle(SESSION + ", hit as (select distinct session_uuid from g where rtype in ('user', 'assistant') and contains(lower(text), 'the'))", """
-select s.session_uuid, (contains(lower(s.session_uuid), 'the') or contains(lower(coalesce(user_title, '')), 'the') or contains(lower(coalesce(ai_title, '')), 'the') or contains(lower(coalesce(custom_title, '')), 'the')) as by_name, h.session_uuid is not null as by_content
-from s left join hit h using (session_uuid) where by_name or by_content"""))
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that match ``the`` by name or, in the index, by content; with the best hit."""
+    hits = search.best_per_session(found(spark, d).where("query_id = 6"))
+    return sessions.unified_match(session_rows(spark, d), "the", hits).join(hits.select("session_uuid", "block_key"), "session_uuid", "left")
+
+
+NAMED = "(contains(lower(s.session_uuid), 'the') or contains(lower(coalesce(user_title, '')), 'the') or contains(lower(coalesce(ai_title, '')), 'the') or contains(lower(coalesce(custom_title, '')), 'the'))"
+HIT = f"{BLOCKS}, hit as (select session_uuid, arg_min(block_key, (rank, block_key)) as block_key from h where query_id = 6 group by 1), {SESSION.removeprefix(GOOD + ',')}"
+
+
+@query("set1_unified_match", oracle(HIT, f"select s.session_uuid, {NAMED} as by_name, hit.session_uuid is not null as by_content from s left join hit using (session_uuid) where by_name or by_content"))
 def unified(spark: SparkSession, d: str) -> DataFrame:
-    content = feed.turns(spark, d).where("not is_blank and not is_torn and not (is_misshapen and rtype in ('user', 'assistant'))").where(F.col("rtype").isin("user", "assistant") & sessions.substring_match("the", "text"))
-    return sessions.unified_match(session_rows(spark, d), "the", content).select("session_uuid", "by_name", "by_content")
+    return matched(spark, d).select("session_uuid", "by_name", "by_content")
 
 
-@query("set2_content_only_matches", oracle(SESSION + ", hit as (select distinct session_uuid from g where rtype in ('user', 'assistant') and contains(lower(text), 'the'))", "select s.session_uuid from s join hit using (session_uuid) where not (contains(lower(coalesce(user_title, '')), 'the') or contains(lower(coalesce(ai_title, '')), 'the') or contains(lower(coalesce(custom_title, '')), 'the'))"))
+@query("set2_content_only_matches", oracle(HIT, f"select s.session_uuid, hit.block_key from s join hit using (session_uuid) where not {NAMED}"))
 def content_only(spark: SparkSession, d: str) -> DataFrame:
-    return unified(spark, d).where("by_content and not by_name").select("session_uuid")
+    return matched(spark, d).where("by_content and not by_name").select("session_uuid", "block_key")
+
+
+@query("jn2_left_projects", oracle("", "select p.project_slug, count(o.session_uuid) as n_sessions from (select distinct project_slug from turns) p left join (select distinct t.session_uuid, t.project_slug from turns t join overlays o using (session_uuid) where o.favorite) o using (project_slug) group by 1"))
+def left_projects(spark: SparkSession, d: str) -> DataFrame:
+    t = feed.turns(spark, d).select("project_slug", "session_uuid").distinct()
+    return sessions.project_counts(t.select("project_slug").distinct(), t, feed.overlays(spark, d).where("not favorite"))
+
+
+@query("srt4_transcripts_main_first", oracle("", "select session_uuid, string_agg(transcript, ',' order by kind, transcript) as transcripts from (select distinct session_uuid, transcript, kind from turns) t group by 1"))
+def main_first(spark: SparkSession, d: str) -> DataFrame:
+    t = feed.turns(spark, d).select("session_uuid", "transcript", "kind", "agent_hex").distinct()
+    return sessions.transcript_list(t).select("session_uuid", F.array_join("transcripts.transcript", ",").alias("transcripts"))
+
+
+@query("flt12_project_options", oracle("", "select distinct project_slug from turns where contains(lower(project_slug), 'x-p') and project_slug not in (select t.project_slug from turns t join overlays o using (session_uuid) where o.n % 70 = 1)"))
+def options(spark: SparkSession, d: str) -> DataFrame:
+    t = feed.turns(spark, d)
+    chosen = t.join(feed.overlays(spark, d).where("n % 70 = 1"), "session_uuid").select("project_slug")
+    return sessions.project_options(t, " X-P ", chosen)
 
 
 @query("flt5_literal_substring", "select doc_id from documents where contains(lower(text), lower('100%')) or contains(lower(text), lower('A_b')) or contains(lower(text), 'token =')")
@@ -120,20 +168,17 @@ def project_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt1_chat_view", oracle(CHAT_VIEW, "select transcript, turn as line_number, author from chat"))
 def chat(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    return sessions.view_filter("chat", m, shown(m)).select("transcript", "line_number", "author")
+    return view(spark, d, "chat").select("transcript", "line_number", "author")
 
 
-@query("flt2_chat_harness_view", oracle(f"{CLASSIFIED}, {SHOWN}", "select m.transcript, m.turn as line_number, author from m join shown s on s.transcript = m.transcript and s.turn = m.turn where author <> 'tool_result' and rtype in ('user', 'assistant', 'attachment')"))
+@query("flt2_chat_harness_view", oracle(SEEN, "select m.transcript, m.turn as line_number, author from m join seen s on s.transcript = m.transcript and s.turn = m.turn where author <> 'tool_result' and rtype in ('user', 'assistant', 'attachment')"))
 def harness(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    return sessions.view_filter("chat-harness", m, shown(m)).select("transcript", "line_number", "author")
+    return view(spark, d, "chat-harness").select("transcript", "line_number", "author")
 
 
 @query("flt3_all_view", oracle(CLASSIFIED, "select author, count(*) as n from m group by 1"))
 def all_view(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    return sessions.view_filter("all", m, shown(m)).groupBy("author").agg(F.count("*").alias("n"))
+    return view(spark, d, "all").groupBy("author").agg(F.count("*").alias("n"))
 
 
 @query("jn4_visible_messages", oracle(f"{CLASSIFIED}, {SHOWN}", "select transcript, count(*) as n from shown group by 1"))
@@ -141,47 +186,37 @@ def visible(spark: SparkSession, d: str) -> DataFrame:
     return shown(messages(spark, d)).groupBy("transcript").agg(F.count("*").alias("n"))
 
 
-@query("jn8_dispatch_links", oracle(f"{GOOD}, calls as (select session_uuid, tool_id, turn from g where rtype = 'assistant' and tool_id is not null and kind = 'main')", "select a.transcript as subagent, c.tool_id, c.turn as line_number from (select distinct transcript, session_uuid, agent_hex from turns where kind = 'subagent') a join calls c on c.session_uuid = a.session_uuid and c.tool_id = 't' || (a.agent_hex::bigint - 1)::varchar || '-1'"))
+@query("jn8_dispatch_links", oracle(GOOD, "select a.agent_hex, g.transcript, g.tool_id, g.turn as line_number from (select distinct conv_id, agent_hex from turns where kind = 'subagent') a join g on g.rtype = 'assistant' and g.tool_id = 't' || (a.conv_id - 1)::varchar || '-1'"))
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks.block_rows(blocks.with_blocks(parsed(spark, d).where("kind = 'main'"))).where("kind = 'tool_use'").select("session_uuid", "tool_id", "line_number")
-    agents = feed.turns(spark, d).where("kind = 'subagent'").select(F.col("transcript").alias("subagent"), "session_uuid", F.concat(F.lit("t"), (F.col("agent_hex").cast("long") - 1).cast("string"), F.lit("-1")).alias("tool_id")).distinct()
-    return agents.join(rows, ["session_uuid", "tool_id"]).select("subagent", "tool_id", "line_number")
+    return blocks.dispatches(blocks.block_rows(messages(spark, d)), agents(spark, d)).select("agent_hex", "transcript", "tool_id", "line_number")
 
 
-@query("jn5_dispatching_messages", oracle(f"{GOOD}", "select distinct g.transcript, g.turn as line_number from g where rtype = 'assistant' and tool_id is not null and exists (select 1 from turns a where a.kind = 'subagent' and g.tool_id = 't' || (a.agent_hex::bigint - 1)::varchar || '-1')"))
+@query("jn5_dispatching_messages", oracle(f"{GOOD}, {SENT}", "select transcript, turn as line_number from sent"))
 def dispatchers(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks.block_rows(blocks.with_blocks(parsed(spark, d))).where("kind = 'tool_use'")
-    agents = feed.turns(spark, d).where("kind = 'subagent'").select(F.concat(F.lit("t"), (F.col("agent_hex").cast("long") - 1).cast("string"), F.lit("-1")).alias("tool_id"))
-    return rows.join(agents, "tool_id", "left_semi").select("transcript", "line_number")
+    return sent_off(spark, d, messages(spark, d))
 
 
 @query("win2_around_page", oracle(CHAT_VIEW, """
 , v as (select transcript, turn, row_number() over (partition by transcript order by turn) - 1 as ordinal from chat),
-a as (select transcript, turn as target, ordinal as at from v where turn % 4 = 1)
+a as (select transcript, turn as target, ordinal as at from v)
 select v.transcript, a.target, v.turn as line_number, v.ordinal, greatest(0, a.at - 2) as first_ordinal from v join a using (transcript) where v.ordinal >= greatest(0, a.at - 2) and v.ordinal < greatest(0, a.at - 2) + 5"""))
 def around(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    view = sessions.view_filter("chat", m, shown(m)).select("transcript", "line_number")
-    targets = m.where("line_number % 4 = 1").select("transcript", F.col("line_number").alias("target"))
-    out = sessions.around(view, targets, 5)
+    chat_rows = view(spark, d, "chat").select("transcript", "line_number")
+    out = sessions.around(chat_rows, messages(spark, d).select("transcript", F.col("line_number").alias("target")), 5)
     return out.select("transcript", "target", "line_number", F.col("ordinal").cast("long").alias("ordinal"), F.col("first_ordinal").cast("long").alias("first_ordinal"))
 
 
 @query("win7_neighbours", oracle(CHAT_VIEW, "select transcript, turn as line_number, lag(turn) over w as previous_line, lead(turn) over w as next_line from chat window w as (partition by transcript order by turn)"))
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    return sessions.neighbours(sessions.view_filter("chat", m, shown(m)).select("transcript", "line_number"))
+    return sessions.neighbours(view(spark, d, "chat").select("transcript", "line_number"))
 
 
 @query("srt3_message_page", oracle(GOOD, f"select transcript, turn as line_number, rtype from (select *, row_number() over (partition by transcript order by turn) as k from g where {TALK}) x where k > 2 and k <= 6"))
 def message_page(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    return sessions.message_page(messages(spark, d), 4, 2).select("transcript", "line_number", "rtype")
 
-    k = F.row_number().over(Window.partitionBy("transcript").orderBy("line_number"))
-    return messages(spark, d).withColumn("k", k).where("k > 2 and k <= 6").select("transcript", "line_number", "rtype")
 
-
-@query("ins3_nested_messages", oracle(f"{CLASSIFIED}", "select transcript, turn as line_number, (case when rtype = 'system' or (rtype = 'attachment' and not (is_queued and text <> '')) then 0 when rtype = 'assistant' and tool_id is not null then 2 else 1 end)::bigint as n_blocks from m"))
+@query("ins3_nested_messages", oracle(f"{CLASSIFIED}", "select transcript, turn as line_number, (case when rtype = 'system' or (rtype = 'attachment' and not (is_queued and text <> '')) then 0 when rtype = 'assistant' and tool_id is not null and not bare then 2 else 1 end)::bigint as n_blocks from m"))
 def nested(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
     out = sessions.nested_messages(m.select("transcript", "line_number"), blocks.block_rows(m))
@@ -284,7 +319,31 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
     return governance.scope(feed.turns(spark, d), feed.overlays(spark, d).where("n % 6 = 0")).groupBy("transcript").agg(F.count("*").alias("n"))
 
 
-@query("ins2_session_detail", oracle(SESSION, "select s.session_uuid, s.project_slug, count(distinct t.transcript) as n_transcripts, string_agg(distinct t.kind, ',' order by t.kind) as kinds from s join turns t using (session_uuid) group by 1, 2"))
+LIVE = f"lp as (select distinct 's' || split_part(path, '/', 4)[29:36] as session_uuid from ({PATHS.format(turns='turns')}) p where path like '%.jsonl' and path not like '%/subagents/%')"
+
+
+@query("ins2_session_detail", oracle(f"{SESSION}, {LIVE}", "select s.session_uuid, s.project_slug, string_agg(t.kind || ':' || t.agent_hex, ',' order by t.kind, t.transcript) as transcripts, count(lp.session_uuid) > 0 as on_disk from s join (select distinct session_uuid, transcript, kind, agent_hex from turns) t using (session_uuid) left join lp using (session_uuid) where not s.archived group by 1, 2"))
 def detail(spark: SparkSession, d: str) -> DataFrame:
-    t = feed.turns(spark, d).groupBy("session_uuid").agg(F.countDistinct("transcript").alias("n_transcripts"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    return session_rows(spark, d).select("session_uuid", "project_slug").join(t, "session_uuid")
+    """Visible sessions with their transcripts and whether the main file is still there."""
+    t = sessions.transcript_list(feed.turns(spark, d).select("session_uuid", "transcript", "kind", "agent_hex").distinct())
+    live = transcripts.classify_paths(paths(spark, d)).where("kind = 'main' and not is_backup").select(F.concat(F.lit("s"), F.substring("session_uuid", 29, 8)).alias("session_uuid")).distinct()
+    rows = session_rows(spark, d).where("not archived").select("session_uuid", "project_slug").join(t, "session_uuid").join(live.withColumn("live", F.lit(True)), "session_uuid", "left")
+    named = F.transform("transcripts", lambda x: F.concat_ws(":", x["kind"], x["agent_hex"]))
+    return rows.select("session_uuid", "project_slug", F.array_join(named, ",").alias("transcripts"), F.coalesce("live", F.lit(False)).alias("on_disk"))
+
+
+@query("ups3_archive_log", f"with {LOG} select session_uuid, seq as archived_at from (select session_uuid, arg_max(op, seq) as op, max(seq) as seq from log group by 1) x where op = 'set'")
+def archive_log(spark: SparkSession, d: str) -> DataFrame:
+    """Archive and unarchive as a change log: sessions archived now, with the change that did it."""
+    return governance.current(log(spark, d).withColumn("value", F.col("at"))).withColumnRenamed("value", "archived_at")
+
+
+@query("del4_scrubbed_snapshots", oracle(DOOMED, "select 's' || (conv_id % 3)::varchar as snapshot, count(*) filter (where session_uuid not in (select session_uuid from doomed)) as n_left, count(*) filter (where session_uuid in (select session_uuid from doomed)) > 0 as was_present from turns group by 1"))
+def scrubbed(spark: SparkSession, d: str) -> DataFrame:
+    """The same deletion in every snapshot, each with its own rows."""
+    t = feed.turns(spark, d)
+    snapshots = {f"s{k}": {"records": t.where(F.col("conv_id") % 3 == k)} for k in range(3)}
+    left, report = governance.scrub(snapshots, feed.overlays(spark, d).where("n % 6 = 0"))
+    counts = [tables["records"].agg(F.count("*").alias("n_left")).select(F.lit(name).alias("snapshot"), "n_left") for name, tables in left.items()]
+    both = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return both.join(report, "snapshot").select("snapshot", "n_left", "was_present").where("n_left > 0 or was_present")

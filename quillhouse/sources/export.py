@@ -36,6 +36,25 @@ def as_chunks(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTE
     Offsets are sums within runs of line numbers plus the sums of the runs before, so no task gets a whole transcript.
     ``sha`` is the digest of the chunk. Lines of equal number stand in the order of their bytes, null numbers first.
     """
+    rows = _with_start(lines, key).withColumn("chunk", F.floor(F.col("start") / limit))
+    out = rows.groupBy(key, "chunk").agg(F.min("start").alias("start"), F.expr("listagg(raw, X'') within group (order by start)").alias("content"), F.sum("_size").alias("n_bytes"))
+    return out.withColumn("sha", F.sha2("content", 256))
+
+
+def pieces(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTES) -> DataFrame:
+    """``(key, block, sha, n_bytes)``: digests of each transcript's bytes cut every ``limit`` bytes, however it is split into lines."""
+    rows = _with_start(lines, key).where("_size > 0")
+    last = F.floor((F.col("start") + F.col("_size") - 1) / limit)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / limit), last)))
+    first = F.greatest(F.lit(0), F.col("block") * limit - F.col("start"))
+    stop = F.least(F.col("_size"), (F.col("block") + 1) * limit - F.col("start"))
+    rows = rows.withColumn("raw", F.substring("raw", (first + 1).cast("int"), (stop - first).cast("int")))
+    out = rows.groupBy(key, "block").agg(F.expr("listagg(raw, X'') within group (order by start)").alias("_bytes"))
+    return out.select(key, "block", F.sha2("_bytes", 256).alias("sha"), F.octet_length("_bytes").cast("long").alias("n_bytes"))
+
+
+def _with_start(lines: DataFrame, key: str) -> DataFrame:
+    """Lines with ``start``, the offset of their first byte in the transcript, and ``_size``."""
     k, run = F.col(key), F.floor(F.col("line_number") / RUN_LINES)
     # Never null, so that the window and the join are dealt alike and the bytes move once for both.
     name = F.concat(F.coalesce(run.cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.concat(F.lit("k"), k.cast("string")), F.lit("")))
@@ -45,9 +64,7 @@ def as_chunks(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTE
     runs = runs.select("_id", F.coalesce(before, F.lit(0)).alias("_base"))
     within = F.sum("_size").over(Window.partitionBy("_id").orderBy("line_number", "raw").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(runs, "_id")
-    rows = rows.withColumn("start", F.col("_base") + F.col("_within")).withColumn("chunk", F.floor(F.col("start") / limit))
-    out = rows.groupBy(key, "chunk").agg(F.min("start").alias("start"), F.expr("listagg(raw, X'') within group (order by start)").alias("content"), F.sum("_size").alias("n_bytes"))
-    return out.withColumn("sha", F.sha2("content", 256))
+    return rows.withColumn("start", F.col("_base") + F.col("_within"))
 
 
 def digests(chunks: DataFrame, key: str = "transcript") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillhouse.functions.text import whole_json
+
 #: Path shapes below the root, and how far a record may run over lines.
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 MAIN = rf"/([^/]+)/({UUID})\.jsonl$"
@@ -15,6 +17,8 @@ BACKUP = rf"/([^/]+)/({UUID})\.jsonl\.bak-[0-9]+$"
 SUBAGENT = rf"/([^/]+)/({UUID})/subagents/agent-([0-9a-f]+)\.jsonl$"
 SIDECAR = rf"/([^/]+)/({UUID})/subagents/agent-([0-9a-f]+)\.meta\.json$"
 MOST_LINES, MOST_BYTES = 1000, 1 << 20
+#: Entries of a wall, at most.
+MOST_WALLS = 100_000
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +30,7 @@ def classify_paths(paths: DataFrame) -> DataFrame:
     """Transcript files among ``paths``: ``project_slug, session_uuid, kind, agent_hex, is_backup``; other files are ignored."""
     p = F.col("path")
 
-    def part(i: int) -> F.Column:
+    def part(i: int) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(p, shape, i), F.lit("")) for shape in (SUBAGENT, MAIN, BACKUP)])
 
     out = paths.where(p.rlike(MAIN) | p.rlike(BACKUP) | p.rlike(SUBAGENT))
@@ -36,23 +40,54 @@ def classify_paths(paths: DataFrame) -> DataFrame:
     })
 
 
-def behind_walls(files: DataFrame, projects: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Files of neither an excluded project nor an excluded session. Done on the listing, so what is excluded is never opened."""
-    return files.join(projects.select("project_slug").distinct(), "project_slug", "left_anti").join(sessions.select("session_uuid").distinct(), "session_uuid", "left_anti")
+def behind_walls(files: DataFrame, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Files of neither an excluded project nor an excluded session; a wall that is not given shuts nothing out."""
+    if projects is not None:
+        files = files.join(projects.select("project_slug").distinct(), "project_slug", "left_anti")
+    if sessions is not None:
+        files = files.join(sessions.select("session_uuid").distinct(), "session_uuid", "left_anti")
+    return files
+
+
+def _let_in(projects: DataFrame | None, sessions: DataFrame | None) -> Column:
+    """Which files may be opened, by their path alone: the source leaves the others shut.
 
+    Walls are lists that people write; one of more than ``MOST_WALLS`` entries is refused.
+    """
+    path, out = F.col("_metadata.file_path"), F.lit(True)
+    for wall, name, group in ((projects, "project_slug", 1), (sessions, "session_uuid", 2)):
+        if wall is not None:
+            shut = [r[0] for r in wall.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_WALLS + 1).collect()]
+            if len(shut) > MOST_WALLS:
+                raise ValueError(f"more than {MOST_WALLS} entries in a wall")
+            if shut:
+                out = out & ~F.coalesce(*[F.nullif(F.regexp_extract(path, shape, group), F.lit("")) for shape in (SUBAGENT, MAIN, BACKUP, SIDECAR)], F.lit("")).isin(*shut)
+    return out
 
-def sidecars(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Subagent files with their sidecar's ``agent_type, description, tool_use_id``; null where it is missing or broken."""
-    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.meta.json").select("value", F.col("_metadata.file_path").alias("meta_path"))
+
+def sidecar_rows(found: DataFrame) -> DataFrame:
+    """``(session_uuid, agent_hex, agent_type, description, tool_use_id)`` of sidecars ``(path, value)``; broken ones give nulls."""
     v = F.from_json("value", "agentType string, description string, toolUseId string")
-    meta = found.select(F.regexp_extract("meta_path", SIDECAR, 2).alias("session_uuid"), F.regexp_extract("meta_path", SIDECAR, 3).alias("agent_hex"), v["agentType"].alias("agent_type"), v["description"].alias("description"), v["toolUseId"].alias("tool_use_id"))
-    return files.join(meta.dropDuplicates(["session_uuid", "agent_hex"]), ["session_uuid", "agent_hex"], "left")
+    meta = found.select(F.regexp_extract("path", SIDECAR, 2).alias("session_uuid"), F.regexp_extract("path", SIDECAR, 3).alias("agent_hex"), v["agentType"].alias("agent_type"), v["description"].alias("description"), v["toolUseId"].alias("tool_use_id"))
+    return meta.groupBy("session_uuid", "agent_hex").agg(F.min(F.struct("agent_type", "description", "tool_use_id")).alias("m")).select("session_uuid", "agent_hex", "m.*")
+
+
+def sidecars(spark: SparkSession, root: str, files: DataFrame, *, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Subagent files with their sidecar's ``agent_type, description, tool_use_id``; null where it is missing or broken. Walls shut sidecars too."""
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.meta.json").where(_let_in(projects, sessions))
+    return files.join(sidecar_rows(found.select(F.col("_metadata.file_path").alias("path"), "value")), ["session_uuid", "agent_hex"], "left")
+
 
+def contents(spark: SparkSession, root: str, files: DataFrame, *, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """``files`` with their bytes, null where a file cannot be read. Files behind a wall are not opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    return files.join(raw.where(_let_in(projects, sessions)).select("path", "content"), "path", "left")
 
-def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """``files`` with their bytes."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").load(root).select("path", "content")
-    return files.join(raw, "path")
+
+def readable(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files with bytes, and an anomaly for each without: one bad file stops no run."""
+    failed = loaded.where("content is null").select("path", F.lit("error").alias("severity"), F.lit("file_ingest_failure").alias("kind"), F.col("path").alias("detail"))
+    return loaded.where("content is not null"), failed
 
 
 def split_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
@@ -70,64 +105,72 @@ def split_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
     return rows.withColumn("end_offset", (F.col("start_offset") + size).cast("long"))
 
 
-def _opens(line: str, depth: int, in_string: bool) -> tuple[int, bool]:
-    """Brackets still open after a line, strings and escapes minded."""
-    escaped = False
+def _scan(line: bytes, state: tuple[int, bool, bool]) -> tuple[tuple[int, bool, bool], bool]:
+    """Brackets open after a line, and whether it ends inside a string or after an escape; and whether more were closed than opened."""
+    depth, in_string, escaped = state
+    below = False
     for ch in line:
-        if in_string:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                in_string = False
-        elif ch == '"':
+        if escaped:
+            escaped = False
+        elif in_string:
+            escaped, in_string = ch == 0x5C, ch != 0x22
+        elif ch == 0x22:
             in_string = True
-        elif ch in "{[":
+        elif ch in b"{[":
             depth += 1
-        elif ch in "}]":
+        elif ch in b"}]":
             depth -= 1
-    return depth, in_string
+            below = below or depth < 0
+    return (depth, in_string, escaped), below
 
 
-def _reassemble(raws: list[bytes]) -> list[tuple[int, int]]:
-    """``(first line, number of lines)`` of each record; an attempt that fails leaves its first line alone and starts again after it.
+def _is_json(raw: bytes) -> bool:
+    import json
 
-    Lines of an attempt still open at the end of the file are left out: they wait for more.
+    try:
+        json.loads(raw)
+    except ValueError:
+        return False
+    return True
+
+
+def _joined_from(raws: list[bytes], first: int) -> int | None:
+    """How many lines the record has that opens at ``first``: one where joining fails, ``None`` where the file ends before it closes.
+
+    Joining fails at a bracket too many, beyond the caps, if the brackets are closed and it is no JSON, or where a line of
+    its own begins: one that starts with ``{`` and is whole.
     """
-    import json
+    state, size, n = (0, False, False), 0, 0
+    for raw in raws[first:]:
+        if n and raw.startswith(b"{") and _is_json(raw):
+            return 1
+        state, below = _scan(raw, state)
+        size, n = size + len(raw), n + 1
+        if below or (n > 1 and (n > MOST_LINES or size > MOST_BYTES)):
+            return 1
+        if state[0] == 0:
+            return n if n > 1 and _is_json(b"".join(raws[first : first + n])) else 1
+    return None
 
-    def whole(text: bytes) -> bool:
-        try:
-            json.loads(text)
-        except ValueError:
-            return False
-        return True
 
+def _reassemble(raws: list[bytes]) -> list[tuple[int, int]]:
+    """``(first line, number of lines)`` of each record; an attempt that fails leaves its first line alone and starts again after it.
+
+    Lines of an attempt still open at the end of the file, and a last line without its end that is no JSON, are left out:
+    they wait for more.
+    """
     out, i = [], 0
     while i < len(raws):
-        if not raws[i].strip() or whole(raws[i]) or not raws[i].lstrip().startswith((b"{", b"[")):
-            out.append((i, 1))
-            i += 1
-            continue
-        depth, in_string, size, j, done = 0, False, 0, i, False
-        while j < len(raws) and j - i < MOST_LINES:
-            size += len(raws[j])
-            depth, in_string = _opens(raws[j].decode("latin-1"), depth, in_string)
-            j += 1
-            if size > MOST_BYTES or depth < 0 or in_string:
-                break
-            if depth == 0:
-                done = whole(b"".join(raws[i:j]))
+        n: int | None = 1
+        if not _is_json(raws[i]):
+            if not raws[i].endswith(b"\n"):
                 break
-        if done:
-            out.append((i, j - i))
-            i = j
-        elif j == len(raws) and depth > 0 and size <= MOST_BYTES and j - i < MOST_LINES and j - i > 1:
-            return out  # open at the end of the file
-        else:
-            out.append((i, 1))
-            i += 1
+            if raws[i].lstrip().startswith(b"{"):
+                n = _joined_from(raws, i)
+        if n is None:
+            break
+        out.append((i, n))
+        i += n
     return out
 
 
@@ -138,7 +181,7 @@ def reassembled(lines: DataFrame) -> DataFrame:
     (files are bounded: the caps limit each attempt); all others pass unchanged.
     """
     text = F.btrim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\r\n"))
-    opener = text.rlike(r"^[{\[]") & F.try_parse_json(F.decode("raw", "UTF-8")).isNull()
+    opener = text.startswith("{") & whole_json(F.try_validate_utf8(F.col("raw").cast("string"))).isNull()
     marked = lines.withColumn("_open", F.max(F.when(opener, 1).otherwise(0)).over(Window.partitionBy("path")))
     plain, broken = marked.where("_open = 0").drop("_open"), marked.where("_open = 1").drop("_open")
 
@@ -158,7 +201,7 @@ def reassembled(lines: DataFrame) -> DataFrame:
 def complete(lines: DataFrame) -> DataFrame:
     """Lines that have ended, and a last one without a line end if it is whole JSON; another last one waits."""
     ended = F.decode("raw", "ISO-8859-1").endswith("\n")
-    return lines.where(ended | F.try_parse_json(F.try_validate_utf8(F.col("raw").cast("string"))).isNotNull())
+    return lines.where(ended | whole_json(F.try_validate_utf8(F.col("raw").cast("string"))).isNotNull())
 
 
 def prefix_digest(files: DataFrame, checkpoint: str = "checkpoint") -> DataFrame:
@@ -223,38 +266,55 @@ def elect_primary(files: DataFrame) -> DataFrame:
     return live.where("_rn = 1").drop("_rn")
 
 
-def newest_generation(files: DataFrame) -> DataFrame:
-    w = Window.partitionBy("path").orderBy(F.desc("generation"))
+def newest_generation(files: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The row of the newest generation of each path; ``ties`` order rows of one generation."""
+    w = Window.partitionBy("path").orderBy(F.desc("generation"), *ties)
     return files.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def capture(spark: SparkSession, root: str, archive: str, run_id: str, *, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
-    """One incremental run: reads what is new below ``root`` and appends it to ``archive`` as Parquet under ``run_id=``.
+def newest_by_uuid(lines: DataFrame) -> DataFrame:
+    """The newest raw line of each record id, ``(uuid, line_number, sha)``; lines of older generations stay in the archive."""
+    return lines.where("uuid is not null").groupBy("uuid").agg(F.max("line_number").alias("line_number"), F.max_by("sha", "line_number").alias("sha"))
 
-    The state of each file follows from the rows themselves (its checkpoint is the largest end offset of its newest
-    generation), so rows and state cannot get out of step, and a run over unchanged files adds nothing.
-    """
-    files = classify_paths(listing(spark, root))
-    if projects is not None and sessions is not None:
-        files = behind_walls(files, projects, sessions)
-    loaded = contents(spark, root, files)
+
+#: What the archive holds of each line; the last line of a file in a run also says what the file was like.
+_STATE = ("prefix_sha", "file_length", "file_time")
+
+
+def _known(spark: SparkSession, archive: str) -> DataFrame:
+    """State of each file in an archive: checkpoint, digest of the bytes before it, length and time at its last capture."""
     try:
         old = spark.read.parquet(archive)
     except Exception as e:  # the first run finds no archive
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = spark.createDataFrame([], "path string, checkpoint long, sha string, generation int")
-    else:
-        last = old.groupBy("path", "generation").agg(F.max("end_offset").alias("checkpoint"))
-        newest = newest_generation(last)
-        seen = old.join(newest.select("path", "generation"), ["path", "generation"]).groupBy("path", "generation").agg(F.sha2(F.expr("listagg(raw, X'') within group (order by line_number)"), 256).alias("sha"))
-        known = newest.join(seen, ["path", "generation"])
-    tails = new_tails(loaded, known)
+        return spark.createDataFrame([], "path string, checkpoint long, sha string, generation int, file_length long, file_time timestamp")
+    ends = old.where("prefix_sha is not null").groupBy("path", "generation").agg(F.max("end_offset").alias("checkpoint"), F.max_by(F.struct(*_STATE), "end_offset").alias("s"))
+    return newest_generation(ends).select("path", "checkpoint", F.col("s.prefix_sha").alias("sha"), "generation", "s.file_length", "s.file_time")
+
+
+def capture(spark: SparkSession, root: str, archive: str, run_id: str, *, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """One incremental run: reads what is new below ``root`` and appends it to ``archive`` as Parquet under ``run_id=``.
+
+    Only files whose length or time has changed are read, and none behind a wall. The state of each file is in its own
+    rows (the last of a run holds the digest of all bytes up to its end), so rows and state cannot get out of step, and a
+    run over unchanged files adds nothing. Files that cannot be read are noted in ``<archive>-anomalies``.
+    """
+    known = _known(spark, archive)
+    files = behind_walls(classify_paths(listing(spark, root)), projects, sessions)
+    same = known.select("path", F.col("file_length").alias("length"), F.col("file_time").alias("modificationTime"))
+    changed = files.join(same, ["path", "length", "modificationTime"], "left_anti")
+    loaded, failed = readable(contents(spark, root, changed, projects=projects, sessions=sessions))
+    tails = new_tails(loaded, known.select("path", "checkpoint", "sha", "generation"))
     lines = complete(reassembled(split_lines(tails)))
     base = F.when(F.col("action") == "grown", F.col("checkpoint")).otherwise(F.lit(0))
     out = lines.select(
         "path", "project_slug", "session_uuid", "kind", "agent_hex", "is_backup", "generation", "action", (F.col("line_number") + F.col("first_line")).alias("line_number"),
-        (F.col("start_offset") + base).alias("start_offset"), (F.col("end_offset") + base).alias("end_offset"), F.sha2("raw", 256).alias("sha"), "raw",
+        (F.col("start_offset") + base).alias("start_offset"), (F.col("end_offset") + base).alias("end_offset"), F.sha2("raw", 256).alias("sha"), "raw", F.col("length").alias("file_length"), F.col("modificationTime").alias("file_time"),
     )
+    ends = out.groupBy("path").agg(F.max("end_offset").alias("end_offset"))
+    prefix = ends.join(loaded.select("path", "content"), "path").select("path", "end_offset", F.sha2(F.expr("substring(content, 1, cast(end_offset as int))"), 256).alias("prefix_sha"))
+    out = out.join(prefix, ["path", "end_offset"], "left")
     out.write.mode("append").parquet(f"{archive}/run_id={run_id}")
-    return spark.read.parquet(archive).where(F.col("run_id").cast("string") == run_id)
+    failed.write.mode("append").parquet(f"{archive}-anomalies/run_id={run_id}")
+    return spark.read.schema(out.schema).parquet(f"{archive}/run_id={run_id}")

@@ -8,22 +8,38 @@ from pyspark.sql import functions as F
 from quillhouse.operators.records import envelope, parse
 
 
-def stream_records(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of parsed records from JSONL segments below ``folder``, each record once by transcript, id and bytes.
+def stream_records(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """A stream of parsed records from JSONL segments below ``folder``.
 
     Growing transcripts cannot be tailed by a file source, which goes by path; they are captured by the batch job, or
     landed as segments first.
     """
-    raw = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl").load(folder).select(F.col("value").cast("binary").alias("raw"))
+    raw = spark.readStream.format("text").option("pathGlobFilter", pattern).load(folder).select(F.col("value").cast("binary").alias("raw"))
     parsed = envelope(parse(raw)).withColumn("sha", F.sha2("raw", 256))
-    return parsed.select("session_id", "uuid", "rtype", "status", "sha", "text").dropDuplicates(["session_id", "uuid", "sha"])
+    return parsed.select("session_id", "uuid", "rtype", "status", "sha", "text")
 
 
-def ingest(spark: SparkSession, folder: str, archive: str, checkpoint: str) -> None:
-    """Takes all segments that are there into ``archive`` and ends; running again adds only what is new."""
+def ingest(spark: SparkSession, folder: str, archive: str, checkpoint: str, pattern: str = "*.jsonl") -> None:
+    """Takes all segments that are there into ``archive`` and ends; running again adds only what is new.
 
-    def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{archive}/batch={number}")
+    A record is taken once by transcript, id and bytes: each batch is held against what earlier batches landed, so the
+    stream keeps no state of its own, and a batch that is run again replaces what it wrote.
+    """
+    keys = ["session_id", "uuid", "sha"]
 
-    query = stream_records(spark, folder).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def land(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys)
+        try:
+            old = spark.read.parquet(archive).where(F.col("batch") < number).select(*keys)
+        except Exception as e:  # the first batch finds no archive
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            same = new.sha == old.sha
+            for k in keys[:2]:
+                same = same & new[k].eqNullSafe(old[k])
+            new = new.join(old, same, "left_anti")
+        new.write.mode("overwrite").parquet(f"{archive}/batch={number}")
+
+    query = stream_records(spark, folder, pattern).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

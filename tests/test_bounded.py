@@ -25,6 +25,6 @@ def test_files_of_a_busy_owner_are_bounded(spark, tmp_path, monkeypatch):
     seen, split = [], capture_queries.transcripts.split_lines
     monkeypatch.setattr(capture_queries.transcripts, "split_lines", lambda files: seen.append(files) or split(files))
     monkeypatch.setattr(capture_queries, "FILE_ROWS", 100)
-    assert capture_queries.reassembled(spark, str(tmp_path)).collect() == [(1, 1000, 13000)]
+    assert capture_queries.reassembled(spark, str(tmp_path)).collect() == [(1, 2000, 250 * (20 + 9 + 19 + 23))]
     assert capture_queries.torn(spark, str(tmp_path)).collect() == [(2, 999)]
     assert [f.count() for f in seen] == [10, 10]

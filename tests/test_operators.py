@@ -23,9 +23,10 @@ def test_parse_outcomes(spark):
     got = {r.line_number: (r.status, [(a.severity, a.kind) for a in r.anomalies]) for r in records.parse(line_rows(
         spark, user, user | {"novel": 1}, {"type": "mystery"}, b"{broken", b"  \n", b"\xff\xfe\n", {"type": "user", "message": {"role": "user", "content": 17}}, {"type": "user"},
         {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "x"}]}}, user | {"message": {"role": "user", "content": "x", "odd": 1}}, b"[1]\n",
+        b'{"type":"user","message":{"role":"user","content":"x"}} {"more":1}\n',
     )).collect()}
     assert got[0] == ("ok", []) and got[1] == ("partial", [("info", "unknown_field")]) and got[2] == ("partial", [("warn", "unknown_record_type")])
-    assert got[3] == got[5] == got[10] == ("anomaly", [("error", "invalid_json")]) and got[4] == ("partial", [("info", "whitespace_line")])
+    assert got[3] == got[5] == got[10] == got[11] == ("anomaly", [("error", "invalid_json")]) and got[4] == ("partial", [("info", "whitespace_line")])
     assert got[6] == got[7] == got[8] == ("anomaly", [("error", "validation_error")]) and got[9] == ("partial", [("info", "unknown_field")])
 
 
@@ -38,16 +39,22 @@ def test_blocks_and_authorship(spark):
         (said(promptSource="system"), "task_notification"), (said(origin={"kind": "coordinator"}), "coordinator"), (said(promptSource="typed"), "human_typed"), (said(promptSource="queued"), "human_queued"),
         (said(promptSource="sdk"), "sdk_automation"), (said(content="<command-name> /x </command-name>"), "command_expansion"), (said(content="<local-command-stdout>"), "command_output"), (said(isMeta=True), "harness_meta"),
         (said(content="[Request interrupted by user]"), "interrupt_marker"), (said(isSidechain=True), "dispatch"), (said(promptSource="new"), "unclassified"), (said(version="2.1.99"), "human_inferred"),
-        (said(version="2.1.168"), "unclassified"), (said(version="2.x"), "unclassified"), (tool, "claude"), ({"type": "system", "subtype": "s"}, "system"),
+        (said(version="2.1.168"), "unclassified"), (said(version="2.x"), "unclassified"), (said(origin={"kind": "human"}, version="2.1.99"), "human_inferred"), (said(content="", version="2.1.99"), "human_inferred"),
+        (said(content=[{"type": "text", "text": ""}], version="2.1.99"), "human_inferred"), (said(content=[{"type": "thinking", "thinking": "x"}], version="2.1.99"), "unclassified"), (said(origin={"kind": "odd"}, version="2.1.99"), "unclassified"),
+        (said(isMeta=True, content="<local-command-caveat>x"), "harness_meta"), (said(isMeta=True, content="Caveat: x"), "harness_meta"), (said(content="[Request interrupted by user for tool use]"), "interrupt_marker"), (tool, "claude"), ({"type": "system", "subtype": "s"}, "system"),
         ({"type": "attachment", "attachment": {"type": "queued_command", "commandMode": "prompt", "origin": {"kind": "human"}, "prompt": "p"}}, "attachment_queued_human"), ({"type": "attachment", "attachment": {}}, "attachment_furniture"),
     ]
     base = blocks.with_blocks(records.envelope(records.parse(line_rows(spark, *[c for c, _ in cases]))))
     rows = blocks.block_rows(base)
+    found = authorship.classify(base, authorship.tool_calls(rows)).collect()
+    tool_line = next(i for i, (_, want) in enumerate(cases) if want == "claude")
     got = {r.line_number: (r.author, r.detail) for r in authorship.classify(base, authorship.tool_calls(rows)).collect()}
     assert {i: a for i, (a, _) in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
-    assert got[1][1] == "Skill" and got[3][1] == "x" and got[11][1] == "/x"
+    assert got[1][1] == "Skill" and got[3][1] == "x" and got[11][1] == "/x" and [got[i][1] for i in (24, 25, 26, 27)] == ["odd", "caveat", None, "tool"]
+    assert {r.basis.split(" — ")[0] for r in found} == {"verified", "heuristic"} and all(r.basis.split(" — ")[1] for r in found)
+    assert next(r.basis for r in found if r.line_number == 3) == "verified — sourceToolUseID → Skill"
     by = {(r.line_number, r.block_index): r for r in rows.collect()}
-    assert by[1, 0].text == "a\nb" and by[20, 2].kind == "thinking" and blocks.usage_rows(records.parse(line_rows(spark, tool))).first().input_tokens == 3
+    assert by[1, 0].text == "a\nb" and by[tool_line, 2].kind == "thinking" and blocks.usage_rows(records.parse(line_rows(spark, tool))).first().input_tokens == 3
 
 
 @pytest.fixture
@@ -83,6 +90,56 @@ def test_capture_is_incremental(spark, tree, tmp_path):
     assert side == {"main": None, "subagent": "t"} and files.count() == 3
     wall = spark.createDataFrame([("-p-one",)], "project_slug string")
     assert transcripts.behind_walls(files, wall, spark.createDataFrame([], "session_uuid string")).count() == 0
+    assert transcripts.behind_walls(files, sessions=spark.createDataFrame([(UUID,)], "session_uuid string")).count() == 0
+    assert transcripts.capture(spark, str(root), archive, "007").count() == 0
+
+
+def test_walls_keep_files_shut(spark, tree, tmp_path):
+    root, main, _ = tree
+    other = root / "-p-two" / f"{UUID[:-1]}b.jsonl"
+    other.parent.mkdir()
+    other.write_bytes(b'{"type":"user"}\n')
+    files = transcripts.classify_paths(transcripts.listing(spark, str(root)))
+
+    def opened(df):
+        """How many files the scan of contents read."""
+        df.collect()
+        plan, seen = [df._jdf.queryExecution().executedPlan()], []
+        while plan:
+            node = plan.pop()
+            while "AdaptiveSparkPlan" in node.nodeName() or "QueryStage" in node.nodeName():
+                node = node.executedPlan() if "AdaptiveSparkPlan" in node.nodeName() else node.plan()
+            kids = node.children()
+            plan += [kids.apply(i) for i in range(kids.size())]
+            if "binaryFile" in node.nodeName() and "content" in node.output().mkString(","):
+                seen.append(node.metrics().apply("numFiles").value())
+        return seen
+
+    wall = spark.createDataFrame([("-p-one",)], "project_slug string")
+    assert opened(transcripts.contents(spark, str(root), files)) == [4]
+    assert opened(transcripts.contents(spark, str(root), files, projects=wall)) == [1]
+    got = transcripts.capture(spark, str(root), str(tmp_path / "walled"), "007", projects=wall)
+    assert {r.path.rsplit("/", 1)[1] for r in got.collect()} == {other.name}
+    one = spark.createDataFrame([(other.stem,)], "session_uuid string")
+    assert transcripts.capture(spark, str(root), str(tmp_path / "walled2"), "1", sessions=one).where("project_slug = '-p-two'").count() == 0
+    side = transcripts.sidecars(spark, str(root), files.where("not is_backup"), projects=wall)
+    assert {r.agent_type for r in side.collect()} == {None}
+
+
+def test_a_file_that_cannot_be_read_stops_no_run(spark):
+    loaded = spark.createDataFrame([("a", bytearray(b"x\n")), ("b", None)], "path string, content binary")
+    good, failed = transcripts.readable(loaded)
+    assert [r.path for r in good.collect()] == ["a"] and [(r.path, r.severity, r.kind) for r in failed.collect()] == [("b", "error", "file_ingest_failure")]
+
+
+def test_same_bytes_however_they_are_split(spark):
+    lines = lambda parts: spark.createDataFrame([("f", i, bytearray(x)) for i, x in enumerate(parts)], "path string, line_number long, raw binary")
+    for other, want in (([b"ab", b"cdef\n"], True), ([b"abcdef"], False), ([b"abcdeg\n"], False)):
+        assert governance.same_bytes(lines([b"abc", b"def\n"]), lines(other)).first().may_swap == want
+    cut = export.pieces(lines([b"abc", b"", b"defghij"]), "path", 4).orderBy("block").collect()
+    import hashlib
+
+    assert [r.sha for r in cut] == [hashlib.sha256(x).hexdigest() for x in (b"abcd", b"efgh", b"ij")]
 
 
 def test_export_writes_once(spark, tmp_path):
@@ -95,8 +152,14 @@ def test_export_writes_once(spark, tmp_path):
 
 
 def test_reassembly_gives_up_and_waits():
-    assert transcripts._reassemble([b"{\n", b'"a":1\n', b"}\n", b"{x\n", b"y}\n", b'{"k":\n']) == [(0, 3), (3, 1), (4, 1), (5, 1)]
-    assert transcripts._reassemble([b'{"k":\n', b'"v",\n']) == []
+    join = transcripts._reassemble
+    assert join([b"{\n", b'"a":1\n', b"}\n", b"{x\n", b"y}\n", b'{"k":\n']) == [(0, 3), (3, 1), (4, 1)]
+    assert join([b'{"k":\n', b'"v",\n']) == [] and join([b"{\n"]) == []
+    assert join([b'{"a":[\n', b'{"type":"user"}\n', b"]}\n"]) == [(0, 1), (1, 1), (2, 1)]
+    assert join([b'{"a":[\n', b' {"type":"user"}\n', b"]}\n"]) == [(0, 3)]
+    assert join([b"[\n", b"1\n", b"]\n"]) == [(0, 1), (1, 1), (2, 1)]
+    assert join([b'{"a": "}{\\"",\n', b' "b": 1}\n', b"}\n", b'{"torn": tru']) == [(0, 2), (2, 1)]
+    assert join([b"{\n", *[b"1,\n"] * 1200, b"}\n"])[0] == (0, 1)
 
 
 def test_query_terms_never_fail(spark):
@@ -114,7 +177,12 @@ def test_search_ranks_and_snippets(spark):
     hits = {(r.query_id, r.block_key) for r in search.search(asked, posts, b, search.statistics(posts, b)).collect()}
     assert hits == {(1, "k1"), (1, "k3"), (2, "k1"), (2, "k3")}
     assert b.where("block_key = 'k1'").select(search.snippet(F.col("text"), F.array(F.lit("mat")), 3)).first()[0] == "…<mark>mat</mark>"
-    assert {r.stem for r in search.stems(posts).where("term in ('dogs', 'zoë')").collect()} == {"dog", "zoe"}
+    words = search.vocabulary(posts)
+    assert {r.stem for r in words.where("term in ('dogs', 'zoë')").collect()} == {"dog", "zoe"}
+    forms = spark.createDataFrame([(1, "dog ZOE"), (2, '"and cats"'), (3, '"the cats of"')], "query_id int, q string").select("query_id", fn.query_terms(F.col("q")).alias("phrases"))
+    stats = search.statistics(posts, b)
+    assert {(r.query_id, r.block_key) for r in search.search(forms, posts, b, stats, words=words).collect()} == {(1, "k3"), (3, "k3")}
+    assert search.search(forms, posts, b, stats).count() == 0
     with pytest.raises(ValueError):
         search.in_sources(posts, ["nowhere"])
 
