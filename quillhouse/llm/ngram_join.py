@@ -29,12 +29,16 @@ COLUMNS, FRAGMENT = 4096, 8192
 #: Independent orders; a set with too many empty fragments in all of them falls back on its least hashes.
 ORDERS = 4
 FLUSH = 400_000
+#: Rows of cells that a task looks at together, and members of a cell whose pairs are compared with those of other cells.
+CELL_ROWS, FEW = 100_000, 16
+#: Documents whose texts are found again by a broadcast of their ids.
+FEW_DOCS = 100_000
 #: Bytes of a word that are hashed side by side with other words'; longer words are hashed alone.
 LONG = 256
 #: A set that more than this share of all documents have is known to every task.
 HOT_SHARE = 1 / 4096
 #: Bytes of text for each cell of the dealing.
-CELL_BYTES = 64 << 20
+CELL_BYTES = 32 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
@@ -170,6 +174,19 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
+def _folded(marks: list[bytes], at: np.ndarray, width: int) -> np.ndarray:
+    """The sketches ``marks[at]``, all of one width, folded until ``width`` bytes are left."""
+    x = np.frombuffer(b"".join([marks[k] for k in at.tolist()]), "<u8").reshape(len(at), -1)
+    while x.shape[1] * 8 > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def _open(apart: np.ndarray, one: np.ndarray, two: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes, ``apart`` in so many elements at least, can reach the threshold."""
+    return (apart * (den + num) <= (one + two) * (den - num)) & (np.minimum(one, two) * den >= np.maximum(one, two) * num)
+
+
 def near_ties(left: tuple, right: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Enough pairs ``(node, node)`` to connect all whose sketches and sizes leave it open that they reach the threshold.
 
@@ -178,13 +195,6 @@ def near_ties(left: tuple, right: tuple, num: int, den: int) -> tuple[np.ndarray
     """
     masks = []
     widths = [np.array([len(x) for x in side[2]], np.int64) for side in (left, right)]
-
-    def folded(side: tuple, at: np.ndarray, width: int) -> np.ndarray:
-        x = np.frombuffer(b"".join(side[2][k] for k in at.tolist()), "<u8").reshape(len(at), -1)
-        while x.shape[1] * 8 > width:
-            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-        return x
-
     for w in np.unique(widths[0]).tolist():
         i = np.flatnonzero(widths[0] == w)
         for v in np.unique(widths[1]).tolist():
@@ -192,18 +202,31 @@ def near_ties(left: tuple, right: tuple, num: int, den: int) -> tuple[np.ndarray
             small, large = (left[1][i], right[1][j]) if w < v else (right[1][j], left[1][i])
             if w != v and small.max() * den < large.min() * num:
                 continue
-            x, y = folded(left, i, min(w, v)), folded(right, j, min(w, v))
+            x, y = _folded(left[2], i, min(w, v)), _folded(right[2], j, min(w, v))
             step = max(1, (1 << 20) // (len(j) * x.shape[1]))
             for lo in range(0, len(i), step):
                 apart = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
-                one, two = left[1][i[lo : lo + step], None], right[1][None, j]
-                p, q = np.nonzero((apart * (den + num) <= (one + two) * (den - num)) & (np.minimum(one, two) * den >= np.maximum(one, two) * num))
+                p, q = np.nonzero(_open(apart, left[1][i[lo : lo + step], None], right[1][None, j], num, den))
                 masks.append((i[lo : lo + step][p], j[q]))
     if not masks:
         return left[0][:0], left[0][:0]
     return _forest(left[0], right[0], *(np.concatenate(x) for x in zip(*masks, strict=True)))
 
 
+def near_pairs(sizes: np.ndarray, marks: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs ``(i, j)`` their sketches and sizes leave open, as in ``near_ties``."""
+    width = np.array([len(x) for x in marks], np.int64)
+    out = np.zeros(len(i), bool)
+    for code in np.unique(width[i] << 32 | width[j]).tolist():
+        w, v = code >> 32, code & 0xFFFFFFFF
+        at = np.flatnonzero((width[i] == w) & (width[j] == v) & _open(np.int64(0), sizes[i], sizes[j], num, den))
+        for lo in range(0, len(at), 1 << 16):
+            k = at[lo : lo + (1 << 16)]
+            apart = np.bitwise_count(_folded(marks, i[k], min(w, v)) ^ _folded(marks, j[k], min(w, v))).sum(1, dtype=np.int64)
+            out[k] = _open(apart, sizes[i[k]], sizes[j[k]], num, den)
+    return out
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each set of one side shares with each of the other, ``COLUMNS`` different elements at a time."""
     a_size, b_size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
@@ -342,15 +365,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[keep]), pa.array(sides.astype(np.int32))], ["grp", "node", "sides"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in grouped(batches):
-            grp, lo, hi, side, node, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(1, 7))
-            marks = [x for p in parts for x in p.column(7).to_pylist()]
-            for cell in {(g, x, y) for g, x, y in zip(grp.tolist(), lo.tolist(), hi.tolist(), strict=True)}:
-                of = [np.flatnonzero((grp == cell[0]) & (lo == cell[1]) & (hi == cell[2]) & (side == at)) for at in cell[1:]]
+        """Ties of a run of cells: the pairs of small ones all at once, large ones one by one."""
+
+        def run(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, lo, hi, side, node, size = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(6))
+            marks = [x for p in parts for x in p.column(6).to_pylist()]
+            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            held = np.diff(np.append(starts, len(key)))
+            small = (held <= FEW) & (lo[starts] == hi[starts])
+            pairs = [np.zeros((0, 2), np.int64)]
+            for n in np.unique(held[small]).tolist():
+                at = np.stack(np.triu_indices(n, 1), 1)
+                pairs.append((starts[small & (held == n)][:, None, None] + at).reshape(-1, 2))
+            i, j = np.concatenate(pairs).T
+            near = near_pairs(size, marks, i, j, num, den)
+            links = [_forest(node, node, i[near], j[near])]
+            for k in np.flatnonzero(~small).tolist():
+                rows_ = np.arange(starts[k], starts[k] + held[k])
+                of = [rows_[side[rows_] == at] for at in (lo[starts[k]], hi[starts[k]])]
                 if len(of[0]) and len(of[1]):
-                    a, b = near_ties(*[(node[i], size[i], [marks[k] for k in i.tolist()]) for i in of], num, den)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    links.append(near_ties(*[(node[i], size[i], [marks[m] for m in i.tolist()]) for i in of], num, den))
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for _, parts in grouped(batches):
+            held += parts
+            size += sum(p.num_rows for p in parts)
+            if size >= CELL_ROWS:
+                yield from run(held)
+                held, size = [], 0
+        if held:
+            yield from run(held)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "key").sortWithinPartitions("key")
@@ -362,9 +410,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = table(shared, "shared")
     known_by = sketched.where("n_shingles > 0").groupBy(F.col("a").alias("node"), "n_shingles", "b").agg(F.min("sketch").alias("sketch")).drop("b")
 
-    def tied(cells: DataFrame) -> DataFrame:
+    def tied(cells: DataFrame, few: bool = False) -> DataFrame:
         close = cells.hint("merge").join(known_by.hint("merge"), "node")
-        return dealt(close.select(key, "grp", "lo", "hi", "side", "node", "n_shingles", "sketch")).mapInArrow(tie, "a long, b long")
+        return dealt(close.select(key, "lo", "hi", "side", "node", "n_shingles", "sketch")).mapInArrow(tie, "a long, b long")
 
     groups = _joined_up(shared, tied, CROWD).select(F.col("node").alias("a"), F.col("component").alias("grp"))
     members_ = least.join(groups, "a").select(F.col("rep").alias("node"), "n_shingles", "grp")
@@ -413,8 +461,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     cell = [pa.array(np.full(len(columns[0]), x, np.int64)) for x in (grp, lo, hi)]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *cell], ["a", "b", "both", "total", "grp", "lo", "hi"])
 
-    def linked(cells: DataFrame) -> DataFrame:
-        held = rows.join(cells.select(F.col("node").alias("doc_id"), "grp", "lo", "hi", "side", "frags").hint("merge"), "doc_id").select("doc_id", "text", "grp", "lo", "hi", "side", "frags")
+    def linked(cells: DataFrame, few: bool = False) -> DataFrame:
+        texts = rows.join(F.broadcast(cells.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi") if few else rows
+        held = texts.join(cells.select(F.col("node").alias("doc_id"), "grp", "lo", "hi", "side", "frags").hint("merge"), "doc_id").select("doc_id", "text", "grp", "lo", "hi", "side", "frags")
         cut = held.mapInArrow(fragments, "node long, grp long, lo int, hi int, side int, frags int, frag int, size long, part binary")
         met = dealt(cut.select(F.xxhash64("grp", "lo", "hi", "frag").alias("key"), "grp", "lo", "hi", "frags", "frag", "side", "node", "size", "part"))
         found = table(met.mapInArrow(compare, "a long, b long, both long, total long, grp long, lo long, hi long"), "overlaps")
@@ -434,15 +483,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _joined_up(members: DataFrame, edges_of: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+def _joined_up(members: DataFrame, edges_of: Callable[..., DataFrame], most: int) -> DataFrame:
     """``(node, component)`` of the links that ``edges_of`` finds in cells of ``members`` (``grp, node, sides``)."""
     edges = table(edges_of(_deals(members)), "ties")
     labels = components(edges)
     apart = table(_still_apart(members, labels, most), "apart")
-    if not apart.limit(1).count():
+    nodes = apart.select("node").distinct().count()
+    if not nodes:
         return labels
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(known.unionByName(edges_of(apart)))
+    return components(known.unionByName(edges_of(apart, nodes <= FEW_DOCS)))
 
 
 def _node(h: np.ndarray) -> int:
