@@ -7,21 +7,97 @@ from pyspark.sql import functions as F
 
 from quillhouse.functions.text import whole_json
 
-#: The fields that each record type declares, and those shared by the conversational types.
-ENVELOPE = "type uuid parentUuid sessionId timestamp cwd version gitBranch isSidechain userType entrypoint agentId slug isMeta session_id".split()
+#: The fields that the conversational types share, those that each type declares besides, and all fields of thin records.
+ENVELOPE = (
+    "type", "uuid", "parentUuid", "sessionId", "timestamp", "cwd", "version", "gitBranch", "isSidechain", "userType", "entrypoint", "agentId", "slug",
+    "isMeta", "session_id",
+)
 OWN = {
-    "user": "message permissionMode promptId promptSource sourceToolAssistantUUID sourceToolUseID origin toolUseResult toolEndsTurn interruptedMessageId toolDenialKind classifierMetaLines interruptedByShutdown source userFeedback logicalParentUuid compactMetadata isVisibleInTranscriptOnly isCompactSummary",
-    "assistant": "message requestId attributionAgent attributionSkill attributionPlugin attributionMcpServer attributionMcpTool error effort isApiErrorMessage apiErrorStatus supersedesUuids isAbortedMidStream pendingWorkflowCount",
-    "system": "subtype level content durationMs messageCount pendingBackgroundAgentCount pendingWorkflowCount hookCount hookInfos hookErrors hookAdditionalContext preventedContinuation stopReason hasOutput toolUseID error cause retryInMs retryAttempt maxRetries trigger direction originalModel fallbackModel requestId apiRefusalCategory apiRefusalExplanation retractedMessageUuids refusedUserMessageUuid logicalParentUuid compactMetadata",
-    "attachment": "attachment",
+    "user": (
+        "message", "permissionMode", "promptId", "promptSource", "sourceToolAssistantUUID", "sourceToolUseID", "origin", "toolUseResult", "toolEndsTurn",
+        "interruptedMessageId", "toolDenialKind", "classifierMetaLines", "interruptedByShutdown", "source", "userFeedback", "logicalParentUuid",
+        "compactMetadata", "isVisibleInTranscriptOnly", "isCompactSummary",
+    ),
+    "assistant": (
+        "message", "requestId", "attributionAgent", "attributionSkill", "attributionPlugin", "attributionMcpServer", "attributionMcpTool", "error", "effort",
+        "isApiErrorMessage", "apiErrorStatus", "supersedesUuids", "isAbortedMidStream", "pendingWorkflowCount",
+    ),
+    "system": (
+        "subtype", "level", "content", "durationMs", "messageCount", "pendingBackgroundAgentCount", "pendingWorkflowCount", "hookCount", "hookInfos",
+        "hookErrors", "hookAdditionalContext", "preventedContinuation", "stopReason", "hasOutput", "toolUseID", "error", "cause", "retryInMs",
+        "retryAttempt", "maxRetries", "trigger", "direction", "originalModel", "fallbackModel", "requestId", "apiRefusalCategory", "apiRefusalExplanation",
+        "retractedMessageUuids", "refusedUserMessageUuid", "logicalParentUuid", "compactMetadata",
+    ),
+    "attachment": (
+        "attachment",
+    ),
 }
 THIN = {
-    "ai-title": "type sessionId aiTitle", "custom-title": "type sessionId customTitle", "mode": "type sessionId mode", "permission-mode": "type sessionId permissionMode",
-    "last-prompt": "type sessionId leafUuid lastPrompt", "queue-operation": "type sessionId operation content timestamp", "agent-name": "type sessionId agentName", "agent-color": "type sessionId agentColor",
-    "file-history-snapshot": "type sessionId messageId snapshot isSnapshotUpdate", "file-history-delta": "type sessionId messageId snapshotMessageId trackingPath backup timestamp",
+    "ai-title": (
+        "type", "sessionId", "aiTitle",
+    ),
+    "custom-title": (
+        "type", "sessionId", "customTitle",
+    ),
+    "mode": (
+        "type", "sessionId", "mode",
+    ),
+    "permission-mode": (
+        "type", "sessionId", "permissionMode",
+    ),
+    "last-prompt": (
+        "type", "sessionId", "leafUuid", "lastPrompt",
+    ),
+    "queue-operation": (
+        "type", "sessionId", "operation", "content", "timestamp",
+    ),
+    "agent-name": (
+        "type", "sessionId", "agentName",
+    ),
+    "agent-color": (
+        "type", "sessionId", "agentColor",
+    ),
+    "file-history-snapshot": (
+        "type", "sessionId", "messageId", "snapshot", "isSnapshotUpdate",
+    ),
+    "file-history-delta": (
+        "type", "sessionId", "messageId", "snapshotMessageId", "trackingPath", "backup", "timestamp",
+    ),
+}
+DECLARED = {k: ENVELOPE + v for k, v in OWN.items()} | THIN
+#: The fields of a message, of its usage, and of each kind of content block; other kinds are kept as they are.
+MESSAGE = {
+    "user": (
+        "role", "content",
+    ),
+    "assistant": (
+        "role", "type", "id", "model", "content", "usage", "stop_reason", "stop_sequence", "stop_details", "diagnostics", "container", "context_management",
+    ),
+}
+USAGE = (
+    "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "cache_creation", "server_tool_use", "service_tier",
+    "speed", "iterations", "inference_geo",
+)
+BLOCKS = {
+    "text": (
+        "type", "text",
+    ),
+    "thinking": (
+        "type", "thinking", "signature",
+    ),
+    "tool_use": (
+        "type", "id", "name", "input", "caller",
+    ),
+    "tool_result": (
+        "type", "tool_use_id", "content", "is_error",
+    ),
+    "fallback": (
+        "type", "from", "to",
+    ),
+    "document": (
+        "type", "source",
+    ),
 }
-DECLARED = {k: ENVELOPE + v.split() for k, v in OWN.items()} | {k: v.split() for k, v in THIN.items()}
-MESSAGE = {"user": "role content".split(), "assistant": "role type id model content usage stop_reason stop_sequence stop_details diagnostics container context_management".split()}
 
 
 def field(path: str, kind: str = "string") -> Column:
@@ -47,11 +123,15 @@ def _over(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return fresh.withColumnsRenamed({f"__{name}": name for name in columns})
 
 
+def _fields(table: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*[x for k, names in table.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
+
+
 def parse(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     """``lines`` with ``text, v, rtype, status, anomalies``.
 
     ``status`` is ``anomaly`` after an error (bad JSON, bad shape), ``partial`` after a warning or a note (unknown type,
-    unknown field, white space only), else ``ok``; ``anomalies`` lists ``(severity, kind, detail)``. Nothing raises: bytes
+    unknown field, white space only), else ``ok``; fields are looked at in the record, its message, usage and blocks; ``anomalies`` lists ``(severity, kind, detail)``. Nothing raises: bytes
     that are no UTF-8 or no JSON leave ``v`` null. Each line is parsed once.
     """
     text = F.try_validate_utf8(F.col(raw_col).cast("string"))
@@ -62,14 +142,21 @@ def parse(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     out = once(out, {"rtype": F.when(F.col("is_object"), field("type"))})
     is_object = F.col("is_object")
     keys = F.when(is_object, F.json_object_keys("text"))
-    declared = F.create_map(*[x for k, names in DECLARED.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
-    allowed = F.element_at(declared, F.col("rtype"))
-    message_keys = F.when(F.col("rtype").isin("user", "assistant"), F.json_object_keys(F.get_json_object("text", "$.message")))
-    message_map = F.create_map(*[x for k, names in MESSAGE.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
-    top = F.array_except(keys, allowed)
-    inner = F.transform(F.array_except(message_keys, F.element_at(message_map, F.col("rtype"))), lambda k: F.concat(F.lit("message."), k))
+    allowed = F.element_at(_fields(DECLARED), F.col("rtype"))
+    talks = F.col("rtype").isin("user", "assistant")
+    message_keys = F.when(talks, F.json_object_keys(F.get_json_object("text", "$.message")))
+    usage_keys = F.when(F.col("rtype") == "assistant", F.json_object_keys(F.get_json_object("text", "$.message.usage")))
+    kinds = _fields(BLOCKS)
+
+    def of_block(b: Column) -> Column:
+        return F.array_except(F.json_object_keys(F.to_json(b)), F.try_element_at(kinds, F.try_variant_get(b, "$.type", "string")))
+
     empty = F.array().cast("array<string>")
-    out = once(out, {"unknown_fields": F.concat(F.coalesce(top, empty), F.coalesce(inner, empty)), "bad_paths": bad_paths()})
+    levels = [
+        F.array_except(keys, allowed), F.array_except(message_keys, F.element_at(_fields(MESSAGE), F.col("rtype"))), F.array_except(usage_keys, F.array(*[F.lit(n) for n in USAGE])),
+        F.flatten(F.filter(F.transform(F.when(talks, F.try_variant_get("v", "$.message.content", "array<variant>")), of_block), lambda x: x.isNotNull())),
+    ]
+    out = once(out, {"unknown_fields": F.array_distinct(F.concat(*[F.coalesce(x, empty) for x in levels])), "bad_paths": bad_paths()})
     known = F.coalesce(F.col("rtype").isin(*DECLARED), F.lit(False))
 
     def note(severity: str, kind: str, detail: Column) -> Column:

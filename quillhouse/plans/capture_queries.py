@@ -280,7 +280,7 @@ def written(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rbd1_rebuilt_anomalies", oracle("", """
 select kind, count(*) as n from (select 'source_diverged' as kind from turns where turn = 0
-  union all select case when is_blank then 'whitespace_line' when is_torn then 'invalid_json' when rtype = 'mystery' then 'unknown_record_type' when is_misshapen and rtype in ('user', 'assistant') then 'validation_error' when is_drifted then 'unknown_field' end from turns) a
+  union all select case when is_blank then 'whitespace_line' when is_torn then 'invalid_json' when rtype = 'mystery' then 'unknown_record_type' when is_misshapen and rtype in ('user', 'assistant') then 'validation_error' when is_drifted or is_deep then 'unknown_field' end from turns) a
 where kind is not null group by 1"""))
 def rebuilt(spark: SparkSession, d: str) -> DataFrame:
     new = records.anomaly_rows(parsed(spark, d))

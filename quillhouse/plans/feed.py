@@ -29,12 +29,13 @@ select conv_id, turn, role, s, text, session_uuid, project_slug, kind, agent_hex
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 then 't' || cast(conv_id as string) || '-' || cast(turn as string) end as tool_id,
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 then case conv_id % 3 when 0 then 'Bash' when 1 then 'Skill' else 'Read' end end as tool_name,
   case when role = 'assistant' and (conv_id + turn) % 2 = 1 and conv_id % 3 = 1 then 'skill' || cast(conv_id % 4 as string) end as skill,
-  case when role = 'user' and s = 18 then '' else case when role = 'user' then case s when 10 then '<command-name> /run </command-name>' when 12 then '<local-command-stdout>' when 13 then '[Request interrupted by user for tool use]' when 17 then '<local-command-caveat>' else '' end else '' end || text end as body,
+  case when role = 'user' and s = 18 then '' else case when role = 'user' then case s when 10 then '<command-name> /run' || cast(conv_id % 3 as string) || ' </command-name>' when 12 then '<local-command-stdout>' when 13 then '[Request interrupted by user for tool use]' when 17 then '<local-command-caveat>' else '' end else '' end || text end as body,
   role = 'assistant' and (conv_id + turn) % 2 = 1 and turn = 1 as bare,
   case when role = 'user' and x = 0 and (conv_id + turn) % 2 = 0 then true else false end as is_queued,
   case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then conv_id % 100 + turn end as input_tokens,
   case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then turn * 3 end as output_tokens,
-  (conv_id * 13 + turn) % 29 = 0 as is_torn, (conv_id * 5 + turn) % 31 = 5 as is_blank, (conv_id + turn * 3) % 17 = 2 as is_drifted, (conv_id * 3 + turn) % 23 = 7 as is_misshapen
+  (conv_id * 13 + turn) % 29 = 0 as is_torn, (conv_id * 5 + turn) % 31 = 5 as is_blank, (conv_id + turn * 3) % 17 = 2 as is_drifted,
+  role = 'assistant' and x > 1 and not mystery and (conv_id + turn) % 5 <> 0 and (conv_id + turn * 5) % 19 = 4 as is_deep, (conv_id * 3 + turn) % 23 = 7 as is_misshapen
 from (
   select conv_id, turn, role, coalesce(text, '') as text, (conv_id * 7 + turn) % 19 as s, (conv_id * 31 + turn) % 11 as x, (conv_id + turn) % 37 = 3 as mystery,
     's' || lpad(cast(case when conv_id % 5 = 4 then conv_id - 1 else conv_id end as string), 8, '0') as session_uuid,
@@ -45,7 +46,7 @@ from (
 """
 
 #: Which lines end up with which outcome; the same text in both engines.
-STATUS = "case when is_blank then 'partial' when is_torn or (is_misshapen and rtype in ('user', 'assistant')) then 'anomaly' when rtype = 'mystery' or is_drifted then 'partial' else 'ok' end"
+STATUS = "case when is_blank then 'partial' when is_torn or (is_misshapen and rtype in ('user', 'assistant')) then 'anomaly' when rtype = 'mystery' or is_drifted or is_deep then 'partial' else 'ok' end"
 OVERLAYS = """
 select session_uuid, min(conv_id) as n, min(conv_id) % 3 = 0 as favorite, min(conv_id) % 9 = 4 as archived,
   case when min(conv_id) % 4 = 1 then 'My title ' || cast(min(conv_id) as string) when min(conv_id) % 4 = 2 then '  ' end as user_title
@@ -79,7 +80,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "result_json": F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), c("result_of").alias("tool_use_id"), F.array(F.struct(F.lit("text").alias("type"), c("text").alias("text"))).alias("content")))),
         "tool_json": F.to_json(F.struct(F.lit("tool_use").alias("type"), c("tool_id").alias("id"), c("tool_name").alias("name"), F.struct(c("skill").alias("skill")).alias("input"))),
         "plain_json": F.to_json(F.array(c("body"))),
-        "usage_json": F.to_json(F.struct(c("input_tokens").alias("input_tokens"), c("output_tokens").alias("output_tokens"), F.lit(0).alias("cache_creation_input_tokens"), F.lit(1).alias("cache_read_input_tokens"))),
+        "usage_json": F.to_json(F.struct(c("input_tokens").alias("input_tokens"), c("output_tokens").alias("output_tokens"), F.lit(0).alias("cache_creation_input_tokens"), F.lit(1).alias("cache_read_input_tokens"), F.when(c("is_deep"), F.lit(1)).alias("odd_usage"))),
         "head": F.to_json(F.struct(
             c("rtype").alias("type"), full(c("uuid")).alias("uuid"), full(c("parent_uuid")).alias("parentUuid"), c("session_uuid").alias("sessionId"),
             F.when(c("ts").isNotNull() & ~thin, F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"), full(c("cwd")).alias("cwd"), full(c("version")).alias("version"), full(c("kind") == "subagent").alias("isSidechain"),

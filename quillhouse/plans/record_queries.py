@@ -25,7 +25,7 @@ AUTHOR = """case
   when is_meta then 'harness_meta|meta' when starts_with(body, '[Request interrupted by user') then 'interrupt_marker|interrupt'
   when kind = 'subagent' then 'dispatch|sidechain' when prompt_source is not null then 'unclassified|source' when origin not in ('human', 'task-notification', 'coordinator') then 'unclassified|origin'
   when version = '2.1.100' then 'human_inferred|version' else 'unclassified|none' end"""
-DETAIL = """case split_part(ab, '|', 2) when 'system' then 'note' when 'result' then rt_name when 'skill' then st_skill when 'tool' then st_name when 'command' then '/run'
+DETAIL = """case split_part(ab, '|', 2) when 'system' then 'note' when 'result' then rt_name when 'skill' then st_skill when 'tool' then st_name when 'command' then '/run' || (conv_id % 3)::varchar
   when 'meta' then case when starts_with(body, '<local-command-caveat>') then 'caveat' end when 'interrupt' then 'tool' when 'source' then prompt_source when 'origin' then origin end"""
 BASES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in authorship.BASIS.items()) + "}"
 CALLS = "calls as (select transcript, tool_id, tool_name, skill, turn from g where rtype = 'assistant' and tool_id is not null)"
@@ -78,7 +78,7 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).where("kind = 'validation_error'")
 
 
-@query("prj4_field_drift", oracle(GOOD, "select transcript, turn as line_number, 'zzz' as detail from g where is_drifted and rtype <> 'mystery'"))
+@query("prj4_field_drift", oracle(GOOD, "select transcript, turn as line_number, case when is_drifted and is_deep then 'odd_usage,zzz' when is_deep then 'odd_usage' else 'zzz' end as detail from g where (is_drifted or is_deep) and rtype <> 'mystery'"))
 def drift(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).where("kind = 'unknown_field'").select("transcript", "line_number", "detail")
 
@@ -126,8 +126,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("prj10_anomalies_by_kind", oracle("", """
-select severity, kind, count(*) as n from (select case when is_blank then 'info' when is_torn then 'error' when rtype = 'mystery' then 'warn' when is_misshapen and rtype in ('user', 'assistant') then 'error' when is_drifted then 'info' end as severity,
-  case when is_blank then 'whitespace_line' when is_torn then 'invalid_json' when rtype = 'mystery' then 'unknown_record_type' when is_misshapen and rtype in ('user', 'assistant') then 'validation_error' when is_drifted then 'unknown_field' end as kind from turns) a
+select severity, kind, count(*) as n from (select case when is_blank then 'info' when is_torn then 'error' when rtype = 'mystery' then 'warn' when is_misshapen and rtype in ('user', 'assistant') then 'error' when is_drifted or is_deep then 'info' end as severity,
+  case when is_blank then 'whitespace_line' when is_torn then 'invalid_json' when rtype = 'mystery' then 'unknown_record_type' when is_misshapen and rtype in ('user', 'assistant') then 'validation_error' when is_drifted or is_deep then 'unknown_field' end as kind from turns) a
 where kind is not null group by 1, 2"""))
 def anomalies(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).groupBy("severity", "kind").agg(F.count("*").alias("n"))
@@ -203,7 +203,7 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
     return feed.turns(spark, d).select("transcript", F.col("turn").alias("line_number"), old.alias("is_old"), v.isNull().alias("is_broken"))
 
 
-@query("fn13_command_tags", oracle(CLASSIFIED, "select transcript, turn as line_number, '/run' as detail from m where author = 'command_expansion'"))
+@query("fn13_command_tags", oracle(CLASSIFIED, "select transcript, turn as line_number, detail from m where author = 'command_expansion'"))
 def commands(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d).where("author = 'command_expansion'").select("transcript", "line_number", "detail")
 

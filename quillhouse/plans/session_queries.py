@@ -11,7 +11,7 @@ from quillhouse.plans import feed
 from quillhouse.plans.capture_queries import PATHS, paths
 from quillhouse.plans.record_queries import CLASSIFIED, GOOD, TALK, messages, oracle, parsed
 from quillhouse.plans.registry import query
-from quillhouse.plans.search_queries import BLOCKS, found
+from quillhouse.plans.search_queries import BLOCKS, chat_blocks, found, index
 from quillhouse.sources import export, transcripts
 
 SHOWN = "shown as (select distinct transcript, turn from m where (rtype in ('user', 'assistant') and result_of is null and not bare and body <> '') or (rtype = 'attachment' and is_queued and text <> ''))"
@@ -82,12 +82,13 @@ def per_project(spark: SparkSession, d: str) -> DataFrame:
     return sessions.project_counts(t.select("project_slug").distinct(), t, feed.overlays(spark, d).where("archived"))
 
 
-@query("agg7_archive_status", oracle("", f"select count(distinct session_uuid) as sessions, (select count(*) from overlays where archived) as archived, count(distinct transcript) as transcripts, count(*) as records, sum(case when {feed.STATUS} = 'anomaly' then 1 else 0 end)::bigint as errors from turns"))
+@query("agg7_archive_status", oracle("", f"""select count(distinct session_uuid) as sessions, (select count(*) from overlays where archived) as archived, count(distinct transcript) as transcripts, count(*) as records, sum(case when {feed.STATUS} = 'anomaly' then 1 else 0 end)::bigint as errors,
+  count(*) filter (where not is_blank and not is_torn and rtype = 'mystery') as warnings, count(*) filter (where is_blank or (not is_torn and rtype <> 'mystery' and not (is_misshapen and rtype in ('user', 'assistant')) and (is_drifted or is_deep))) as notes from turns"""))
 def status(spark: SparkSession, d: str) -> DataFrame:
     p = parsed(spark, d)
-    one = p.agg(F.countDistinct("session_uuid").alias("sessions"), F.countDistinct("transcript").alias("transcripts"), F.count("*").alias("records"), F.count_if(F.col("status") == "anomaly").alias("errors"))
+    one = p.agg(F.countDistinct("session_uuid").alias("sessions"), F.countDistinct("transcript").alias("transcripts"), F.count("*").alias("records"), *[F.count_if(F.exists("anomalies", lambda a: a["severity"] == severity)).alias(name) for severity, name in (("error", "errors"), ("warn", "warnings"), ("info", "notes"))])
     archived = feed.overlays(spark, d).agg(F.count_if("archived").alias("archived"))
-    return one.join(archived, F.lit(True)).select("sessions", "archived", "transcripts", "records", "errors")
+    return one.join(archived, F.lit(True)).select("sessions", "archived", "transcripts", "records", "errors", "warnings", "notes")
 
 
 @query("agg13_records_per_file", "select source as file, count(*) as n_records from documents group by source")
@@ -234,10 +235,11 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return feed.turns(spark, d).select("cwd").distinct().select("cwd", fn.slug(F.col("cwd")).alias("slug"), fn.project_label(F.col("cwd"), F.lit("-Users-x")).alias("label"))
 
 
-@query("fn2_targets", oracle("", "select distinct cwd as target, regexp_replace(cwd, '[^A-Za-z0-9-]', '-', 'g') as slug, false as is_uuid from turns union select distinct project_slug, project_slug, false from turns"))
+@query("fn2_targets", oracle("", "select distinct cwd as target, regexp_replace(cwd, '[^A-Za-z0-9-]', '-', 'g') as slug, false as is_uuid from turns union select distinct project_slug, project_slug, false from turns union select '00000000-0000-0000-0000-' || lpad(conv_id::varchar, 12, '0'), '00000000-0000-0000-0000-' || lpad(conv_id::varchar, 12, '0'), true from turns"))
 def targets(spark: SparkSession, d: str) -> DataFrame:
     t = feed.turns(spark, d)
-    both = t.select(F.col("cwd").alias("target")).union(t.select("project_slug")).distinct()
+    uuids = t.select(F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("conv_id").cast("string"), 12, "0")))
+    both = t.select(F.col("cwd").alias("target")).union(t.select("project_slug")).union(uuids).distinct()
     return both.select("target", fn.target_slug(F.col("target")).alias("slug"), fn.is_uuid(F.col("target")).alias("is_uuid"))
 
 
@@ -247,9 +249,10 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
     return s.select("session_uuid", F.round("day.start", 6).cast("double").alias("start"), F.round("day.length", 6).cast("double").alias("length"))
 
 
-@query("fn15_title_actions", oracle("", "select session_uuid, case when trim(coalesce(user_title, '')) = '' then 'delete' when length(user_title) > 200 then 'reject' else 'set' end as action from overlays"))
+@query("fn15_title_actions", "select doc_id, case when trim(coalesce(text, '')) = '' then 'delete' when length(text) > 200 then 'reject' else 'set' end as action from documents")
 def title_actions(spark: SparkSession, d: str) -> DataFrame:
-    return feed.overlays(spark, d).select("session_uuid", fn.title_action(F.col("user_title")).alias("action"))
+    """Whole texts offered as titles: most are too long."""
+    return feed.read(spark, d, "documents").select("doc_id", fn.title_action(F.col("text")).alias("action"))
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -292,10 +295,27 @@ def walls(spark: SparkSession, d: str) -> DataFrame:
 DOOMED = "doomed as (select session_uuid from overlays where n % 6 = 0)"
 
 
-@query("del1_cascade", oracle(DOOMED, "select t.kind, count(*) as n from turns t where session_uuid not in (select session_uuid from doomed) group by 1"))
+def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables that hold something of a session."""
+    m, p = messages(spark, d), parsed(spark, d)
+    rows = {"records": feed.turns(spark, d), "overlays": feed.overlays(spark, d), "messages": m, "blocks": blocks.block_rows(m), "usage": blocks.usage_rows(p), "events": blocks.event_rows(p), "anomalies": p.select("session_uuid", F.explode("anomalies").alias("a"))}
+    return rows | {"index": chat_blocks(spark, d), "postings": index(spark, d)[1].join(chat_blocks(spark, d).select("block_key", "session_uuid"), "block_key")}
+
+
+HELD = f"""{BLOCKS}, held as (select 'records' as "table", session_uuid from turns union all select 'overlays', session_uuid from overlays union all select 'messages', session_uuid from m
+  union all select 'blocks', session_uuid from (select session_uuid, unnest(range((case when rtype = 'system' or (rtype = 'attachment' and not (is_queued and text <> '')) then 0 when rtype = 'assistant' and tool_id is not null and not bare then 2 else 1 end)::bigint)) from m) b
+  union all select 'usage', session_uuid from g where rtype = 'assistant' and input_tokens is not null union all select 'events', session_uuid from g where rtype in ('ai-title', 'custom-title')
+  union all select 'anomalies', session_uuid from turns where {feed.STATUS} <> 'ok' union all select 'index', session_uuid from bl union all select 'postings', session_uuid from tk join bl using (block_key)), {DOOMED}"""
+
+
+@query("del1_cascade", oracle(HELD, "select \"table\", count(*) as n from held where session_uuid not in (select session_uuid from doomed) group by 1"))
 def cascade(spark: SparkSession, d: str) -> DataFrame:
-    doomed = feed.overlays(spark, d).where("n % 6 = 0")
-    return governance.cascade({"records": feed.turns(spark, d)}, doomed)["records"].groupBy("kind").agg(F.count("*").alias("n"))
+    left = governance.cascade(tables(spark, d), feed.overlays(spark, d).where("n % 6 = 0"))
+    out = None
+    for name, rows in left.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.where("n > 0")
 
 
 @query("agg12_deletion_preview", oracle(DOOMED, "select 'records' as \"table\", count(*) as n_rows from turns where session_uuid in (select session_uuid from doomed) union all select 'overlays', count(*) from overlays where session_uuid in (select session_uuid from doomed)"))
