@@ -22,13 +22,9 @@ ENTITY = "&([A-Za-z]{2,8}|#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5});"
 CRLF = "\r\n"
 
 
-def _silent(tag: str) -> str:
-    return rf"(?is)<{tag}(?:[\s/][^>]*)?>.*?(?:</{tag}(?:[\s/][^>]*)?>|\z)"
-
-
 def _character(entity: Column) -> Column:
     """What an entity stands for, null if that is not known; a space for a number that is no character or a control character."""
-    number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 5), 16, 10)).when(entity.startswith("#"), F.substring(entity, 2, 6)).cast("int")
+    number = F.when(F.lower(F.substring(entity, 2, 1)) == "x", F.conv(F.substring(entity, 3, 5), 16, 10)).otherwise(F.substring(entity, 2, 6)).cast("int")
     plain = (number >= 32) & ~number.between(0x7F, 0xA0) & ~number.between(0xD800, 0xDFFF) & (number <= 0x10FFFF)
     char = F.when(plain, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(" "))
     named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), entity)
@@ -54,13 +50,13 @@ def plain_text(html: Column) -> Column:
     A silent element or comment that is never closed goes to the end of the page.
     """
     out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    for tag in SILENT:
-        out = F.regexp_replace(out, _silent(tag), "")
-    out = F.regexp_replace(out, r"[ \t\r\n\f]+", " ")
+    out = F.regexp_replace(out, rf"(?is)<({'|'.join(SILENT)})(?:[\s/][^>]*)?>.*?(?:</\1(?:[\s/][^>]*)?>|\z)", "")
+    out = F.regexp_replace(out, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")  # single spaces stay as they are
     out = F.regexp_replace(out, f"(?i)</?({BREAKING})(/| [^>]*)?>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", "")
     out = F.get(F.transform(F.array(out), _read_entities), F.lit(0))
-    return F.btrim(F.regexp_replace(F.regexp_replace(out, " +", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    lines = F.transform(F.split(F.regexp_replace(out, " {2,}", " "), "\n"), lambda x: F.btrim(x, F.lit(" ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def _urn(*parts: Column) -> Column:
@@ -127,7 +123,7 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     text = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g')"
     for tag in SILENT:
-        text = f"regexp_replace({text}, '{_silent(tag)}', '', 'g')"
+        text = rf"regexp_replace({text}, '(?is)<{tag}(?:[\s/][^>]*)?>.*?(?:</{tag}(?:[\s/][^>]*)?>|\z)', '', 'g')"
     text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
     text = f"regexp_replace({text}, '(?i)</?({BREAKING})(/| [^>]*)?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
