@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quillhouse.llm.common import partitions, table
 from quillhouse.llm.components import components
 
-#: Vectors of a block of the sequence; blocks of a run of blocks; vectors below which the recursion multiplies.
-BLOCK, RUN, LEAF = 512, 64, 64
+#: Vectors of an interval of the sequence that one row holds, and those below which the recursion multiplies.
+RUN, LEAF = 8192, 256
 #: Leading principal dimensions of the grid.
 DIMENSIONS = 8
 #: Vectors the principal dimensions are fitted on, those with the least hash of their id. Any axes give the same links.
@@ -89,9 +89,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     length; without ``label_col`` all vectors can be linked. Rows without an id are left out; an id that repeats counts
     once, with its least label and vector. Other columns are dropped.
 
-    Unit vectors at this cosine are at most ``eps`` apart. They are sorted by label and grid cell, as sequences do not
-    break at equal cells a label or a cell that holds a third of all rows is many blocks; runs of blocks are joined first,
-    then their blocks, each time without those whose boxes are further apart, and two blocks meet in one task.
+    Unit vectors at this cosine are at most ``eps`` apart. They are sorted by label and grid cell; as sequences do not
+    break at equal cells, a label or a cell that holds a third of all rows is many intervals. Intervals of a label whose
+    boxes are not further apart meet once, in one task, which halves both and skips halves that are apart.
     """
     spark = vectors.sparkSession
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -105,6 +105,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     units = good.withColumn("norm", norm).select("vec_id", F.concat_ws("|", F.size("vector").cast("string"), "label").alias("label"), F.transform("vector", lambda x: x / F.col("norm")).alias("unit"))
 
     eps = math.sqrt(2 - 2 * min(cosine, 1.0)) * (1 + 1e-9) + 1e-9
+    units = table(units, "units")
     axes = _axes(units)
     n = partitions(spark)
 
@@ -132,46 +133,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
         number, held, name = TaskContext.get().partitionId() << 32, [], None
 
-        def block() -> pa.RecordBatch:
+        def interval() -> pa.RecordBatch:
             ids = np.array([x[0] for x in held], np.int64)
             spots = np.frombuffer(b"".join(x[2] for x in held), np.float64).reshape(len(held), -1)
             lo, hi = _bounds(spots)
             return pa.RecordBatch.from_arrays([
                 pa.array([number]), pa.array([name]), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([ids.tobytes()], pa.binary()),
                 pa.array([spots.tobytes()], pa.binary()), pa.array([b"".join(x[1] for x in held)], pa.binary()),
-            ], ["block", "label", "lo", "hi", "ids", "spots", "units"])
+            ], ["run", "label", "lo", "hi", "ids", "spots", "units"])
 
         for batch in batches:
             for vec, label_, unit, spot in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (label_ != name or len(held) == BLOCK):
-                    yield block()
+                if held and (label_ != name or len(held) == RUN):
+                    yield interval()
                     number, held = number + 1, []
                 name = label_
                 held.append((vec, unit, spot))
         if held:
-            yield block()
-
-    blocks = table(ordered.mapInArrow(cut, "block long, label string, lo array<double>, hi array<double>, ids binary, spots binary, units binary"), "blocks")
-    boxes = blocks.select("block", "label", "lo", "hi").withColumn("run", F.floor(F.col("block") / RUN))
-    low = F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(DIMENSIONS)])
-    high = F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(DIMENSIONS)])
-    runs = boxes.groupBy("label", "run").agg(low.alias("lo"), high.alias("hi"))
-
-    def met(left: DataFrame, right: DataFrame, keys: list[str], number: str) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        same = F.lit(True)
-        for k in keys:
-            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        near = ~_boxes_apart(F.col("x.lo"), F.col("x.hi"), F.col("y.lo"), F.col("y.hi"), eps)
-        return x.join(y, same & (F.col(f"x.{number}") <= F.col(f"y.{number}")) & near)
-
-    run_pairs = met(runs, runs, ["label"], "run").select("x.label", F.col("x.run").alias("run"), F.col("y.run").alias("other"))
-    left = boxes.join(run_pairs, ["label", "run"]).withColumn("key", F.col("other"))
-    right = boxes.withColumn("key", F.col("run"))
-    block_pairs = met(left, right, ["label", "key"], "block").select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
-    one = blocks.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("spots").alias("spots_a"), F.col("units").alias("units_a"))
-    two = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("spots").alias("spots_b"), F.col("units").alias("units_b"))
-    pairs = block_pairs.join(one, "a").join(two, "b").repartition(n, "a", "b").select("a", "b", "ids_a", "spots_a", "units_a", "ids_b", "spots_b", "units_b")
+            yield interval()
+
+    runs = table(ordered.mapInArrow(cut, "run long, label string, lo array<double>, hi array<double>, ids binary, spots binary, units binary"), "runs")
+    # Intervals of one label meet in n tasks: each stands in one, and asks in all.
+    boxes = runs.select("run", "label", "lo", "hi")
+    x = boxes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).alias("x")
+    y = boxes.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(n)).cast("int")).alias("y")
+    near = ~_boxes_apart(F.col("x.lo"), F.col("x.hi"), F.col("y.lo"), F.col("y.hi"), eps)
+    met = x.join(y.hint("shuffle_hash"), (F.col("x.label") == F.col("y.label")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.run") <= F.col("y.run")) & near)
+    one = runs.select(F.col("run").alias("a"), F.col("ids").alias("ids_a"), F.col("spots").alias("spots_a"), F.col("units").alias("units_a"))
+    two = runs.select(F.col("run").alias("b"), F.col("ids").alias("ids_b"), F.col("spots").alias("spots_b"), F.col("units").alias("units_b"))
+    pairs = met.select(F.col("x.run").alias("a"), F.col("y.run").alias("b")).join(one, "a").join(two, "b").repartition(n, "a", "b").select("a", "b", "ids_a", "spots_a", "units_a", "ids_b", "spots_b", "units_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
