@@ -278,7 +278,11 @@ def test_quality_lines(spark):
     assert sorted(out) == [1, 2] and out[2].text == clean
 
 
-def test_grid_join(spark):
+@pytest.mark.parametrize("run", [8192, 7])
+def test_grid_join(spark, run, monkeypatch):
+    # Short intervals: many of one label meet.
+    monkeypatch.setattr(grid_join, "RUN", run)
+    monkeypatch.setattr(grid_join, "LEAF", min(run, 64))
     r = np.random.default_rng(5)
     centre = r.normal(size=(6, 24))
     rows = [(int(i) + 1, (centre[i % 6] + 0.16 * r.normal(size=24)).tolist(), int(i % 3) if i % 17 else None) for i in range(240)]
