@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences in five stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus from raw documents to packed sequences in five stages, each written as Parquet and read again as the next one's documents.
+
+What holds for every stage: rows without an id go in the first one, and none can come back; a null text counts as empty and goes
+with the documents of which nothing visible is left; an empty table gives an empty table; columns besides those of documents,
+whatever their names, are left behind; rows that repeat an id are one document, of which each row keeps its own text.
+"""
 
 from __future__ import annotations
 
@@ -9,43 +14,45 @@ from quillhouse.llm import lines, ngram_join, packing, quality, suffix
 from quillhouse.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a string that is removed where it repeats, and tokens of a sequence.
-REPEAT_BYTES, SEQUENCE_TOKENS = 150, 2048
+#: Columns that pass through the stages as they are.
+KEPT = ("lang", "source")
+#: Bytes of a string that is removed where it repeats; tokens and documents of a sequence.
+REPEAT_BYTES, SEQUENCE_TOKENS, SEQUENCE_DOCS = 150, 2048, 64
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``texts`` (``doc_id``, ``new``); documents of which nothing is left go."""
-    texts = texts.groupBy("doc_id").agg(F.min("new").alias("new"))  # an id that repeats must not multiply
-    joined = docs.drop("text", "n_chars").join(texts, "doc_id").withColumns({"text": F.col("new"), "n_chars": F.char_length("new").cast("long")})
-    return joined.where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "").select(*COLUMNS)
+def _documents(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` as documents with a new text; those of which nothing visible is left go."""
+    out = rows.select("doc_id", F.col(text).alias("text"), *KEPT).where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: rejected documents go; the others lose the lines that fail."""
-    return quality.clean(docs.where("doc_id is not null")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Operator 7: rejected documents go, and rows without an id; the others lose the lines that fail. Rows are judged one by one."""
+    return _documents(quality.clean(docs.select(*COLUMNS).where("doc_id is not null")), "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: lines that an earlier document holds go."""
-    return _with_text(docs, lines.dedup_lines(docs).select("doc_id", F.col("text").alias("new")))
+    """Operator 6: lines that a document with a smaller id holds go; of equal documents nothing is left but the first."""
+    return _documents(lines.dedup_lines(docs, keep=KEPT), "text")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10 on five words at 0.8: the first document of each group stays."""
+    """Operator 10 on five words at 0.8: the document with the smallest id of each group stays, with all rows of that id."""
     groups = ngram_join.near_duplicates(docs, words=5, num=80, den=100).where("component_id = doc_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    return _documents(docs.join(groups, "doc_id", "left_semi"), "text")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: long strings that an earlier document holds go."""
-    return _with_text(docs, suffix.remove_repeats(docs, length=REPEAT_BYTES, as_text=True).select("doc_id", F.col("kept").alias("new")))
+    """Operator 5: strings of ``REPEAT_BYTES`` bytes that a document with a smaller id holds go."""
+    return _documents(suffix.remove_repeats(docs, length=REPEAT_BYTES, as_text=True, keep=KEPT), "kept")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the rest, in sequences."""
+    """Operator 9: the rest, in sequences of at most ``SEQUENCE_TOKENS`` tokens and pieces of ``SEQUENCE_DOCS`` documents. Each row is a document."""
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=SEQUENCE_TOKENS), capacity=SEQUENCE_TOKENS)
+    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=SEQUENCE_TOKENS)
+    return packing.pack(pieces, capacity=SEQUENCE_TOKENS, max_docs=SEQUENCE_DOCS)
 
 
 STAGES = [
