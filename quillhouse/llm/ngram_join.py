@@ -31,8 +31,8 @@ ORDERS = 4
 FLUSH = 400_000
 #: Rows of cells that a task looks at together, and members of a cell whose pairs are compared with those of other cells.
 CELL_ROWS, FEW = 100_000, 16
-#: Documents whose texts are found again by a broadcast of their ids.
-FEW_DOCS = 100_000
+#: Documents whose texts are found again by a broadcast of their ids, and groups that are looked up by one.
+FEW_DOCS, FEW_GROUPS = 100_000, 100_000
 #: Bytes of a word that are hashed side by side with other words'; longer words are hashed alone.
 LONG = 256
 #: A set that more than this share of all documents have is known to every task.
@@ -281,6 +281,11 @@ def _deals(members: DataFrame) -> DataFrame:
     return members.withColumn("side", side).withColumns({"lo": F.col("side"), "hi": F.col("side")})
 
 
+def _looked_up(members: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """``members`` with what ``groups`` (a table by ``grp``) says of their group: by broadcast while that table is small, so that a large group is not sent to one task."""
+    return members.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups.hint("merge"), "grp", how)
+
+
 def _still_apart(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``members`` of those dealt groups whose members ``labels`` (``node, component``) does not connect, with cells that
     hold every two of them with different labels: all sides of what does not belong to the group's largest part, and these
@@ -289,8 +294,8 @@ def _still_apart(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     parts = big.groupBy("grp", "label").agg(F.count("*").alias("n"))
     groups = parts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("giant"), F.max("n").alias("held"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     rest = F.ceil((F.col("all") - F.col("held")) / most).cast("int")
-    groups = groups.select("grp", "giant", rest.alias("rest"), F.ceil(F.col("held") / most).cast("int").alias("core"))
-    out = big.join(groups, "grp")
+    groups = table(groups.select("grp", "giant", rest.alias("rest"), F.ceil(F.col("held") / most).cast("int").alias("core")), "apart")
+    out = _looked_up(big, groups, "inner")
     inside, h = F.col("label") == F.col("giant"), F.xxhash64("node", "grp", F.lit(2))
     side = F.when(inside, F.col("rest") + F.pmod(h, F.col("core"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
     out = out.withColumn("side", side).withColumn("cell", _cells(F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("core")), F.col("side")))
@@ -417,8 +422,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = _joined_up(shared, tied, CROWD).select(F.col("node").alias("a"), F.col("component").alias("grp"))
     members_ = least.join(groups, "a").select(F.col("rep").alias("node"), "n_shingles", "grp")
     counts = members_.groupBy("grp").agg(F.ceil(F.max("n_shingles") / FRAGMENT).cast("int").alias("frags"), F.greatest(F.count("*") / SIDE, F.sum(F.least("n_shingles", F.lit(FRAGMENT))) / (SIDE * 2000)).alias("load"))
-    # Members grow with the input: never broadcast, however few they are in a small one.
-    sided = table(members_.join(counts.hint("merge"), "grp").select("grp", "node", F.ceil("load").cast("int").alias("sides"), "frags"), "groups")
+    large = table(counts.where("load > 1 or frags > 1"), "large")
+    sided = _looked_up(members_, large, "left").select("grp", "node", F.coalesce(F.ceil("load").cast("int"), F.lit(1)).alias("sides"), F.coalesce("frags", F.lit(1)).alias("frags"))
+    sided = table(sided, "groups")
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set, cut at equal distances of the order into its group's number of fragments."""
