@@ -4,8 +4,9 @@ Positions that start from one in seventeen bytes: anchors chosen by content (``a
 ``length`` bytes has one, equal windows an equal one. Round 1 ranks them by 16 bytes, sorts each with the rank of the
 bytes next to it (17 more at ``length`` 50) and drops what is unique; windows of which all bytes around agree are settled
 there and then. Round 2 takes up all windows of the anchors that are left and sorts them by the ranks of their two
-halves, which is past the threshold. A rank is a hash of the bytes, so that equal bytes have equal ranks wherever they
-stand; rows carry packed arrays, and Spark deals and sorts them by rank.
+halves, which is past the threshold. Their bytes are dealt by the rank of round 1, and ranked and sorted where equal ones
+meet; windows around a gram that very many share are ranked first and dealt by their own rank. A rank is a hash of the
+bytes, so that equal bytes have equal ranks wherever they stand; rows carry packed arrays.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ HOT = 64
 #: Bytes of text for each cell of the dealing.
 CELL_BYTES = 32 << 20
 _COLS = ("a", "b", "doc", "low", "count", "split", "before", "after")
-_SENT = "bucket int, kind int, n int, base long, " + ", ".join(f"{c} binary" for c in _COLS)
-_MARKS = "key long, low binary, count binary, open_low binary, open_count binary"
-#: Kinds of rows: settled windows, windows for round 2, ranked positions, grams that some task has too often.
-SETTLED, OPEN, RANKED, WILD = 0, 1, 2, 3
+_SENT = "bucket int, kind int, n int, base long, " + ", ".join(f"{c} binary" for c in _COLS) + ", bytes binary"
+_MARKS = "key long, low binary, count binary, open_low binary, open_count binary, open_gram binary"
+#: Kinds of rows: settled windows, windows for round 2, ranked positions, grams that some task has too often, windows with their bytes.
+SETTLED, OPEN, RANKED, WILD, BYTES = 0, 1, 2, 3, 4
+#: Bytes whose windows are ranked at a time.
+STEP_BYTES = 1 << 20
 _SIX, _TAG = np.uint64((1 << 48) - 1), np.uint64((1 << 16) - 1)
 
 
@@ -52,15 +55,22 @@ def widen(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _send(kind: int, bucket: np.ndarray, doc: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of packed arrays, one for each bucket; documents as differences."""
+def _flat(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans that begin at ``at`` and have ``size`` places."""
+    return np.arange(int(size.sum())) + np.repeat(at - np.cumsum(size) + size, size)
+
+
+def _send(kind: int, bucket: np.ndarray, doc: np.ndarray, text: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of packed arrays, one for each bucket; documents as differences. ``text`` is a buffer with the place and length of each item's bytes."""
     if not len(doc):
         return
     order = np.lexsort((doc, bucket))
     bucket, doc = bucket[order], doc[order]
     arrays = {k: v[order] for k, v in arrays.items()}
     cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
-    cols: dict[str, list] = {k: [] for k in ("bucket", "kind", "n", "base", *_COLS)}
+    cols: dict[str, list] = {k: [] for k in ("bucket", "kind", "n", "base", *_COLS, "bytes")}
+    if text:
+        buf, at, size = text[0], text[1][order], text[2][order]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         cols["bucket"].append(int(bucket[lo]))
         cols["kind"].append(kind)
@@ -70,20 +80,26 @@ def _send(kind: int, bucket: np.ndarray, doc: np.ndarray, **arrays: np.ndarray)
         for k in _COLS:
             if k != "doc":
                 cols[k].append(narrow(arrays[k][lo:hi]) if k in arrays else b"")
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * len(_COLS)]
+        cols["bytes"].append(buf[_flat(at[lo:hi], size[lo:hi])].tobytes() if text else b"")
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (len(_COLS) + 1)]
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
 
 
-def _received(parts: list[pa.RecordBatch], kind: int) -> dict[str, np.ndarray]:
+def _rows(parts: list[pa.RecordBatch]) -> list[dict]:
+    return [r for p in parts for r in p.to_pylist()]
+
+
+def _received(rows: list[dict], kind: int) -> dict[str, np.ndarray]:
     """The arrays of the rows of a kind."""
     out: dict[str, list] = {k: [np.zeros(0, np.uint64)] for k in _COLS}
-    for p in parts:
-        for r in p.to_pylist():
-            if r["kind"] == kind:
-                n = r["n"]
-                for k in _COLS:
-                    out[k].append((np.cumsum(widen(r["doc"], n).astype(np.int64)) + r["base"]).view(np.uint64) if k == "doc" else widen(r[k], n))
+    for r in rows:
+        if r["kind"] == kind:
+            n = r["n"]
+            for k in _COLS:
+                out[k].append((np.cumsum(widen(r["doc"], n).astype(np.int64)) + r["base"]).view(np.uint64) if k == "doc" else widen(r[k], n))
     got = {k: np.concatenate(v) for k, v in out.items()}
+    if kind == BYTES:
+        got["bytes"] = np.frombuffer(b"".join(r["bytes"] for r in rows if r["kind"] == kind), np.uint8)
     return got | {"doc": got["doc"].view(np.int64), "split": got["split"].astype(np.int64), "count": got["count"].astype(np.int64)}
 
 
@@ -133,16 +149,16 @@ def _combine(held: list[tuple[np.ndarray, ...]], buckets: int, shift: int) -> It
     group = np.cumsum(_first_of(gram)) - 1
     hot = (np.bincount(group) > HOT)[group] if len(group) else np.zeros(0, bool)
     if hot.any():
-        yield from _send(OPEN, doc[hot] % buckets, doc[hot], low=low[hot], count=count[hot])
+        yield from _send(OPEN, doc[hot] % buckets, doc[hot], a=np.zeros(int(hot.sum()), np.uint64), low=low[hot], count=count[hot])
         some = np.flatnonzero(hot & _first_of(gram))
         yield from _send(WILD, (gram[some] % np.uint64(buckets)).astype(np.int64), doc[some], a=gram[some])
     rest = ~hot
     yield from _send(RANKED, (gram[rest] % np.uint64(buckets)).astype(np.int64), doc[rest], a=gram[rest], b=context[rest], low=low[rest], count=count[rest], split=split[rest], before=before[rest], after=after[rest])
 
 
-def _first_round(parts: list[pa.RecordBatch], shift: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+def _first_round(rows: list[dict], shift: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Round 1 in one bucket: windows that are settled, by equal context, and those left for round 2."""
-    got, wild = _received(parts, RANKED), np.unique(_received(parts, WILD)["a"])
+    got, wild = _received(rows, RANKED), np.unique(_received(rows, WILD)["a"])
     order = np.lexsort((got["doc"], got["b"], got["a"]))
     got = {k: x[order] for k, x in got.items()}
     doc = got["doc"]
@@ -169,7 +185,7 @@ def _first_round(parts: list[pa.RecordBatch], shift: int) -> tuple[dict[str, np.
     low = left["low"] + np.where(one, 0, left["split"]).astype(np.uint64)
     count = np.where(one, left["split"], 0) + np.where(two, left["count"] - left["split"], 0)
     keep = one | two
-    return settled, {"doc": left["doc"][keep], "low": low[keep], "count": count[keep]}
+    return settled, {"doc": left["doc"][keep], "a": np.where(free, np.uint64(0), left["a"])[keep], "low": low[keep], "count": count[keep]}
 
 
 class _Cells:
@@ -189,7 +205,7 @@ class _Cells:
     def rest(self) -> Iterator[pa.RecordBatch]:
         for kind, held in self.held.items():
             if held:
-                got = {k: np.concatenate([x[k] for x in held]) for k in ("doc", "low", "count")}
+                got = {k: np.concatenate([x[k] for x in held]) for k in ("doc", "low", "count") + (("a",) if kind == OPEN else ())}
                 doc = got.pop("doc")
                 yield from _send(kind, doc % self.cells, doc, **got)
         self.held, self.size = {SETTLED: [], OPEN: []}, 0
@@ -197,16 +213,17 @@ class _Cells:
 
 def _by_doc(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One row for each document of a cell."""
-    both = [_received(parts, kind) for kind in (SETTLED, OPEN)]
+    rows = _rows(parts)
+    both = [_received(rows, kind) for kind in (SETTLED, OPEN)]
     docs = np.unique(np.concatenate([x["doc"] for x in both]))
     cols: list[pa.Array] = [pa.array(docs)]
     for got in both:
         order = np.argsort(got["doc"], kind="stable")
         cuts = np.append(np.searchsorted(got["doc"][order], docs), len(order)).tolist()
-        for k, size in (("low", 4), ("count", 1)):
+        for k, size in (("low", 4), ("count", 1), ("a", 8))[: 3 if got is both[1] else 2]:
             raw = got[k][order].astype(f"<u{size}").tobytes()
             cols.append(pa.array([raw[a * size : b * size] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["key", "low", "count", "open_low", "open_count"])
+    return pa.RecordBatch.from_arrays(cols, ["key", "low", "count", "open_low", "open_count", "open_gram"])
 
 
 def _runs(doc: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
@@ -221,6 +238,15 @@ def _runs(doc: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc[head], "low": low[head].astype(np.uint64), "count": np.minimum(255, np.repeat(size, cut) - 255 * at)}
 
 
+def _removed(a: np.ndarray, b: np.ndarray, doc: np.ndarray, low: np.ndarray, shift: int) -> dict[str, np.ndarray]:
+    """Runs of the windows that a smaller document has, of windows with their pairs of ranks."""
+    order = np.lexsort((doc, b, a))
+    a, b, doc, low = (x[order] for x in (a, b, doc, low))
+    new = _first_of(a, b)
+    gone = doc >> shift > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> shift
+    return _runs(doc[gone], low[gone])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 50, buckets: int | None = None, as_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``: each text's UTF-8 bytes without those covered by a string of ``length``
     bytes (34 to 200) that also starts in a document with a smaller id.
@@ -255,9 +281,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(buckets)
         for _, parts in grouped(batches):
+            got = _rows(parts)
             for kind in (SETTLED, OPEN):
-                yield from cells.add(kind, **{k: x for k, x in _received(parts, kind).items() if k in ("doc", "low", "count")})
-            for kind, found in zip((SETTLED, OPEN), _first_round(parts, shift), strict=True):
+                yield from cells.add(kind, **{k: x for k, x in _received(got, kind).items() if k in ("doc", "a", "low", "count")})
+            for kind, found in zip((SETTLED, OPEN), _first_round(got, shift), strict=True):
                 yield from cells.add(kind, **found)
         yield from cells.rest()
 
@@ -270,10 +297,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sent = dealt(rows.select("key", "text").mapInArrow(send, _SENT)).mapInArrow(settle, _SENT)
     marks = table(dealt(sent).mapInArrow(by_doc, _MARKS), "marks")
-    both = rows.join(marks, "key", "left").select("key", "text", "open_low", "open_count", "low", "count", "doc_id", *keep)
+    both = rows.join(marks, "key", "left").select("key", "text", "open_low", "open_count", "open_gram", "low", "count", "doc_id", *keep)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ranks of both halves of each window that round 1 left open; of equal ones of a task only the smallest document's, the others being removed."""
+        """The windows that round 1 left open: their bytes by gram; for grams that too many share, the ranks of both halves
+        of each, of equal ones of a task only the smallest document's, the others being removed."""
         half = length // 2
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -291,15 +319,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         size = 0
         for part, buf, starts, _ in blocks(batches):
-            lows, counts = (part.column(i).to_pylist() for i in (2, 3))
+            lows, counts, grams = (part.column(i).to_pylist() for i in (2, 3, 4))
             some = [i for i, x in enumerate(lows) if x]
             if not some:
                 continue
             low = np.frombuffer(b"".join(lows[i] for i in some), "<u4").astype(np.int64)
             count = np.frombuffer(b"".join(counts[i] for i in some), np.uint8).astype(np.int64)
             per = np.array([len(counts[i]) for i in some])
-            doc, base = (np.repeat(np.repeat(x[some], per), count) for x in (part.column(0).to_numpy(zero_copy_only=False), starts))
-            at = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            gram = np.frombuffer(b"".join(grams[i] for i in some), "<u8")
+            doc, base = (np.repeat(x[some], per) for x in (part.column(0).to_numpy(zero_copy_only=False), starts))
+            near = gram > 0
+            if near.any():
+                g, d, lo_, c = gram[near], doc[near], low[near], count[near]
+                yield from _send(BYTES, (g % np.uint64(buckets)).astype(np.int64), d, (buf, base[near] + lo_, c + length - 1), a=g, low=lo_.astype(np.uint64), count=c.astype(np.uint64))
+            low, count, doc, base = (x[~near] for x in (low, count, doc, base))
+            if not len(low):
+                continue
+            doc, base = np.repeat(doc, count), np.repeat(base, count)
+            at = _flat(low, count)
             view = np.lib.stride_tricks.sliding_window_view(buf, length)
             for lo in range(0, len(at), FLUSH):
                 wide = view[(at + base)[lo : lo + FLUSH]]
@@ -314,16 +351,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _Cells(buckets)
         for _, parts in grouped(batches):
-            done, found = _received(parts, SETTLED), _received(parts, RANKED)
+            all_rows = _rows(parts)
+            done, found = _received(all_rows, SETTLED), _received(all_rows, RANKED)
             yield from cells.add(SETTLED, **{k: done[k] for k in ("doc", "low", "count")})
-            order = np.lexsort((found["doc"], found["b"], found["a"]))
-            a, b, doc, low = (found[k][order] for k in ("a", "b", "doc", "low"))
-            new = _first_of(a, b)
-            gone = doc >> shift > doc[np.flatnonzero(new)][np.cumsum(new) - 1] >> shift
-            yield from cells.add(SETTLED, **_runs(doc[gone], low[gone]))
+            yield from cells.add(SETTLED, **_removed(found["a"], found["b"], found["doc"], found["low"], shift))
+            got = _received(all_rows, BYTES)
+            order = np.argsort(got["a"], kind="stable")
+            size = got["count"] + length - 1
+            first = np.cumsum(size) - size
+            heads = np.append(np.flatnonzero(_first_of(got["a"][order])), len(order))
+            weight = np.concatenate(([0], np.cumsum(size[order])))
+            lo = 0
+            while lo < len(heads) - 1:  # whole groups of a gram, a step of bytes at a time
+                hi = max(lo + 1, int(np.searchsorted(weight[heads], weight[heads[lo]] + STEP_BYTES, "right")) - 1)
+                take = order[heads[lo] : heads[hi]]
+                lo = hi
+                count = got["count"][take]
+                at = _flat(first[take], count)
+                view = np.lib.stride_tricks.sliding_window_view(got["bytes"], length)
+                cuts = range(0, len(at), 1 << 16)
+                a, b = (np.concatenate([_rank(view[at[k : k + (1 << 16)], part], seed) for k in cuts]) for part, seed in ((slice(0, length // 2), 1), (slice(length // 2, None), 2)))
+                yield from cells.add(SETTLED, **_removed(a, b, np.repeat(got["doc"][take], count), _flat(got["low"][take].astype(np.int64), count), shift))
         yield from cells.rest()
 
-    opened = both.where("open_low is not null and octet_length(open_low) > 0").select("key", "text", "open_low", "open_count")
+    opened = both.where("open_low is not null and octet_length(open_low) > 0").select("key", "text", "open_low", "open_count", "open_gram")
     checked = dealt(dealt(opened.mapInArrow(windows, _SENT)).mapInArrow(last, _SENT)).mapInArrow(by_doc, _MARKS)
     more = checked.select("key", F.col("low").alias("more_low"), F.col("count").alias("more_count"))
     final = both.join(more, "key", "left").select("doc_id", "text", "low", "count", "more_low", "more_count", *keep)
