@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task looks at together, unless a single text is longer.
@@ -50,7 +51,7 @@ class Keyed(NamedTuple):
     """Rows with a ``key`` of their own, and what is known of all of them."""
 
     rows: DataFrame
-    #: A key shifted to the right by so many bits is its ``doc_id``.
+    #: Keys shifted to the right by so many bits are equal where ``doc_id`` is, and ordered as it is.
     shift: int
     #: How many rows, and bytes of text.
     n: int
@@ -61,18 +62,41 @@ class Keyed(NamedTuple):
         return max(2 * partitions(self.rows.sparkSession), -(-self.size // bytes_each))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str, place: str) -> DataFrame:
+    """``rows`` with ``place``: their number from 0 in the order of ``order``, over all partitions; equal rows are numbered in any way.
+
+    Spark sorts the rows by ranges into a table; only the number of rows of each range reaches the driver.
+    """
+    spark = rows.sparkSession
+    at = table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = sorted(map(tuple, at.groupBy(part.alias("_part")).count().collect()))
+    before = [0, *itertools.accumulate(n for _, n in sizes)]
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before[:-1], strict=True)], "_part long, _before long")
+    out = at.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(place, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+
+
 def with_keys(rows: DataFrame) -> Keyed:
     """``rows`` (``doc_id``, ``text`` and others) with ``key``: the id where no id repeats, else the id and a number for each different text of it.
 
-    Takes one pass, which shuffles ids only.
+    Where ids are too large to hold such a number beside them, their places in the order of all ids stand for them. Takes
+    one pass, which shuffles ids only. Ids times the texts of the most repeated one must stay below 2**63.
     """
     each = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"))
-    most, n, size = each.agg(F.max("n"), F.sum("n"), F.sum("size")).first()
+    most, n, size, low, high, ids = each.agg(F.max("n"), F.sum("n"), F.sum("size"), F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if (most or 1) == 1:
         return Keyed(rows.withColumn("key", F.col("doc_id")), 0, n or 0, size or 0)
     shift = (most - 1).bit_length()
     hashed = rows.withColumn("_hash", F.sha2("text", 256))
-    number = hashed.select("doc_id", "_hash").distinct().withColumn("key", F.shiftleft("doc_id", shift) + F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash")) - 1)
+    texts = hashed.select("doc_id", "_hash").distinct()
+    if -(1 << 63) <= low << shift and (high + 1) << shift <= 1 << 63:
+        texts = texts.withColumn("_place", F.col("doc_id"))
+    elif ids << shift < 1 << 63:
+        texts = texts.join(numbered(each.select("doc_id"), [F.col("doc_id")], "ids", "_place"), "doc_id")
+    else:
+        raise ValueError(f"{ids} ids, of which one has {most} rows, are too many for keys of 64 bits")
+    number = texts.withColumn("key", F.shiftleft("_place", shift) + F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash")) - 1).drop("_place")
     return Keyed(hashed.join(number, ["doc_id", "_hash"]).drop("_hash"), shift, n, size)
 
 

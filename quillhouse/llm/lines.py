@@ -103,8 +103,8 @@ class Index:
         if len(self.prints):
             place = self.hash.find(h1)
             hit = (place >= 0) & (self.prints[place] == h2) & (self.firsts[place] >> shift < doc >> shift)
-        for a, b, first in self.twins.tolist():
-            hit |= (h1 == np.uint64(a)) & (h2 == np.uint64(b)) & (first >> shift < doc >> shift)
+        for (a, b, _), first in zip(self.twins, np.ascontiguousarray(self.twins[:, 2]).view(np.int64), strict=True):
+            hit |= (h1 == a) & (h2 == b) & (first >> shift < doc >> shift)
         return hit
 
 

@@ -40,11 +40,12 @@ _SIX, _TAG = np.uint64((1 << 48) - 1), np.uint64((1 << 16) - 1)
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs."""
+    """Integers, taken as unsigned ones of 64 bits, in as few bytes each as the largest needs."""
     if not len(x):
         return b""
+    x = x.astype("<u8")
     width = max(1, (int(x.max()).bit_length() + 7) // 8)
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def widen(raw: bytes, n: int) -> np.ndarray:
