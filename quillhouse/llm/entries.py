@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, suffix, toxicity, warc
+from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, rank_array, suffix, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -75,6 +75,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("byte_bpe_50k.json")
+    back = rank_array.decode(rank_array.encode(read(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_grid_join": op8_embedding_grid_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_rank_array_bpe": op12_rank_array_bpe,
 }
 
 _LINES = """
