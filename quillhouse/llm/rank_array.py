@@ -227,7 +227,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                out = [None if x is None else b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace") for x in part.column(place)]
+                out = [None if x.values is None else b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace") for x in part.column(place)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "text"])
 
     return kept.mapInArrow(run, schema)
