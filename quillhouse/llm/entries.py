@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, rank_array, suffix, toxicity, warc
+from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, rank_array, resampling, suffix, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -82,6 +82,11 @@ def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return resampling.resample(docs, resampling.fit(docs, read(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_byte_bpe": op2_byte_bpe,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op12_rank_array_bpe": op12_rank_array_bpe,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _LINES = """
