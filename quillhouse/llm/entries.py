@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillhouse.llm import bpe, grid_join, licenses, lines, ngram_join, packing, quality, rank_array, resampling, suffix, toxicity, warc
+from quillhouse.llm import bpe, collocations, grid_join, licenses, lines, ngram_join, packing, quality, rank_array, resampling, suffix, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -75,6 +75,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("byte_bpe_50k.json")
     back = rank_array.decode(rank_array.encode(read(spark, sf_dir, "documents"), path), path)
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_grid_join": op8_embedding_grid_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_collocations": op11_collocations,
     "op12_rank_array_bpe": op12_rank_array_bpe,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -117,4 +122,5 @@ select l.doc_id, count(*) as n_lines, count(*) filter (where f.first_doc < l.doc
   sha256(coalesce(string_agg(x, chr(10) order by i) filter (where f.first_doc is null or f.first_doc >= l.doc_id), '')) as kept_sha256
 from l left join f using (k) group by l.doc_id
 """,
+    "op11_collocations": collocations.oracle(),
 }
