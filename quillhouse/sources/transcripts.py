@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillhouse.functions.text import whole_json
+from quillhouse.sources import reassembly
+from quillhouse.sources.staging import table
 
-#: Path shapes below the root, and how far a record may run over lines.
+#: Path shapes below the root.
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 MAIN = rf"/([^/]+)/({UUID})\.jsonl$"
 BACKUP = rf"/([^/]+)/({UUID})\.jsonl\.bak-[0-9]+$"
 SUBAGENT = rf"/([^/]+)/({UUID})/subagents/agent-([0-9a-f]+)\.jsonl$"
 SIDECAR = rf"/([^/]+)/({UUID})/subagents/agent-([0-9a-f]+)\.meta\.json$"
-MOST_LINES, MOST_BYTES = 1000, 1 << 20
 #: Entries of a wall, at most.
 MOST_WALLS = 100_000
 
@@ -105,97 +103,9 @@ def split_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
     return rows.withColumn("end_offset", (F.col("start_offset") + size).cast("long"))
 
 
-def _scan(line: bytes, state: tuple[int, bool, bool]) -> tuple[tuple[int, bool, bool], bool]:
-    """Brackets open after a line, and whether it ends inside a string or after an escape; and whether more were closed than opened."""
-    depth, in_string, escaped = state
-    below = False
-    for ch in line:
-        if escaped:
-            escaped = False
-        elif in_string:
-            escaped, in_string = ch == 0x5C, ch != 0x22
-        elif ch == 0x22:
-            in_string = True
-        elif ch in b"{[":
-            depth += 1
-        elif ch in b"}]":
-            depth -= 1
-            below = below or depth < 0
-    return (depth, in_string, escaped), below
-
-
-def _is_json(raw: bytes) -> bool:
-    import json
-
-    try:
-        json.loads(raw)
-    except ValueError:
-        return False
-    return True
-
-
-def _joined_from(raws: list[bytes], first: int) -> int | None:
-    """How many lines the record has that opens at ``first``: one where joining fails, ``None`` where the file ends before it closes.
-
-    Joining fails at a bracket too many, beyond the caps, if the brackets are closed and it is no JSON, or where a line of
-    its own begins: one that starts with ``{`` and is whole.
-    """
-    state, size, n = (0, False, False), 0, 0
-    for raw in raws[first:]:
-        if n and raw.startswith(b"{") and _is_json(raw):
-            return 1
-        state, below = _scan(raw, state)
-        size, n = size + len(raw), n + 1
-        if below or (n > 1 and (n > MOST_LINES or size > MOST_BYTES)):
-            return 1
-        if state[0] == 0:
-            return n if n > 1 and _is_json(b"".join(raws[first : first + n])) else 1
-    return None
-
-
-def _reassemble(raws: list[bytes]) -> list[tuple[int, int]]:
-    """``(first line, number of lines)`` of each record; an attempt that fails leaves its first line alone and starts again after it.
-
-    Lines of an attempt still open at the end of the file, and a last line without its end that is no JSON, are left out:
-    they wait for more.
-    """
-    out, i = [], 0
-    while i < len(raws):
-        n: int | None = 1
-        if not _is_json(raws[i]):
-            if not raws[i].endswith(b"\n"):
-                break
-            if raws[i].lstrip().startswith(b"{"):
-                n = _joined_from(raws, i)
-        if n is None:
-            break
-        out.append((i, n))
-        i += n
-    return out
-
-
 def reassembled(lines: DataFrame) -> DataFrame:
-    """``lines`` with records that were printed over several lines joined again.
-
-    Only files in which a line opens a record without closing it go through the grouped function, one file at a time
-    (files are bounded: the caps limit each attempt); all others pass unchanged.
-    """
-    text = F.btrim(F.decode("raw", "ISO-8859-1"), F.lit(" \t\r\n"))
-    opener = text.startswith("{") & whole_json(F.try_validate_utf8(F.col("raw").cast("string"))).isNull()
-    marked = lines.withColumn("_open", F.max(F.when(opener, 1).otherwise(0)).over(Window.partitionBy("path")))
-    plain, broken = marked.where("_open = 0").drop("_open"), marked.where("_open = 1").drop("_open")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_number").reset_index(drop=True)
-        raws = [bytes(x) for x in pdf["raw"]]
-        rows = []
-        for n, (first, count) in enumerate(_reassemble(raws)):
-            row = pdf.iloc[first].copy()
-            row["raw"], row["line_number"], row["end_offset"] = b"".join(raws[first : first + count]), n, pdf["end_offset"].iloc[first + count - 1]
-            rows.append(row)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return plain.unionByName(broken.groupBy("path").applyInPandas(run, broken.schema))
+    """``lines`` with records that were printed over several lines joined again, by bounded blocks of lines (see ``reassembly``)."""
+    return reassembly.reassembled(lines, table)
 
 
 def complete(lines: DataFrame) -> DataFrame:

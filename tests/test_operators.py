@@ -151,17 +151,6 @@ def test_export_writes_once(spark, tmp_path):
     assert open(out["b"].path, "rb").read() == b"kept"
 
 
-def test_reassembly_gives_up_and_waits():
-    join = transcripts._reassemble
-    assert join([b"{\n", b'"a":1\n', b"}\n", b"{x\n", b"y}\n", b'{"k":\n']) == [(0, 3), (3, 1), (4, 1)]
-    assert join([b'{"k":\n', b'"v",\n']) == [] and join([b"{\n"]) == []
-    assert join([b'{"a":[\n', b'{"type":"user"}\n', b"]}\n"]) == [(0, 1), (1, 1), (2, 1)]
-    assert join([b'{"a":[\n', b' {"type":"user"}\n', b"]}\n"]) == [(0, 3)]
-    assert join([b"[\n", b"1\n", b"]\n"]) == [(0, 1), (1, 1), (2, 1)]
-    assert join([b'{"a": "}{\\"",\n', b' "b": 1}\n', b"}\n", b'{"torn": tru']) == [(0, 2), (2, 1)]
-    assert join([b"{\n", *[b"1,\n"] * 1200, b"}\n"])[0] == (0, 1)
-
-
 def test_query_terms_never_fail(spark):
     cases = {'a "b c" d': [["b", "c"], ["a"], ["d"]], 'odd " quote': [["odd"], ["quote"]], "foo_bar": [["foo", "bar"]], '""': [], "*)(": [], "": []}
     rows = spark.createDataFrame([(q,) for q in cases] + [(None,)], "q string").select("q", fn.query_terms(F.col("q")).alias("t")).collect()
