@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillhouse.functions.text import whole_json
-from quillhouse.sources import reassembly
+from quillhouse.sources import ranges, reassembly
 from quillhouse.sources.staging import table
 
 #: Path shapes below the root.
@@ -189,42 +189,100 @@ def newest_by_uuid(lines: DataFrame) -> DataFrame:
 
 #: What the archive holds of each line; the last line of a file in a run also says what the file was like.
 _STATE = ("prefix_sha", "file_length", "file_time")
+_CHUNKS = "path string, generation int, chunk long, start long, size long, sha string, line_ends long"
 
 
-def _known(spark: SparkSession, archive: str) -> DataFrame:
-    """State of each file in an archive: checkpoint, digest of the bytes before it, length and time at its last capture."""
+def _found(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that an earlier run wrote, or nothing: the first run finds none."""
     try:
-        old = spark.read.parquet(archive)
-    except Exception as e:  # the first run finds no archive
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        return None
+
+
+def _known(spark: SparkSession, archive: str) -> DataFrame:
+    """State of each file in an archive: checkpoint, digest of the bytes before it, length and time at its last capture."""
+    old = _found(spark, archive)
+    if old is None:
         return spark.createDataFrame([], "path string, checkpoint long, sha string, generation int, file_length long, file_time timestamp")
     ends = old.where("prefix_sha is not null").groupBy("path", "generation").agg(F.max("end_offset").alias("checkpoint"), F.max_by(F.struct(*_STATE), "end_offset").alias("s"))
     return newest_generation(ends).select("path", "checkpoint", F.col("s.prefix_sha").alias("sha"), "generation", "s.file_length", "s.file_time")
 
 
-def capture(spark: SparkSession, root: str, archive: str, run_id: str, *, projects: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+def _known_chunks(spark: SparkSession, archive: str, known: DataFrame) -> DataFrame:
+    """The digests of the chunks before each file's checkpoint, the longest of each; chunks of a run whose lines never came reach past it or fail the tree's digest."""
+    old = _found(spark, f"{archive}-chunks")
+    if old is None:
+        return spark.createDataFrame([], _CHUNKS)
+    here = old.join(known.select("path", "generation", "checkpoint"), ["path", "generation"]).where(F.col("start") + F.col("size") <= F.col("checkpoint"))
+    best = here.groupBy("path", "generation", "chunk").agg(F.max_by(F.struct("start", "size", "sha", "line_ends"), F.struct("size", "run_id")).alias("c"))
+    return best.select("path", "generation", "chunk", "c.*")
+
+
+def diverged(changed: DataFrame, stored: DataFrame, verify: str = "all") -> DataFrame:
+    """``(path, chunk)``: files whose bytes before the checkpoint are not what they were, and the first chunk that differs.
+
+    ``verify`` is ``all``, or ``last``: only the last chunk before each checkpoint is read again, for stores in which files
+    can only grow. A file that is shorter than its checkpoint is not read; its chunk is null.
+    """
+    if verify not in ("all", "last"):
+        raise ValueError(f"unknown verify {verify}")
+    asked = stored.join(changed.where("length >= checkpoint").select("path", "checkpoint"), "path")
+    if verify == "last":
+        asked = newest_generation(asked.withColumn("generation", F.col("chunk")))
+    asked = table(asked.select("path", "checkpoint", "chunk", "start", F.col("sha").alias("old")), "asked")
+    now = ranges.chunk_digests(asked.groupBy("path").agg(F.min("start").alias("start"), F.max("checkpoint").alias("length")))
+    other = asked.join(now.select("path", "chunk", "sha"), ["path", "chunk"], "left").where(F.col("sha").isNull() | (F.col("sha") != F.col("old")))
+    short = changed.where("length < checkpoint").select("path", F.lit(None).cast("long").alias("chunk"))
+    return other.groupBy("path").agg(F.min("chunk").alias("chunk")).unionByName(short)
+
+
+def capture(spark: SparkSession, root: str, archive: str, run_id: str, *, projects: DataFrame | None = None, sessions: DataFrame | None = None, verify: str = "all", range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """One incremental run: reads what is new below ``root`` and appends it to ``archive`` as Parquet under ``run_id=``.
 
-    Only files whose length or time has changed are read, and none behind a wall. The state of each file is in its own
-    rows (the last of a run holds the digest of all bytes up to its end), so rows and state cannot get out of step, and a
-    run over unchanged files adds nothing. Files that cannot be read are noted in ``<archive>-anomalies``.
+    Only files whose length or time has changed are read, and none behind a wall. Files are read by ranges of bytes: lines
+    from the checkpoint on, and what is before it only as digests of chunks, to see that it is what it was (``verify``).
+    The state of each file is in its own rows (the last of a run holds the digest over all chunks up to its end), so rows
+    and state cannot get out of step, and a run over unchanged files adds nothing. The chunks' digests are in
+    ``<archive>-chunks``, written before the lines. Files that cannot be read are noted in ``<archive>-anomalies``, and
+    those that diverged, with the first chunk that differs.
     """
-    known = _known(spark, archive)
+    known = table(_known(spark, archive), "known")
     files = behind_walls(classify_paths(listing(spark, root)), projects, sessions)
     same = known.select("path", F.col("file_length").alias("length"), F.col("file_time").alias("modificationTime"))
     changed = files.join(same, ["path", "length", "modificationTime"], "left_anti")
-    loaded, failed = readable(contents(spark, root, changed, projects=projects, sessions=sessions))
-    tails = new_tails(loaded, known.select("path", "checkpoint", "sha", "generation"))
-    lines = complete(reassembled(split_lines(tails)))
-    base = F.when(F.col("action") == "grown", F.col("checkpoint")).otherwise(F.lit(0))
+    changed = table(changed.join(known.select("path", "checkpoint", "generation"), "path", "left"), "changed")
+    stored = table(_known_chunks(spark, archive, known), "stored")
+    other = table(diverged(changed, stored, verify), "diverged")
+    lines_before = stored.groupBy("path").agg(F.sum("line_ends").alias("lines_before"))
+    state = changed.join(other.withColumn("moved", F.lit(True)), "path", "left").join(lines_before, "path", "left")
+    action = F.when(F.col("checkpoint").isNull(), "new").when(F.col("moved"), "diverged").when(F.col("length") == F.col("checkpoint"), "same").otherwise("grown")
+    grown = F.col("action") == "grown"
+    state = table(state.withColumn("action", action).where("action <> 'same'").withColumns({
+        "start": F.when(grown, F.col("checkpoint")).otherwise(F.lit(0)), "first_line": F.when(grown, F.col("lines_before")).otherwise(F.lit(0)),
+        "generation": (F.coalesce("generation", F.lit(0)) + F.when(F.col("action") == "diverged", 1).otherwise(0)).cast("int"),
+    }), "state")
+    counts = ranges.line_counts(state, range_bytes=range_bytes)
+    new = ranges.range_lines(state, counts, range_bytes=range_bytes).join(state.drop("start"), "path")
+    lines = complete(reassembled(table(new, "lines")))
     out = lines.select(
         "path", "project_slug", "session_uuid", "kind", "agent_hex", "is_backup", "generation", "action", (F.col("line_number") + F.col("first_line")).alias("line_number"),
-        (F.col("start_offset") + base).alias("start_offset"), (F.col("end_offset") + base).alias("end_offset"), F.sha2("raw", 256).alias("sha"), "raw", F.col("length").alias("file_length"), F.col("modificationTime").alias("file_time"),
+        "start_offset", "end_offset", F.sha2("raw", 256).alias("sha"), "raw", F.col("length").alias("file_length"), F.col("modificationTime").alias("file_time"),
     )
-    ends = out.groupBy("path").agg(F.max("end_offset").alias("end_offset"))
-    prefix = ends.join(loaded.select("path", "content"), "path").select("path", "end_offset", F.sha2(F.expr("substring(content, 1, cast(end_offset as int))"), 256).alias("prefix_sha"))
-    out = out.join(prefix, ["path", "end_offset"], "left")
-    out.write.mode("append").parquet(f"{archive}/run_id={run_id}")
-    failed.write.mode("append").parquet(f"{archive}-anomalies/run_id={run_id}")
-    return spark.read.schema(out.schema).parquet(f"{archive}/run_id={run_id}")
+    out = table(out, "captured")
+    ends = out.groupBy("path").agg(F.max("end_offset").alias("end_offset"), F.first("generation").alias("generation"))
+    # Whole chunks before the checkpoint stay; the one that it cuts is read again.
+    whole = F.when(grown, F.floor(F.col("checkpoint") / ranges.CHUNK_BYTES) * ranges.CHUNK_BYTES).otherwise(F.lit(0)).cast("long")
+    due = table(ends.join(state.select("path", whole.alias("start")), "path"), "due")
+    fresh = table(ranges.chunk_digests(due, "end_offset"), "fresh")
+    kept = stored.join(due.select("path", F.col("start").alias("_from")), "path").where("start < _from").select(*fresh.columns)
+    trees = ranges.tree_digest(kept.unionByName(fresh)).join(ends, "path").select("path", "end_offset", "prefix_sha")
+    fresh.join(ends.select("path", "generation"), "path").write.mode("append").parquet(f"{archive}-chunks/run_id={run_id}")
+    out.join(trees, ["path", "end_offset"], "left").write.mode("append").parquet(f"{archive}/run_id={run_id}")
+    shut = counts.where("n_lines is null").select("path", F.lit("file_ingest_failure").alias("kind"), F.col("path").alias("detail"))
+    moved = other.select("path", F.lit("source_diverged").alias("kind"), F.coalesce(F.concat(F.lit("chunk "), F.col("chunk").cast("string")), F.lit("shorter")).alias("detail"))
+    shut.distinct().unionByName(moved).select("path", F.lit("error").alias("severity"), "kind", "detail").write.mode("append").parquet(f"{archive}-anomalies/run_id={run_id}")
+    return spark.read.schema(out.join(trees, ["path", "end_offset"], "left").schema).parquet(f"{archive}/run_id={run_id}")
+
