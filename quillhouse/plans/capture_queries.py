@@ -13,7 +13,7 @@ from quillhouse.operators.sessions import run_list
 from quillhouse.plans import feed, lake
 from quillhouse.plans.record_queries import oracle, parsed
 from quillhouse.plans.registry import query
-from quillhouse.sources import export, transcripts
+from quillhouse.sources import export, ranges, transcripts
 
 #: Numbers of events or orders that one made-up file spans.
 FILE_ROWS = 1 << 16
@@ -52,6 +52,44 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.split_lines(document_files(spark, d)).select("path", F.col("line_number").cast("long").alias("line_number"), "start_offset", "end_offset")
 
 
+#: Bytes of a range in these queries: small, so that even small inputs are cut.
+SMALL_RANGE = 4 << 20
+LANG_LINES = "l as (select coalesce(lang, 'und') as lang, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 as n, strlen(coalesce(text, '')) + 1 as size from documents)"
+
+
+def written_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files by language, as Spark's text writer leaves them: ``(path, lang, length, start)``."""
+
+    def build() -> DataFrame:
+        folder = f"{lake.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+        docs = feed.read(spark, d, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.write.partitionBy("lang").option("compression", "none").text(folder)
+        found = transcripts.listing(spark, folder)
+        return found.select("path", F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "length", F.lit(0).cast("long").alias("start")).where("lang <> ''")
+
+    return lake.table(spark, d, "documents", "written_files", build)
+
+
+@query("src5_byte_ranges", f"with {LANG_LINES} select lang, sum(n)::bigint as n_lines, sum(size)::bigint as n_bytes, sum(n)::bigint as n_numbered, 0::bigint as n_gaps from l group by 1")
+def byte_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Files read by ranges: their lines and bytes, the last number of each file, and lines that do not begin where the one before ends."""
+    files_ = written_files(spark, d)
+    lines_ = ranges.range_lines(files_, range_bytes=SMALL_RANGE).select("path", "line_number", "start_offset", "end_offset", F.octet_length("raw").alias("size"))
+    # Every place but a file's ends is where one line ends and the next begins.
+    edges = lines_.select("path", F.explode(F.array("start_offset", "end_offset")).alias("at")).groupBy("path", "at").count().where("count <> 2").groupBy("path").agg((F.count("*") - 2).alias("gaps"))
+    per = lines_.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("size"), (F.max("line_number") + 1).alias("last"))
+    each = per.join(edges, "path").join(files_.select("path", "lang"), "path")
+    return each.groupBy("lang").agg(F.sum("n").alias("n_lines"), F.sum("size").alias("n_bytes"), F.sum("last").alias("n_numbered"), F.sum("gaps").alias("n_gaps"))
+
+
+@query("agg16_chunk_digests", f"with {LANG_LINES} select lang, sum(n)::bigint as line_ends, sum(size)::bigint as n_bytes from l group by 1")
+def chunk_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The digests of the chunks of all files, and of their prefixes, summed up."""
+    files_ = written_files(spark, d)
+    trees = ranges.tree_digest(ranges.chunk_digests(files_, range_bytes=SMALL_RANGE, chunk_bytes=1 << 20)).join(files_.select("path", "lang"), "path")
+    return trees.groupBy("lang").agg(F.sum("prefix_lines").alias("line_ends"), F.sum("prefix_bytes").alias("n_bytes"))
+
+
 def batch_of(owner: str, number: str) -> Column:
     """The path of a file that holds ``FILE_ROWS`` numbers of an owner at most, so that a busy owner has many files and not a long one."""
     return F.concat_ws("/", F.col(owner), F.floor(F.col(number) / FILE_ROWS))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhouse.functions import text as fn
-from quillhouse.operators import blocks, search
 from quillhouse.functions import stems
+from quillhouse.operators import search, search_index
 from quillhouse.plans import feed, lake
 from quillhouse.plans.record_queries import CLASSIFIED, messages, oracle
 from quillhouse.plans.registry import query
+from quillhouse.sources import staging
 
 ASKED = [(1, "and the"), (2, '"of the"'), (3, "tion"), (4, '"'), (5, "the_of"), (6, "the"), (7, "worthless idiots")]
 
@@ -90,10 +91,40 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return found(spark, d).select("query_id", "block_key", "rank")
 
 
-@query("fts5_phrases", "with tk as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text <> '')) select a.doc_id, count(*) as tf from tk a join tk b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by 1")
+#: Words and stems of documents, by which queries over them are held against SQL.
+STEMMED = f"""tk as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents where text <> '')),
+  vo as (select term, {stems.stem_sql('term')} as stem from (select distinct term from tk)), ts as (select doc_id, pos, stem from tk join vo using (term)),
+  ln as (select doc_id, count(*) as length from tk group by 1), tot as (select count(*) as n, coalesce(sum(length), 0) / count(*) as a from (select doc_id from documents where text <> '') d left join ln using (doc_id))"""
+BM25 = "case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / a))"
+
+
+def document_index(spark: SparkSession, d: str) -> search_index.Index:
+    """All documents as an index laid out for search."""
+    docs = feed.read(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("key"), "text")
+
+    def keep(df: DataFrame, name: str, by: str | None, order: list[str]) -> DataFrame:
+        return lake.table(spark, d, "documents", f"documents_{name}", lambda: df, by, order)
+
+    posts = keep(search.postings(docs, "key"), "postings", None, [])
+    words = keep(search.vocabulary(posts), "vocabulary", None, [])
+    return search_index.build(posts, docs, words, keep, "key")
+
+
+def once(df: DataFrame, name: str, by: str | None, order: list[str]) -> DataFrame:
+    """A table for one query alone."""
+    return staging.table(df, name)
+
+
+#: Phrases as they are asked for, and as stems.
+PHRASES = [(1, '"of the"', ("of", "the")), (2, '"worthless idiots"', ("worthless", "idiot")), (3, '"the worthless ideas"', ("the", "worthless", "idea")), (4, '"permissions are hereby granted"', ("permiss", "ar", "herebi", "grant"))]
+PLACES = ", ".join(f"({q}, {len(w)}, {i}, '{x}')" for q, _, w in PHRASES for i, x in enumerate(w))
+
+
+@query("fts5_phrases", f"with {STEMMED}, ask(query_id, width, place, stem) as (values {PLACES}), st as (select query_id, width, doc_id, pos - place as start from ts join ask using (stem) group by all having count(distinct place) = width) select query_id, doc_id, count(*) as tf from st group by 1, 2")
 def phrases(spark: SparkSession, d: str) -> DataFrame:
-    docs = feed.read(spark, d, "documents").where("text <> ''")
-    return search.phrase_hits(search.postings(docs, "doc_id"), asked(spark, [(2, '"of the"')]), "doc_id").select("doc_id", "tf")
+    """Phrases of inflected words, by the pairs of their stems."""
+    wanted = once(search_index.asked_stems(asked(spark, [(q, text) for q, text, _ in PHRASES])), "asked", None, [])
+    return search_index.phrase_hits(document_index(spark, d), wanted).select("query_id", F.col("key").alias("doc_id"), "tf")
 
 
 @query("fts6_stemmed_vocabulary", f"select term, {stems.stem_sql('term')} as stem from (select distinct unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from documents where text <> '') t")
@@ -199,17 +230,45 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search.best_per_session(search.in_sources(found(spark, d), ["chat"])).select("query_id", "session_uuid", "block_key", "rank")
 
 
-@query("fts11_document_search", """
-with tk as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text <> '')),
-ln as (select doc_id, count(*) as length from tk group by 1), tot as (select count(*) as n, coalesce(sum(length), 0) / count(*) as a from (select doc_id from documents where text <> '') d left join ln using (doc_id)),
-ask(query_id, term) as (values (1, 'license'), (2, 'worthless'), (3, 'idiot'), (3, 'the')),
-tf as (select query_id, term, doc_id, count(*) as tf from tk join ask using (term) group by all), pd as (select query_id, term, count(*) as df from tf group by all),
-s as (select query_id, doc_id, round(-sum(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / a))), 4) as rank, count(*) as got from tf join pd using (query_id, term) join ln using (doc_id), tot group by query_id, doc_id)
-select query_id, doc_id, rank from s where got = (select count(*) from ask where ask.query_id = s.query_id)""")
+DOCUMENT_HITS = f"""with {STEMMED}, ask(query_id, stem) as (values (1, 'licens'), (2, 'worthless'), (3, 'idiot'), (3, 'the'), (4, 'the'), (4, 'of')),
+  tf as (select query_id, stem, doc_id, count(*) as tf from ts join ask using (stem) group by all), pd as (select query_id, stem, count(*) as df from tf group by all),
+  s as (select query_id, doc_id, round(-sum({BM25}), 4) + 0.0::double as rank, count(*) as got from tf join pd using (query_id, stem) join ln using (doc_id), tot group by query_id, doc_id),
+  hits as (select query_id, doc_id, rank from s where got = (select count(*) from ask where ask.query_id = s.query_id))"""
+IN_DOCUMENTS = [(1, "licenses"), (2, "worthless"), (3, "idiots the"), (4, "the of")]
+
+
+@query("fts11_document_search", f"{DOCUMENT_HITS} select query_id, doc_id, rank from hits")
 def documents(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of a few queries over the stemmed documents; a scan reads the buckets of their stems."""
+    return search_index.search_all(document_index(spark, d), asked(spark, IN_DOCUMENTS), once).select("query_id", F.col("key").alias("doc_id"), "rank")
+
+
+@query("fts4_top_pages", f"{DOCUMENT_HITS} select query_id, doc_id, rank, row_number() over (partition by query_id order by rank, doc_id) as place from hits qualify place <= 10")
+def top_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of the same queries, without reading cells that cannot reach it."""
+    top = search_index.search_top(document_index(spark, d), asked(spark, IN_DOCUMENTS), 10, once)
+    return top.select("query_id", F.col("key").alias("doc_id"), "rank", F.col("place").cast("long").alias("place"))
+
+
+@query("fts11_query_batch", f"""with {STEMMED},
+  tw as (select distinct doc_id, term from tk), pick as (select doc_id, term from tw qualify row_number() over (partition by doc_id order by length(term) desc, encode(term)) <= 2),
+  ask as (select distinct p.doc_id as query_id, p.term as word, stem from pick p join vo using (term)),
+  need as (select query_id, list_sort(list(word)) as words, count(*) as need from ask group by 1), sets as (select words, min(query_id) as set_id, any_value(need) as need from need group by 1),
+  one as (select set_id, word, stem from ask join sets on ask.query_id = sets.set_id),
+  pt as (select stem, doc_id, count(*) as tf from ts where stem in (select stem from one) group by all), pd as (select stem, count(*) as df from pt group by 1),
+  s as (select set_id, doc_id, round(-sum({BM25}), 4) + 0.0::double as rank, count(*) as got from one join pt using (stem) join pd using (stem) join ln using (doc_id), tot group by 1, 2),
+  best as (select s.set_id, count(*) as hits, min(rank) as rank from s join sets using (set_id) where got = need group by 1)
+select query_id, hits, rank from need join sets using (words) join best using (set_id)""")
+def query_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each document, its two longest words: how many documents have both, and the best rank. Documents that ask for the same are answered once."""
     docs = feed.read(spark, d, "documents").where("text <> ''")
-    posts = search.postings(docs, "doc_id")
-    return search.search(asked(spark, [(1, "license"), (2, "worthless"), (3, "idiot the")]), posts, docs, search.statistics(posts, docs, "doc_id"), "doc_id")
+    longest = F.expr("slice(array_sort(array_distinct(w), (a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end), 1, 2)")
+    words = docs.select("doc_id", search.tokens(F.col("text")).alias("w")).select(F.col("doc_id").alias("asker"), F.array_sort(longest).alias("words")).where(F.size("words") > 0)
+    asked_ = once(words, "askers", None, [])
+    sets = asked_.groupBy("words").agg(F.min("asker").alias("query_id"))
+    hits = search_index.search_batch(document_index(spark, d), sets.select("query_id", F.transform("words", lambda x: F.array(x)).alias("phrases")), once)
+    best = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("rank"))
+    return asked_.join(sets, "words").join(best, "query_id").select(F.col("asker").alias("query_id"), "hits", "rank")
 
 
 @query("fn8_snippet_segments", oracle("", "select uuid, len(list_filter(string_split(replace(text, 'the', '<mark>the<mark>'), '<mark>'), lambda x: x <> ''))::bigint as n_parts from turns where contains(text, 'the')"))
