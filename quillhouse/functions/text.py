@@ -46,6 +46,11 @@ def archive_title(custom: Column, ai: Column, uuid: Column) -> Column:
     return F.coalesce(ai, custom, F.substring(uuid, 1, 8))
 
 
+def prefill_title(user: Column, custom: Column, ai: Column) -> Column:
+    """What an editor of a title starts from: the user's title, else the generated or custom one, else nothing; never the stand-in made of the id."""
+    return F.coalesce(user, ai, custom, F.lit(""))
+
+
 def project_label(cwd: Column, slug_: Column) -> Column:
     """The last part of the working directory, else the slug's tail after ``-Users-``."""
     last = F.element_at(F.filter(F.split(F.coalesce(cwd, F.lit("")), "/"), lambda x: x != ""), -1)

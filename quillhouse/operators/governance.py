@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillhouse.sources.export import pieces
@@ -34,6 +34,29 @@ def walls(projects: DataFrame, sessions: DataFrame) -> DataFrame:
     return a.unionByName(sessions.select(F.lit("session").alias("wall"), F.col("session_uuid").alias("target"))).orderBy("wall", "target")
 
 
+def exclusion_changes(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What each change of a wall did: ``log`` with ``changed`` and ``prior_sessions``.
+
+    ``log`` has ``kind`` (``project`` or ``session``), ``target, op`` (``add`` or ``remove``), ``reason`` and ``at``, an
+    order without ties for a target; ``sessions`` has ``session_uuid, project_slug``. Adding what is excluded already or
+    removing what is not changes nothing. Excluding a project does not touch the sessions that it has by now;
+    ``prior_sessions`` says how many stay, 0 for other changes.
+    """
+    before = F.lag("op").over(Window.partitionBy("kind", "target").orderBy("at"))
+    changed = F.when(F.col("op") == "add", F.coalesce(before != "add", F.lit(True))).otherwise(F.coalesce(before == "add", F.lit(False)))
+    held = sessions.select("session_uuid", F.col("project_slug").alias("target")).distinct().groupBy("target").agg(F.count("*").alias("n"))
+    out = log.withColumn("changed", changed).join(held.withColumn("kind", F.lit("project")), ["kind", "target"], "left")
+    return out.withColumn("prior_sessions", F.when(F.col("changed") & (F.col("op") == "add"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("n")
+
+
+def exclusions(log: DataFrame) -> DataFrame:
+    """``(kind, target, reason, at)`` of what is excluded after all changes of ``log``: of repeated additions the first counts, with its reason."""
+    w = Window.partitionBy("kind", "target").orderBy("at")
+    took = log.withColumn("_new", F.coalesce(F.lag("op").over(w) != "add", F.lit(True)))
+    last = took.groupBy("kind", "target").agg(F.max_by("op", "at").alias("op"), F.max_by(F.struct("reason", "at"), F.when((F.col("op") == "add") & F.col("_new"), F.col("at"))).alias("a"))
+    return last.where("op = 'add'").select("kind", "target", "a.reason", "a.at")
+
+
 def first_encounters(seen: DataFrame, known: DataFrame) -> DataFrame:
     """Schema versions that are not recorded yet."""
     return seen.select("schema_version").distinct().join(known.select("schema_version"), "schema_version", "left_anti")
@@ -99,6 +122,41 @@ def preview(tables: dict[str, DataFrame], doomed: DataFrame, key: str = "session
     return out
 
 
+def deletion_preview(targets: DataFrame, records: DataFrame, sources: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """``(kind, target, label, sessions, records, paths_on_disk)``: what a deletion of each target would take, and how many of its source files are still there to be captured again.
+
+    ``targets`` has ``kind, target, label, session_uuid``, a row for each session of a target (null for a project without
+    any); ``records`` and ``sources`` (with ``path``) have ``session_uuid``; ``on_disk`` is a listing. Records are counted
+    by session before they meet targets, so no session's rows are copied for several targets.
+    """
+    counted = records.groupBy("session_uuid").agg(F.count("*").alias("n_records"))
+    live = sources.join(on_disk.select("path").distinct(), "path", "left_semi").groupBy("session_uuid").agg(F.countDistinct("path").alias("n_paths"))
+    each = targets.join(counted, "session_uuid", "left").join(live, "session_uuid", "left")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n_records", "records"), ("n_paths", "paths_on_disk"))]
+    return each.groupBy("kind", "target", "label").agg(F.countDistinct("session_uuid").alias("sessions"), *total)
+
+
+def paths_present(targets: DataFrame, sources: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """``(kind, target, path)``: those source files, by name."""
+    live = sources.join(on_disk.select("path").distinct(), "path", "left_semi").select("session_uuid", "path").distinct()
+    return targets.select("kind", "target", "session_uuid").join(live, "session_uuid").select("kind", "target", "path").distinct()
+
+
+def scrub_snapshots(tables: dict[str, DataFrame], doomed: DataFrame, reason: str, records: str = "records", by: str = "snapshot", key: str = "session_uuid") -> tuple[dict[str, DataFrame], DataFrame]:
+    """The whole cascade in every snapshot, with a ledger in each: all ``tables`` have a column ``by``, and one pass over each serves all snapshots.
+
+    Returns the tables without the doomed sessions' rows, and ``(by, label_sha, reason, n_records)`` of the sessions that
+    a snapshot had. A session that a snapshot does not know leaves no tombstone there.
+    """
+    gone = doomed.select(key).distinct()
+    had = None
+    for name, rows in tables.items():
+        found = rows.join(gone, key, "left_semi").groupBy(by, key).agg((F.count("*") if name == records else F.lit(0).cast("long")).alias("n_records"))
+        had = found if had is None else had.unionByName(found)
+    tombstones = had.groupBy(by, key).agg(F.sum("n_records").alias("n_records")).select(by, F.sha2(key, 256).alias("label_sha"), F.lit(reason).alias("reason"), "n_records")
+    return cascade(tables, doomed, key), tombstones
+
+
 def ledger(doomed: DataFrame, records: DataFrame, reason: str, key: str = "session_uuid") -> DataFrame:
     """Tombstones: that something was deleted, why and how much, never what."""
     counted = scope(records, doomed, key).groupBy(key).agg(F.count("*").alias("n_records"))

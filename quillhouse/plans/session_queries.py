@@ -108,6 +108,12 @@ def display(spark: SparkSession, d: str) -> DataFrame:
     return session_rows(spark, d).select("session_uuid", fn.display_title(c("user_title"), c("custom_title"), c("ai_title"), c("session_uuid")).alias("title"), fn.archive_title(c("custom_title"), c("ai_title"), c("session_uuid")).alias("archive_title"))
 
 
+@query("fn5_title_prefills", oracle(SESSION, "select session_uuid, coalesce(user_title, ai_title, custom_title, '') as prefill from s"))
+def prefills(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return session_rows(spark, d).select("session_uuid", fn.prefill_title(c("user_title"), c("custom_title"), c("ai_title")).alias("prefill"))
+
+
 def matched(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that match ``the`` by name or, in the index, by content; with the best hit."""
     hits = search.best_per_session(found(spark, d).where("query_id = 6"))
@@ -281,6 +287,26 @@ def exclusions(spark: SparkSession, d: str) -> DataFrame:
     return feed.turns(spark, d).join(wall, "project_slug").groupBy("project_slug").agg(F.countDistinct("session_uuid").alias("prior_sessions"))
 
 
+WALL_LOG = "select event_id as seq, case when user_id % 2 = 0 then 'project' else 'session' end as kind, case when user_id % 2 = 0 then '-Users-x-p' || cast(user_id % 9 as string) else 's' || lpad(cast(user_id as string), 8, '0') end as target, case when event_id % 3 = 0 then 'remove' else 'add' end as op, event_type as reason from {events}"
+WALL_SQL = f"wl as (select *, lag(op) over (partition by kind, target order by seq) as prev from ({WALL_LOG.format(events='events')}) e)"
+
+
+def wall_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as changes of the walls: projects and sessions that are excluded and let in again, for a reason."""
+    return spark.sql(WALL_LOG, events=feed.read(spark, d, "events")).withColumnRenamed("seq", "at")
+
+
+@query("ups4_exclusion_changes", oracle(WALL_SQL, """, ps as (select project_slug, count(distinct session_uuid) as n from turns group by 1), ch as (select *, case when op = 'add' then coalesce(prev <> 'add', true) else coalesce(prev = 'add', false) end as changed from wl)
+select seq, kind, target, op, changed, (case when kind = 'project' and op = 'add' and changed then coalesce(n, 0) else 0 end)::bigint as prior_sessions from ch left join ps on project_slug = target"""))
+def exclusion_changes(spark: SparkSession, d: str) -> DataFrame:
+    return governance.exclusion_changes(wall_log(spark, d), feed.turns(spark, d)).select(F.col("at").alias("seq"), "kind", "target", "op", "changed", "prior_sessions")
+
+
+@query("ups4_walls_with_reasons", oracle(WALL_SQL, "select kind, target, arg_max(reason, seq) filter (where op = 'add' and coalesce(prev <> 'add', true)) as reason, max(seq) filter (where op = 'add' and coalesce(prev <> 'add', true)) as seq from wl group by 1, 2 having arg_max(op, seq) = 'add'"))
+def walls_with_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return governance.exclusions(wall_log(spark, d)).withColumnRenamed("at", "seq")
+
+
 @query("ups5_schema_versions", oracle("", "select distinct version as schema_version from turns where version <> '2.1.100'"))
 def versions(spark: SparkSession, d: str) -> DataFrame:
     seen = feed.turns(spark, d).select(F.col("version").alias("schema_version"))
@@ -324,6 +350,35 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
     return governance.preview({"records": feed.turns(spark, d), "overlays": o}, o.where("n % 6 = 0"))
 
 
+SOURCES = f"src as (select 's' || split_part(path, '/', 4)[29:36] as session_uuid, path from ({PATHS.format(turns='turns')}) p where path not like '%.txt'), disk as (select path from src where path like '%.jsonl')"
+
+
+def sources_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Source files with their sessions, and a listing without backups."""
+    found = transcripts.classify_paths(paths(spark, d))
+    return found.select(F.concat(F.lit("s"), F.substring("session_uuid", 29, 8)).alias("session_uuid"), "path"), found.where("not is_backup").select("path")
+
+
+def deletion_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Every session and every project as something to delete."""
+    rows = session_rows(spark, d)
+    c = F.col
+    one = rows.select(F.lit("session").alias("kind"), c("session_uuid").alias("target"), fn.display_title(c("user_title"), c("custom_title"), c("ai_title"), c("session_uuid")).alias("label"), "session_uuid")
+    return one.unionByName(rows.select(F.lit("project").alias("kind"), c("project_slug").alias("target"), c("project_slug").alias("label"), "session_uuid"))
+
+
+@query("agg12_preview_of_targets", oracle(f"{SESSION}, {SOURCES}", """, nr as (select session_uuid, count(*) as n from turns group by 1), np as (select session_uuid, count(*) as n from src join disk using (path) group by 1),
+tg as (select 'session' as kind, session_uuid as target, coalesce(case when trim(user_title) <> '' then user_title end, case when trim(ai_title) <> '' then ai_title end, case when trim(custom_title) <> '' then custom_title end, session_uuid[1:8]) as label, session_uuid from s union all select 'project', project_slug, project_slug, session_uuid from s)
+select kind, target, label, count(*) as sessions, sum(nr.n)::bigint as records, coalesce(sum(np.n), 0)::bigint as paths_on_disk from tg left join nr using (session_uuid) left join np using (session_uuid) group by 1, 2, 3"""))
+def preview_of_targets(spark: SparkSession, d: str) -> DataFrame:
+    return governance.deletion_preview(deletion_targets(spark, d), feed.turns(spark, d), *sources_of(spark, d))
+
+
+@query("agg12_paths_on_disk", oracle(SOURCES, "select p.project_slug as target, path from src join disk using (path) join (select distinct session_uuid, project_slug from turns) p using (session_uuid)"))
+def paths_on_disk(spark: SparkSession, d: str) -> DataFrame:
+    return governance.paths_present(deletion_targets(spark, d).where("kind = 'project'"), *sources_of(spark, d)).select("target", "path")
+
+
 @query("del2_ledger", oracle(DOOMED, "select sha256(session_uuid) as label_sha, 'asked for' as reason, (select count(*) from turns t where t.session_uuid = d.session_uuid) as n_records from doomed d"))
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     return governance.ledger(feed.overlays(spark, d).where("n % 6 = 0"), feed.turns(spark, d), "asked for")
@@ -358,6 +413,22 @@ def archive_log(spark: SparkSession, d: str) -> DataFrame:
     return governance.current(log(spark, d).withColumn("value", F.col("at"))).withColumnRenamed("value", "archived_at")
 
 
+@query("del4_cascade_in_snapshots", oracle(HELD, """, sn as (select *, 's' || (substr(session_uuid, 2)::bigint % 3)::varchar as snapshot from held)
+select snapshot, "table", count(*) as n from sn where session_uuid not in (select session_uuid from doomed) group by 1, 2
+union all select snapshot, 'ledger', count(distinct session_uuid) from sn where session_uuid in (select session_uuid from doomed) group by 1
+union all select snapshot, 'records deleted', count(*) from sn where "table" = 'records' and session_uuid in (select session_uuid from doomed) group by 1"""))
+def cascade_in_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The whole deletion in every snapshot: what is left in each table, and what the ledgers say."""
+    name = F.concat(F.lit("s"), (F.substring("session_uuid", 2, 20).cast("long") % 3).cast("string"))
+    rows = {k: t.select("session_uuid", name.alias("snapshot")) for k, t in tables(spark, d).items()}
+    left, tombstones = governance.scrub_snapshots(rows, feed.overlays(spark, d).where("n % 6 = 0"), "asked for")
+    out = tombstones.groupBy("snapshot").agg(F.count("*").alias("n")).select("snapshot", F.lit("ledger").alias("table"), "n")
+    out = out.unionByName(tombstones.groupBy("snapshot").agg(F.sum("n_records").alias("n")).select("snapshot", F.lit("records deleted").alias("table"), "n"))
+    for k, t in left.items():
+        out = out.unionByName(t.groupBy("snapshot").agg(F.count("*").alias("n")).select("snapshot", F.lit(k).alias("table"), "n"))
+    return out
+
+
 @query("del4_scrubbed_snapshots", oracle(DOOMED, "select 's' || (conv_id % 3)::varchar as snapshot, count(*) filter (where session_uuid not in (select session_uuid from doomed)) as n_left, count(*) filter (where session_uuid in (select session_uuid from doomed)) > 0 as was_present from turns group by 1"))
 def scrubbed(spark: SparkSession, d: str) -> DataFrame:
     """The same deletion in every snapshot, each with its own rows."""
