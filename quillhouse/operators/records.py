@@ -176,26 +176,103 @@ def parse(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
     return out.withColumn("status", status).drop("blank", "is_object")
 
 
-#: Structural rules: record type, path, allowed variant kinds, required.
-RULES = [
-    ("user", "message", ("OBJECT",), True), ("user", "message.content", ("STRING", "ARRAY"), True),
-    ("assistant", "message", ("OBJECT",), True), ("assistant", "message.content", ("ARRAY",), True), ("assistant", "message.usage", ("OBJECT", "VOID"), False),
-    ("user", "uuid", ("STRING", "VOID"), False), ("assistant", "uuid", ("STRING", "VOID"), False), ("user", "timestamp", ("STRING", "VOID"), False), ("assistant", "timestamp", ("STRING", "VOID"), False),
-]
+#: What fields may hold other than text or null. ``!`` stands behind what may not be null, ``!!`` behind what may not be missing either.
+KINDS = {
+    "": {"isSidechain": "bool", "isMeta": "bool"},
+    "user": {
+        "message": "dict!!", "origin": "any", "toolUseResult": "any", "userFeedback": "any", "compactMetadata": "any", "toolEndsTurn": "bool",
+        "interruptedByShutdown": "bool", "isVisibleInTranscriptOnly": "bool", "isCompactSummary": "bool",
+    },
+    "assistant": {
+        "message": "dict!!", "isApiErrorMessage": "bool", "isAbortedMidStream": "bool", "apiErrorStatus": "int", "pendingWorkflowCount": "int",
+        "supersedesUuids": "any",
+    },
+    "system": {
+        "durationMs": "int", "messageCount": "int", "pendingBackgroundAgentCount": "int", "pendingWorkflowCount": "int", "hookCount": "int",
+        "retryAttempt": "int", "maxRetries": "int", "retryInMs": "float", "preventedContinuation": "bool", "hasOutput": "bool", "hookInfos": "any",
+        "hookErrors": "any", "hookAdditionalContext": "any", "error": "any", "cause": "any", "retractedMessageUuids": "any", "compactMetadata": "any",
+    },
+    "attachment": {"attachment": "any"},
+    "file-history-snapshot": {"snapshot": "any", "isSnapshotUpdate": "bool"},
+    "file-history-delta": {"backup": "any"},
+    "user.message": {"content": "text or list!!"},
+    "assistant.message": {
+        "content": "list!!", "usage": "dict", "stop_details": "any", "diagnostics": "any", "container": "any", "context_management": "any",
+    },
+    "usage": {
+        "input_tokens": "int", "output_tokens": "int", "cache_creation_input_tokens": "int", "cache_read_input_tokens": "int", "cache_creation": "any",
+        "server_tool_use": "any", "iterations": "any",
+    },
+    "block.text": {"text": "text!!"},
+    "block.thinking": {"thinking": "text!"},
+    "block.tool_use": {"id": "text!!", "name": "text!!", "input": "dict!", "caller": "any"},
+    "block.tool_result": {"content": "text or list", "is_error": "bool"},
+    "block.fallback": {"from": "any", "to": "any"},
+    "block.document": {"source": "any"},
+    "block": {"type": "text!!"},
+}
+#: Texts that count as a truth value, letter case aside.
+TRUTHS = ("0", "1", "true", "false", "t", "f", "yes", "no", "y", "n", "on", "off")
+
+
+def schema() -> dict[str, dict[str, str]]:
+    """Every declared field's kind, by the place that declares it: a record type, a message, ``usage``, a kind of block."""
+    places = {k: DECLARED[k] for k in DECLARED} | {f"{k}.message": v for k, v in MESSAGE.items()} | {"usage": USAGE} | {f"block.{k}": v for k, v in BLOCKS.items()} | {"block": ("type",)}
+    common = {k: KINDS[""] for k in OWN}
+    return {place: {f: {**common.get(place, {}), **KINDS.get(place, {})}.get(f, "text") for f in fields} for place, fields in places.items()}
+
+
+def _right(kind: Column, found: Column, value: Column) -> Column:
+    """Whether a value of the variant kind ``found`` is one that a field of ``kind`` may hold; texts and numbers that stand for others count as these."""
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    is_text, is_number, is_bool = found == "STRING", found.rlike("^(BIGINT|DECIMAL|DOUBLE)"), found == "BOOLEAN"
+    right = (
+        F.when(kind == "text", is_text)
+        .when(kind == "bool", is_bool | (is_number & number.isin(0.0, 1.0)) | (is_text & F.lower(text).isin(*TRUTHS)))
+        .when(kind == "int", is_bool | (is_number & (number == F.floor(number))) | (is_text & text.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$")))
+        .when(kind == "float", is_bool | is_number | (is_text & F.btrim(text).try_cast("double").isNotNull()))
+        .when(kind == "dict", found.startswith("OBJECT"))
+        .when(kind == "list", found.startswith("ARRAY"))
+        .when(kind == "text or list", is_text | found.startswith("ARRAY"))
+        .otherwise(F.lit(True))
+    )
+    return F.coalesce(right, F.lit(False))
+
+
+def _broken(place: Column, value: Column, prefix: str) -> Column:
+    """Paths of an object's fields that break the rules of its place; null if there is no object."""
+    table = schema()
+    rules = {(p, f): k for p, fields in table.items() for f, k in fields.items() if not k.startswith("any")}
+    kinds = F.create_map(*[x for (p, f), k in rules.items() for x in (F.lit(f"{p}/{f}"), F.lit(k))])
+    needed = F.create_map(*[x for p, fields in table.items() if any(k.endswith("!!") for k in fields.values()) for x in (F.lit(p), F.array(*[F.lit(f) for f, k in fields.items() if k.endswith("!!")]))])
+    held = F.try_variant_get(value, "$", "map<string,variant>")
+
+    def breaks(e: Column) -> Column:
+        kind, found = F.try_element_at(kinds, F.concat(place, F.lit("/"), e["key"])), F.schema_of_variant(e["value"])
+        bare = F.rtrim(kind, F.lit("!"))
+        return F.when(kind.isNull(), F.lit(False)).when(found == "VOID", kind.endswith("!")).otherwise(~_right(bare, found, e["value"]))
+
+    wrong = F.transform(F.filter(F.map_entries(held), breaks), lambda e: e["key"])
+    missing = F.array_except(F.coalesce(F.try_element_at(needed, place), F.array().cast("array<string>")), F.map_keys(held))
+    return F.transform(F.concat(wrong, missing), lambda f: F.concat(F.lit(prefix), f))
 
 
 def bad_paths() -> Column:
-    """Paths of the structural rules that the record breaks."""
-    out = []
-    for kind, path, allowed, required in RULES:
-        found = kind_of(path)
-        right = F.coalesce(F.greatest(*[found.startswith(a) for a in allowed]) if len(allowed) > 1 else found.startswith(allowed[0]), F.lit(not required))
-        out.append(F.when((F.col("rtype") == kind) & ~right, F.lit(path)))
-    # Blocks need a type; a tool use needs an id and a name.
-    blocks = F.try_variant_get("v", "$.message.content", "array<variant>")
-    missing = F.exists(blocks, lambda b: F.try_variant_get(b, "$.type", "string").isNull() | ((F.try_variant_get(b, "$.type", "string") == "tool_use") & (F.try_variant_get(b, "$.id", "string").isNull() | F.try_variant_get(b, "$.name", "string").isNull())))
-    out.append(F.when(F.col("rtype").isin("user", "assistant") & F.coalesce(missing, F.lit(False)), F.lit("message.content[]")))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    """Paths that break the declared schema, in the record, its message, usage and blocks. A place that is no object has no rules of its own."""
+    v, rtype = F.col("v"), F.col("rtype")
+    talks = rtype.isin("user", "assistant")
+    message = F.when(talks, F.try_variant_get(v, "$.message", "variant"))
+    usage = F.when(rtype == "assistant", F.try_variant_get(v, "$.message.usage", "variant"))
+    kind = lambda b: F.try_variant_get(b, "$.type", "string")
+
+    def of_block(b: Column) -> Column:
+        name = F.when(F.schema_of_variant(F.try_variant_get(b, "$.type", "variant")) == "STRING", kind(b))
+        place = F.when(name.isin(*BLOCKS), F.concat(F.lit("block."), name)).otherwise("block")
+        return F.coalesce(_broken(place, b, "message.content[]."), F.array(F.lit("message.content[]")))
+
+    blocks = F.flatten(F.transform(F.when(talks, F.try_variant_get(v, "$.message.content", "array<variant>")), of_block))
+    levels = [_broken(rtype, v, ""), _broken(F.concat(rtype, F.lit(".message")), message, "message."), _broken(F.lit("usage"), usage, "message.usage."), blocks]
+    return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in levels]))
 
 
 def timestamp(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillhouse.operators.authorship import CHAT_KINDS
 
 PAGE, MOST = 50, 200
+#: Line numbers whose records are numbered in one window.
+RUN_LINES = 4096
 LEGACY_TYPES = ("user", "assistant", "attachment")
 
 
@@ -100,14 +102,31 @@ def unified_match(sessions: DataFrame, query: str, content: DataFrame) -> DataFr
     return found.where("by_name or by_content")
 
 
+def in_places(view: DataFrame, place: str) -> DataFrame:
+    """``view`` with ``place``, each record's number from 0 in its transcript, and the lines before and after it there.
+
+    Records are numbered inside runs of ``RUN_LINES`` line numbers; what the runs before hold is added up by run. So a
+    transcript, however many records it has, is numbered by many tasks, and only its runs meet in one.
+    """
+    rows = view.withColumn("_run", F.floor(F.col("line_number") / RUN_LINES))
+    runs = rows.groupBy("transcript", "_run").agg(F.count("*").alias("_n"), F.min("line_number").alias("_low"), F.max("line_number").alias("_high"))
+    by_run = Window.partitionBy("transcript").orderBy("_run")
+    base = F.coalesce(F.sum("_n").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("transcript", "_run", base.alias("_base"), F.lag("_high").over(by_run).alias("_before"), F.lead("_low").over(by_run).alias("_after"))
+    w = Window.partitionBy("transcript", "_run").orderBy("line_number")
+    inside = rows.withColumns({"_at": F.row_number().over(w) - 1, "_last": F.lag("line_number").over(w), "_next": F.lead("line_number").over(w)})
+    both = inside.join(runs, ["transcript", "_run"])
+    both = both.withColumns({place: F.col("_base") + F.col("_at"), "previous_line": F.coalesce("_last", "_before"), "next_line": F.coalesce("_next", "_after")})
+    return both.select(*view.columns, place, "previous_line", "next_line")
+
+
 def around(view: DataFrame, targets: DataFrame, limit: int = PAGE) -> DataFrame:
     """For each target message the page of the view that centres it; targets that the view filters out have none.
 
     ``targets`` has ``transcript, target``; the page starts ``limit // 2`` before the target's ordinal, at 0 at least.
     Every place of a page is a key of its own, so a target meets ``limit`` messages and not the whole transcript.
     """
-    place = F.row_number().over(Window.partitionBy("transcript").orderBy("line_number")) - 1
-    numbered = view.withColumn("ordinal", place)
+    numbered = in_places(view, "ordinal").drop("previous_line", "next_line")
     at = numbered.select("transcript", F.col("line_number").alias("target"), F.col("ordinal").alias("at")).join(targets, ["transcript", "target"])
     first = F.greatest(F.lit(0), F.col("at") - limit // 2)
     pages = at.withColumn("first_ordinal", first).withColumn("ordinal", F.explode(F.sequence(first, first + limit - 1))).drop("at")
@@ -116,8 +135,8 @@ def around(view: DataFrame, targets: DataFrame, limit: int = PAGE) -> DataFrame:
 
 def message_page(messages: DataFrame, limit: int = PAGE, offset: int = 0) -> DataFrame:
     """A page of each transcript's messages in their order."""
-    place = F.row_number().over(Window.partitionBy("transcript").orderBy("line_number"))
-    return messages.withColumn("_place", place).where((F.col("_place") > max(0, offset)) & (F.col("_place") <= max(0, offset) + min(MOST, max(1, limit)))).drop("_place")
+    first = max(0, offset)
+    return in_places(messages, "_place").where((F.col("_place") >= first) & (F.col("_place") < first + min(MOST, max(1, limit)))).drop("_place", "previous_line", "next_line")
 
 
 def transcript_list(transcripts: DataFrame) -> DataFrame:
@@ -139,8 +158,7 @@ def run_list(runs: DataFrame, limit: int | None = None, offset: int = 0) -> Data
 
 def neighbours(view: DataFrame) -> DataFrame:
     """The record before and after each one in the filtered view."""
-    w = Window.partitionBy("transcript").orderBy("line_number")
-    return view.withColumns({"previous_line": F.lag("line_number").over(w), "next_line": F.lead("line_number").over(w)})
+    return in_places(view, "_place").drop("_place")
 
 
 def nested_messages(records: DataFrame, block_rows: DataFrame) -> DataFrame:

@@ -78,6 +78,75 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).where("kind = 'validation_error'")
 
 
+#: Values that a field may be given, and which kinds they are right for: null, texts, truth values, numbers, lists and objects.
+VALUES = {
+    "null": "text bool int float dict list", '"x"': "text", '"12"': "text int float", '" 1 "': "text int float", '"2.50"': "text float", '"Yes"': "text bool", "true": "bool int float", "0": "bool int float",
+    "7": "int float", "2.5": "float", "1.0": "bool int float", '{"a":1}': "dict", "{}": "dict", "[]": "list", "[1]": "list",
+}
+
+
+def _around(place: str, field: str) -> tuple[str, str, str, str]:
+    """The path of a field, the text before and after its value, and a record without it."""
+    def rest(others: dict[str, str]) -> str:
+        return "".join(f',"{k}":{v}' for k, v in others.items() if k != field)
+
+    if place == "usage":
+        head, tail, path = '{"type":"assistant","message":{"content":[],"usage":{"zz":1', "}}}", "message.usage."
+    elif place.endswith(".message"):
+        head, tail, path = '{"type":"' + place.removesuffix(".message") + '","message":{"zz":1' + rest({"content": "[]"}), "}}", "message."
+    elif place.startswith("block"):
+        kind = {"block": ""}.get(place, '"type":"' + place.removeprefix("block.") + '",')
+        needed = {"block.text": {"text": '"x"'}, "block.tool_use": {"id": '"x"', "name": '"x"'}}.get(place, {})
+        head, tail, path = '{"type":"user","message":{"content":[{' + kind + '"zz":1' + rest(needed), "}]}}", "message.content[]."
+    else:
+        needed = {"user": {"message": '{"content":""}'}, "assistant": {"message": '{"content":[]}'}}.get(place, {})
+        head, tail, path = '{"type":"' + place + '"' + rest(needed), "}", ""
+    return path + field, f'{head},"{field}":', tail, head + tail
+
+
+def _cases() -> list[tuple]:
+    """``(path, before, after, without, value, is_right)`` of every declared field with every value, and without the field."""
+    out = []
+    for place, fields in records.schema().items():
+        for name, kind in fields.items():
+            if name == "type" and place != "block":
+                continue
+            path, before, after, without = _around(place, name)
+            bare = kind.rstrip("!")
+            for value, right in VALUES.items():
+                if value == "null":
+                    fine = bare == "any" or not kind.endswith("!")
+                else:
+                    fine = bare == "any" or any(k in right.split() for k in ("text", "list")) if bare == "text or list" else bare == "any" or bare in right.split()
+                # A block of a known kind has rules of its own, and a list may hold what is no block.
+                if (place, name, value) == ("block", "type", '"x"') or (name == "content" and place.endswith(".message") and value == "[1]"):
+                    out.append((path + ("[]" if value == "[1]" else ""), before, after, without, value, value != "[1]"))
+                elif name == "message" and value in ("{}", '{"a":1}'):
+                    out.append(("message.content", before, after, without, value, False))
+                else:
+                    out.append((path, before, after, without, value, fine))
+            out.append((path, before, after, without, None, not kind.endswith("!!")))
+    return out
+
+
+CASES = _cases()
+
+
+def _quoted(x: object) -> str:
+    return "null" if x is None else str(x).lower() if isinstance(x, bool) else "'" + str(x) + "'"
+
+
+CASE_SQL = "cases(k, path, is_right) as (values " + ", ".join(f"({i}, {_quoted(c[0])}, {_quoted(c[5])})" for i, c in enumerate(CASES)) + ")"
+
+
+@query("prj3_all_types", f"with {CASE_SQL} select event_id, case when is_right then '' else path end as detail from events join cases on k = event_id % {len(CASES)}")
+def all_types(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a record with one declared field that holds one of many values, or lacks it: the paths that break the schema."""
+    cases = spark.createDataFrame([(i, (c[1] + c[4] + c[2]) if c[4] is not None else c[3]) for i, c in enumerate(CASES)], "k int, raw string")
+    lines = feed.read(spark, d, "events").select("event_id", (F.col("event_id") % len(CASES)).cast("int").alias("k")).join(F.broadcast(cases), "k").select("event_id", F.col("raw").cast("binary").alias("raw"))
+    return records.parse(lines).select("event_id", F.array_join("bad_paths", ",").alias("detail"))
+
+
 @query("prj4_field_drift", oracle(GOOD, "select transcript, turn as line_number, case when is_drifted and is_deep then 'odd_usage,zzz' when is_deep then 'odd_usage' else 'zzz' end as detail from g where (is_drifted or is_deep) and rtype <> 'mystery'"))
 def drift(spark: SparkSession, d: str) -> DataFrame:
     return records.anomaly_rows(parsed(spark, d)).where("kind = 'unknown_field'").select("transcript", "line_number", "detail")
