@@ -13,7 +13,7 @@ from quillhouse.operators.sessions import run_list
 from quillhouse.plans import feed, lake
 from quillhouse.plans.record_queries import oracle, parsed
 from quillhouse.plans.registry import query
-from quillhouse.sources import export, ranges, transcripts
+from quillhouse.sources import export, ranges, staging, transcripts
 
 #: Numbers of events or orders that one made-up file spans.
 FILE_ROWS = 1 << 16
@@ -316,6 +316,16 @@ def written(spark: SparkSession, d: str) -> DataFrame:
     return export.write_files(rows, folder).select("transcript", "n_bytes")
 
 
+@query("snk2_written_parts", "select source as transcript, sum(strlen(coalesce(text, '')) + 1)::bigint as n_bytes, sum(strlen(coalesce(text, '')) + 1)::bigint as bytes_there from documents where source is not null group by 1")
+def written_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Every source's documents written as a folder of parts, and what a listing finds there."""
+    rows = feed.read(spark, d, "documents").select(F.col("source").alias("transcript"), F.col("doc_id").alias("line_number"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("raw"))
+    folder = f"{lake.shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    out = export.write_parts(rows, folder, staging.table)
+    there = transcripts.listing(spark, folder).groupBy(F.regexp_extract("path", "/([^/]+)[.]jsonl/[0-9]+$", 1).alias("transcript")).agg(F.sum("length").alias("bytes_there"))
+    return out.join(there, "transcript").select("transcript", "n_bytes", "bytes_there")
+
+
 @query("rbd1_rebuilt_anomalies", oracle("", """
 select kind, count(*) as n from (select 'source_diverged' as kind from turns where turn = 0
   union all select case when is_blank then 'whitespace_line' when is_torn then 'invalid_json' when rtype = 'mystery' then 'unknown_record_type' when is_misshapen and rtype in ('user', 'assistant') then 'validation_error' when is_drifted or is_deep then 'unknown_field' end from turns) a

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillhouse.sources import ranges
+
 #: Bytes of a chunk, and line numbers whose lines are summed in one window.
 CHUNK_BYTES, RUN_LINES = 4 << 20, 4096
 
@@ -130,6 +132,63 @@ def write_files(lines: DataFrame, folder: str, key: str = "transcript") -> DataF
     return ordered.mapInArrow(run, f"{key} string, path string, n_bytes long")
 
 
+def write_parts(lines: DataFrame, folder: str, keep: Callable[[DataFrame, str], DataFrame], key: str = "transcript", limit: int = CHUNK_BYTES) -> DataFrame:
+    """Writes each transcript as a folder ``<transcript>.jsonl`` of parts below ``folder``, a path or URI; returns ``(key, path, n_parts, n_bytes)``.
+
+    Parts are named by the offset of their first byte, so that, read in the order of their names, they are the
+    transcript's bytes. They are written by ranges of offsets, a long transcript by many tasks, into a folder of this run;
+    a transcript's folder is moved to its place when all its parts are there. What a lost task left goes with the run's
+    folder. A transcript that is there already stays as it is. ``keep`` writes a table and reads it. Null transcripts are
+    left out; a transcript without bytes has no folder.
+    """
+    import uuid
+
+    run = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = ranges.file_system(run)
+        for batch in batches:
+            sizes = []
+            for name, start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                place = f"{base}/{_file_name(name)}"
+                where.create_dir(place, recursive=True)
+                temp = f"{base}/part-{uuid.uuid4().hex}"
+                with where.open_output_stream(temp) as out:
+                    out.write(content.as_buffer())
+                where.move(temp, f"{place}/{start:020d}")
+                sizes.append(len(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], [key, "start", "n_bytes"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        (where, base), (_, to) = ranges.file_system(run), ranges.file_system(folder.rstrip("/"))
+        for batch in batches:
+            paths = []
+            for name in batch.column(0).to_pylist():
+                old, new = f"{base}/{_file_name(name)}", f"{to}/{_file_name(name)}"
+                # Run again after a loss, it finds the folder moved.
+                if where.get_file_info(new).type == fs.FileType.NotFound:
+                    where.move(old, new)
+                paths.append(f"{folder.rstrip('/')}/{_file_name(name)}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths), batch.column(1), batch.column(2)], [key, "path", "n_parts", "n_bytes"])
+
+    chunks = as_chunks(lines.where(F.col(key).isNotNull()), key, limit).where("n_bytes > 0").select(F.col(key).cast("string").alias(key), "start", "content")
+    parts = keep(chunks.mapInArrow(write, f"{key} string, start long, n_bytes long"), "parts")
+    each = parts.groupBy(key).agg(F.count("*").alias("n_parts"), F.sum("n_bytes").alias("n_bytes"))
+    out = keep(each.mapInArrow(move, f"{key} string, path string, n_parts long, n_bytes long"), "moved")
+    from pyarrow import fs
+
+    where, base = ranges.file_system(run)
+    if where.get_file_info(base).type == fs.FileType.Directory:
+        where.delete_dir(base)
+    return out
+
+
+def _file_name(transcript: str) -> str:
+    return transcript.replace("/", "_") + ".jsonl"
+
+
 def missing(transcripts: DataFrame, listed: DataFrame, key: str = "transcript") -> DataFrame:
     """Transcripts without a live file: what a restore has to write."""
     return transcripts.join(listed.select(key).distinct(), key, "left_anti")

@@ -33,15 +33,18 @@ _DDL = {
 }
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file to read from any place, in the local file system or in one that a URI names."""
+def file_system(path: str) -> tuple[object, str]:
+    """The file system of a path or URI, and the path in it: the local one, or that which a URI names."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
-    if path.startswith("/"):
-        return fs.LocalFileSystem().open_input_file(path)
-    where, name = fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file to read from any place."""
+    where, name = file_system(path)
     return where.open_input_file(name)
 
 
@@ -130,12 +133,8 @@ class LineRangesReader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         import pyarrow.parquet as pq
 
-        from pyarrow import fs
-
-        path = self.manifest
-        if path.startswith("file:"):
-            path = "/" + path.removeprefix("file:").lstrip("/")
-        got = pq.read_table(path, filesystem=fs.LocalFileSystem()) if path.startswith("/") else pq.read_table(path)
+        where, path = file_system(self.manifest)
+        got = pq.read_table(path, filesystem=where)
         files = list(zip(*(got.column(c).to_pylist() for c in ("path", "start", "length")), strict=True))
         return dealt(files, self.range_bytes, self.chunk if self.mode == "chunks" else 1)
 

@@ -89,3 +89,21 @@ def test_small_files_share_a_task():
     got = ranges.dealt([(f"f{i:02}", 0, 10) for i in range(20)] + [("z", 5, 1000)], 100)
     assert len(got) == 12 and sum(s - a for r in got for _, a, s, *_ in r.parts) == 1195
     assert all(a % 64 == 0 for r in ranges.dealt([("z", 0, 1000), ("a", 0, 30)], 100, 64) for _, a, *_ in r.parts)
+
+
+def test_parts(spark, tmp_path):
+    from quillhouse.sources import export, staging
+
+    rows = [("hot/x", i, f"line {i} ".encode() * (i % 5) + b"\xff\n") for i in range(300)] + [("one", 0, b"a"), ("none", 0, b""), (None, 1, b"x")]
+    lines = spark.createDataFrame(rows, "transcript string, line_number long, raw bytes".replace("bytes", "binary")).repartition(4)
+    folder = f"file://{tmp_path}/out"
+    got = {r.transcript: r for r in export.write_parts(lines, folder, staging.table, limit=500).collect()}
+    assert set(got) == {"hot/x", "one"} and got["hot/x"].n_parts > 5
+    whole = b"".join(x for _, _, x in rows[:300])
+    there = tmp_path / "out" / "hot_x.jsonl"
+    assert b"".join(p.read_bytes() for p in sorted(there.iterdir()) if not p.name.endswith(".crc")) == whole and got["hot/x"].n_bytes == len(whole)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["hot_x.jsonl", "one.jsonl"]
+    # What is there stays.
+    (tmp_path / "out" / "one.jsonl" / f"{0:020d}").write_bytes(b"kept")
+    export.write_parts(lines, folder, staging.table, limit=500)
+    assert (tmp_path / "out" / "one.jsonl" / f"{0:020d}").read_bytes() == b"kept" and len(list((tmp_path / "out").iterdir())) == 2
