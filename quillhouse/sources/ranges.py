@@ -22,12 +22,12 @@ from quillhouse.sources.staging import table
 #: Bytes of a range; of a piece of which a digest is kept; read at a time; and of lines that are handed on together.
 RANGE_BYTES, CHUNK_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 8 << 20, 4 << 20, 8 << 20
 _SCHEMAS = {
-    "lines": pa.schema([("path", pa.string()), ("range_start", pa.int64()), ("place", pa.int64()), ("start_offset", pa.int64()), ("end_offset", pa.int64()), ("raw", pa.binary())]),
+    "lines": pa.schema([("path", pa.string()), ("range_start", pa.int64()), ("line_number", pa.int64()), ("start_offset", pa.int64()), ("end_offset", pa.int64()), ("raw", pa.binary())]),
     "counts": pa.schema([("path", pa.string()), ("range_start", pa.int64()), ("n_lines", pa.int64())]),
     "chunks": pa.schema([("path", pa.string()), ("chunk", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("line_ends", pa.int64())]),
 }
 _DDL = {
-    "lines": "path string, range_start long, place long, start_offset long, end_offset long, raw binary",
+    "lines": "path string, range_start long, line_number long, start_offset long, end_offset long, raw binary",
     "counts": "path string, range_start long, n_lines long",
     "chunks": "path string, chunk long, start long, size long, sha string, line_ends long",
 }
@@ -50,9 +50,13 @@ def open_file(path: str) -> pa.NativeFile:
 
 @dataclass
 class Ranges(InputPartition):
-    """What one task reads: ``(path, start, stop, first, length)``, bytes ``start`` to ``stop`` of a file read from ``first`` to ``length``."""
+    """What one task reads: ``(path, start, stop, first, length)``, bytes ``start`` to ``stop`` of a file read from ``first`` to ``length``.
+
+    ``numbers`` holds the number of each part's first line.
+    """
 
     parts: list[tuple[str, int, int, int, int]] = field(default_factory=list)
+    numbers: list[int] = field(default_factory=list)
 
 
 def dealt(files: list[tuple[str, int, int]], range_bytes: int, align: int = 1) -> list[Ranges]:
@@ -125,26 +129,38 @@ class _Lines:
             self.at += len(whole)
 
 
+def _columns(folder: str, *names: str) -> list[tuple]:
+    """The rows of a table that Spark wrote."""
+    import pyarrow.parquet as pq
+
+    where, path = file_system(folder)
+    got = pq.read_table(path, filesystem=where, columns=list(names))
+    return list(zip(*(got.column(c).to_pylist() for c in names), strict=True))
+
+
 class LineRangesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.manifest, self.mode = options["manifest"], options.get("mode", "lines")
+        self.numbers = options.get("numbers")
         self.range_bytes, self.chunk = int(options.get("rangebytes", RANGE_BYTES)), int(options.get("chunkbytes", CHUNK_BYTES))
 
     def partitions(self) -> list[Ranges]:
-        import pyarrow.parquet as pq
-
-        where, path = file_system(self.manifest)
-        got = pq.read_table(path, filesystem=where)
-        files = list(zip(*(got.column(c).to_pylist() for c in ("path", "start", "length")), strict=True))
-        return dealt(files, self.range_bytes, self.chunk if self.mode == "chunks" else 1)
+        out = dealt(_columns(self.manifest, "path", "start", "length"), self.range_bytes, self.chunk if self.mode == "chunks" else 1)
+        if self.numbers:
+            first = {(path, start): n for path, start, n in _columns(self.numbers, "path", "range_start", "before")}
+            for r in out:
+                r.numbers = [first[p[0], p[1]] for p in r.parts]
+        return out
 
     def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts if partition else []:  # without any range Spark asks once for nothing
+        if partition is None:  # without any range Spark asks once for nothing
+            return
+        for part, number in zip(partition.parts, partition.numbers or [0] * len(partition.parts), strict=True):
             if self.mode == "counts" and not self._opens(part[0]):
                 yield pa.RecordBatch.from_arrays([pa.array([part[0]]), pa.array([part[1]], pa.int64()), pa.nulls(1, pa.int64())], schema=_SCHEMAS["counts"])
                 continue
             with open_file(part[0]) as f:
-                yield from getattr(self, f"_{self.mode}")(f, *part)
+                yield from self._lines(f, *part, number) if self.mode == "lines" else getattr(self, f"_{self.mode}")(f, *part)
 
     @staticmethod
     def _opens(path: str) -> bool:
@@ -155,8 +171,7 @@ class LineRangesReader(DataSourceReader):
             return False
         return True
 
-    def _lines(self, f: pa.NativeFile, path: str, start: int, stop: int, first: int, length: int) -> Iterator[pa.RecordBatch]:
-        place = 0
+    def _lines(self, f: pa.NativeFile, path: str, start: int, stop: int, first: int, length: int, number: int = 0) -> Iterator[pa.RecordBatch]:
         for at, lines in _Lines(f, start, stop, first, length):
             lo = 0
             while lo < len(lines):
@@ -167,8 +182,8 @@ class LineRangesReader(DataSourceReader):
                 ends = [at := at + len(x) for x in lines[lo:hi]]
                 begins = [e - len(x) for e, x in zip(ends, lines[lo:hi], strict=True)]
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([start] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(lines[lo:hi], pa.binary())], schema=_SCHEMAS["lines"])
-                place += n
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([start] * n, pa.int64()), pa.array(range(number, number + n), pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(lines[lo:hi], pa.binary())], schema=_SCHEMAS["lines"])
+                number += n
                 lo = hi
 
     def _counts(self, f: pa.NativeFile, path: str, start: int, stop: int, first: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -196,15 +211,20 @@ class LineRanges(DataSource):
         return LineRangesReader({k.lower(): v for k, v in self.options.items()})
 
 
-def _read(spark: SparkSession, manifest: str, mode: str, range_bytes: int, chunk_bytes: int) -> DataFrame:
+def _read(spark: SparkSession, manifest: str, mode: str, range_bytes: int, chunk_bytes: int, **options: str) -> DataFrame:
     spark.dataSource.register(LineRanges)
-    return spark.read.format("line_ranges").option("manifest", manifest).option("mode", mode).option("rangeBytes", str(range_bytes)).option("chunkBytes", str(chunk_bytes)).load()
+    return spark.read.format("line_ranges").options(**options).option("manifest", manifest).option("mode", mode).option("rangeBytes", str(range_bytes)).option("chunkBytes", str(chunk_bytes)).load()
 
 
 def _manifest(files: DataFrame, stop: str) -> str:
     """The folder of a table of ``(path, start, length)`` for the files that have something to read."""
     wanted = files.select("path", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col(stop).cast("long").alias("length")).where("start < length")
-    return table(wanted.coalesce(1), "manifest").inputFiles()[0].rsplit("/", 1)[0]
+    return _folder(wanted, "manifest")
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    """The folder that a table of few columns was written to; the driver reads it where it plans a scan."""
+    return table(df.coalesce(1), name).inputFiles()[0].rsplit("/", 1)[0]
 
 
 def line_counts(files: DataFrame, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -226,9 +246,9 @@ def range_lines(files: DataFrame, counts: DataFrame | None = None, *, range_byte
     else:
         files = files.join(counts.where("n_lines is null").select("path").distinct(), "path", "left_anti")
     before = F.coalesce(F.sum("n_lines").over(Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = counts.select("path", "range_start", before.alias("before"))
-    lines = _read(files.sparkSession, _manifest(files, "length"), "lines", range_bytes, CHUNK_BYTES)
-    return lines.join(firsts, ["path", "range_start"]).select("path", (F.col("before") + F.col("place")).alias("line_number"), "start_offset", "end_offset", "raw")
+    firsts = _folder(counts.where("n_lines is not null").select("path", "range_start", before.alias("before")), "numbers")
+    lines = _read(files.sparkSession, _manifest(files, "length"), "lines", range_bytes, CHUNK_BYTES, numbers=firsts)
+    return lines.select("path", "line_number", "start_offset", "end_offset", "raw")
 
 
 def chunk_digests(files: DataFrame, stop: str = "length", *, range_bytes: int = RANGE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

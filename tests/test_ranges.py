@@ -41,7 +41,7 @@ def test_every_way_to_cut(files, range_bytes, read_bytes, monkeypatch):
             with ranges.open_file(path) as f:
                 for p in parts:
                     rows = [x for b in reader._lines(f, *p) for x in b.to_pylist()]
-                    assert [x["place"] for x in rows] == list(range(len(rows)))
+                    assert [x["line_number"] for x in rows] == list(range(len(rows)))
                     assert next(reader._counts(f, *p)).to_pylist()[0]["n_lines"] == len(rows)
                     got += [(x["start_offset"], x["end_offset"], x["raw"]) for x in rows]
             assert got == [x[1:] for x in lines_of(content, start)]
