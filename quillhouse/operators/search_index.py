@@ -69,8 +69,11 @@ def build(posts: DataFrame, blocks: DataFrame, words: DataFrame, keep: Keep, key
     counts = keep(posts.groupBy("term").agg(F.count("*").alias("df")), "term_counts", None, [])
     n_postings = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     stemmed = join_by(posts.select(F.col(key).alias("key"), "term", "pos"), words.select("term", "stem"), "term", key="key", counts=counts, total=n_postings).select("key", "stem", "pos")
-    lists = stemmed.groupBy("key", "stem").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = posts.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("length"))
+    # Dealt by block once, for the stem behind each and for both kinds of lists.
+    following = F.lead("stem").over(Window.partitionBy("key").orderBy("pos"))
+    token = keep(stemmed.withColumn("next_stem", following), "stem_tokens", None, [])
+    lists = token.groupBy("key", "stem").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    lengths = token.groupBy("key").agg(F.count("*").alias("length"))
     cell = F.pmod(F.xxhash64("key"), F.lit(CELLS)).cast("int")
     rows = lists.join(lengths, "key").select("stem", cell.alias("cell"), "key", "length", "positions", bucket_of(F.col("stem")).alias("bucket"))
     postings = keep(rows, "stem_postings", "bucket", ["stem", "cell"])
@@ -78,10 +81,7 @@ def build(posts: DataFrame, blocks: DataFrame, words: DataFrame, keep: Keep, key
     n = blocks.count()
     avg = n_postings / n if n else 0.0
     bounds = postings.join(terms.where(F.col("df") >= BOUNDED).select("stem"), "stem", "left_semi").groupBy("stem", "cell").agg(F.max(_part(F.size("positions"), F.col("length"), avg)).alias("bound"))
-    # A document's tokens in a row: each with the one behind it.
-    token = keep(stemmed, "stem_tokens", None, [])
-    following = token.select("key", (F.col("pos") - 1).alias("pos"), F.col("stem").alias("next_stem"))
-    both = token.join(following, ["key", "pos"]).groupBy("key", F.concat_ws(" ", "stem", "next_stem").alias("both")).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    both = token.where("next_stem is not null").groupBy("key", F.concat_ws(" ", "stem", "next_stem").alias("both")).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     pairs = keep(both.join(lengths, "key").select("both", cell.alias("cell"), "key", "length", "positions", bucket_of(F.col("both")).alias("bucket")), "stem_pairs", "bucket", ["both", "cell"])
     hot = pairs.groupBy("both").agg(F.count("*").alias("df")).where(F.col("df") > int(n_postings * FREQUENT))
     return Index(postings, pairs, keep(bounds, "stem_bounds", None, []), terms, keep(hot, "hot_pairs", None, []), n, float(avg), n_postings)
