@@ -10,6 +10,8 @@ from quillhouse.operators.authorship import DIALOGUE_KINDS
 
 #: Fixed values of the ranking function; the idf of a term in more than half of all blocks.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Rows of queries, or of their words, that are broadcast.
+MOST_BROADCAST = 100_000
 SNIPPET_TOKENS, GROUP_HITS = 12, 5
 SOURCES = ("chat", "agents", "system")
 _TOKEN = r"([\p{L}\p{N}]+)"
@@ -46,18 +48,24 @@ def vocabulary(posts: DataFrame) -> DataFrame:
     return posts.select("term").distinct().withColumn("stem", stem(F.col("term")))
 
 
+def sized(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``rows`` to be broadcast if there are at most ``most``, which is counted; else to be joined as they are."""
+    most = MOST_BROADCAST if most is None else most
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def phrase_hits(posts: DataFrame, queries: DataFrame, key: str = "block_key", words: DataFrame | None = None) -> DataFrame:
     """``(query_id, phrase, key, tf)``: how often each phrase of each query stands in a block, its tokens side by side.
 
-    ``queries`` has ``query_id`` and ``phrases``, an array of arrays of terms; it is small and bounded by the caller, so
-    postings are cut down to its terms before anything is shuffled. A phrase's tokens meet where position less place in
+    ``queries`` has ``query_id`` and ``phrases``, an array of arrays of terms; where its terms are few, which is counted,
+    postings are cut down to them before anything is shuffled. A phrase's tokens meet where position less place in
     the phrase agree. With ``words``, the index's ``vocabulary``, a term stands for all words of its stem: the query is
     widened to them, so postings stay as they are and none is joined with the vocabulary.
     """
     asked = queries.select("query_id", F.posexplode("phrases").alias("phrase", "terms")).select("query_id", "phrase", F.size("terms").alias("width"), F.posexplode("terms").alias("place", "term"))
     if words is not None:
-        asked = words.join(F.broadcast(asked.withColumn("stem", stem(F.col("term"))).drop("term")), "stem").drop("stem")
-    met = posts.join(F.broadcast(asked), "term").groupBy("query_id", "phrase", "width", key, (F.col("pos") - F.col("place")).alias("start")).agg(F.countDistinct("place").alias("got"))
+        asked = words.join(sized(asked.withColumn("stem", stem(F.col("term"))).drop("term")), "stem").drop("stem")
+    met = posts.join(sized(asked), "term").groupBy("query_id", "phrase", "width", key, (F.col("pos") - F.col("place")).alias("start")).agg(F.countDistinct("place").alias("got"))
     return met.where("got = width").groupBy("query_id", "phrase", key).agg(F.count("*").alias("tf"))
 
 
@@ -74,10 +82,11 @@ def search(queries: DataFrame, posts: DataFrame, blocks: DataFrame, stats: tuple
     idf = F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     weight = idf * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / avg))
-    scored = hits.join(F.broadcast(phrase_df), ["query_id", "phrase"]).join(lengths, key).crossJoin(F.broadcast(total)).withColumn("w", weight)
+    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    scored = hits.join(F.broadcast(phrase_df) if few else phrase_df, ["query_id", "phrase"]).join(lengths, key).crossJoin(F.broadcast(total)).withColumn("w", weight)
     summed = scored.groupBy("query_id", key).agg(F.round(-F.sum("w"), 4).alias("rank"), F.count("*").alias("got"))
     need = queries.select("query_id", F.size("phrases").alias("need"))
-    return summed.join(F.broadcast(need), "query_id").where("got = need and need > 0").select("query_id", key, "rank")
+    return summed.join(F.broadcast(need) if few else need, "query_id").where("got = need and need > 0").select("query_id", key, "rank")
 
 
 def top(hits: DataFrame, limit: int, offset: int = 0, key: str = "block_key") -> DataFrame:

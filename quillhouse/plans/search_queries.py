@@ -120,9 +120,26 @@ PHRASES = [(1, '"of the"', ("of", "the")), (2, '"worthless idiots"', ("worthless
 PLACES = ", ".join(f"({q}, {len(w)}, {i}, '{x}')" for q, _, w in PHRASES for i, x in enumerate(w))
 
 
-@query("fts5_phrases", f"with {STEMMED}, ask(query_id, width, place, stem) as (values {PLACES}), st as (select query_id, width, doc_id, pos - place as start from ts join ask using (stem) group by all having count(distinct place) = width) select query_id, doc_id, count(*) as tf from st group by 1, 2")
+PHRASE_SQL = f"with {STEMMED}, ask(query_id, width, place, stem) as (values {PLACES}), st as (select query_id, width, doc_id, pos - place as start from ts join ask using (stem) group by all having count(distinct place) = width) select query_id, doc_id, count(*) as tf from st group by 1, 2"
+
+
+def document_postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, their postings as they come from the texts, and the vocabulary with stems."""
+    docs = feed.read(spark, d, "documents").where("text <> ''")
+    posts = search.postings(docs, "doc_id")
+    return docs, posts, lake.table(spark, d, "documents", "documents_words", lambda: search.vocabulary(posts))
+
+
+@query("fts5_phrases", PHRASE_SQL)
 def phrases(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases of inflected words, by the pairs of their stems."""
+    """Phrases of inflected words in texts without an index: the query is widened to all words of its stems."""
+    _, posts, words = document_postings(spark, d)
+    return search.phrase_hits(posts, asked(spark, [(q, text) for q, text, _ in PHRASES]), "doc_id", words).groupBy("query_id", "doc_id").agg(F.sum("tf").alias("tf"))
+
+
+@query("fts5_pair_phrases", PHRASE_SQL)
+def pair_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the pairs of their stems, from the laid out index."""
     wanted = once(search_index.asked_stems(asked(spark, [(q, text) for q, text, _ in PHRASES])), "asked", None, [])
     return search_index.phrase_hits(document_index(spark, d), wanted).select("query_id", F.col("key").alias("doc_id"), "tf")
 
@@ -239,7 +256,15 @@ IN_DOCUMENTS = [(1, "licenses"), (2, "worthless"), (3, "idiots the"), (4, "the o
 
 @query("fts11_document_search", f"{DOCUMENT_HITS} select query_id, doc_id, rank from hits")
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """All hits of a few queries over the stemmed documents; a scan reads the buckets of their stems."""
+    """All hits of a few queries in texts without an index."""
+    docs, posts, words = document_postings(spark, d)
+    hits = search.search(asked(spark, IN_DOCUMENTS), posts, docs, search.statistics(posts, docs, "doc_id"), "doc_id", words)
+    return hits.select("query_id", "doc_id", (F.col("rank") + F.lit(0.0)).alias("rank"))
+
+
+@query("fts11_index_search", f"{DOCUMENT_HITS} select query_id, doc_id, rank from hits")
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the laid out index: a scan reads the buckets of their stems."""
     return search_index.search_all(document_index(spark, d), asked(spark, IN_DOCUMENTS), once).select("query_id", F.col("key").alias("doc_id"), "rank")
 
 
@@ -262,7 +287,7 @@ select query_id, hits, rank from need join sets using (words) join best using (s
 def query_batch(spark: SparkSession, d: str) -> DataFrame:
     """A query for each document, its two longest words: how many documents have both, and the best rank. Documents that ask for the same are answered once."""
     docs = feed.read(spark, d, "documents").where("text <> ''")
-    longest = F.expr("slice(array_sort(array_distinct(w), (a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end), 1, 2)")
+    longest = F.expr("transform(slice(array_sort(transform(array_distinct(w), x -> struct(-char_length(x) as n, x as x))), 1, 2), y -> y.x)")
     words = docs.select("doc_id", search.tokens(F.col("text")).alias("w")).select(F.col("doc_id").alias("asker"), F.array_sort(longest).alias("words")).where(F.size("words") > 0)
     asked_ = once(words, "askers", None, [])
     sets = asked_.groupBy("words").agg(F.min("asker").alias("query_id"))
