@@ -63,7 +63,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Shingle components and byte suffixes are not to be had in SQL; the tests hold the stages against a brute-force version.
+#: Shingle components and byte suffixes are not to be had in SQL; the tests plant cases for each stage in a small corpus.
 ORACLE_SQL = None
 
 
