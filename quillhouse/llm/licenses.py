@@ -184,7 +184,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
     that name the licence among them, align with the text, the best first: highest coverage, then longest template, then
     name. The words of a caller's own ``templates`` need no names. The other columns repeat the first and are null without one.
     Words are runs of letters and digits in lower case. Whole texts are scanned where they are read, nothing is
-    shuffled. A null or empty text has none; null ids and repeats are rows like others; other columns are dropped.
+    shuffled. A null or empty text has none; null ids and repeats are rows like others; other columns,
+    whatever their names, are dropped. A text of any length is scanned to its end; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = templates or TEMPLATES

@@ -84,7 +84,8 @@ def derive(source: DataFrame) -> DataFrame:
     block_digest, content_length, block``. ``refers_to`` is the response's record id; address, date and HTTP headers are
     the source's own (the headers and the source's digest stand in the metadata block); digests are SHA-256 of UTF-8
     bytes. Null bodies count as empty and give an empty conversion. Every row gives its two records, repeats included;
-    equal sources give equal ids. Other columns are dropped; nothing is shuffled.
+    equal sources give equal ids. A page of any length is read to its end; an empty table gives an empty one. Other
+    columns, whatever their names, are dropped; nothing is shuffled.
     """
     base = source.select(
         "source_id", F.col("record_id").alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit("1970-01-01T00:00:00Z")).alias("date"),
