@@ -8,7 +8,8 @@ place of two full lists; a page of best hits skips the cells of keys whose best
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,24 +23,39 @@ BUCKETS, CELLS, BOUNDED = 64, 256, 1000
 BROADCAST_BYTES, NAMED_STEMS = 16 << 20, 1000
 #: A stem with more than this share of all postings is dealt over so many tasks; there are fewer than ``1 / FREQUENT`` of them.
 FREQUENT, SALTS = 1e-4, 64
+#: A term with more than this share of all postings has its stem known to every task; there are fewer than ``1 / COMMON`` of them.
+COMMON = 1e-5
 
 #: Writes a table under a name, by the values of a column where one is given and sorted by others, and reads it.
 Keep = Callable[[DataFrame, str, str | None, list[str]], DataFrame]
 
 
-class Index(NamedTuple):
-    """``postings`` (``bucket, stem, cell, key, length, positions``), ``pairs`` (``bucket, both, cell, key, length, positions``,
-    ``both`` being two stems), ``bounds`` (``stem, cell, bound``), ``terms`` (``stem, df``), ``hot_pairs`` (``both, df``)
-    and the totals of all."""
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (``bucket, stem, cell, key, length, positions``), ``bounds`` (``stem, cell, bound``), ``terms`` (``stem, df``)
+    and the totals of all. Pairs of neighbours are laid out when phrases of several words are first asked for."""
 
     postings: DataFrame
-    pairs: DataFrame
     bounds: DataFrame
     terms: DataFrame
-    hot_pairs: DataFrame
     n: int
     avg_length: float
     n_postings: int
+    lay_pairs: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _laid(self) -> tuple[DataFrame, DataFrame]:
+        return self.lay_pairs()
+
+    @property
+    def pairs(self) -> DataFrame:
+        """``(bucket, both, cell, key, length, positions)``, ``both`` being two stems."""
+        return self._laid[0]
+
+    @property
+    def hot_pairs(self) -> DataFrame:
+        """``(both, df)`` of the frequent ones."""
+        return self._laid[1]
 
 
 def bucket_of(stem_: Column) -> Column:
@@ -68,23 +84,32 @@ def build(posts: DataFrame, blocks: DataFrame, words: DataFrame, keep: Keep, key
     """The index of postings ``(key, term, pos)`` of ``blocks``, with ``words`` their vocabulary ``(term, stem)``."""
     counts = keep(posts.groupBy("term").agg(F.count("*").alias("df")), "term_counts", None, [])
     n_postings = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    stemmed = join_by(posts.select(F.col(key).alias("key"), "term", "pos"), words.select("term", "stem"), "term", key="key", counts=counts, total=n_postings).select("key", "stem", "pos")
-    # Dealt by block once, for the stem behind each and for both kinds of lists.
-    following = F.lead("stem").over(Window.partitionBy("key").orderBy("pos"))
-    token = keep(stemmed.withColumn("next_stem", following), "stem_tokens", None, [])
-    lists = token.groupBy("key", "stem").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = token.groupBy("key").agg(F.count("*").alias("length"))
+    posts = posts.select(F.col(key).alias("key"), "term", "pos")
+    common = F.broadcast(words.select("term", "stem").join(counts.where(F.col("df") > int(n_postings * COMMON)).select("term"), "term", "left_semi"))
+    rare = posts.join(common.select("term"), "term", "left_anti").join(words.select("term", "stem").hint("shuffle_merge"), "term")
+    # Dealt by block once; everything of a block is then made where it is.
+    stemmed = posts.join(common, "term").unionByName(rare).select("key", "stem", "pos").repartition("key")
+    lengths = posts.groupBy("key").agg(F.count("*").alias("length"))
     cell = F.pmod(F.xxhash64("key"), F.lit(CELLS)).cast("int")
-    rows = lists.join(lengths, "key").select("stem", cell.alias("cell"), "key", "length", "positions", bucket_of(F.col("stem")).alias("bucket"))
-    postings = keep(rows, "stem_postings", "bucket", ["stem", "cell"])
+
+    def lists(tokens: DataFrame, value: str) -> DataFrame:
+        each = tokens.groupBy("key", value).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        return each.join(lengths, "key").select(value, cell.alias("cell"), "key", "length", "positions", bucket_of(F.col(value)).alias("bucket"))
+
+    postings = keep(lists(stemmed, "stem"), "stem_postings", "bucket", ["stem", "cell"])
     terms = keep(postings.groupBy("stem").agg(F.count("*").alias("df")), "stem_counts", None, [])
     n = blocks.count()
     avg = n_postings / n if n else 0.0
     bounds = postings.join(terms.where(F.col("df") >= BOUNDED).select("stem"), "stem", "left_semi").groupBy("stem", "cell").agg(F.max(_part(F.size("positions"), F.col("length"), avg)).alias("bound"))
-    both = token.where("next_stem is not null").groupBy("key", F.concat_ws(" ", "stem", "next_stem").alias("both")).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    pairs = keep(both.join(lengths, "key").select("both", cell.alias("cell"), "key", "length", "positions", bucket_of(F.col("both")).alias("bucket")), "stem_pairs", "bucket", ["both", "cell"])
-    hot = pairs.groupBy("both").agg(F.count("*").alias("df")).where(F.col("df") > int(n_postings * FREQUENT))
-    return Index(postings, pairs, keep(bounds, "stem_bounds", None, []), terms, keep(hot, "hot_pairs", None, []), n, float(avg), n_postings)
+
+    def lay_pairs() -> tuple[DataFrame, DataFrame]:
+        following = F.lead("stem").over(Window.partitionBy("key").orderBy("pos"))
+        both = stemmed.withColumn("next_stem", following).where("next_stem is not null").select("key", F.concat_ws(" ", "stem", "next_stem").alias("both"), "pos")
+        pairs = keep(lists(both, "both"), "stem_pairs", "bucket", ["both", "cell"])
+        hot = pairs.groupBy("both").agg(F.count("*").alias("df")).where(F.col("df") > int(n_postings * FREQUENT))
+        return pairs, keep(hot, "hot_pairs", None, [])
+
+    return Index(postings, keep(bounds, "stem_bounds", None, []), terms, n, float(avg), n_postings, lay_pairs)
 
 
 def _part(tf: Column, length: Column, avg: float) -> Column:
@@ -127,6 +152,8 @@ def phrase_hits(index: Index, asked: DataFrame, *, most_bytes: int | None = None
     if cells is not None:
         one = one.where("cell = _cell")
     one = one.select("query_id", "phrase", "key", "length", F.size("positions").cast("long").alias("tf"))
+    if asked.where("width > 1").isEmpty():
+        return one
     return one.unionByName(long_phrase_hits(index, asked, most_bytes=most_bytes))
 
 
@@ -169,16 +196,18 @@ def search_batch(index: Index, queries: DataFrame, keep: Keep, *, most_bytes: in
     asked = asked_stems(queries).withColumn("name", F.concat_ws(" ", "stems"))
     asked = keep(asked, "asked", None, [])
     long = asked.where("width > 1").select(F.col("name").alias("query_id"), F.lit(0).alias("phrase"), "width", "stems").dropDuplicates(["query_id"])
-    lists = keep(long_phrase_hits(index, long, most_bytes=most_bytes).select(F.col("query_id").alias("name"), "key", "length", "tf"), "phrase_lists", None, [])
-    counts = index.terms.select(F.col("stem").alias("name"), "df").unionByName(lists.groupBy("name").agg(F.count("*").alias("df")))
+    counts = index.terms.select(F.col("stem").alias("name"), "df")
+    everywhere = index.postings.select(F.col("stem").alias("name"), "key", "length", F.size("positions").cast("long").alias("tf"))
+    if not long.isEmpty():
+        lists = keep(long_phrase_hits(index, long, most_bytes=most_bytes).select(F.col("query_id").alias("name"), "key", "length", "tf"), "phrase_lists", None, [])
+        counts = counts.unionByName(lists.groupBy("name").agg(F.count("*").alias("df")))
+        everywhere = everywhere.unionByName(lists.select("name", "key", "length", "tf"))
     one = asked.select("query_id", "phrase", "name").join(counts, "name").withColumn("idf", _rarity(F.col("df"), index.n))
     need = queries.select("query_id", F.size("phrases").alias("need")).where("need > 0")
     # A phrase that stands nowhere leaves its query without hits.
     whole = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("df", "phrase")).alias("least")).join(need, "query_id").where("n = need")
     known = keep(one.join(whole.select("query_id", "need", F.col("least.phrase").alias("start")), "query_id"), "known", None, [])
     first = known.where("phrase = start").select("query_id", "name", "idf", "need")
-    of_words = index.postings.select(F.col("stem").alias("name"), "key", "length", F.size("positions").cast("long").alias("tf"))
-    everywhere = of_words.unionByName(lists.select("name", "key", "length", "tf"))
     begun = join_by(everywhere, first, "name", key="key", counts=counts, total=index.n_postings, most_bytes=most_bytes)
     w = F.col("idf") * _part(F.col("tf"), F.col("length"), index.avg_length)
     begun = keep(begun.select("query_id", "key", "need", w.alias("w")), "begun", None, [])
