@@ -1,10 +1,14 @@
-"""Porter's stemmer as rules on the end of a word, which become column expressions or, for oracles, SQL.
+"""Porter's stemmer as rules on the end of a word, which become column expressions, functions of words inside tasks or, for oracles, SQL.
 
 A rule holds for the part of the word before the ending. Conditions are patterns that both Java and RE2 read.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +112,50 @@ class _Sql:
         return f"list_transform([{value}], lambda {name}: {body(name)})[1]"
 
 
+class _Plain:
+    """Functions of a word; what a case does not need is not worked out."""
+
+    @staticmethod
+    def lit(x: str):
+        return lambda w: x
+
+    @staticmethod
+    def ends(e, end: str):
+        return lambda w: e(w).endswith(end)
+
+    @staticmethod
+    def cut(e, n: int):
+        return lambda w: e(w)[:-n]
+
+    @staticmethod
+    def has(e, pattern: str):
+        found = re.compile(pattern).search
+        return lambda w: found(e(w)) is not None
+
+    @staticmethod
+    def add(e, end: str):
+        return lambda w: e(w) + end
+
+    @staticmethod
+    def choose(cases: list[tuple[Callable, Callable]], other):
+        def chosen(w: str):
+            for condition, value in cases:
+                if condition(w):
+                    return value(w)
+            return other(w)
+
+        return chosen
+
+    @staticmethod
+    def both(a, b):
+        return lambda w: a(w) and b(w)
+
+    @staticmethod
+    def let(value, body):
+        inner = body(lambda w: w)
+        return lambda w: inner(value(w))
+
+
 def _steps(k) -> list:
     """The steps of the algorithm, each from word to word, in terms of ``k``'s operations."""
 
@@ -176,6 +224,18 @@ def stem(term: Column) -> Column:
     return _Spark.let(fold(term), of)
 
 
+_FOLD = str.maketrans(MARKED, PLAIN)
+_LATIN = re.compile("[a-z]{3,64}").fullmatch
+_of_word = _stemmed(_Plain, lambda w: w)
+
+
+@lru_cache(maxsize=1 << 17)
+def stem_of(term: str) -> str:
+    """The same of one term in lower case, as tokens of the index are."""
+    w = term.translate(_FOLD)
+    return _of_word("Y" + w[1:] if w[0] == "y" else w).lower() if _LATIN(w) else w
+
+
 def stem_sql(term: str) -> str:
     """The same in DuckDB SQL."""
     folded = f"translate(lower({term}), '{MARKED}', '{PLAIN}')"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillhouse.functions.stems import stem
+from quillhouse.operators import word_lists
 from quillhouse.operators.authorship import DIALOGUE_KINDS
 
 #: Fixed values of the ranking function; the idf of a term in more than half of all blocks.
@@ -31,6 +32,22 @@ def postings(blocks: DataFrame, key: str = "block_key") -> DataFrame:
     return blocks.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
 
 
+def repeated(blocks: DataFrame, key: str = "block_key") -> DataFrame:
+    """The keys of several rows; only keys are dealt out for it."""
+    return blocks.groupBy(key).count().where("count > 1").select(key)
+
+
+def term_counts(blocks: DataFrame, again: DataFrame, key: str = "block_key") -> DataFrame:
+    """``(key, term, tf, first_pos)``, counted where a text is read; only keys of several rows, ``again`` (``repeated``), are summed up after it."""
+    each = word_lists.lists(blocks.select(key, tokens(F.col("text")).alias("words")), "term")
+    if again.isEmpty():
+        return each
+    here = F.broadcast(again) if again.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else again
+    same = each[key].eqNullSafe(here[key])
+    summed = each.join(here, same, "left_semi").groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
+    return each.join(here, same, "left_anti").unionByName(summed)
+
+
 def statistics(posts: DataFrame, blocks: DataFrame, key: str = "block_key") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Document lengths, document frequencies and totals of the whole index, whatever is searched later."""
     lengths = posts.groupBy(key).agg(F.count("*").alias("length"))

@@ -105,9 +105,7 @@ def document_index(spark: SparkSession, d: str) -> search_index.Index:
     def keep(df: DataFrame, name: str, by: str | None, order: list[str]) -> DataFrame:
         return lake.table(spark, d, "documents", f"documents_{name}", lambda: df, by, order)
 
-    posts = search.postings(docs, "key")
-    words = keep(search.vocabulary(posts), "vocabulary", None, [])
-    return search_index.build(posts, docs, words, keep, "key")
+    return search_index.of_texts(docs, keep, "key")
 
 
 def once(df: DataFrame, name: str, by: str | None, order: list[str]) -> DataFrame:
