@@ -70,8 +70,8 @@ BLOCKS = f"""{CLASSIFIED}, bl as (select transcript || '#' || turn::varchar || '
 
 @query("fts1_postings", "select doc_id, term, count(*) as tf, min(pos)::bigint as first_pos from (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text <> '')) t group by 1, 2")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    docs = feed.read(spark, d, "documents").where("text <> ''")
-    return search.postings(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
+    docs = feed.read(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    return search.term_counts(docs, once(search.repeated(docs, "doc_id"), "repeated", None, []), "doc_id")
 
 
 @query("fts2_index_statistics", "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents where text <> '') select term, count(distinct doc_id) as df from t group by 1")
