@@ -52,3 +52,13 @@ def test_index_of_texts(spark):
     for of in ("stem", "both"):
         plan = search_index.of_texts(docs.where("key <> 3"), keep, "key")._lists(of)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_term_counts(spark):
+    """Counted where a text is read: only keys of several rows are dealt out."""
+    docs = staging.table(spark.createDataFrame([*TEXTS, (3, "runs the"), (None, "a"), (None, "a b")], "doc_id int, text string").where("text <> ''"), "docs")
+    again = staging.table(search.repeated(docs, "doc_id"), "again")
+    want = sorted(map(str, search.postings(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos")).collect()))
+    assert sorted(map(str, search.term_counts(docs, again, "doc_id").collect())) == want
+    plan = search.term_counts(docs, again.limit(0), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
