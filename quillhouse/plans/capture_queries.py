@@ -125,7 +125,8 @@ EVENT_SQL = f"ev as (select user_id as path, coalesce(props, '{{}}') as props, {
 
 @query("src6_reassembled_records", f"with {EVENT_SQL} select path, sum(n_records)::bigint as n_records, sum(strlen(props) + extra)::bigint as n_bytes from ec group by 1")
 def reassembled(spark: SparkSession, d: str) -> DataFrame:
-    out = transcripts.reassembled(transcripts.split_lines(event_files(spark, d)))
+    files = staging.table(event_files(spark, d), "event_files")
+    out = transcripts.reassembled(transcripts.split_lines(files))
     return out.groupBy(F.col("user").alias("path")).agg(F.count("*").alias("n_records"), F.sum(F.octet_length("raw")).cast("long").alias("n_bytes"))
 
 

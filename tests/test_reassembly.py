@@ -150,3 +150,44 @@ def test_reassembly_gives_up_and_waits():
     assert join([b"[\n", b"1\n", b"]\n"]) == [(0, 1), (1, 1), (2, 1)]
     assert join([b'{"a": "}{\\"",\n', b' "b": 1}\n', b"}\n", b'{"torn": tru']) == [(0, 2), (2, 1)]
     assert join([b"{\n", *[b"1,\n"] * 1200, b"}\n"])[0] == (0, 1)
+
+
+@pytest.mark.parametrize("held", [0, 200])
+def test_blocks_with_too_many_bytes_are_joined_by_spark(spark, monkeypatch, held):
+    monkeypatch.setattr(reassembly, "MOST_LINES", 40)
+    monkeypatch.setattr(reassembly, "HELD_BYTES", held)
+    r = random.Random(held)
+    files = {f"f{i}": file_of(r, r.choice([1, 3, 40])) for i in range(30)}
+    assert run(spark, files) == {p: expected(c) for p, c in files.items()}
+
+
+def test_lines_are_sorted_once_in_a_stage(spark):
+    files = spark.createDataFrame([("f", bytearray(b'{\n"a": 1\n}\n' * 50))], "path string, content binary")
+    plans = []
+
+    def keep(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return transcripts.table(df, name)
+
+    out = reassembly.reassembled(transcripts.split_lines(files), keep)
+    assert out.count() == 50
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        sorts = 0
+        for node in plan.split("\n"):
+            sorts = 0 if "Exchange" in node else sorts + (" Sort [" in node)
+            assert sorts <= 1, plan
+
+
+def test_files_are_cut_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "SPLIT_ROWS", 3)
+    contents = [b"a\n\nb", b"", None, b"\n", b"\xff\r\n" * 10, b"", b"x", None]
+    rows = [(f"f{i}", c if c is None else bytearray(c), None if i % 2 else i) for i, c in enumerate(contents)]
+    lines = transcripts.split_lines(spark.createDataFrame(rows, "path string, content binary, other int").coalesce(1))
+    want = []
+    for path, content, other in rows:
+        at = 0
+        for k, x in enumerate(bytes(content or b"").splitlines(keepends=True) if path != "f4" else [b"\xff\r\n"] * 10):
+            want.append((path, other, k, x, at, at := at + len(x)))
+    assert [(x.path, x.other, x.line_number, bytes(x.raw), x.start_offset, x.end_offset) for x in lines.collect()] == want
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
