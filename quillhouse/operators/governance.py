@@ -102,7 +102,7 @@ def run_counters(records: DataFrame, anomalies: DataFrame) -> DataFrame:
 def recapture_counters(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
     """``(key, records_before, records_after, anomalies_before, anomalies_after, reconciled)`` of files that are split anew.
 
-    Both have ``key, line_number, raw, is_anomaly``. A file whose bytes would change is refused: its counters stay as before.
+    Both have ``key, line_number, raw, is_anomaly``, and ``start_offset`` if it is known. A file whose bytes would change is refused: its counters stay as before.
     """
     def counted(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(key).agg(F.count("*").alias(f"records_{name}"), F.count_if("is_anomaly").alias(f"anomalies_{name}"))

@@ -138,11 +138,11 @@ def recaptured(spark: SparkSession, d: str) -> DataFrame:
     """Files once captured line by line and now split anew; those that end in an open record are refused."""
     files = event_files(spark, d)
     whole = F.expr(f"substring(content, 1, length(content) - {len(EVENT_TAIL)})")
-    files = files.withColumn("content", F.when(F.col("user") % 2 == 1, F.col("content")).otherwise(whole))
+    files = staging.table(files.select("path", F.when(F.col("user") % 2 == 1, F.col("content")).otherwise(whole).alias("content")), "event_files")
     bad = whole_json(F.col("raw").cast("string")).isNull().alias("is_anomaly")
     before = transcripts.split_lines(files)
-    after = transcripts.reassembled(transcripts.split_lines(files))
-    return governance.recapture_counters(*[x.select("path", "line_number", "raw", bad) for x in (before, after)])
+    before, after = (x.select("path", "line_number", "start_offset", "raw", bad) for x in (before, transcripts.reassembled(before)))
+    return governance.recapture_counters(before, staging.table(after, "recaptured"))
 
 
 @query("src4_sidecars", oracle("", "select distinct agent_hex, 'helper' as agent_type, 't' || (conv_id - 1)::varchar || '-1' as tool_use_id from turns where kind = 'subagent'"))

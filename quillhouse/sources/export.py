@@ -44,8 +44,15 @@ def as_chunks(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTE
 
 
 def pieces(lines: DataFrame, key: str = "transcript", limit: int = CHUNK_BYTES) -> DataFrame:
-    """``(key, block, sha, n_bytes)``: digests of each transcript's bytes cut every ``limit`` bytes, however it is split into lines."""
-    rows = _with_start(lines, key).where("_size > 0")
+    """``(key, block, sha, n_bytes)``: digests of each transcript's bytes cut every ``limit`` bytes, however it is split into lines.
+
+    Lines that have a ``start_offset`` lie where it says; others are added up.
+    """
+    if "start_offset" in lines.columns:
+        rows = lines.select(key, "raw", F.col("start_offset").cast("long").alias("start"), F.octet_length("raw").cast("long").alias("_size"))
+    else:
+        rows = _with_start(lines, key)
+    rows = rows.where("_size > 0")
     last = F.floor((F.col("start") + F.col("_size") - 1) / limit)
     rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / limit), last)))
     first = F.greatest(F.lit(0), F.col("block") * limit - F.col("start"))

@@ -201,3 +201,19 @@ def test_registry_is_complete():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "fts_search_sessions" in entry.queries()
+
+
+def test_recapture_of_lines_that_know_their_places(spark):
+    def lines(parts, at=None):
+        rows, here = [], 0
+        for i, x in enumerate(parts):
+            rows.append(("f", i, here if at is None else at[i], bytearray(x), i == 0))
+            here += len(x)
+        return spark.createDataFrame(rows, "path string, line_number long, start_offset long, raw binary, is_anomaly boolean")
+
+    before = lines([b"abc\n", b"def\n"])
+    for other, want in ((lines([b"abc\ndef\n"]), True), (lines([b"abc\n"]), False), (lines([b"abd\n", b"def\n"]), False), (lines([b"def\n", b"abc\n"]), False), (lines([b"def\n"], [4]), False)):
+        got = governance.recapture_counters(before, other).first()
+        assert (got.reconciled, got.records_after, got.anomalies_before) == (want, other.count() if want else 2, 1)
+    plan = export.pieces(before, "path")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
