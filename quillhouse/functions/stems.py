@@ -121,7 +121,11 @@ class _Plain:
 
     @staticmethod
     def ends(e, end: str):
-        return lambda w: e(w).endswith(end)
+        def ended(w: str) -> bool:
+            return e(w).endswith(end)
+
+        ended.of, ended.end = e, end
+        return ended
 
     @staticmethod
     def cut(e, n: int):
@@ -138,7 +142,13 @@ class _Plain:
 
     @staticmethod
     def choose(cases: list[tuple[Callable, Callable]], other):
+        first = getattr(cases[0][0], "of", None)
+        # Where all conditions are endings of one word, most words have none of them.
+        ends = tuple(c.end for c, _ in cases) if first and all(getattr(c, "of", None) is first for c, _ in cases) else None
+
         def chosen(w: str):
+            if ends and not first(w).endswith(ends):
+                return other(w)
             for condition, value in cases:
                 if condition(w):
                     return value(w)
@@ -227,13 +237,16 @@ def stem(term: Column) -> Column:
 _FOLD = str.maketrans(MARKED, PLAIN)
 _LATIN = re.compile("[a-z]{3,64}").fullmatch
 _of_word = _stemmed(_Plain, lambda w: w)
+#: What some step looks for at the end of a word; a word with none of it is its own stem. Endings that end in another one are left out.
+_ENDS = {end for table in (STEP_1A, STEP_2, STEP_3) for end, *_ in table} | {*STEP_4, "ion", "ed", "ing", "y", "e", "ll"}
+_ENDS = tuple(sorted(e for e in _ENDS if not any(e != x and e.endswith(x) for x in _ENDS)))
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 18)
 def stem_of(term: str) -> str:
     """The same of one term in lower case, as tokens of the index are."""
     w = term.translate(_FOLD)
-    return _of_word("Y" + w[1:] if w[0] == "y" else w).lower() if _LATIN(w) else w
+    return _of_word("Y" + w[1:] if w[0] == "y" else w).lower() if _LATIN(w) and w.endswith(_ENDS) else w
 
 
 def stem_sql(term: str) -> str:

@@ -83,3 +83,25 @@ def lists(texts: DataFrame, of: str) -> DataFrame:
     rest = [("tf", "bigint"), ("first_pos", "bigint")] if of == "term" else [("length", "bigint"), ("positions", "array<int>")]
     kinds = [key.name, of, *[name for name, _ in rest]]
     return texts.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, {of} string, " + ", ".join(f"{name} {kind}" for name, kind in rest))
+
+
+def rows(texts: DataFrame) -> DataFrame:
+    """A row for each of ``texts`` (a key, an array of words) that has words: its ``length``, its different stems joined by newlines as ``names``, and ``tf`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in _slices(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(begin, end - begin)
+                part = part.filter(pc.greater(pc.fill_null(pc.list_value_length(part.column(1)), 0), 0))
+                if not part.num_rows:
+                    continue
+                lengths = pc.list_value_length(part.column(1)).to_numpy().astype(np.int64)
+                names, code = _stems(part.column(1).flatten())
+                groups, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(names) + code, return_counts=True)
+                ends = pa.array(np.searchsorted(groups, np.arange(len(lengths) + 1) * len(names)).astype(np.int32))
+                each = pa.ListArray.from_arrays(ends, names.take(pa.array(groups % len(names))))
+                cols = [part.column(0), pa.array(lengths), pc.binary_join(each, "\n"), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, [key.name, "length", "names", "tf"])
+
+    key = texts.schema[0]
+    return texts.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, length bigint, names string, tf array<int>")

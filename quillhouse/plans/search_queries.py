@@ -273,6 +273,10 @@ def top_pages(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", F.col("key").alias("doc_id"), "rank", F.col("place").cast("long").alias("place"))
 
 
+#: Characters of a long word.
+LONG = 8
+
+
 @query("fts11_query_batch", f"""with {STEMMED},
   tw as (select distinct doc_id, term from tk), pick as (select doc_id, term from tw qualify row_number() over (partition by doc_id order by length(term) desc, encode(term)) <= 2),
   ask as (select distinct p.doc_id as query_id, p.term as word, stem from pick p join vo using (term)),
@@ -285,13 +289,16 @@ select query_id, hits, rank from need join sets using (words) join best using (s
 def query_batch(spark: SparkSession, d: str) -> DataFrame:
     """A query for each document, its two longest words: how many documents have both, and the best rank. Documents that ask for the same are answered once."""
     docs = feed.read(spark, d, "documents").where("text <> ''")
-    longest = F.expr("transform(slice(array_sort(transform(array_distinct(w), x -> struct(-char_length(x) as n, x as x))), 1, 2), y -> y.x)")
-    words = docs.select("doc_id", search.tokens(F.col("text")).alias("w")).select(F.col("doc_id").alias("asker"), F.array_sort(longest).alias("words")).where(F.size("words") > 0)
-    asked_ = once(words, "askers", None, [])
+    longest = F.expr("transform(slice(sort_array(transform(w, x -> struct(-char_length(x) as n, x as x))), 1, 2), y -> y.x)")
+    words = docs.select("doc_id", search.tokens(F.col("text")).alias("w"))
+    # Most texts have two words that are so long that the others need no sorting.
+    words = words.select("doc_id", "w", F.array_distinct(F.filter("w", lambda x: F.char_length(x) >= LONG)).alias("long"))
+    words = words.select("doc_id", F.when(F.size("long") > 1, F.col("long")).otherwise(F.array_distinct("w")).alias("w"))
+    words = words.select(F.col("doc_id").alias("asker"), F.array_sort(longest).alias("words"))
+    asked_ = once(words, "askers", None, []).where(F.size("words") > 0)
     sets = asked_.groupBy("words").agg(F.min("asker").alias("query_id"))
-    hits = search_index.search_batch(document_index(spark, d), sets.select("query_id", F.transform("words", lambda x: F.array(x)).alias("phrases")), once)
-    best = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("rank"))
-    return asked_.join(sets, "words").join(best, "query_id").select(F.col("asker").alias("query_id"), "hits", "rank")
+    best = search_index.best_of_batch(document_index(spark, d), sets.select("query_id", F.transform("words", lambda x: F.array(x)).alias("phrases")), once)
+    return asked_.join(sets.join(best, "query_id"), "words").select(F.col("asker").alias("query_id"), "hits", "rank")
 
 
 @query("fn8_snippet_segments", oracle("", "select uuid, len(list_filter(string_split(replace(text, 'the', '<mark>the<mark>'), '<mark>'), lambda x: x <> ''))::bigint as n_parts from turns where contains(text, 'the')"))
